@@ -64,42 +64,93 @@ class NumStats:
         return self.nonbinary == 0
 
 
-def moments(df: DataFrame, exprs: dict[str, Column], extra: dict[str, Column] | None = None):
-    """One aggregate job: row count plus per-column moments of numeric expressions.
-
-    ``exprs`` maps a name to a double expression (nulls ignored). ``extra``
-    adds arbitrary aggregate expressions to the same job; their values come
-    back in the returned ``extras`` dict.
+def moments(df: DataFrame, exprs: dict[str, Column], nulls_of: dict[str, Column] | None = None):
+    """One job: row count, per-column moments, and null counts.
+
+    ``exprs`` maps a name to a double expression (nulls ignored);
+    ``nulls_of`` maps a name to any column whose nulls are counted. The table
+    is unpivoted to ``(key, x, is_null)`` and grouped by key, so the
+    aggregate stays narrow (ten functions) whatever the column count; a wide
+    one-row aggregate over hundreds of functions would leave the JIT
+    compiler unable to compile the generated code. Partial aggregation makes
+    the shuffle one row per key per task.
     """
-    aggs = [F.count(F.lit(1)).alias("__n")]
-    names = list(exprs)
+    nulls_of = nulls_of or {}
+    names = list(dict.fromkeys(list(exprs) + list(nulls_of)))
+    if not names:
+        return df.count(), {}, {}
+    structs = []
     for i, name in enumerate(names):
-        x = exprs[name]
-        aggs += [
-            F.count(x).alias(f"c{i}"), F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"),
-            F.avg(x).alias(f"av{i}"), F.stddev_samp(x).alias(f"sd{i}"),
-            F.skewness(x).alias(f"sk{i}"), F.kurtosis(x).alias(f"ku{i}"),
-            F.count_if(~x.isin(0.0, 1.0)).alias(f"nb{i}"),
-            F.count_if(x == 0).alias(f"z{i}"), F.count_if(x < 0).alias(f"ng{i}"),
-        ]
-    extra = extra or {}
-    for j, (name, e) in enumerate(extra.items()):
-        aggs.append(e.alias(f"e{j}"))
-    row = df.agg(*aggs).collect()[0]
-    n = row["__n"]
+        x = exprs[name].cast("double") if name in exprs else F.lit(None).cast("double")
+        isnull = nulls_of[name].isNull() if name in nulls_of else F.lit(False)
+        structs.append(F.struct(F.lit(i).alias("k"), x.alias("x"), isnull.alias("z")))
+    long = df.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
+    x = F.col("x")
+    rows = long.groupBy("k").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("z")).alias("nulls"),
+        F.count(x).alias("c"), F.min(x).alias("mn"), F.max(x).alias("mx"), F.avg(x).alias("av"),
+        F.stddev_samp(x).alias("sd"), F.skewness(x).alias("sk"), F.kurtosis(x).alias("ku"),
+        F.count_if(~x.isin(0.0, 1.0)).alias("nb"), F.count_if(x == 0).alias("z0"),
+        F.count_if(x < 0).alias("ng")).collect()
+    by = {r["k"]: r for r in rows}
+    n = rows[0]["n"] if rows else 0
     out: dict[str, NumStats] = {}
+    nulls: dict[str, int] = {}
     for i, name in enumerate(names):
-        c = row[f"c{i}"]
-        sd = row[f"sd{i}"]
+        r = by.get(i)
+        if name in nulls_of:
+            nulls[name] = int(r["nulls"]) if r else 0
+        if name not in exprs:
+            continue
+        if r is None:
+            out[name] = NumStats()
+            continue
+        c, sd = r["c"], r["sd"]
         if c and sd is not None and sd == 0:
             skew, kurt = (0.0 if c >= 3 else None), (0.0 if c >= 4 else None)
         else:
-            skew, kurt = adjusted_skew(row[f"sk{i}"], c), adjusted_kurt(row[f"ku{i}"], c)
-        out[name] = NumStats(count=c, min=row[f"mn{i}"], max=row[f"mx{i}"], mean=row[f"av{i}"],
-                             std=sd, skew=skew, kurt=kurt, nonbinary=row[f"nb{i}"],
-                             zeros=row[f"z{i}"], negatives=row[f"ng{i}"])
-    extras = {name: row[f"e{j}"] for j, name in enumerate(extra)}
-    return n, out, extras
+            skew, kurt = adjusted_skew(r["sk"], c), adjusted_kurt(r["ku"], c)
+        out[name] = NumStats(count=c, min=r["mn"], max=r["mx"], mean=r["av"], std=sd, skew=skew,
+                             kurt=kurt, nonbinary=r["nb"], zeros=r["z0"], negatives=r["ng"])
+    return n, out, nulls
+
+
+def sums(df: DataFrame, longs: dict[str, Column] | None = None,
+         doubles: dict[str, Column] | None = None, maxes: dict[str, Column] | None = None,
+         wide_limit: int = 96) -> dict:
+    """Many sums (and boolean ors) over ``df`` in one job, unpivoted to stay narrow."""
+    longs, doubles, maxes = longs or {}, doubles or {}, maxes or {}
+    names = list(longs) + list(doubles) + list(maxes)
+    if not names:
+        return {}
+    if len(names) <= wide_limit:
+        # light aggregates: one wide row stays small enough to compile
+        aggs = [F.coalesce(F.sum(e.cast("long")), F.lit(0)).alias(f"m{i}") for i, e in enumerate(longs.values())]
+        aggs += [F.sum(e.cast("double")).alias(f"m{len(longs) + i}") for i, e in enumerate(doubles.values())]
+        aggs += [F.coalesce(F.max(e.cast("boolean")), F.lit(False)).alias(f"m{len(longs) + len(doubles) + i}")
+                 for i, e in enumerate(maxes.values())]
+        row = df.agg(*aggs).collect()[0]
+        return {name: row[f"m{i}"] for i, name in enumerate(names)}
+    structs = []
+    for i, name in enumerate(names):
+        lv = longs[name].cast("long") if name in longs else F.lit(None).cast("long")
+        dv = doubles[name].cast("double") if name in doubles else F.lit(None).cast("double")
+        bv = maxes[name].cast("boolean") if name in maxes else F.lit(None).cast("boolean")
+        structs.append(F.struct(F.lit(i).alias("k"), lv.alias("l"), dv.alias("d"), bv.alias("b")))
+    long = df.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
+    rows = long.groupBy("k").agg(F.sum("l").alias("l"), F.sum("d").alias("d"),
+                                 F.max("b").alias("b")).collect()
+    by = {r["k"]: r for r in rows}
+    out = {}
+    for i, name in enumerate(names):
+        r = by.get(i)
+        if name in longs:
+            out[name] = int(r["l"]) if r is not None and r["l"] is not None else 0
+        elif name in doubles:
+            out[name] = r["d"] if r is not None else None
+        else:
+            out[name] = bool(r["b"]) if r is not None and r["b"] is not None else False
+    return out
 
 
 # ---------------------------------------------------------------------------

@@ -46,9 +46,8 @@ def facts(df: DataFrame, cfg: AuditConfig = DEFAULT, distinct: bool = True,
     kinds = column_kinds(df)
     num_cols = [c for c in kinds["numeric"] if columns is None or c in columns]
     exprs = {c: number_of(df, c) for c in num_cols}
-    nulls_x = {c: F.count_if(col(c).isNull()) for c in df.columns}
-    n, num, extras = S.moments(df, exprs, nulls_x)
-    fx = Facts(n=n, kinds=kinds, num=num, nulls={c: int(extras[c]) for c in df.columns})
+    n, num, nulls = S.moments(df, exprs, {c: col(c) for c in df.columns})
+    fx = Facts(n=n, kinds=kinds, num=num, nulls=nulls)
     if distinct or quantiles:
         text = {c: col(c) for c in df.columns
                 if c not in exprs and (columns is None or c in columns) and _groupable(df, c)}
