@@ -78,3 +78,125 @@ def q_detect_orders(spark, sf):
                                               V.DIRTY_LINEITEM_BOUNDS), V.DIRTY_LINEITEM_SQL))
 def q_detect_lineitem(spark, sf):
     return report(D.detect(V.dirty_lineitem(spark, sf), V.DIRTY_LINEITEM_BOUNDS))
+
+
+# ---------------------------------------------------------------------------
+# D: cleaning
+# ---------------------------------------------------------------------------
+
+from ..functions.expressions import number_of  # noqa: E402
+from ..operators import clean as CL  # noqa: E402
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles rounded to 4 places (both sides of the oracle do the same)."""
+    return df.select(*[F.round(F.col(c), 4).alias(c) if t in ("double", "float") else F.col(c)
+                       for c, t in df.dtypes])
+
+
+def orders_fence(df: DataFrame, column: str = "reading") -> dict:
+    f = D.fences_of(df, {column: number_of(df, column)}, {column: 1}, DEFAULT.iqr_multiplier, DEFAULT)[column]
+    return {"lower_bound": f[1], "upper_bound": f[2]}
+
+
+def _one(anomaly: dict, action: str, params=None, fence: bool = False):
+    def run(spark, sf):
+        df = V.dirty_orders(spark, sf)
+        a = dict(anomaly)
+        if fence:
+            a.update(orders_fence(df, a["column_name"]))
+        return rounded(CL.apply_one(df, a, action, params).df)
+    return run
+
+
+OUT = "o_orderkey, cust, status, round(reading, 4) AS reading, priority, order_date"
+FENCE = """
+fz AS (SELECT quantile_cont(reading, 0.25) AS q1, quantile_cont(reading, 0.75) AS q3 FROM dirty_orders),
+fr AS (SELECT q1 - 3.0 * (q3 - q1) AS lo, q3 + 3.0 * (q3 - q1) AS hi FROM fz)"""
+ORD_SHARE = ("((o_orderkey IS NULL)::INT + (cust IS NULL)::INT + (status IS NULL)::INT + (reading IS NULL)::INT"
+             " + (priority IS NULL)::INT + (order_date IS NULL)::INT) / 6.0")
+BLANK = "regexp_matches({0}, '^\\s*$')"
+
+_MISSING = {"anomaly_type": "MISSING_DATA"}
+_CLEAN_ONE = {
+    "clean_remove_duplicates": (
+        {"anomaly_type": "DUPLICATE_ROWS", "column_name": None}, "remove_duplicates", None, False,
+        f"SELECT DISTINCT {OUT} FROM dirty_orders"),
+    "clean_drop_column": (
+        {"anomaly_type": "PII_DETECTED", "column_name": "status"}, "drop_column", None, False,
+        "SELECT o_orderkey, cust, round(reading, 4) AS reading, priority, order_date FROM dirty_orders"),
+    "clean_drop_missing_rows": (
+        {**_MISSING, "column_name": "priority"}, "drop_rows", None, False,
+        f"SELECT {OUT} FROM dirty_orders WHERE NOT (priority IS NULL OR {BLANK.format('priority')})"),
+    "clean_drop_outlier_rows": (
+        {"anomaly_type": "STATISTICAL_OUTLIER", "column_name": "reading"}, "drop_rows", None, True,
+        f"SELECT {OUT} FROM dirty_orders, fr WHERE NOT coalesce(reading < lo OR reading > hi, false)"),
+    "clean_drop_logical_rows": (
+        {"anomaly_type": "LOGICAL_VIOLATION", "column_name": "reading", "lower_bound": 1000.0,
+         "upper_bound": 600000.0}, "drop_rows", None, False,
+        f"SELECT {OUT} FROM dirty_orders WHERE NOT coalesce(reading < 1000 OR reading > 600000, false)"),
+    "clean_drop_zero_rows": (
+        {"anomaly_type": "ZERO_AS_MISSING", "column_name": "reading"}, "drop_rows", None, False,
+        f"SELECT {OUT} FROM dirty_orders WHERE NOT coalesce(reading = 0, false)"),
+    "clean_drop_sparse_rows": (
+        {"anomaly_type": "HIGH_NULL_DENSITY_ROWS", "column_name": None, "threshold": 0.5}, "drop_rows", None, False,
+        f"SELECT {OUT} FROM dirty_orders WHERE {ORD_SHARE} <= 0.5"),
+    "clean_fill_mean": (
+        {**_MISSING, "column_name": "reading"}, "fill_mean", None, False,
+        "SELECT o_orderkey, cust, status, round(coalesce(reading, (SELECT avg(reading) FROM dirty_orders)), 4)"
+        " AS reading, priority, order_date FROM dirty_orders"),
+    "clean_fill_median": (
+        {**_MISSING, "column_name": "reading"}, "fill_median", None, False,
+        "SELECT o_orderkey, cust, status, round(coalesce(reading, (SELECT quantile_cont(reading, 0.5) FROM "
+        "dirty_orders)), 4) AS reading, priority, order_date FROM dirty_orders"),
+    "clean_fill_mode": (
+        {**_MISSING, "column_name": "status"}, "fill_mode", None, False,
+        "SELECT o_orderkey, cust, coalesce(status, (SELECT status FROM dirty_orders WHERE status IS NOT NULL "
+        "GROUP BY status ORDER BY count(*) DESC, status LIMIT 1)) AS status, round(reading, 4) AS reading, "
+        "priority, order_date FROM dirty_orders"),
+    "clean_fill_mode_numeric": (
+        {**_MISSING, "column_name": "cust"}, "fill_mode", None, False,
+        "SELECT o_orderkey, coalesce(cust, (SELECT quantile_cont(cust, 0.5) FROM dirty_orders))::DOUBLE AS cust,"
+        " status, round(reading, 4) AS reading, priority, order_date FROM dirty_orders"),
+    "clean_fill_outlier_mean": (
+        {"anomaly_type": "STATISTICAL_OUTLIER", "column_name": "reading"}, "fill_mean", None, True,
+        "SELECT o_orderkey, cust, status, round(CASE WHEN reading < lo OR reading > hi THEN (SELECT avg(reading) "
+        "FROM dirty_orders, fr WHERE reading >= lo AND reading <= hi) ELSE reading END, 4) AS reading, priority, "
+        "order_date FROM dirty_orders, fr"),
+    "clean_fill_zero_mean": (
+        {"anomaly_type": "ZERO_AS_MISSING", "column_name": "reading"}, "fill_mean", None, False,
+        "SELECT o_orderkey, cust, status, round(CASE WHEN reading = 0 THEN (SELECT avg(reading) FROM dirty_orders "
+        "WHERE reading <> 0) ELSE reading END, 4) AS reading, priority, order_date FROM dirty_orders"),
+    "clean_cap_iqr": (
+        {"anomaly_type": "STATISTICAL_OUTLIER", "column_name": "reading"}, "cap_iqr", None, True,
+        "SELECT o_orderkey, cust, status, round(CASE WHEN reading IS NOT NULL THEN least(greatest(reading, lo), hi)"
+        " END, 4) AS reading, priority, order_date FROM dirty_orders, fr"),
+    "clean_clamp_bounds": (
+        {"anomaly_type": "LOGICAL_VIOLATION", "column_name": "reading", "lower_bound": 1000.0,
+         "upper_bound": 600000.0}, "clamp_bounds", {"max_bound": 500000.0}, False,
+        "SELECT o_orderkey, cust, status, round(CASE WHEN reading IS NOT NULL THEN least(greatest(reading, 1000.0),"
+        " 500000.0) END, 4) AS reading, priority, order_date FROM dirty_orders"),
+    "clean_treat_as_missing": (
+        {"anomaly_type": "LOGICAL_VIOLATION", "column_name": "reading", "lower_bound": 1000.0,
+         "upper_bound": 600000.0}, "treat_as_missing", None, False,
+        "SELECT o_orderkey, cust, status, round(CASE WHEN reading < 1000 OR reading > 600000 THEN NULL ELSE reading"
+        " END, 4) AS reading, priority, order_date FROM dirty_orders"),
+    "clean_redact": (
+        {"anomaly_type": "PII_DETECTED", "column_name": "status"}, "redact", None, False,
+        "SELECT o_orderkey, cust, '[REDACTED]' AS status, round(reading, 4) AS reading, priority, order_date "
+        "FROM dirty_orders"),
+    "clean_hash_sha256": (
+        {"anomaly_type": "PII_DETECTED", "column_name": "priority"}, "hash_sha256", None, False,
+        "SELECT o_orderkey, cust, status, round(reading, 4) AS reading, sha256(priority) AS priority, order_date "
+        "FROM dirty_orders"),
+    "clean_fill_sparse_rows": (
+        {"anomaly_type": "HIGH_NULL_DENSITY_ROWS", "column_name": None, "threshold": 0.5}, "fill_mean", None, False,
+        f"SELECT CASE WHEN {ORD_SHARE} > 0.5 THEN coalesce(o_orderkey, (SELECT avg(o_orderkey) FROM dirty_orders)) "
+        f"ELSE o_orderkey END::DOUBLE AS o_orderkey, CASE WHEN {ORD_SHARE} > 0.5 THEN coalesce(cust, (SELECT avg(cust)"
+        f" FROM dirty_orders)) ELSE cust END::DOUBLE AS cust, status, round(CASE WHEN {ORD_SHARE} > 0.5 THEN "
+        f"coalesce(reading, (SELECT avg(reading) FROM dirty_orders)) ELSE reading END, 4) AS reading, priority, "
+        f"order_date FROM dirty_orders"),
+}
+for _name, (_a, _act, _p, _fence, _sql) in _CLEAN_ONE.items():
+    register(_name, cte(_sql, V.DIRTY_ORDERS_SQL, FENCE) if _fence else plain(_sql, V.DIRTY_ORDERS_SQL))(
+        _one(_a, _act, _p, _fence))
