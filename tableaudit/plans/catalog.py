@@ -200,3 +200,135 @@ _CLEAN_ONE = {
 for _name, (_a, _act, _p, _fence, _sql) in _CLEAN_ONE.items():
     register(_name, cte(_sql, V.DIRTY_ORDERS_SQL, FENCE) if _fence else plain(_sql, V.DIRTY_ORDERS_SQL))(
         _one(_a, _act, _p, _fence))
+
+
+# ---------------------------------------------------------------------------
+# D21/D22 composite cleaning run; C11-C14, D20 report views
+# ---------------------------------------------------------------------------
+
+ORDERS_DECISIONS = [
+    {"anomaly_id": "DUPLICATE_ROWS", "action": "remove_duplicates"},
+    {"anomaly_id": "MISSING_DATA|priority", "action": "drop_rows"},
+    {"anomaly_id": "MISSING_DATA|reading", "action": "fill_mean"},
+    {"anomaly_id": "MISSING_DATA|status", "action": "fill_mode"},
+    {"anomaly_id": "LOGICAL_VIOLATION|reading", "action": "clamp_bounds"},
+    {"anomaly_id": "ZERO_AS_MISSING|cust", "action": "keep_as_is"},
+    {"anomaly_id": "HIGH_NULL_DENSITY_ROWS", "action": "drop_rows"},
+    {"anomaly_id": "MISSING_DATA|order_date", "action": "keep_as_is"},
+    {"anomaly_id": "MISSING_DATA|cust", "action": "cap_iqr"},
+    {"anomaly_id": "NO_SUCH_ANOMALY", "action": "drop_rows"},
+]
+DECISIONS_SQL = O.values("decisions", ["anomaly_id", "action"],
+                         [(d["anomaly_id"], d["action"]) for d in ORDERS_DECISIONS])
+ALLOWED_SQL = O.values("allowed", ["anomaly_type", "action"],
+                       [(t, a) for t, acts in __import__("tableaudit.config", fromlist=["x"]).ALLOWED_ACTIONS.items()
+                        for a in acts])
+ORDERS_DETECT_CTES = O.detect_ctes("dirty_orders", ORDERS_COLS, ORDERS_NUM, ORDERS_TEXT, V.DIRTY_ORDERS_BOUNDS)
+
+CLEAN_CHAIN = f"""
+d1 AS (SELECT DISTINCT * FROM dirty_orders),
+d2 AS (SELECT * FROM d1 WHERE NOT (priority IS NULL OR {BLANK.format('priority')})),
+d3 AS (SELECT o_orderkey, cust, status, coalesce(reading, (SELECT avg(reading) FROM d2)) AS reading, priority,
+       order_date FROM d2),
+d4 AS (SELECT o_orderkey, cust, coalesce(status, (SELECT status FROM d3 WHERE status IS NOT NULL GROUP BY status
+       ORDER BY count(*) DESC, status LIMIT 1)) AS status, reading, priority, order_date FROM d3),
+d5 AS (SELECT o_orderkey, cust, status, CASE WHEN reading IS NOT NULL THEN least(greatest(reading, 1000.0), 600000.0)
+       END AS reading, priority, order_date FROM d4),
+d6 AS (SELECT * FROM d5 WHERE NOT ({ORD_SHARE.replace('/ 6.0', '/ 6.0 > 0.5')})),
+counts AS (SELECT (SELECT count(*) FROM dirty_orders) AS n0, (SELECT count(*) FROM d1) AS n1,
+       (SELECT count(*) FROM d2) AS n2, (SELECT count_if(reading IS NULL) FROM d2) AS f3,
+       (SELECT count_if(status IS NULL) FROM d3) AS f4,
+       (SELECT count_if(reading < 1000 OR reading > 600000) FROM d4) AS c5,
+       (SELECT count(*) FROM d5) AS n5, (SELECT count(*) FROM d6) AS n6)"""
+
+
+def _orders_clean(spark, sf):
+    df = V.dirty_orders(spark, sf)
+    det = D.detect(df, V.DIRTY_ORDERS_BOUNDS)
+    return det, CL.clean(df, det, ORDERS_DECISIONS)
+
+
+@register("clean_orders", plain(f"SELECT {OUT} FROM d6", V.DIRTY_ORDERS_SQL, CLEAN_CHAIN.strip().rstrip(',')))
+def q_clean_orders(spark, sf):
+    return rounded(_orders_clean(spark, sf)[1].df)
+
+
+@register("clean_changes", plain("""
+SELECT * FROM (VALUES
+  ('DUPLICATE_ROWS', 'remove_duplicates', (SELECT n0 - n1 FROM counts)),
+  ('MISSING_DATA|priority', 'drop_rows', (SELECT n1 - n2 FROM counts)),
+  ('MISSING_DATA|reading', 'fill_mean', (SELECT f3 FROM counts)),
+  ('MISSING_DATA|status', 'fill_mode', (SELECT f4 FROM counts)),
+  ('LOGICAL_VIOLATION|reading', 'clamp_bounds', (SELECT c5 FROM counts)),
+  ('ZERO_AS_MISSING|cust', 'keep_as_is', 0),
+  ('HIGH_NULL_DENSITY_ROWS', 'drop_rows', (SELECT n5 - n6 FROM counts)),
+  ('MISSING_DATA|order_date', 'keep_as_is', 0),
+  ('MISSING_DATA|cust', 'cap_iqr', 0)) t(anomaly_id, action, rows_changed)""",
+    V.DIRTY_ORDERS_SQL, CLEAN_CHAIN))
+def q_clean_changes(spark, sf):
+    ch = _orders_clean(spark, sf)[1].changes
+    return ch.select("anomaly_id", "action", F.col("rows_changed").cast("int").alias("rows_changed"))
+
+
+@register("clean_score_after", cte(f"""
+{ORDERS_DETECT_CTES.strip()},
+{CLEAN_CHAIN.strip()},
+{O.weights_values()},
+{DECISIONS_SQL},
+remaining AS (SELECT * FROM anomalies WHERE anomaly_id NOT IN (SELECT anomaly_id FROM decisions
+              WHERE action NOT IN ('keep_as_is', 'keep_all')))
+SELECT s.quality_score, (SELECT n6 FROM counts) AS rows_after FROM ({O.score_select('remaining', '(SELECT n6 FROM counts)')}) s
+""", V.DIRTY_ORDERS_SQL))
+def q_clean_score_after(spark, sf):
+    res = _orders_clean(spark, sf)[1]
+    return spark.createDataFrame([(float(res.score_after), int(res.rows_after))],
+                                 "quality_score double, rows_after bigint")
+
+
+@register("quality_score", cte(f"""
+{ORDERS_DETECT_CTES.strip()},
+{O.weights_values()}
+SELECT s.quality_score, {O.band('s.quality_score')} AS band
+FROM ({O.score_select('anomalies', '(SELECT n FROM anomaly_n)')}) s""", V.DIRTY_ORDERS_SQL))
+def q_quality_score(spark, sf):
+    det = D.detect(V.dirty_orders(spark, sf), V.DIRTY_ORDERS_BOUNDS)
+    return D.quality_score_frame(det.anomalies, det.n)
+
+
+def _decisions_df(spark, rows=ORDERS_DECISIONS):
+    return spark.createDataFrame([(d["anomaly_id"], d["action"]) for d in rows], "anomaly_id string, action string")
+
+
+@register("severity_summary", cte(f"""
+{ORDERS_DETECT_CTES.strip()},
+{DECISIONS_SQL}
+SELECT severity, count(*) AS anomalies, count(d.anomaly_id) AS decided
+FROM anomalies a LEFT JOIN (SELECT DISTINCT anomaly_id FROM decisions) d USING (anomaly_id)
+GROUP BY severity""", V.DIRTY_ORDERS_SQL))
+def q_severity_summary(spark, sf):
+    det = D.detect(V.dirty_orders(spark, sf), V.DIRTY_ORDERS_BOUNDS)
+    return D.severity_summary(det.anomalies, _decisions_df(spark))
+
+
+@register("decision_risk", cte(f"""
+{ORDERS_DETECT_CTES.strip()},
+{DECISIONS_SQL}
+SELECT a.anomaly_id, a.anomaly_type, a.column_name, d.action, coalesce(a.total_flagged, a.affected_rows) AS rows_at_risk,
+  round(coalesce(a.total_flagged, a.affected_rows) / (SELECT n FROM anomaly_n) * 100, 1) AS pct_at_risk,
+  (a.anomaly_type = 'MISSING_DATA' AND d.action = 'drop_rows' AND coalesce(a.null_rate, 0.0) > 0.4) AS danger
+FROM anomalies a JOIN decisions d USING (anomaly_id)""", V.DIRTY_ORDERS_SQL))
+def q_decision_risk(spark, sf):
+    det = D.detect(V.dirty_orders(spark, sf), V.DIRTY_ORDERS_BOUNDS)
+    return D.decision_risk(det.anomalies, _decisions_df(spark), det.n)
+
+
+@register("invalid_decisions", cte(f"""
+{ORDERS_DETECT_CTES.strip()},
+{DECISIONS_SQL},
+{ALLOWED_SQL}
+SELECT d.anomaly_id, a.anomaly_type, d.action FROM decisions d JOIN anomalies a USING (anomaly_id)
+WHERE NOT EXISTS (SELECT 1 FROM allowed l WHERE l.anomaly_type = a.anomaly_type AND l.action = d.action)""",
+    V.DIRTY_ORDERS_SQL))
+def q_invalid_decisions(spark, sf):
+    det = D.detect(V.dirty_orders(spark, sf), V.DIRTY_ORDERS_BOUNDS)
+    return CL.invalid_decisions(det.anomalies, _decisions_df(spark))

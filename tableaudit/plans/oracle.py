@@ -26,6 +26,12 @@ def name_has(name: str, pats) -> bool:
 def detect_sql(view: str, cols: list[str], numeric: list[str], text: list[str],
                bounds: dict, k: float = 3.0, t: float = 0.5) -> str:
     """Anomaly report (tiers, PII, sparse rows) as one SQL statement over ``view``."""
+    return detect_ctes(view, cols, numeric, text, bounds, k, t) + "\nSELECT * FROM anomalies"
+
+
+def detect_ctes(view: str, cols: list[str], numeric: list[str], text: list[str],
+                bounds: dict, k: float = 3.0, t: float = 0.5) -> str:
+    """CTE list ending in ``anomalies`` (the report) and ``anomaly_n`` (row count)."""
     allc = ", ".join(qi(c) for c in cols)
     st = ["count(*) AS n"]
     fz = ["*"]
@@ -125,11 +131,40 @@ st AS (SELECT {', '.join(st)} FROM {view}),
 fz AS (SELECT {', '.join(fz)} FROM st),
 p AS (SELECT {', '.join(p)} FROM g, fz),
 a AS (SELECT {', '.join(a)} FROM p),
-recs AS ({' UNION ALL '.join(recs)})
+recs AS ({' UNION ALL '.join(recs)}),
+anomaly_n AS (SELECT n FROM a),
+anomalies AS (
 SELECT CASE WHEN column_name IS NULL THEN anomaly_type ELSE anomaly_type || '|' || column_name END AS anomaly_id,
   anomaly_type, column_name, affected_rows, total_flagged, round(null_rate, 4) AS null_rate, severity,
   round(lower_bound, 4) AS lower_bound, round(upper_bound, 4) AS upper_bound, threshold,
   round(mean_null_density, 4) AS mean_null_density, pii_types, description,
   (row_number() OVER (ORDER BY ord) - 1)::INTEGER AS display_order
-FROM recs"""
+FROM recs)"""
     return body
+
+
+def weights_values() -> str:
+    rows = ", ".join(f"('{k}', {C.PENALTY_WEIGHTS[k]}, {C.PENALTY_CAPS[k]})" for k in C.PENALTY_WEIGHTS)
+    return f"weights(anomaly_type, weight, cap) AS (VALUES {rows})"
+
+
+def score_select(anoms: str, n: str) -> str:
+    """Quality score of the records in CTE ``anoms`` over row count expression ``n``."""
+    return (f"SELECT CASE WHEN {n} = 0 THEN 100.0 ELSE greatest(0.0, round(100.0 - coalesce(sum(least("
+            f"coalesce(w.weight, 0.0) * x.affected_rows / ({n}) * 100, coalesce(w.cap, {C.DEFAULT_PENALTY_CAP}))),"
+            f" 0.0), 2)) END AS quality_score FROM {anoms} x LEFT JOIN weights w USING (anomaly_type)")
+
+
+def band(expr: str) -> str:
+    return f"CASE WHEN {expr} >= 80 THEN 'Good' WHEN {expr} >= 50 THEN 'Fair' ELSE 'Poor' END"
+
+
+def values(name: str, cols: list[str], rows: list[tuple]) -> str:
+    def v(x):
+        if x is None:
+            return "NULL"
+        if isinstance(x, str):
+            return lit(x)
+        return repr(x)
+    body = ", ".join("(" + ", ".join(v(x) for x in r) + ")" for r in rows)
+    return f"{name}({', '.join(cols)}) AS (VALUES {body})"
