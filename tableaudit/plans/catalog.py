@@ -332,3 +332,90 @@ WHERE NOT EXISTS (SELECT 1 FROM allowed l WHERE l.anomaly_type = a.anomaly_type
 def q_invalid_decisions(spark, sf):
     det = D.detect(V.dirty_orders(spark, sf), V.DIRTY_ORDERS_BOUNDS)
     return CL.invalid_decisions(det.anomalies, _decisions_df(spark))
+
+
+# ---------------------------------------------------------------------------
+# E: features
+# ---------------------------------------------------------------------------
+
+from ..operators import features as FE  # noqa: E402
+
+PART_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+
+
+@register("one_hot_part", plain(
+    "SELECT p_partkey, p_name, p_brand, p_type, p_size, round(p_retailprice, 4) AS p_retailprice, "
+    + ", ".join(f"CASE WHEN p_type = '{v}' THEN 1 ELSE 0 END::INTEGER AS \"p_type_{v}\"" for v in PART_TYPES)
+    + " FROM part"))
+def q_one_hot_part(spark, sf):
+    return rounded(FE.one_hot(V.table(spark, sf, "part"), 10)[0])
+
+
+@register("frequency_encode_part", plain(
+    "SELECT p_partkey, p_name, p_brand, p_type, p_size, round(p_retailprice, 4) AS p_retailprice, "
+    "CASE WHEN p_brand IS NOT NULL THEN count(*) OVER (PARTITION BY p_brand) END AS p_brand_freq FROM part"))
+def q_frequency_encode_part(spark, sf):
+    return rounded(FE.frequency_encode(V.table(spark, sf, "part"), 11, 50)[0])
+
+
+@register("log_transform_events", plain("""
+SELECT event_id, ts, user_id, event_type, round(value, 4) AS value, props,
+  round(CASE WHEN (SELECT abs(skewness(value)) > 1.5 AND min(value) >= 0 AND count(DISTINCT value) >= 10
+                   FROM events) THEN ln(1 + value) END, 4) AS value_log
+FROM events"""))
+def q_log_transform_events(spark, sf):
+    return rounded(FE.log_transform(V.table(spark, sf, "events"), 1.5, 10)[0])
+
+
+@register("datetime_parts_events", plain("""
+SELECT event_id, year(ts)::BIGINT AS ts_year, month(ts)::BIGINT AS ts_month, (isodow(ts) - 1)::BIGINT AS ts_dow,
+  coalesce((isodow(ts) - 1 >= 5)::BIGINT, 0) AS ts_is_weekend FROM events"""))
+def q_datetime_parts_events(spark, sf):
+    df = V.table(spark, sf, "events")
+    out, _ = FE.datetime_parts(df, FE.detect_datetime(df))
+    return out.select("event_id", "ts_year", "ts_month", "ts_dow", "ts_is_weekend")
+
+
+@register("duration_order_lines", plain("""
+SELECT l_orderkey, l_linenumber,
+  floor((epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 86400000000)::BIGINT AS duration_days_o_orderdate_to_l_shipdate,
+  year(o_orderdate)::BIGINT AS o_orderdate_year, (isodow(l_shipdate) - 1)::BIGINT AS l_shipdate_dow
+FROM order_lines""", V.ORDER_LINES_SQL))
+def q_duration_order_lines(spark, sf):
+    df = V.order_lines(spark, sf)
+    parsed = FE.detect_datetime(df)
+    out, _ = FE.datetime_parts(df, parsed)
+    out, _ = FE.duration_days(out, parsed)
+    return out.select("l_orderkey", "l_linenumber", "duration_days_o_orderdate_to_l_shipdate",
+                      "o_orderdate_year", "l_shipdate_dow")
+
+
+@register("interaction_order_lines", plain("""
+SELECT l_orderkey, l_linenumber,
+  round(CASE WHEN (SELECT abs(corr(l_quantity, amount)) >= 0.5 FROM order_lines) THEN l_quantity * amount END, 4)
+  AS l_quantity_x_amount
+FROM order_lines""", V.ORDER_LINES_SQL))
+def q_interaction_order_lines(spark, sf):
+    df = V.order_lines(spark, sf).select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "amount")
+    out, recs = FE.interaction_term(df, 0.5, 10)
+    names = [c for r in recs for c in r["output_columns"]]
+    return rounded(out.select("l_orderkey", "l_linenumber", *names))
+
+
+@register("feature_report_part", plain("""
+SELECT * FROM (
+  SELECT 'OHE' AS transform_type, 'p_type' AS source_columns,
+    'p_type_ECONOMY,p_type_LARGE,p_type_MEDIUM,p_type_PROMO,p_type_SMALL,p_type_STANDARD' AS output_columns
+  WHERE (SELECT count(DISTINCT p_type) BETWEEN 2 AND 10 FROM part)
+  UNION ALL SELECT 'FREQUENCY_ENCODING', 'p_brand', 'p_brand_freq'
+  WHERE (SELECT count(DISTINCT p_brand) BETWEEN 11 AND 50 FROM part)
+  UNION ALL SELECT 'SKIPPED_OHE', 'p_name', '' WHERE (SELECT count(DISTINCT p_name) > 50 FROM part)
+  UNION ALL SELECT 'LOG_TRANSFORM', 'p_retailprice', 'p_retailprice_log'
+  WHERE (SELECT abs(skewness(p_retailprice)) > 1.5 FROM part)
+  UNION ALL SELECT 'INTERACTION_TERM', 'p_size,p_retailprice', 'p_size_x_p_retailprice'
+  WHERE (SELECT abs(corr(p_size, p_retailprice)) >= 0.5 FROM part)
+)"""))
+def q_feature_report_part(spark, sf):
+    eng = FE.engineer(V.table(spark, sf, "part"))
+    return eng.report.select("transform_type", F.concat_ws(",", "source_columns").alias("source_columns"),
+                             F.concat_ws(",", "output_columns").alias("output_columns"))
