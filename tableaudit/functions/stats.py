@@ -368,11 +368,13 @@ def average_ranks(df: DataFrame, specs: dict[str, tuple[Column, Column]]):
 
     ``specs`` maps a domain name to ``(value, in_domain)``; the rank of a value
     is taken among the rows where ``in_domain`` holds. Returns
-    ``(lookup, keys)`` with ``lookup`` columns ``_k, _v, _rank`` (one row per
-    distinct value per domain), checkpointed.
+    ``(lookup, keys, sizes)``: ``lookup`` has ``_k, _v, _rank`` (one row per
+    distinct value per domain, checkpointed), ``sizes`` the row count of each
+    domain's lookup (for a checked broadcast decision).
     """
     exprs = {name: F.when(cond, v.cast("double")) for name, (v, cond) in specs.items()}
     vc, keys = value_counts(df, numeric=exprs)
-    ranked, _ = cumulative(vc.drop(TXT), KEY, [VAL], WEIGHT)
+    ranked, totals = cumulative(vc.drop(TXT), KEY, [VAL], WEIGHT)
+    sizes = {r[KEY]: int(r["_rows"]) for r in totals.collect()}
     lookup = ranked.select(KEY, VAL, (F.col("_before") + (F.col(WEIGHT) + 1) / 2.0).alias("_rank"))
-    return lookup, keys
+    return lookup, keys, sizes

@@ -419,3 +419,164 @@ def q_feature_report_part(spark, sf):
     eng = FE.engineer(V.table(spark, sf, "part"))
     return eng.report.select("transform_type", F.concat_ws(",", "source_columns").alias("source_columns"),
                              F.concat_ws(",", "output_columns").alias("output_columns"))
+
+
+# ---------------------------------------------------------------------------
+# B: profiling
+# ---------------------------------------------------------------------------
+
+from ..operators import profile as P  # noqa: E402
+
+LINE_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                "l_discount", "l_tax"]
+
+
+def _union(parts: list[str]) -> str:
+    return "\nUNION ALL ".join(parts)
+
+
+@register("numeric_profile", plain(_union([
+    f"SELECT '{c}' AS \"column\", round(min({c}), 4) AS min, round(max({c}), 4) AS max, round(avg({c}), 4) AS mean,"
+    f" round(stddev_samp({c}), 4) AS std, round(quantile_cont({c}, 0.5), 4) AS median, "
+    f"round(quantile_cont({c}, 0.25), 4) AS p25, round(quantile_cont({c}, 0.75), 4) AS p75 FROM lineitem"
+    for c in LINE_NUMERIC])))
+def q_numeric_profile(spark, sf):
+    return rounded(P.numeric_profile(V.table(spark, sf, "lineitem")))
+
+
+def _stats_sql(view: str, cols: list[tuple[str, str, bool]]) -> str:
+    parts = []
+    for c, dtype, numeric in cols:
+        if numeric:
+            ind = f"(SELECT count_if({c} NOT IN (0, 1)) = 0 FROM {view})"
+            parts.append(
+                f"SELECT '{c}' AS name, '{dtype}' AS dtype, count_if({c} IS NULL) AS null_count, "
+                f"round(count_if({c} IS NULL) / count(*), 4) AS null_rate, count(DISTINCT {c}) AS unique_count, "
+                f"round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, round(min({c}), 4)::DOUBLE AS min, "
+                f"round(max({c}), 4)::DOUBLE AS max, CASE WHEN {ind} THEN NULL ELSE round(skewness({c}), 4) END AS skewness, "
+                f"CASE WHEN {ind} THEN NULL ELSE round(kurtosis({c}), 4) END AS kurtosis FROM {view}")
+        else:
+            parts.append(
+                f"SELECT '{c}', '{dtype}', count_if({c} IS NULL), round(count_if({c} IS NULL) / count(*), 4), "
+                f"count(DISTINCT {c}), NULL, NULL, NULL, NULL, NULL, NULL FROM {view}")
+    return _union(parts)
+
+
+@register("column_stats", plain(_stats_sql("dirty_orders", [
+    ("o_orderkey", "bigint", True), ("cust", "bigint", True), ("status", "string", False),
+    ("reading", "double", True), ("priority", "string", False), ("order_date", "timestamp_ntz", False)]),
+    V.DIRTY_ORDERS_SQL))
+def q_column_stats(spark, sf):
+    return P.column_stats(V.dirty_orders(spark, sf))
+
+
+def events_ext(spark, sf):
+    """events with a Unix-second column and a 0/1 flag (derived from the table)."""
+    e = V.table(spark, sf, "events")
+    return e.select("event_id", "user_id", "value", F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts_epoch"),
+                    (F.col("event_type") == "click").cast("int").alias("is_click"), "event_type")
+
+
+EVENTS_EXT_SQL = """
+events_ext AS (SELECT event_id, user_id, value, epoch(ts)::BIGINT AS ts_epoch,
+  (event_type = 'click')::INTEGER AS is_click, event_type FROM events)"""
+
+
+def _semantic_sql(view: str, cols: list[str]) -> str:
+    from .. import config as K
+    parts = []
+    for c in cols:
+        idn = "true" if O.name_has(c, K.ID_NAME_PATTERNS) else "false"
+        tsn = "true" if O.name_has(c, K.TIMESTAMP_NAME_PATTERNS) else "false"
+        parts.append(
+            f"SELECT '{c}' AS \"column\", CASE WHEN count_if({c} NOT IN (0, 1)) = 0 THEN 'BOOLEAN' "
+            f"WHEN {idn} AND count(*) > 0 AND count(DISTINCT {c}) / count(*) >= 0.95 THEN 'ID' "
+            f"WHEN {tsn} AND count({c}) > 0 AND min({c}) >= 1000000000 AND max({c}) <= 9999999999 THEN 'TIMESTAMP' "
+            f"ELSE 'CONTINUOUS' END AS semantic_type FROM {view}")
+    return _union(parts)
+
+
+EXT_NUM = ["event_id", "user_id", "value", "ts_epoch", "is_click"]
+
+
+@register("semantic_types", plain(_semantic_sql("events_ext", EXT_NUM), EVENTS_EXT_SQL))
+def q_semantic_types(spark, sf):
+    return P.semantic_types(events_ext(spark, sf))
+
+
+def _zero_sql(view: str, cols: list[str], bounds: dict) -> str:
+    from .. import config as K
+    parts = []
+    for c in cols:
+        lo = (bounds.get(c) or {}).get("min_bound")
+        parts.append(
+            f"SELECT '{c}' AS \"column\", CASE WHEN {str(O.name_has(c, K.ZERO_ALWAYS_VALID_PATTERNS)).lower()} "
+            f"THEN 'ABSOLUTE_ZERO' WHEN count_if({c} NOT IN (0, 1)) = 0 THEN 'ABSOLUTE_ZERO' "
+            f"WHEN {str(O.name_has(c, K.ZERO_MEANINGFUL_KEYWORDS)).lower()} THEN 'ABSOLUTE_ZERO' "
+            f"WHEN {str(lo is not None and lo > 0).lower()} THEN 'MISSING_ZERO' "
+            f"WHEN count_if({c} <> 0) > 0 AND count_if({c} < 0) = 0 THEN 'MISSING_ZERO' "
+            f"ELSE 'BOUNDARY_ZERO' END AS zero_class FROM {view}")
+    return _union(parts)
+
+
+ZERO_VIEW_SQL = """
+acct AS (SELECT c_custkey, c_nationkey, c_acctbal, c_acctbal - 1000 AS shifted, (c_custkey % 2) AS parity
+         FROM customer)"""
+
+
+def acct(spark, sf):
+    c = V.table(spark, sf, "customer")
+    return c.select("c_custkey", "c_nationkey", "c_acctbal", (F.col("c_acctbal") - 1000).alias("shifted"),
+                    (F.col("c_custkey") % 2).alias("parity"))
+
+
+@register("zero_classes", plain(_zero_sql("dirty_lineitem", LINE_NUMERIC, V.DIRTY_LINEITEM_BOUNDS),
+                                V.DIRTY_LINEITEM_SQL))
+def q_zero_classes(spark, sf):
+    return P.classify_zeros(V.dirty_lineitem(spark, sf), V.DIRTY_LINEITEM_BOUNDS)
+
+
+@register("zero_classes_customer", plain(_zero_sql("acct", ["c_custkey", "c_nationkey", "c_acctbal", "shifted",
+                                                            "parity"], {}), ZERO_VIEW_SQL))
+def q_zero_classes_customer(spark, sf):
+    return P.classify_zeros(acct(spark, sf))
+
+
+@register("bounds_coverage", plain(_union([
+    f"SELECT '{c}' AS \"column\", {str(c in V.DIRTY_ORDERS_BOUNDS).lower()} AS has_bounds, "
+    f"(SELECT (count_if(o_orderkey NOT IN (0,1)) > 0)::INT + (count_if(cust NOT IN (0,1)) > 0)::INT + "
+    f"(count_if(reading NOT IN (0,1)) > 0)::INT FROM dirty_orders) AS continuous_columns "
+    f"FROM dirty_orders HAVING count_if({c} NOT IN (0, 1)) > 0" for c in ORDERS_NUM]), V.DIRTY_ORDERS_SQL))
+def q_bounds_coverage(spark, sf):
+    return P.bounds_coverage(V.dirty_orders(spark, sf), V.DIRTY_ORDERS_BOUNDS)
+
+
+def _chart_cols_sql(view: str, cols: list[str]) -> str:
+    from .. import config as K
+    parts = []
+    for c in cols:
+        idn = str(O.name_has(c, K.ID_NAME_PATTERNS)).lower()
+        eng = str(P.is_engineered(c)).lower()
+        safe = (f"(count(DISTINCT {c}) > 1 AND NOT ({idn} AND count({c}) > 0 AND "
+                f"count(DISTINCT {c}) / count({c}) >= 0.95))")
+        parts.append(f"SELECT '{c}' AS \"column\", {safe} AS chart_safe, ({safe} AND count_if({c} NOT IN (0, 1)) > 0"
+                     f" AND NOT {eng}) AS continuous FROM {view}")
+    return _union(parts)
+
+
+@register("chart_columns", plain(_chart_cols_sql("events_ext", EXT_NUM), EVENTS_EXT_SQL))
+def q_chart_columns(spark, sf):
+    return P.chart_columns(events_ext(spark, sf))
+
+
+@register("dataset_summary", cte(f"""
+{ORDERS_DETECT_CTES.strip()}
+SELECT (SELECT n FROM anomaly_n) AS row_count, 6 AS col_count, (SELECT count(*) FROM anomalies)::INTEGER AS anomaly_count,
+  'Rows:' || (SELECT n FROM anomaly_n) || ' Cols:6 | Intent:cleanup | Anomalies:' || (SELECT count(*) FROM anomalies)
+  || ' (' || (SELECT string_agg(DISTINCT anomaly_type, ',' ORDER BY anomaly_type) FROM anomalies) || ')'
+  || ' | Numeric:[''o_orderkey'', ''cust'', ''reading''] | Categorical:[''status'', ''priority'']' AS summary""",
+    V.DIRTY_ORDERS_SQL))
+def q_dataset_summary(spark, sf):
+    df = V.dirty_orders(spark, sf)
+    det = D.detect(df, V.DIRTY_ORDERS_BOUNDS)
+    return P.dataset_summary(df, det.anomalies, "cleanup")
