@@ -580,3 +580,204 @@ def q_dataset_summary(spark, sf):
     df = V.dirty_orders(spark, sf)
     det = D.detect(df, V.DIRTY_ORDERS_BOUNDS)
     return P.dataset_summary(df, det.anomalies, "cleanup")
+
+
+# ---------------------------------------------------------------------------
+# F: EDA statistics and chart data
+# ---------------------------------------------------------------------------
+
+from ..operators import charts as CH  # noqa: E402
+from ..operators import eda as EDA  # noqa: E402
+
+OL_COLS = ["l_orderkey", "l_linenumber", "l_quantity", "l_discount", "amount"]
+
+
+def _corr_sql(view: str, cols: list[str]) -> str:
+    parts = []
+    for a in cols:
+        for b in cols:
+            r = "max(1.0)" if a == b else f"corr({a}, {b})"
+            parts.append(f"SELECT '{a}' AS col_a, '{b}' AS col_b, round({r}, 3) AS r, "
+                         f"CASE WHEN abs(round({r}, 3)) >= 0.2 THEN round({r}, 3) ELSE 0.0 END AS r_shown FROM {view}")
+    return _union(parts)
+
+
+@register("pearson_matrix", plain(_corr_sql("order_lines", OL_COLS), V.ORDER_LINES_SQL))
+def q_pearson_matrix(spark, sf):
+    return EDA.pearson_matrix(V.order_lines(spark, sf), OL_COLS)
+
+
+@register("correlation_heatmap", plain(f"""
+SELECT * FROM (
+  SELECT a AS col_a, b AS col_b, round(r, 4) AS r, round(abs(r), 4) AS max_abs_r,
+    CASE WHEN abs(r) > 0.8 THEN 'collinear' WHEN abs(r) >= 0.3 THEN 'moderate' ELSE 'weak' END AS label
+  FROM ({_union([f"SELECT {i} AS o, '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM order_lines"
+                 for i, (a, b) in enumerate((a, b) for j, a in enumerate(OL_COLS) for b in OL_COLS[j + 1:])])})
+  ORDER BY abs(r) DESC, o LIMIT 1) WHERE max_abs_r >= 0.2""", V.ORDER_LINES_SQL))
+def q_correlation_heatmap(spark, sf):
+    f = CH.heatmap_facts(V.order_lines(spark, sf), OL_COLS)
+    rows = [(f["col_a"], f["col_b"], round(f["r"], 4), round(f["max_abs_r"], 4), f["label"])] if f["emit"] else []
+    return spark.createDataFrame(rows, "col_a string, col_b string, r double, max_abs_r double, label string")
+
+
+SPEAR_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _spearman_sql(view: str, cols: list[str]) -> str:
+    parts = []
+    for i, a in enumerate(cols):
+        for b in cols[i + 1:]:
+            parts.append(f"""SELECT '{a}' AS col_a, '{b}' AS col_b, (SELECT corr(ra, rb) FROM (
+  SELECT rank() OVER (ORDER BY {a}) + (count(*) OVER (PARTITION BY {a}) - 1) / 2.0 AS ra,
+         rank() OVER (ORDER BY {b}) + (count(*) OVER (PARTITION BY {b}) - 1) / 2.0 AS rb
+  FROM {view} WHERE {a} IS NOT NULL AND {b} IS NOT NULL)) AS r""")
+    return f"""SELECT col_a, col_b, round(abs(r), 3) AS spearman_r, round(r, 3) AS signed_r FROM ({_union(parts)})
+WHERE r IS NOT NULL AND NOT isnan(r) ORDER BY abs(r) DESC, col_a DESC, col_b DESC LIMIT 3"""
+
+
+@register("top_spearman", plain(_spearman_sql("dirty_lineitem", SPEAR_COLS), V.DIRTY_LINEITEM_SQL))
+def q_top_spearman(spark, sf):
+    return EDA.top_spearman(V.dirty_lineitem(spark, sf), 3, columns=SPEAR_COLS)
+
+
+@register("scatter_facts", plain("""
+SELECT 'l_quantity' AS x, 'amount' AS y, round(r, 4) AS spearman_r,
+  CASE WHEN abs(r) > 0.7 THEN 'strong' WHEN abs(r) > 0.4 THEN 'moderate' ELSE 'weak' END AS strength,
+  CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END AS direction, abs(r) > 0.5 AS candidate
+FROM (SELECT corr(ra, rb) AS r FROM (
+  SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS ra,
+         rank() OVER (ORDER BY amount) + (count(*) OVER (PARTITION BY amount) - 1) / 2.0 AS rb
+  FROM order_lines WHERE l_quantity IS NOT NULL AND amount IS NOT NULL))""", V.ORDER_LINES_SQL))
+def q_scatter_facts(spark, sf):
+    f = CH.scatter_facts(V.order_lines(spark, sf), "l_quantity", "amount")
+    return spark.createDataFrame([(f["x"], f["y"], round(f["spearman_r"], 4), f["strength"], f["direction"],
+                                   f["candidate"])],
+                                 "x string, y string, spearman_r double, strength string, direction string, "
+                                 "candidate boolean")
+
+
+@register("missingness_hotspots", plain(f"""
+SELECT "column", null_rate FROM ({_union([
+    f"SELECT {i} AS o, '{c}' AS \"column\", round(count_if({c} IS NULL) / count(*), 3) AS null_rate, "
+    f"count_if({c} IS NULL) / count(*) AS raw FROM dirty_orders" for i, c in enumerate(ORDERS_COLS)])})
+WHERE raw > 0 ORDER BY raw DESC, o LIMIT 5""", V.DIRTY_ORDERS_SQL))
+def q_missingness_hotspots(spark, sf):
+    return EDA.missingness_hotspots(V.dirty_orders(spark, sf))
+
+
+@register("ml_readiness", plain(f"""
+SELECT round(greatest(0.0, 100.0 * (1 - ({' + '.join(f'count_if({c} IS NULL) / count(*)' for c in ORDERS_COLS)})
+  / {len(ORDERS_COLS)}.0) * (1 - (({' + '.join(f'(stddev_samp({c}) = 0)::INT' for c in ORDERS_NUM)}) / 3.0))), 1)
+  AS ml_readiness FROM dirty_orders""", V.DIRTY_ORDERS_SQL))
+def q_ml_readiness(spark, sf):
+    return EDA.ml_readiness(V.dirty_orders(spark, sf))
+
+
+@register("cleaning_summary", plain("""
+SELECT anomaly_id, action, sentence FROM (VALUES
+  ('DUPLICATE_ROWS', 'remove_duplicates', (SELECT n0 - n1 FROM counts) || ' duplicate row(s) removed.'),
+  ('MISSING_DATA|priority', 'drop_rows', '''priority'': ' || (SELECT n1 - n2 FROM counts) || ' row(s) dropped.'),
+  ('MISSING_DATA|reading', 'fill_mean', '''reading'': ' || (SELECT f3 FROM counts) || ' missing value(s) imputed via mean.'),
+  ('MISSING_DATA|status', 'fill_mode', '''status'': ' || (SELECT f4 FROM counts) || ' missing value(s) imputed via mode.'),
+  ('LOGICAL_VIOLATION|reading', 'clamp_bounds', '''reading'': ' || (SELECT c5 FROM counts) || ' out-of-range value(s) capped to bounds.'),
+  ('HIGH_NULL_DENSITY_ROWS', 'drop_rows', NULL),
+  ('MISSING_DATA|cust', 'cap_iqr', '''cust'': 0 out-of-range value(s) capped to bounds.')
+) t(anomaly_id, action, sentence) WHERE sentence IS NOT NULL""", V.DIRTY_ORDERS_SQL, CLEAN_CHAIN))
+def q_cleaning_summary(spark, sf):
+    det, res = _orders_clean(spark, sf)
+    return EDA.cleaning_summary(res.changes, det.anomalies)
+
+
+@register("recommend", plain("""
+SELECT conv_id, turn, CASE
+  WHEN lower(text) LIKE '%predict%' OR lower(text) LIKE '%forecast%' OR lower(text) LIKE '%model%'
+    THEN 'Predictive modelling is appropriate. Consider regression or classification after feature selection.'
+  WHEN lower(text) LIKE '%cluster%' OR lower(text) LIKE '%segment%' OR lower(text) LIKE '%group%'
+    THEN 'Clustering is suitable. Standardise numeric features before applying k-means or DBSCAN.'
+  WHEN lower(text) LIKE '%anomaly%' OR lower(text) LIKE '%outlier%' OR lower(text) LIKE '%fraud%'
+    THEN 'Anomaly detection is the next step. Isolation Forest or LOF work well on this feature set.'
+  ELSE 'Exploratory analysis is complete. Review correlations and missingness hotspots before modelling.'
+  END AS recommendation FROM conversations WHERE role = 'user'"""))
+def q_recommend(spark, sf):
+    c = V.table(spark, sf, "conversations").where(F.col("role") == "user")
+    return EDA.recommend(c, "text").select("conv_id", "turn", "recommendation")
+
+
+@register("histogram", plain("""
+WITH mm AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM dirty_lineitem),
+w AS (SELECT lo, CASE WHEN hi > lo THEN (hi - lo) / 20 ELSE 1.0 END AS width FROM mm)
+SELECT least(floor((l_extendedprice - lo) / width), 19)::INTEGER AS bin,
+  round(lo + least(floor((l_extendedprice - lo) / width), 19) * width, 4) AS lower,
+  round(lo + (least(floor((l_extendedprice - lo) / width), 19) + 1) * width, 4) AS upper, count(*) AS count
+FROM dirty_lineitem, w WHERE l_extendedprice IS NOT NULL GROUP BY ALL""".replace("WITH mm", "mm", 1),
+    V.DIRTY_LINEITEM_SQL).replace("\nmm AS", ",\nmm AS", 1))
+def q_histogram(spark, sf):
+    return rounded(CH.histogram(V.dirty_lineitem(spark, sf), "l_extendedprice", 20))
+
+
+@register("box_stats", plain("""
+SELECT 'l_extendedprice' AS "column", round(q1, 4) AS q1, round(med, 4) AS median, round(q3, 4) AS q3,
+  round(q3 - q1, 4) AS iqr, round(mx - mn, 4) AS range, round(q1 - 3 * (q3 - q1), 4) AS lower_fence,
+  round(q3 + 3 * (q3 - q1), 4) AS upper_fence,
+  (SELECT count_if(l_extendedprice < q1 - 3 * (q3 - q1) OR l_extendedprice > q3 + 3 * (q3 - q1)) FROM dirty_lineitem)
+  AS outliers, CASE WHEN mx - mn > 0 AND (q3 - q1) / (mx - mn) > 0.4 THEN 'even' ELSE 'concentrated' END AS spread
+FROM (SELECT quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.5) AS med,
+  quantile_cont(l_extendedprice, 0.75) AS q3, min(l_extendedprice) AS mn, max(l_extendedprice) AS mx FROM dirty_lineitem)
+""", V.DIRTY_LINEITEM_SQL))
+def q_box_stats(spark, sf):
+    return rounded(CH.box_stats(V.dirty_lineitem(spark, sf), "l_extendedprice", 3.0))
+
+
+@register("trend", plain("""
+SELECT n, round(m1, 4) AS first_mean, round(m2, 4) AS second_mean, round(pct, 4) AS pct,
+  CASE WHEN pct > 5 THEN 'upward' WHEN pct < -5 THEN 'downward' ELSE 'flat' END AS trend
+FROM (SELECT n, m1, m2, (m2 - m1) / (abs(m1) + 1e-9) * 100 AS pct FROM (
+  SELECT count(*) AS n, avg(value) FILTER (WHERE pos <= n_all // 2) AS m1,
+         avg(value) FILTER (WHERE pos > n_all // 2) AS m2
+  FROM (SELECT value, row_number() OVER (ORDER BY ts NULLS LAST, value) AS pos, count(*) OVER () AS n_all
+        FROM events WHERE value IS NOT NULL)))"""))
+def q_trend(spark, sf):
+    t = CH.trend(V.table(spark, sf, "events"), "ts", "value")
+    return spark.createDataFrame([(t["n"], round(t["first_mean"], 4), round(t["second_mean"], 4),
+                                   round(t["pct"], 4), t["trend"])],
+                                 "n bigint, first_mean double, second_mean double, pct double, trend string")
+
+
+@register("missingness_map", plain(f"""
+SELECT concat_ws(',', {', '.join(f"CASE WHEN {c} IS NULL THEN '{c}' END" for c in ORDERS_COLS)}) AS pattern,
+  ({' + '.join(f'({c} IS NULL)::INT' for c in ORDERS_COLS)}) AS null_columns, count(*) AS rows
+FROM dirty_orders GROUP BY 1, 2 HAVING null_columns > 0""", V.DIRTY_ORDERS_SQL))
+def q_missingness_map(spark, sf):
+    return CH.missingness_map(V.dirty_orders(spark, sf))
+
+
+@register("chart_sample", plain("""
+SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem
+ORDER BY md5('42|' || l_orderkey || '|' || l_linenumber) LIMIT 5000"""))
+def q_chart_sample(spark, sf):
+    li = V.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return CH.chart_sample(li, 5000, ["l_orderkey", "l_linenumber"])
+
+
+@register("chart_data_bar", plain("""
+SELECT l_returnflag, l_linestatus, count(*) AS count, round(sum(l_quantity), 4) AS sum_l_quantity
+FROM lineitem GROUP BY ALL"""))
+def q_chart_data_bar(spark, sf):
+    li = V.table(spark, sf, "lineitem")
+    return rounded(CH.chart_data(li, "bar", "l_returnflag", "l_quantity", "l_linestatus"))
+
+
+@register("portfolio")
+def q_portfolio(spark, sf):
+    return CH.portfolio(V.order_lines(spark, sf))
+
+
+@register("scatter_matrix")
+def q_scatter_matrix(spark, sf):
+    sample, _ = CH.scatter_matrix(V.order_lines(spark, sf), key=["l_orderkey", "l_linenumber"])
+    return sample
+
+
+@register("time_line")
+def q_time_line(spark, sf):
+    return CH.time_line(V.table(spark, sf, "events"), "ts", "value")
