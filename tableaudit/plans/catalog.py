@@ -781,3 +781,93 @@ def q_scatter_matrix(spark, sf):
 @register("time_line")
 def q_time_line(spark, sf):
     return CH.time_line(V.table(spark, sf, "events"), "ts", "value")
+
+
+# ---------------------------------------------------------------------------
+# G: audit trail views, H: conversation jobs
+# ---------------------------------------------------------------------------
+
+from ..operators import conversations as CV  # noqa: E402
+from ..operators import trail as TR  # noqa: E402
+
+
+@register("transform_counts", plain("""
+SELECT transform_type, count(*) AS entries, CASE transform_type WHEN 'OHE' THEN 0 WHEN 'FREQUENCY_ENCODING' THEN 1
+  WHEN 'LOG_TRANSFORM' THEN 2 WHEN 'DATETIME_EXTRACTION' THEN 3 WHEN 'DURATION' THEN 4 WHEN 'INTERACTION_TERM' THEN 5
+  WHEN 'SKIPPED_OHE' THEN 6 WHEN 'NO_TRANSFORMS' THEN 7 ELSE 8 END AS display_order
+FROM (""" + SQL["feature_report_part"] + ") GROUP BY transform_type"))
+def q_transform_counts(spark, sf):
+    part = V.table(spark, sf, "part")
+    eng = FE.engineer(part)
+    log = TR.audit_log(spark, TR.entries_from_engineer(eng, 0))
+    return TR.transform_counts(log)
+
+
+@register("audit_feed", plain("""
+SELECT 'janitor' AS agent_name, 'phase2' AS phase, 'User selected ''' || action || ''' for ' || anomaly_type AS reason,
+  column_name AS column_affected, rows_changed AS rows_affected
+FROM (""" + SQL["clean_changes"].split("\nSELECT * FROM (VALUES", 1)[0].replace("WITH ", "WITH ", 1) + """
+SELECT * FROM (VALUES
+  ('DUPLICATE_ROWS', 'remove_duplicates', (SELECT n0 - n1 FROM counts), 'DUPLICATE_ROWS', NULL),
+  ('MISSING_DATA|priority', 'drop_rows', (SELECT n1 - n2 FROM counts), 'MISSING_DATA', 'priority'),
+  ('MISSING_DATA|reading', 'fill_mean', (SELECT f3 FROM counts), 'MISSING_DATA', 'reading'),
+  ('MISSING_DATA|status', 'fill_mode', (SELECT f4 FROM counts), 'MISSING_DATA', 'status'),
+  ('LOGICAL_VIOLATION|reading', 'clamp_bounds', (SELECT c5 FROM counts), 'LOGICAL_VIOLATION', 'reading'),
+  ('ZERO_AS_MISSING|cust', 'keep_as_is', 0, 'ZERO_AS_MISSING', 'cust'),
+  ('HIGH_NULL_DENSITY_ROWS', 'drop_rows', (SELECT n5 - n6 FROM counts), 'HIGH_NULL_DENSITY_ROWS', NULL),
+  ('MISSING_DATA|order_date', 'keep_as_is', 0, 'MISSING_DATA', 'order_date'),
+  ('MISSING_DATA|cust', 'cap_iqr', 0, 'MISSING_DATA', 'cust'))
+  t(anomaly_id, action, rows_changed, anomaly_type, column_name))"""))
+def q_audit_feed(spark, sf):
+    det, res = _orders_clean(spark, sf)
+    log = TR.audit_log(spark, TR.entries_from_detection(det) + TR.entries_from_clean(res, det.records))
+    return TR.audit_feed(log, "janitor", "phase2").select("agent_name", "phase", "reason", "column_affected",
+                                                          "rows_affected")
+
+
+_ORDER_STATS_SQL = _stats_sql("dirty_orders", [
+    ("o_orderkey", "bigint", True), ("cust", "bigint", True), ("status", "string", False),
+    ("reading", "double", True), ("priority", "string", False), ("order_date", "timestamp_ntz", False)])
+
+
+@register("stat_bands", plain(f"""
+SELECT name, null_rate, CASE WHEN null_rate < 0.01 THEN 'clean' WHEN null_rate < 0.20 THEN 'low'
+  WHEN null_rate < 0.40 THEN 'elevated' WHEN null_rate < 0.60 THEN 'high' ELSE 'critical' END AS heat_band,
+  CASE WHEN null_rate * 100 > 40 THEN 'critical' WHEN null_rate * 100 > 15 THEN 'high' ELSE 'good' END AS bar_band
+FROM ({_ORDER_STATS_SQL}) WHERE null_rate > 0 ORDER BY null_rate DESC, name LIMIT 30""", V.DIRTY_ORDERS_SQL))
+def q_stat_bands(spark, sf):
+    return TR.stat_bands(P.column_stats(V.dirty_orders(spark, sf)))
+
+
+@register("sort_stats", plain(f"""
+SELECT name, skewness FROM ({_ORDER_STATS_SQL}) ORDER BY skewness ASC NULLS LAST""", V.DIRTY_ORDERS_SQL))
+def q_sort_stats(spark, sf):
+    return TR.sort_stats(P.column_stats(V.dirty_orders(spark, sf)), "skewness", True).select("name", "skewness")
+
+
+@register("correlation_labels", plain(f"""
+SELECT col_a, col_b, spearman_r, signed_r,
+  CASE WHEN abs(signed_r) >= 0.7 THEN 'Strong' WHEN abs(signed_r) >= 0.4 THEN 'Moderate' ELSE 'Weak' END AS strength,
+  CASE WHEN signed_r >= 0 THEN 'positive' ELSE 'negative' END AS direction
+FROM ({_spearman_sql('dirty_lineitem', SPEAR_COLS)})""", V.DIRTY_LINEITEM_SQL))
+def q_correlation_labels(spark, sf):
+    return TR.correlation_labels(EDA.top_spearman(V.dirty_lineitem(spark, sf), 3, columns=SPEAR_COLS))
+
+
+_CHART_WORDS = __import__("tableaudit.config", fromlist=["x"]).CHART_KEYWORDS
+
+
+@register("chart_requests", plain(
+    "SELECT conv_id, turn, role FROM conversations WHERE "
+    + " OR ".join(f"contains(lower(text), '{w}')" for w in _CHART_WORDS)))
+def q_chart_requests(spark, sf):
+    return CV.chart_requests(V.table(spark, sf, "conversations")).select("conv_id", "turn", "role")
+
+
+@register("conversation_context", plain("""
+SELECT conv_id, count(*)::INTEGER AS history_turns, min(turn) AS first_turn,
+  coalesce(string_agg(upper(role) || ': ' || text, chr(10) ORDER BY turn) FILTER (WHERE r <= 6), '') AS context
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 10
+GROUP BY conv_id"""))
+def q_conversation_context(spark, sf):
+    return CV.conversation_context(V.table(spark, sf, "conversations"), 10, 6)
