@@ -282,12 +282,15 @@ def clean(df: DataFrame, anomalies, decisions, cfg: AuditConfig = DEFAULT,
         if "{rows}" in row["description"]:
             row["description"] = row["description"].replace("{rows}", str(row["rows_changed"]))
     out = st.current()
+    rules = None
+    if not any(r["action"] == "remove_duplicates" for r in log):
+        rules = (st.alive, dict(st.exprs))
     remaining = [r for r in recs if str(r["anomaly_id"]) not in set(resolved)]
     score = quality_score(remaining, rows_now)
     changes = spark.createDataFrame([(r["anomaly_id"], r["action"], r["description"], r["rows_changed"])
                                      for r in log], CHANGES_SCHEMA)
     return CleanResult(df=out, changes=changes, change_rows=log, score_after=score, rows_after=rows_now,
-                       resolved=resolved, parent_run_id=parent_run_id)
+                       resolved=resolved, parent_run_id=parent_run_id, extra={"rules": rules})
 
 
 def _drop_mask(st: _State, a: dict, c, has_col: bool, params: dict):

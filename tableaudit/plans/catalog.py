@@ -871,3 +871,78 @@ FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r
 GROUP BY conv_id"""))
 def q_conversation_context(spark, sf):
     return CV.conversation_context(V.table(spark, sf, "conversations"), 10, 6)
+
+
+# ---------------------------------------------------------------------------
+# A: ingest
+# ---------------------------------------------------------------------------
+
+from ..functions.expressions import NUMBER_TEXT, to_number  # noqa: E402
+from ..sources import ingest as IN  # noqa: E402
+
+
+def raw_values(spark, sf):
+    e = V.table(spark, sf, "events")
+    k = F.col("event_id")
+    v = F.col("value").cast("string")
+    raw = (F.when(k % 7 == 0, F.lit("n/a")).when(k % 11 == 0, F.concat(v, F.lit("d")))
+           .when(k % 13 == 0, F.concat(F.lit("  "), v, F.lit(" "))).when(k % 17 == 0, F.lit("inf"))
+           .when(k % 19 == 0, F.lit("NaN")).otherwise(v))
+    return e.select("event_id", raw.alias("raw"))
+
+
+RAW_VALUES_SQL = """
+raw_values AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'n/a' WHEN event_id % 11 = 0 THEN value::VARCHAR || 'd'
+  WHEN event_id % 13 = 0 THEN '  ' || value::VARCHAR || ' ' WHEN event_id % 17 = 0 THEN 'inf'
+  WHEN event_id % 19 = 0 THEN 'NaN' ELSE value::VARCHAR END AS raw FROM events)"""
+
+
+@register("to_number", plain(f"""
+SELECT event_id, raw, round(CASE WHEN isnan(x) THEN NULL ELSE x END, 4) AS num FROM (
+  SELECT event_id, raw, CASE WHEN regexp_matches(raw, '{NUMBER_TEXT.replace(chr(92), chr(92))}')
+    THEN TRY_CAST(trim(raw) AS DOUBLE) END AS x FROM raw_values)""", RAW_VALUES_SQL))
+def q_to_number(spark, sf):
+    r = raw_values(spark, sf)
+    return r.select("event_id", "raw", F.round(to_number(F.col("raw"), r.schema["raw"].dataType), 4).alias("num"))
+
+
+@register("finite_or_null", plain("""
+SELECT event_id, round(CASE WHEN isinf(x) OR isnan(x) THEN NULL ELSE x END, 4) AS x FROM (
+  SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'inf'::DOUBLE WHEN event_id % 7 = 0 THEN '-inf'::DOUBLE
+    WHEN event_id % 9 = 0 THEN 'nan'::DOUBLE ELSE value END AS x FROM events)"""))
+def q_finite_or_null(spark, sf):
+    e = V.table(spark, sf, "events")
+    k = F.col("event_id")
+    x = (F.when(k % 5 == 0, F.lit(float("inf"))).when(k % 7 == 0, F.lit(float("-inf")))
+         .when(k % 9 == 0, F.lit(float("nan"))).otherwise(F.col("value")))
+    return rounded(IN.finite_or_null(e.select("event_id", x.alias("x"))))
+
+
+def customer_text(spark, sf):
+    """customer with every column as text and messy header names."""
+    c = V.table(spark, sf, "customer")
+    names = {"c_custkey": "C CustKey", "c_name": "c-Name", "c_nationkey": "C__NationKey ",
+             "c_acctbal": "  c acctbal", "c_mktsegment": "C.MktSegment"}
+    return c.select(*[F.col(k).cast("string").alias(v) for k, v in names.items()])
+
+
+@register("normalise_headers", plain("""
+SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_nationkey::VARCHAR AS c_nationkey,
+  c_acctbal::VARCHAR AS c_acctbal, c_mktsegment FROM customer"""))
+def q_normalise_headers(spark, sf):
+    return IN.normalise_headers(customer_text(spark, sf))[0]
+
+
+@register("infer_types", plain("""
+SELECT * FROM (VALUES
+ ('c_custkey', (SELECT CASE WHEN count_if(regexp_matches(c_custkey::VARCHAR, '^\\s*[+-]?\\d+\\s*$')) = count(c_custkey)
+   THEN 'bigint' ELSE 'double' END FROM customer)),
+ ('c_name', 'string'),
+ ('c_nationkey', (SELECT CASE WHEN count_if(regexp_matches(c_nationkey::VARCHAR, '^\\s*[+-]?\\d+\\s*$')) = count(c_nationkey)
+   THEN 'bigint' ELSE 'double' END FROM customer)),
+ ('c_acctbal', (SELECT CASE WHEN count_if(regexp_matches(c_acctbal::VARCHAR, '^\\s*[+-]?\\d+\\s*$')) = count(c_acctbal)
+   THEN 'bigint' ELSE 'double' END FROM customer)),
+ ('c_mktsegment', 'string')) t("column", inferred_type)"""))
+def q_infer_types(spark, sf):
+    df, _ = IN.normalise_headers(customer_text(spark, sf))
+    return IN.inferred_schema(df)
