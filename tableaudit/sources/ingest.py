@@ -27,8 +27,9 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, **options
     if fmt == "tsv":
         opts["sep"] = "\t"
     opts.update(options)
+    spark_names = {"utf-8": "UTF-8", "latin-1": "ISO-8859-1"}
     for enc in C.CSV_ENCODINGS[:2]:
-        df = spark.read.options(**opts, encoding=enc).csv(path)
+        df = spark.read.options(**opts, encoding=spark_names[enc]).csv(path)
         if enc == "latin-1" or not df.columns:
             return df, enc
         bad = F.lit(False)
@@ -105,7 +106,9 @@ def validate_input(spark: SparkSession, path: str, fmt: str = "csv") -> DataFram
     has_rows = df.limit(1).count() > 0
     checks.append(("has_rows", has_rows, "The file has a header but no data rows." if not has_rows else "Has rows."))
     if "_corrupt_record" in df.columns:
-        bad = df.where(F.col("_corrupt_record").isNotNull()).count()
+        # the parser needs at least one data column next to the corrupt-record column
+        bad = df.agg(F.count_if(F.col("_corrupt_record").isNotNull()).alias("bad"),
+                     *[F.count(col(c)) for c in cols[:1]]).first()["bad"]
         checks.append(("row_shape", bad == 0, f"{bad} row(s) have a different number of fields than the header."))
     return spark.createDataFrame(checks, "check string, passed boolean, message string")
 
