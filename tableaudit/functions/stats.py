@@ -65,72 +65,97 @@ class NumStats:
 
 
 def moments(df: DataFrame, exprs: dict[str, Column], nulls_of: dict[str, Column] | None = None):
-    """One job: row count, per-column moments, and null counts.
-
-    ``exprs`` maps a name to a double expression (nulls ignored);
-    ``nulls_of`` maps a name to any column whose nulls are counted. The table
-    is unpivoted to ``(key, x, is_null)`` and grouped by key, so the
-    aggregate stays narrow (ten functions) whatever the column count; a wide
-    one-row aggregate over hundreds of functions would leave the JIT
-    compiler unable to compile the generated code. Partial aggregation makes
-    the shuffle one row per key per task.
+    """Row count, per-column moments and null counts in two light jobs.
+
+    Pass 1 takes counts, min, max and sums; pass 2 takes power sums of the
+    values centred on the pass-1 mean (numerically stable), plus the
+    zero / negative / non-binary counts. Both are plain sums, so the
+    aggregate stays cheap whatever the column count (``sums`` switches to an
+    unpivoted form for very wide tables). Sample std and the bias-adjusted
+    skewness and excess kurtosis follow pandas / DuckDB.
     """
     nulls_of = nulls_of or {}
-    names = list(dict.fromkeys(list(exprs) + list(nulls_of)))
-    if not names:
-        return df.count(), {}, {}
-    structs = []
+    names = list(exprs)
+    longs = {"__n": F.lit(1)}
+    doubles, mins, maxs = {}, {}, {}
     for i, name in enumerate(names):
-        x = exprs[name].cast("double") if name in exprs else F.lit(None).cast("double")
-        isnull = nulls_of[name].isNull() if name in nulls_of else F.lit(False)
-        structs.append(F.struct(F.lit(i).alias("k"), x.alias("x"), isnull.alias("z")))
-    long = df.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
-    x = F.col("x")
-    rows = long.groupBy("k").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("z")).alias("nulls"),
-        F.count(x).alias("c"), F.min(x).alias("mn"), F.max(x).alias("mx"), F.avg(x).alias("av"),
-        F.stddev_samp(x).alias("sd"), F.skewness(x).alias("sk"), F.kurtosis(x).alias("ku"),
-        F.count_if(~x.isin(0.0, 1.0)).alias("nb"), F.count_if(x == 0).alias("z0"),
-        F.count_if(x < 0).alias("ng")).collect()
-    by = {r["k"]: r for r in rows}
-    n = rows[0]["n"] if rows else 0
+        x = exprs[name].cast("double")
+        longs[f"c{i}"] = F.when(x.isNotNull(), 1).otherwise(0)
+        doubles[f"s{i}"] = x
+        mins[f"mn{i}"] = x
+        maxs[f"mx{i}"] = x
+    for j, (name, c) in enumerate(nulls_of.items()):
+        longs[f"z{j}"] = F.when(c.isNull(), 1).otherwise(0)
+    p1 = sums(df, longs, doubles, mins=mins, maxs=maxs)
+    n = p1["__n"]
+    nulls = {name: p1[f"z{j}"] for j, name in enumerate(nulls_of)}
+    centre = {}
+    longs2, doubles2 = {}, {}
+    for i, name in enumerate(names):
+        c = p1[f"c{i}"]
+        mu = p1[f"s{i}"] / c if c else 0.0
+        centre[name] = mu
+        x = exprs[name].cast("double")
+        d = x - F.lit(mu)
+        doubles2[f"d1_{i}"] = d
+        doubles2[f"d2_{i}"] = d * d
+        doubles2[f"d3_{i}"] = d * d * d
+        doubles2[f"d4_{i}"] = d * d * d * d
+        longs2[f"nb{i}"] = F.when(~x.isin(0.0, 1.0), 1).otherwise(0)
+        longs2[f"z0{i}"] = F.when(x == 0, 1).otherwise(0)
+        longs2[f"ng{i}"] = F.when(x < 0, 1).otherwise(0)
+    p2 = sums(df, longs2, doubles2) if names else {}
     out: dict[str, NumStats] = {}
-    nulls: dict[str, int] = {}
     for i, name in enumerate(names):
-        r = by.get(i)
-        if name in nulls_of:
-            nulls[name] = int(r["nulls"]) if r else 0
-        if name not in exprs:
-            continue
-        if r is None:
-            out[name] = NumStats()
+        c = p1[f"c{i}"]
+        if not c:
+            out[name] = NumStats(nonbinary=0)
             continue
-        c, sd = r["c"], r["sd"]
-        if c and sd is not None and sd == 0:
+        s1, s2, s3, s4 = (p2[f"d{k}_{i}"] or 0.0 for k in (1, 2, 3, 4))
+        d = s1 / c
+        m2 = max(s2 / c - d * d, 0.0)
+        m3 = s3 / c - 3 * d * s2 / c + 2 * d ** 3
+        m4 = s4 / c - 4 * d * s3 / c + 6 * d * d * s2 / c - 3 * d ** 4
+        mean = centre[name]  # sum / count, as avg() computes it
+        std = math.sqrt(m2 * c / (c - 1)) if c > 1 else None
+        if m2 <= 0:
             skew, kurt = (0.0 if c >= 3 else None), (0.0 if c >= 4 else None)
         else:
-            skew, kurt = adjusted_skew(r["sk"], c), adjusted_kurt(r["ku"], c)
-        out[name] = NumStats(count=c, min=r["mn"], max=r["mx"], mean=r["av"], std=sd, skew=skew,
-                             kurt=kurt, nonbinary=r["nb"], zeros=r["z0"], negatives=r["ng"])
+            skew = adjusted_skew(m3 / m2 ** 1.5, c)
+            kurt = adjusted_kurt(m4 / (m2 * m2) - 3.0, c)
+        out[name] = NumStats(count=c, min=p1[f"mn{i}"], max=p1[f"mx{i}"], mean=mean, std=std, skew=skew,
+                             kurt=kurt, nonbinary=p2[f"nb{i}"], zeros=p2[f"z0{i}"], negatives=p2[f"ng{i}"])
     return n, out, nulls
 
 
 def sums(df: DataFrame, longs: dict[str, Column] | None = None,
          doubles: dict[str, Column] | None = None, maxes: dict[str, Column] | None = None,
-         wide_limit: int = 96) -> dict:
-    """Many sums (and boolean ors) over ``df`` in one job, unpivoted to stay narrow."""
+         wide_limit: int = 160, mins: dict[str, Column] | None = None,
+         maxs: dict[str, Column] | None = None) -> dict:
+    """Many light aggregates over ``df`` in one job: sums of longs and doubles,
+    boolean ors (``maxes``), double min/max. Up to ``wide_limit`` of them run as
+    one wide aggregate; beyond that the values are unpivoted to
+    ``(key, value)`` and grouped by key, which keeps the aggregate narrow."""
     longs, doubles, maxes = longs or {}, doubles or {}, maxes or {}
-    names = list(longs) + list(doubles) + list(maxes)
+    mins, maxs = mins or {}, maxs or {}
+    names = list(longs) + list(doubles) + list(maxes) + list(mins) + list(maxs)
     if not names:
         return {}
     if len(names) <= wide_limit:
-        # light aggregates: one wide row stays small enough to compile
         aggs = [F.coalesce(F.sum(e.cast("long")), F.lit(0)).alias(f"m{i}") for i, e in enumerate(longs.values())]
-        aggs += [F.sum(e.cast("double")).alias(f"m{len(longs) + i}") for i, e in enumerate(doubles.values())]
-        aggs += [F.coalesce(F.max(e.cast("boolean")), F.lit(False)).alias(f"m{len(longs) + len(doubles) + i}")
-                 for i, e in enumerate(maxes.values())]
-        row = df.agg(*aggs).collect()[0]
+        aggs += [F.sum(e.cast("double")) for e in doubles.values()]
+        aggs += [F.coalesce(F.max(e.cast("boolean")), F.lit(False)) for e in maxes.values()]
+        aggs += [F.min(e.cast("double")) for e in mins.values()]
+        aggs += [F.max(e.cast("double")) for e in maxs.values()]
+        row = df.agg(*[a.alias(f"m{i}") for i, a in enumerate(aggs)]).collect()[0]
         return {name: row[f"m{i}"] for i, name in enumerate(names)}
+    if mins or maxs:
+        out = sums(df, longs, doubles, maxes, wide_limit)
+        if mins:
+            out.update(_long_extreme(df, mins, F.min))
+        if maxs:
+            out.update(_long_extreme(df, maxs, F.max))
+        return out
     structs = []
     for i, name in enumerate(names):
         lv = longs[name].cast("long") if name in longs else F.lit(None).cast("long")
@@ -153,6 +178,15 @@ def sums(df: DataFrame, longs: dict[str, Column] | None = None,
     return out
 
 
+def _long_extreme(df: DataFrame, exprs: dict[str, Column], fn) -> dict:
+    names = list(exprs)
+    structs = [F.struct(F.lit(i).alias("k"), e.cast("double").alias("v")) for i, e in enumerate(exprs.values())]
+    rows = (df.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
+            .groupBy("k").agg(fn("v").alias("v")).collect())
+    by = {r["k"]: r["v"] for r in rows}
+    return {name: by.get(i) for i, name in enumerate(names)}
+
+
 # ---------------------------------------------------------------------------
 # Unpivoted value counts and distributed running sums
 # ---------------------------------------------------------------------------
