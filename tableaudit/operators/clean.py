@@ -24,6 +24,7 @@ from ..config import DEFAULT, AuditConfig
 from ..functions import stats as S
 from ..functions.expressions import (col, is_numeric, is_text, missing, name_has, nan_to_null,
                                      to_number)
+from ..session import reused
 from .detect import quality_score
 
 KEEP = ("keep_as_is", "keep_all")
@@ -133,9 +134,16 @@ def clean(df: DataFrame, anomalies, decisions, cfg: AuditConfig = DEFAULT,
           parent_run_id: str | None = None) -> CleanResult:
     """Apply decisions in order on the evolving table; count real changes."""
     recs = as_records(anomalies)
+    with reused(nan_to_null(df)) as base:
+        return _clean(base, recs, decisions, cfg, parent_run_id)
+
+
+def _clean(base: DataFrame, recs: list[dict], decisions, cfg: AuditConfig,
+           parent_run_id: str | None) -> CleanResult:
+    df = base
     by_id = {str(r["anomaly_id"]): r for r in recs}
     by_plain = {k.replace("-", ""): v for k, v in by_id.items()}
-    st = _State(nan_to_null(df))
+    st = _State(base)
     spark = df.sparkSession
     log: list[dict] = []          # change rows; rows_changed may be a pending key
     resolved: list[str] = []

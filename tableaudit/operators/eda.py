@@ -18,6 +18,7 @@ from .. import config as C
 from ..config import DEFAULT, AuditConfig
 from ..functions import stats as S
 from ..functions.expressions import col, number_of
+from ..session import reused
 from .features import correlations
 from .profile import Facts, chart_flags, column_stats_rows, continuous_columns, facts
 
@@ -31,10 +32,15 @@ BROADCAST_RANK_ROWS = 1_000_000
 def pearson_matrix(df: DataFrame, columns: list[str] | None = None, cfg: AuditConfig = DEFAULT,
                    fx: Facts | None = None) -> DataFrame:
     """Long matrix ``(col_a, col_b, r, r_shown)``: r to 3 dp, |r| < min shown as 0."""
-    if columns is None:
-        fx = fx or facts(df, cfg, distinct=True)
-        columns = continuous_columns(fx)
-    rs = correlations(df, columns)
+    with reused(df) as df:
+        if columns is None:
+            fx = fx or facts(df, cfg, distinct=True)
+            columns = continuous_columns(fx)
+        if fx is not None:
+            rs = correlations(df, columns, {c: fx.num[c].mean for c in columns},
+                              {c: fx.n - fx.num[c].count for c in columns})
+        else:
+            rs = correlations(df, columns)
     rows = []
     for a in columns:
         for b in columns:
@@ -123,11 +129,12 @@ def spearman(df: DataFrame, pairs: list[tuple[str, str]], min_rows: int = 3) ->
 def top_spearman(df: DataFrame, k: int = 3, cfg: AuditConfig = DEFAULT, fx: Facts | None = None,
                  columns: list[str] | None = None) -> DataFrame:
     """Top-k pairs by |Spearman r| among continuous chart columns (3 dp)."""
-    if columns is None:
-        fx = fx or facts(df, cfg, distinct=True)
-        columns = continuous_columns(fx)
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    rs = spearman(df, pairs)
+    with reused(df) as df:
+        if columns is None:
+            fx = fx or facts(df, cfg, distinct=True)
+            columns = continuous_columns(fx)
+        pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
+        rs = spearman(df, pairs)
     ranked = sorted(((abs(r), a, b, r) for (a, b), r in rs.items() if r is not None), reverse=True)[:k]
     rows = [(a, b, round(ar, 3), round(r, 3)) for ar, a, b, r in ranked]
     return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, spearman_r double, signed_r double")

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from .. import config as C
 from ..config import DEFAULT, AuditConfig
 from ..functions import stats as S
+from ..session import reused
 from ..functions.expressions import (col, column_kinds, is_numeric, is_text, name_has,
                                      number_of)
 
@@ -43,6 +44,12 @@ class Facts:
 def facts(df: DataFrame, cfg: AuditConfig = DEFAULT, distinct: bool = True,
           quantiles: bool = False, columns: list[str] | None = None) -> Facts:
     """Moments of numeric columns, null counts of all, distinct counts, quartiles."""
+    with reused(df) as df:
+        return _facts(df, cfg, distinct, quantiles, columns)
+
+
+def _facts(df: DataFrame, cfg: AuditConfig, distinct: bool, quantiles: bool,
+           columns: list[str] | None) -> Facts:
     kinds = column_kinds(df)
     num_cols = [c for c in kinds["numeric"] if columns is None or c in columns]
     exprs = {c: number_of(df, c) for c in num_cols}

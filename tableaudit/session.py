@@ -54,3 +54,38 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
     return spark
+
+
+_EXPENSIVE = ("Join", "Aggregate", "Generate", "Window", "Union", "Expand", "Sort", "MapInPandas")
+
+
+def is_derived(df: DataFrame) -> bool:
+    """True when ``df`` is more than a scan + projection + filter (a join, an
+    aggregate, a generator ...), i.e. worth materialising once before several jobs."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return any(f"{op} " in plan or f"{op}[" in plan or f"\n{op}" in plan for op in _EXPENSIVE)
+
+
+class reused:
+    """Context manager: persist a derived input (memory, spilling to disk) for the
+    several jobs an operator runs over it, and release it afterwards. Plain
+    file scans are not cached: re-reading pruned columns is cheaper. A lost
+    cached block is recomputed from its lineage."""
+
+    def __init__(self, df: DataFrame):
+        self.df = df
+        self.cached = False
+
+    def __enter__(self) -> DataFrame:
+        from pyspark import StorageLevel
+        if self.df.isStreaming or self.df.storageLevel.useMemory or self.df.storageLevel.useDisk:
+            return self.df
+        if is_derived(self.df):
+            self.df = self.df.persist(StorageLevel.MEMORY_AND_DISK)
+            self.cached = True
+        return self.df
+
+    def __exit__(self, *exc):
+        if self.cached:
+            self.df.unpersist(blocking=False)
+        return False
