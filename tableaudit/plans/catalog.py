@@ -946,3 +946,88 @@ SELECT * FROM (VALUES
 def q_infer_types(spark, sf):
     df, _ = IN.normalise_headers(customer_text(spark, sf))
     return IN.inferred_schema(df)
+
+
+# ---------------------------------------------------------------------------
+# C: stand-alone checks and per-row flags
+# ---------------------------------------------------------------------------
+
+from .. import config as _K  # noqa: E402
+
+
+@register("pii_scan_documents", plain(_union([
+    f"SELECT '{c}' AS column_name, '{name}' AS pii_type, count_if(regexp_matches({c}, {O.lit(p)})) AS matches "
+    f"FROM documents" for c in ("text", "lang", "source") for name, p in _K.PII_PATTERNS.items()])))
+def q_pii_scan_documents(spark, sf):
+    return D.detect_pii(V.table(spark, sf, "documents").select("text", "lang", "source"))
+
+
+@register("detect_duplicates", plain("""
+SELECT coalesce(sum(w - 1), 0)::BIGINT AS duplicate_rows, count_if(w > 1) AS duplicated_groups
+FROM (SELECT count(*) AS w FROM dirty_orders GROUP BY ALL)""".replace("GROUP BY ALL",
+    "GROUP BY o_orderkey, cust, status, reading, priority, order_date"), V.DIRTY_ORDERS_SQL))
+def q_detect_duplicates(spark, sf):
+    return D.detect_duplicates(V.dirty_orders(spark, sf))
+
+
+@register("detect_missing", plain(_union([
+    f"SELECT '{c}' AS column_name, count_if({c} IS NULL{' OR ' + BLANK.format(c) if c in ORDERS_TEXT else ''})"
+    f"::BIGINT AS missing_count, count_if({c} IS NULL) / count(*) AS null_rate FROM dirty_orders"
+    for c in ORDERS_COLS]), V.DIRTY_ORDERS_SQL))
+def q_detect_missing(spark, sf):
+    return D.detect_missing(V.dirty_orders(spark, sf))
+
+
+@register("detect_sparse_rows", plain(f"""
+SELECT count_if({ORD_SHARE} > 0.5) AS sparse_rows, round(avg(CASE WHEN {ORD_SHARE} > 0.5 THEN {ORD_SHARE} END), 4)
+  AS mean_null_density FROM dirty_orders""", V.DIRTY_ORDERS_SQL))
+def q_detect_sparse_rows(spark, sf):
+    return rounded(D.detect_sparse_rows(V.dirty_orders(spark, sf), 0.5))
+
+
+_FLAG_SQL = f"""
+{ORDERS_DETECT_CTES.strip()},
+numbered AS (SELECT d.*, row_number() OVER (PARTITION BY o_orderkey, cust, status, reading, priority, order_date)
+             AS copy_no FROM dirty_orders d),
+flags AS (SELECT o_orderkey, copy_no > 1 AS is_duplicate,
+  (o_orderkey IS NULL OR cust IS NULL OR status IS NULL OR {BLANK.format('status')} OR reading IS NULL
+   OR priority IS NULL OR {BLANK.format('priority')} OR order_date IS NULL) AS is_missing,
+  (coalesce(mz_0 AND o_orderkey = 0, false) OR coalesce(mz_1 AND cust = 0, false)
+   OR coalesce(mz_2 AND reading = 0, false)) AS is_zero_missing,
+  coalesce(reading < 1000 OR reading > 600000, false) AS is_logical_violation,
+  (coalesce(o_orderkey < lo_0 OR o_orderkey > hi_0, false) OR coalesce(cust < lo_1 OR cust > hi_1, false)
+   OR coalesce(reading < lo_2 OR reading > hi_2, false)) AS is_outlier,
+  {ORD_SHARE} > 0.5 AS is_sparse
+  FROM numbered, fz)
+SELECT *, CASE WHEN is_duplicate THEN 'DUPLICATE_ROWS' WHEN is_missing THEN 'MISSING_DATA'
+  WHEN is_zero_missing THEN 'ZERO_AS_MISSING' WHEN is_logical_violation THEN 'LOGICAL_VIOLATION'
+  WHEN is_outlier THEN 'STATISTICAL_OUTLIER' END AS first_tier FROM flags"""
+
+
+@register("flag_rows", cte(_FLAG_SQL, V.DIRTY_ORDERS_SQL))
+def q_flag_rows(spark, sf):
+    df = V.dirty_orders(spark, sf)
+    det = D.detect(df, V.DIRTY_ORDERS_BOUNDS)
+    return D.flag_rows(df, det).select("o_orderkey", "is_duplicate", "is_missing", "is_zero_missing",
+                                       "is_logical_violation", "is_outlier", "is_sparse", "first_tier")
+
+
+@register("distribution_facts", plain("""
+SELECT 'l_extendedprice' AS "column", count(l_extendedprice) AS n, round(skewness(l_extendedprice), 4) AS skewness,
+  round(kurtosis(l_extendedprice), 4) AS kurtosis, round(avg(l_extendedprice), 4) AS mean,
+  round(quantile_cont(l_extendedprice, 0.5), 4) AS median, round(stddev_samp(l_extendedprice), 4) AS std,
+  round(stddev_samp(l_extendedprice) / abs(avg(l_extendedprice)), 4) AS cv,
+  CASE WHEN skewness(l_extendedprice) > 0.5 THEN 'right-skewed' WHEN skewness(l_extendedprice) < -0.5
+    THEN 'left-skewed' ELSE 'approximately symmetric' END AS shape,
+  CASE WHEN stddev_samp(l_extendedprice) / abs(avg(l_extendedprice)) < 0.3 THEN 'low'
+    WHEN stddev_samp(l_extendedprice) / abs(avg(l_extendedprice)) < 0.7 THEN 'moderate' ELSE 'high' END AS cv_label,
+  abs(skewness(l_extendedprice)) > 1.0 AS suggest_transform
+FROM dirty_lineitem""", V.DIRTY_LINEITEM_SQL))
+def q_distribution_facts(spark, sf):
+    f = CH.distribution_facts(V.dirty_lineitem(spark, sf), "l_extendedprice")
+    r4_ = lambda v: round(v, 4)
+    return spark.createDataFrame(
+        [(f["column"], f["n"], r4_(f["skewness"]), r4_(f["kurtosis"]), r4_(f["mean"]), r4_(f["median"]),
+          r4_(f["std"]), r4_(f["cv"]), f["shape"], f["cv_label"], f["suggest_transform"])],
+        "column string, n bigint, skewness double, kurtosis double, mean double, median double, std double, "
+        "cv double, shape string, cv_label string, suggest_transform boolean")
