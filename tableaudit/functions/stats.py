@@ -64,7 +64,8 @@ class NumStats:
         return self.nonbinary == 0
 
 
-def moments(df: DataFrame, exprs: dict[str, Column], nulls_of: dict[str, Column] | None = None):
+def moments(df: DataFrame, exprs: dict[str, Column], nulls_of: dict[str, Column] | None = None,
+            shape: bool = True):
     """Row count, per-column moments and null counts in two light jobs.
 
     Pass 1 takes counts, min, max and sums; pass 2 takes power sums of the
@@ -86,7 +87,22 @@ def moments(df: DataFrame, exprs: dict[str, Column], nulls_of: dict[str, Column]
         maxs[f"mx{i}"] = x
     for j, (name, c) in enumerate(nulls_of.items()):
         longs[f"z{j}"] = F.when(c.isNull(), 1).otherwise(0)
+    if not shape:
+        for i, name in enumerate(names):
+            x = exprs[name].cast("double")
+            longs[f"nb{i}"] = F.when(~x.isin(0.0, 1.0), 1).otherwise(0)
+            longs[f"z0{i}"] = F.when(x == 0, 1).otherwise(0)
+            longs[f"ng{i}"] = F.when(x < 0, 1).otherwise(0)
     p1 = sums(df, longs, doubles, mins=mins, maxs=maxs)
+    if not shape:
+        n = p1["__n"]
+        out = {}
+        for i, name in enumerate(names):
+            c = p1[f"c{i}"]
+            out[name] = NumStats(count=c, min=p1[f"mn{i}"], max=p1[f"mx{i}"],
+                                 mean=(p1[f"s{i}"] / c if c else None), nonbinary=p1[f"nb{i}"],
+                                 zeros=p1[f"z0{i}"], negatives=p1[f"ng{i}"])
+        return n, out, {name: p1[f"z{j}"] for j, name in enumerate(nulls_of)}
     n = p1["__n"]
     nulls = {name: p1[f"z{j}"] for j, name in enumerate(nulls_of)}
     centre = {}

@@ -120,12 +120,6 @@ class _State:
         return out
 
 
-def _bounds(anomaly: dict, kind: str):
-    if kind == "fences":
-        return anomaly.get("lower_bound"), anomaly.get("upper_bound")
-    return anomaly.get("lower_bound"), anomaly.get("upper_bound")
-
-
 def _outside(x: Column, lo, hi) -> Column:
     return F.coalesce((x < F.lit(float(lo))) | (x > F.lit(float(hi))), F.lit(False))
 
@@ -140,25 +134,20 @@ def clean(df: DataFrame, anomalies, decisions, cfg: AuditConfig = DEFAULT,
 
 def _clean(base: DataFrame, recs: list[dict], decisions, cfg: AuditConfig,
            parent_run_id: str | None) -> CleanResult:
-    df = base
     by_id = {str(r["anomaly_id"]): r for r in recs}
     by_plain = {k.replace("-", ""): v for k, v in by_id.items()}
     st = _State(base)
-    spark = df.sparkSession
+    spark = base.sparkSession
     log: list[dict] = []          # change rows; rows_changed may be a pending key
     resolved: list[str] = []
-    pending_keys: list[tuple[int, str, object]] = []  # (change index, counter key, post-fn)
     results: dict[str, int] = {}
 
-    def defer(i: int, key: str, post=None):
-        pending_keys.append((i, key, post))
-
     def flush():
         got = st.flush()
         results.update({k: v for k, v in got.items() if k != "__rows_now"})
         return got["__rows_now"]
 
-    for di, d in enumerate(as_decisions(decisions)):
+    for d in as_decisions(decisions):
         aid = str(d.get("anomaly_id", ""))
         action = str(d.get("action", "keep_as_is"))
         params = d["params"]
@@ -270,7 +259,6 @@ def _clean(base: DataFrame, recs: list[dict], decisions, cfg: AuditConfig,
             continue
 
         row["description"] = f"Skipped unrecognised action '{action}'"
-        resolved_skip = row  # noqa: F841
 
     rows_now = flush()
     for row in log:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,8 +17,7 @@ from .. import config as C
 from ..config import DEFAULT, AuditConfig
 from ..functions import stats as S
 from ..session import reused
-from ..functions.expressions import (col, column_kinds, is_numeric, is_text, name_has,
-                                     number_of)
+from ..functions.expressions import col, column_kinds, name_has, number_of
 
 __all__ = [
     "Facts", "facts", "numeric_profile", "column_stats", "semantic_types", "semantic_type_of",
