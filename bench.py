@@ -40,7 +40,7 @@ LINE_DECISIONS = [
 def session() -> SparkSession:
     cpus = int(CPUS) if CPUS.isdigit() else os.cpu_count()
     spark = (SparkSession.builder.master(f"local[{CPUS}]").appName("tableaudit-bench")
-             .config("spark.sql.shuffle.partitions", str(max(2 * cpus, 8)))
+             .config("spark.sql.shuffle.partitions", os.environ.get("BENCH_PARTITIONS", str(max(cpus, 8))))
              .config("spark.sql.adaptive.enabled", "true")
              .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
              .config("spark.sql.adaptive.skewJoin.enabled", "true")
