@@ -170,3 +170,30 @@ def test_heatmap_skip_note(spark):
     rows = [(rnd.random(), rnd.random()) for _ in range(200)]
     f = CH.heatmap_facts(spark.createDataFrame(rows, "a double, b double"), ["a", "b"])
     assert not f["emit"] and "omitted" in f["note"]
+
+
+def test_eda_bundle_and_notes(spark):
+    from tableaudit.operators import clean as CL
+    from tableaudit.operators import detect as D
+    rows = [(float(i), None if i % 3 else float(i % 5), f"c{i % 4}") for i in range(60)] + [(1.0, 1.0, "c1")] * 3
+    df = spark.createDataFrame(rows, "a double, b double, c string")
+    det = D.detect(df)
+    res = CL.clean(df, det, [{"anomaly_id": "MISSING_DATA|b", "action": "fill_mean"},
+                             {"anomaly_id": "DUPLICATE_ROWS", "action": "remove_duplicates"}])
+    out = EDA.eda(res.df, "find outliers", res.changes, det.anomalies)
+    assert out.row_count == res.df.count() and out.col_count == 3
+    assert out.recommendation.startswith("Anomaly detection")
+    assert out.notes[0].startswith("'b':") and "imputed via mean" in out.notes[0]
+    assert any("nulls filled by imputation" in n for n in out.notes)  # b had > 20 % nulls
+    assert out.column_stats.count() == 3
+    notes = EDA.narrative_notes(res.df, res.changes, det.anomalies).collect()
+    assert [r["note"] for r in notes] == out.notes
+
+
+def test_insight_text(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(1, 101)], "v double")
+    f = CH.distribution_facts(df, "v")
+    assert "approximately symmetric" in CH.insight_text("histogram", f)
+    b = CH.box_stats(df, "v", 3.0).first().asDict()
+    assert "No value lies beyond" in CH.insight_text("box", b)
+    assert CH.insight_text("line", {"pct": 12.0, "trend": "upward"}).endswith("upward trend.")

@@ -144,3 +144,13 @@ def test_stream_rules(spark, tmpdir_path):
     q.stop()
     got = sorted(r["age"] for r in spark.sql("SELECT age FROM clamped").collect())
     assert got == [0.0, 1.0, 30.0, 120.0]
+
+
+def test_run_history_and_detail(spark):
+    runs = spark.createDataFrame([("r1", dt.datetime(2024, 1, 1)), ("r2", dt.datetime(2024, 2, 1))],
+                                 "run_id string, created_at timestamp")
+    hist = TR.run_history(runs).collect()
+    assert [r["run_id"] for r in hist] == ["r2", "r1"] and hist[0]["total_runs"] == 2
+    an = spark.createDataFrame([("r1", 1, "b"), ("r1", 0, "a"), ("r2", 0, "z")],
+                               "run_id string, display_order int, anomaly_id string")
+    assert [r["anomaly_id"] for r in TR.run_detail(an, "r1").collect()] == ["a", "b"]
