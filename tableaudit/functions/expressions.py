@@ -62,6 +62,8 @@ def col(name: str) -> Column:
 def to_number(c: Column, dtype: T.DataType | None = None) -> Column:
     """A3: coerce to double; text that is not a plain number and NaN become null."""
     if dtype is not None and is_numeric(dtype):
+        if not isinstance(dtype, (T.FloatType, T.DoubleType)):
+            return c.cast("double")  # integers and decimals cannot hold NaN
         d = c.cast("double")
     elif dtype is not None and isinstance(dtype, T.BooleanType):
         d = c.cast("double")

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -141,6 +142,7 @@ def _clean(base: DataFrame, recs: list[dict], decisions, cfg: AuditConfig,
     log: list[dict] = []          # change rows; rows_changed may be a pending key
     resolved: list[str] = []
     results: dict[str, int] = {}
+    held: list[DataFrame] = []
 
     def flush():
         got = st.flush()
@@ -173,8 +175,11 @@ def _clean(base: DataFrame, recs: list[dict], decisions, cfg: AuditConfig,
             st.count_rows(key + "_before")
             n_before_key = key + "_before"
             flush()
-            cur = st.current()
-            st.set_base(cur.dropDuplicates())
+            # the de-duplicated base feeds every later statistic and counter: keep it
+            # (memory, spilling to disk) until the run's counters are in
+            deduped = st.current().dropDuplicates().persist(StorageLevel.MEMORY_AND_DISK)
+            held.append(deduped)
+            st.set_base(deduped)
             st.count_rows(key + "_after")
             row["_dedup"] = (n_before_key, key + "_after")
             continue
@@ -261,6 +266,8 @@ def _clean(base: DataFrame, recs: list[dict], decisions, cfg: AuditConfig,
         row["description"] = f"Skipped unrecognised action '{action}'"
 
     rows_now = flush()
+    for h in held:
+        h.unpersist(blocking=False)
     for row in log:
         if "_key" in row:
             row["rows_changed"] = int(results.get(row.pop("_key"), 0))
