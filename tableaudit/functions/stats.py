@@ -315,13 +315,19 @@ def quantile_targets(n: int, probs) -> list[tuple[float, int, int]]:
 
 
 def exact_quantiles(df: DataFrame, exprs: dict[str, Column], probs,
-                    weight: Column | None = None) -> dict[str, list[float | None]]:
-    """Linear-interpolated quantiles (pandas ``quantile``), exact and distributed."""
+                    weight: Column | None = None, counts: dict[str, int] | None = None) -> dict[str, list[float | None]]:
+    """Linear-interpolated quantiles (pandas ``quantile``), exact and distributed.
+
+    ``counts`` (non-null values per column, when the caller already has them)
+    saves the job that would otherwise total the running-sum table."""
     if not exprs:
         return {}
     vc, keys = value_counts(df, numeric=exprs, weight=weight)
     ranked, totals = cumulative(vc, KEY, [VAL], WEIGHT)
-    n_by_key = {r[KEY]: r["_n"] for r in totals.collect()}
+    if counts is not None and weight is None:
+        n_by_key = {keys[c]: counts[c] for c in exprs if counts.get(c)}
+    else:
+        n_by_key = {r[KEY]: r["_n"] for r in totals.collect()}
     targets = []
     for k, n in n_by_key.items():
         for _, lo, hi in quantile_targets(n, probs):
@@ -349,10 +355,10 @@ def approx_quantiles(df: DataFrame, exprs: dict[str, Column], probs, accuracy: i
 
 
 def quantiles(df: DataFrame, exprs: dict[str, Column], probs, method: str = "exact",
-              accuracy: int = 10_000, weight: Column | None = None):
+              accuracy: int = 10_000, weight: Column | None = None, counts: dict[str, int] | None = None):
     if method == "approx" and weight is None:
         return approx_quantiles(df, exprs, probs, accuracy)
-    return exact_quantiles(df, exprs, probs, weight=weight)
+    return exact_quantiles(df, exprs, probs, weight=weight, counts=counts)
 
 
 def distinct_counts(df: DataFrame, numeric: dict[str, Column] | None = None,

@@ -95,7 +95,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def orders_fence(df: DataFrame, column: str = "reading") -> dict:
-    f = D.fences_of(df, {column: number_of(df, column)}, {column: 1}, DEFAULT.iqr_multiplier, DEFAULT)[column]
+    f = D.fences_of(df, {column: number_of(df, column)}, None, DEFAULT.iqr_multiplier, DEFAULT)[column]
     return {"lower_bound": f[1], "upper_bound": f[2]}
 
 
