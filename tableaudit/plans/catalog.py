@@ -254,7 +254,7 @@ def q_clean_orders(spark, sf):
 
 
 @register("clean_changes", plain("""
-SELECT * FROM (VALUES
+SELECT anomaly_id, action, rows_changed::INTEGER AS rows_changed FROM (VALUES
   ('DUPLICATE_ROWS', 'remove_duplicates', (SELECT n0 - n1 FROM counts)),
   ('MISSING_DATA|priority', 'drop_rows', (SELECT n1 - n2 FROM counts)),
   ('MISSING_DATA|reading', 'fill_mean', (SELECT f3 FROM counts)),
@@ -450,14 +450,14 @@ def _stats_sql(view: str, cols: list[tuple[str, str, bool]]) -> str:
         if numeric:
             ind = f"(SELECT count_if({c} NOT IN (0, 1)) = 0 FROM {view})"
             parts.append(
-                f"SELECT '{c}' AS name, '{dtype}' AS dtype, count_if({c} IS NULL) AS null_count, "
+                f"SELECT '{c}' AS name, '{dtype}' AS dtype, count_if({c} IS NULL)::BIGINT AS null_count, "
                 f"round(count_if({c} IS NULL) / count(*), 4) AS null_rate, count(DISTINCT {c}) AS unique_count, "
                 f"round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, round(min({c}), 4)::DOUBLE AS min, "
                 f"round(max({c}), 4)::DOUBLE AS max, CASE WHEN {ind} THEN NULL ELSE round(skewness({c}), 4) END AS skewness, "
                 f"CASE WHEN {ind} THEN NULL ELSE round(kurtosis({c}), 4) END AS kurtosis FROM {view}")
         else:
             parts.append(
-                f"SELECT '{c}', '{dtype}', count_if({c} IS NULL), round(count_if({c} IS NULL) / count(*), 4), "
+                f"SELECT '{c}', '{dtype}', count_if({c} IS NULL)::BIGINT, round(count_if({c} IS NULL) / count(*), 4), "
                 f"count(DISTINCT {c}), NULL, NULL, NULL, NULL, NULL, NULL FROM {view}")
     return _union(parts)
 
@@ -571,7 +571,7 @@ def q_chart_columns(spark, sf):
 
 @register("dataset_summary", cte(f"""
 {ORDERS_DETECT_CTES.strip()}
-SELECT (SELECT n FROM anomaly_n) AS row_count, 6 AS col_count, (SELECT count(*) FROM anomalies)::INTEGER AS anomaly_count,
+SELECT (SELECT n FROM anomaly_n)::BIGINT AS row_count, 6 AS col_count, (SELECT count(*) FROM anomalies)::INTEGER AS anomaly_count,
   'Rows:' || (SELECT n FROM anomaly_n) || ' Cols:6 | Intent:cleanup | Anomalies:' || (SELECT count(*) FROM anomalies)
   || ' (' || (SELECT string_agg(DISTINCT anomaly_type, ',' ORDER BY anomaly_type) FROM anomalies) || ')'
   || ' | Numeric:[''o_orderkey'', ''cust'', ''reading''] | Categorical:[''status'', ''priority'']' AS summary""",
@@ -719,7 +719,7 @@ def q_histogram(spark, sf):
 SELECT 'l_extendedprice' AS "column", round(q1, 4) AS q1, round(med, 4) AS median, round(q3, 4) AS q3,
   round(q3 - q1, 4) AS iqr, round(mx - mn, 4) AS range, round(q1 - 3 * (q3 - q1), 4) AS lower_fence,
   round(q3 + 3 * (q3 - q1), 4) AS upper_fence,
-  (SELECT count_if(l_extendedprice < q1 - 3 * (q3 - q1) OR l_extendedprice > q3 + 3 * (q3 - q1)) FROM dirty_lineitem)
+  (SELECT count_if(l_extendedprice < q1 - 3 * (q3 - q1) OR l_extendedprice > q3 + 3 * (q3 - q1)) FROM dirty_lineitem)::BIGINT
   AS outliers, CASE WHEN mx - mn > 0 AND (q3 - q1) / (mx - mn) > 0.4 THEN 'even' ELSE 'concentrated' END AS spread
 FROM (SELECT quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.5) AS med,
   quantile_cont(l_extendedprice, 0.75) AS q3, min(l_extendedprice) AS mn, max(l_extendedprice) AS mx FROM dirty_lineitem)
@@ -805,8 +805,8 @@ def q_transform_counts(spark, sf):
 
 @register("audit_feed", plain("""
 SELECT 'janitor' AS agent_name, 'phase2' AS phase, 'User selected ''' || action || ''' for ' || anomaly_type AS reason,
-  column_name AS column_affected, rows_changed AS rows_affected
-FROM (""" + SQL["clean_changes"].split("\nSELECT * FROM (VALUES", 1)[0].replace("WITH ", "WITH ", 1) + """
+  column_name AS column_affected, rows_changed::BIGINT AS rows_affected
+FROM (""" + SQL["clean_changes"].split("\nSELECT anomaly_id, action, rows_changed::INTEGER", 1)[0] + """
 SELECT * FROM (VALUES
   ('DUPLICATE_ROWS', 'remove_duplicates', (SELECT n0 - n1 FROM counts), 'DUPLICATE_ROWS', NULL),
   ('MISSING_DATA|priority', 'drop_rows', (SELECT n1 - n2 FROM counts), 'MISSING_DATA', 'priority'),
@@ -956,14 +956,14 @@ from .. import config as _K  # noqa: E402
 
 
 @register("pii_scan_documents", plain(_union([
-    f"SELECT '{c}' AS column_name, '{name}' AS pii_type, count_if(regexp_matches({c}, {O.lit(p)})) AS matches "
+    f"SELECT '{c}' AS column_name, '{name}' AS pii_type, count_if(regexp_matches({c}, {O.lit(p)}))::BIGINT AS matches "
     f"FROM documents" for c in ("text", "lang", "source") for name, p in _K.PII_PATTERNS.items()])))
 def q_pii_scan_documents(spark, sf):
     return D.detect_pii(V.table(spark, sf, "documents").select("text", "lang", "source"))
 
 
 @register("detect_duplicates", plain("""
-SELECT coalesce(sum(w - 1), 0)::BIGINT AS duplicate_rows, count_if(w > 1) AS duplicated_groups
+SELECT coalesce(sum(w - 1), 0)::BIGINT AS duplicate_rows, count_if(w > 1)::BIGINT AS duplicated_groups
 FROM (SELECT count(*) AS w FROM dirty_orders GROUP BY ALL)""".replace("GROUP BY ALL",
     "GROUP BY o_orderkey, cust, status, reading, priority, order_date"), V.DIRTY_ORDERS_SQL))
 def q_detect_duplicates(spark, sf):
@@ -979,7 +979,7 @@ def q_detect_missing(spark, sf):
 
 
 @register("detect_sparse_rows", plain(f"""
-SELECT count_if({ORD_SHARE} > 0.5) AS sparse_rows, round(avg(CASE WHEN {ORD_SHARE} > 0.5 THEN {ORD_SHARE} END), 4)
+SELECT count_if({ORD_SHARE} > 0.5)::BIGINT AS sparse_rows, round(avg(CASE WHEN {ORD_SHARE} > 0.5 THEN {ORD_SHARE} END), 4)
   AS mean_null_density FROM dirty_orders""", V.DIRTY_ORDERS_SQL))
 def q_detect_sparse_rows(spark, sf):
     return rounded(D.detect_sparse_rows(V.dirty_orders(spark, sf), 0.5))
