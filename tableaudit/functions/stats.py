@@ -361,6 +361,66 @@ def quantiles(df: DataFrame, exprs: dict[str, Column], probs, method: str = "exa
     return exact_quantiles(df, exprs, probs, weight=weight, counts=counts)
 
 
+def column_profile(df: DataFrame, numeric: dict[str, Column], text: dict[str, Column] | None = None):
+    """Row count, moments, null counts and distinct counts from one pass over the data.
+
+    The table is unpivoted and grouped to ``(column, value, count)`` once
+    (map-side combine) and kept; every statistic is then a small grouped
+    aggregate over that table: sum(w*v), centred power sums, zero / negative
+    counts, and the number of distinct values per column. A row-count key is
+    carried along, so ``nulls = rows - non-null count``."""
+    from pyspark import StorageLevel
+    text = dict(text or {})
+    probe = "__rows__"
+    vc, keys = value_counts(df, numeric={probe: F.lit(0.0), **numeric}, text=text)
+    vc = vc.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        v, w = F.col(VAL), F.col(WEIGHT)
+        p1 = {r[KEY]: r for r in vc.groupBy(KEY).agg(
+            F.sum(w).alias("c"), F.count(F.lit(1)).alias("d"), F.sum(v * w).alias("s"),
+            F.min(v).alias("mn"), F.max(v).alias("mx"),
+            F.sum(F.when(~v.isin(0.0, 1.0), w).otherwise(0)).alias("nb"),
+            F.sum(F.when(v == 0, w).otherwise(0)).alias("z0"),
+            F.sum(F.when(v < 0, w).otherwise(0)).alias("ng")).collect()}
+        n = int(p1[keys[probe]]["c"]) if keys[probe] in p1 else 0
+        mu = {k: (r["s"] / r["c"] if r["c"] and r["s"] is not None else 0.0) for k, r in p1.items()}
+        mu_map = F.create_map(*[x for k, m in mu.items() for x in (F.lit(k), F.lit(float(m)))])
+        d = v - F.element_at(mu_map, F.col(KEY))
+        p2 = {r[KEY]: r for r in vc.where(F.col(VAL).isNotNull()).groupBy(KEY).agg(
+            F.sum(d * w).alias("d1"), F.sum(d * d * w).alias("d2"), F.sum(d * d * d * w).alias("d3"),
+            F.sum(d * d * d * d * w).alias("d4")).collect()}
+    finally:
+        vc.unpersist(blocking=False)
+    out, nulls, distinct = {}, {}, {}
+    for name, k in keys.items():
+        if name == probe:
+            continue
+        r = p1.get(k)
+        c = int(r["c"]) if r is not None else 0
+        nulls[name] = n - c
+        distinct[name] = int(r["d"]) if r is not None else 0
+        if name not in numeric:
+            continue
+        if not c:
+            out[name] = NumStats(nonbinary=0)
+            continue
+        q = p2[k]
+        s1, s2, s3, s4 = (q[f"d{i}"] or 0.0 for i in (1, 2, 3, 4))
+        dd = s1 / c
+        m2 = max(s2 / c - dd * dd, 0.0)
+        m3 = s3 / c - 3 * dd * s2 / c + 2 * dd ** 3
+        m4 = s4 / c - 4 * dd * s3 / c + 6 * dd * dd * s2 / c - 3 * dd ** 4
+        std = math.sqrt(m2 * c / (c - 1)) if c > 1 else None
+        if m2 <= 0:
+            skew, kurt = (0.0 if c >= 3 else None), (0.0 if c >= 4 else None)
+        else:
+            skew = adjusted_skew(m3 / m2 ** 1.5, c)
+            kurt = adjusted_kurt(m4 / (m2 * m2) - 3.0, c)
+        out[name] = NumStats(count=c, min=r["mn"], max=r["mx"], mean=mu[k], std=std, skew=skew, kurt=kurt,
+                             nonbinary=int(r["nb"]), zeros=int(r["z0"]), negatives=int(r["ng"]))
+    return n, out, nulls, distinct
+
+
 def distinct_counts(df: DataFrame, numeric: dict[str, Column] | None = None,
                     text: dict[str, Column] | None = None) -> dict[str, int]:
     """Exact distinct non-null values per column from one unpivoted group-by."""

@@ -52,11 +52,15 @@ def _facts(df: DataFrame, cfg: AuditConfig, distinct: bool, quantiles: bool,
     kinds = column_kinds(df)
     num_cols = [c for c in kinds["numeric"] if columns is None or c in columns]
     exprs = {c: number_of(df, c) for c in num_cols}
+    text = {c: col(c) for c in df.columns
+            if c not in exprs and (columns is None or c in columns) and _groupable(df, c)}
+    if distinct and not quantiles and all(c in exprs or c in text for c in df.columns):
+        # one pass over the data: moments, nulls and distinct counts from the value-count table
+        n, num, nulls, dist = S.column_profile(df, exprs, text)
+        return Facts(n=n, kinds=kinds, num=num, nulls=nulls, distinct=dist)
     n, num, nulls = S.moments(df, exprs, {c: col(c) for c in df.columns})
     fx = Facts(n=n, kinds=kinds, num=num, nulls=nulls)
     if distinct or quantiles:
-        text = {c: col(c) for c in df.columns
-                if c not in exprs and (columns is None or c in columns) and _groupable(df, c)}
         if quantiles:
             d, qs = S.value_profile(df, exprs, text, (0.25, 0.5, 0.75), cfg.quantiles, cfg.approx_accuracy)
             fx.distinct, fx.quant = d, qs
