@@ -15,7 +15,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     cluster session without it is an error, since a machine-local folder
     would not survive the loss of an executor.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - remote (Connect) sessions: the server's setting applies
+        return spark.conf.get("spark.checkpoint.dir", "")
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -62,7 +65,10 @@ _EXPENSIVE = ("Join", "Aggregate", "Generate", "Window", "Union", "Expand", "Sor
 def is_derived(df: DataFrame) -> bool:
     """True when ``df`` is more than a scan + projection + filter (a join, an
     aggregate, a generator ...), i.e. worth materialising once before several jobs."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    try:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+    except Exception:  # noqa: BLE001 - no JVM handle (remote session): do not cache
+        return False
     return any(f"{op} " in plan or f"{op}[" in plan or f"\n{op}" in plan for op in _EXPENSIVE)
 
 
