@@ -395,6 +395,47 @@ def column_profile(df: DataFrame, numeric: dict[str, Column], text: dict[str, Co
     return n, out, nulls, distinct
 
 
+def counts_and_quantiles(df: DataFrame, exprs: dict[str, Column], probs):
+    """Row count, per-column counters (count, min, max, mean, zeros, negatives,
+    values outside {0, 1}) and exact quantiles from one unpivoted value-count
+    table: one pass over the data, then small jobs over the kept table."""
+    from pyspark import StorageLevel
+    probe = "__rows__"
+    vc, keys = value_counts(df, numeric={probe: F.lit(0.0), **exprs})
+    vc = vc.drop(TXT).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        v, w = F.col(VAL), F.col(WEIGHT)
+        p1 = {r[KEY]: r for r in vc.groupBy(KEY).agg(
+            F.sum(w).alias("c"), F.sum(v * w).alias("s"), F.min(v).alias("mn"), F.max(v).alias("mx"),
+            F.sum(F.when(~v.isin(0.0, 1.0), w).otherwise(0)).alias("nb"),
+            F.sum(F.when(v == 0, w).otherwise(0)).alias("z0"),
+            F.sum(F.when(v < 0, w).otherwise(0)).alias("ng")).collect()}
+        ranked, _ = cumulative(vc.where(F.col(KEY) != keys[probe]), KEY, [VAL], WEIGHT)
+        targets = []
+        for name in exprs:
+            r = p1.get(keys[name])
+            if r is not None and r["c"]:
+                for _, lo, hi in quantile_targets(int(r["c"]), probs):
+                    targets += [(keys[name], lo), (keys[name], hi)]
+        vals = pick_positions(ranked, KEY, VAL, WEIGHT, targets)
+    finally:
+        vc.unpersist(blocking=False)
+    n = int(p1[keys[probe]]["c"]) if keys[probe] in p1 else 0
+    stats, qs = {}, {}
+    for name in exprs:
+        k = keys[name]
+        r = p1.get(k)
+        if r is None or not r["c"]:
+            stats[name] = NumStats(nonbinary=0)
+            qs[name] = [None] * len(probs)
+            continue
+        c = int(r["c"])
+        stats[name] = NumStats(count=c, min=r["mn"], max=r["mx"], mean=r["s"] / c, nonbinary=int(r["nb"]),
+                               zeros=int(r["z0"]), negatives=int(r["ng"]))
+        qs[name] = [_lerp(vals[(k, lo)], vals[(k, hi)], t) for t, lo, hi in quantile_targets(c, probs)]
+    return n, stats, qs
+
+
 def distinct_counts(df: DataFrame, numeric: dict[str, Column] | None = None,
                     text: dict[str, Column] | None = None) -> dict[str, int]:
     """Exact distinct non-null values per column from one unpivoted group-by."""
