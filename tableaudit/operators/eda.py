@@ -85,18 +85,25 @@ def spearman(df: DataFrame, pairs: list[tuple[str, str]], min_rows: int = 3) ->
     specs: dict[str, tuple[Column, Column]] = {}
     spec_col: dict[str, tuple[str, tuple | None]] = {}
     pair_spec = {}
-    for a, b in pairs:
-        if nulls[a] == 0 and nulls[b] == 0:
-            sa, sb = f"s{len(cols) + cols.index(a)}", f"s{len(cols) + cols.index(b)}"
-            specs[sa] = (x[a], F.lit(True))
-            specs[sb] = (x[b], F.lit(True))
-            spec_col[sa], spec_col[sb] = (a, None), (b, None)
-        else:
-            both = x[a].isNotNull() & x[b].isNotNull()
-            sa, sb = f"p{len(pair_spec)}a", f"p{len(pair_spec)}b"
-            specs[sa] = (x[a], both)
-            specs[sb] = (x[b], both)
-            spec_col[sa], spec_col[sb] = (a, (a, b)), (b, (a, b))
+
+    def own(c):
+        # rank among the column's own non-null values
+        s = f"s{cols.index(c)}"
+        specs[s] = (x[c], F.lit(True))
+        spec_col[s] = (c, None)
+        return s
+
+    def within(c, other, i, side):
+        # rank among rows where the other column is present too
+        s = f"p{i}{side}"
+        specs[s] = (x[c], x[c].isNotNull() & x[other].isNotNull())
+        spec_col[s] = (c, (c, other))
+        return s
+
+    for i, (a, b) in enumerate(pairs):
+        # a column's pairwise-complete rows equal its own non-null rows when the partner has no nulls
+        sa = own(a) if nulls[b] == 0 else within(a, b, i, "a")
+        sb = own(b) if nulls[a] == 0 else within(b, a, i, "b")
         pair_spec[(a, b)] = (sa, sb)
     lookup, keys, sizes = S.average_ranks(df, specs)
     cur = df.select(*[x[c].alias(f"__x{i}") for i, c in enumerate(cols)])
