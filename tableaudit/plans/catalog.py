@@ -772,13 +772,18 @@ def q_portfolio(spark, sf):
     return CH.portfolio(V.order_lines(spark, sf))
 
 
-@register("scatter_matrix")
+@register("scatter_matrix", plain("""
+SELECT l_orderkey, l_linenumber, l_quantity, l_discount, round(amount, 4) AS amount FROM order_lines
+WHERE (SELECT max(abs(r)) >= 0.2 FROM (SELECT corr(l_quantity, amount) AS r FROM order_lines))
+ORDER BY md5('42|' || l_orderkey || '|' || l_linenumber) LIMIT 5000""", V.ORDER_LINES_SQL))
 def q_scatter_matrix(spark, sf):
     sample, _ = CH.scatter_matrix(V.order_lines(spark, sf), key=["l_orderkey", "l_linenumber"])
-    return sample
+    return rounded(sample)
 
 
-@register("time_line")
+@register("time_line", plain("""
+SELECT ts, value FROM events WHERE ts IS NOT NULL AND value IS NOT NULL
+ORDER BY md5('42|' || epoch_us(ts) || '|' || value::VARCHAR), ts, value LIMIT 5000"""))
 def q_time_line(spark, sf):
     return CH.time_line(V.table(spark, sf, "events"), "ts", "value")
 
