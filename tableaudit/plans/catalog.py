@@ -767,7 +767,33 @@ def q_chart_data_bar(spark, sf):
     return rounded(CH.chart_data(li, "bar", "l_returnflag", "l_quantity", "l_linestatus"))
 
 
-@register("portfolio")
+OL_ALL = ["l_orderkey", "l_linenumber", "l_quantity", "l_discount", "amount"]
+_PORTFOLIO_SQL = f"""
+cc AS ({_chart_cols_sql("order_lines", OL_ALL)}),
+flags AS (SELECT {", ".join(f"bool_or(continuous AND \"column\" = '{c}') AS c_{c}" for c in OL_ALL)} FROM cc),
+pairs AS ({_union([f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM order_lines"
+                    for i, a in enumerate(OL_ALL) for b in OL_ALL[i + 1:]])}),
+strong AS (SELECT coalesce(max(abs(r)) FILTER (WHERE ({" OR ".join(f"(a = '{c}' AND c_{c})" for c in OL_ALL)})
+                  AND ({" OR ".join(f"(b = '{c}' AND c_{c})" for c in OL_ALL)})), 0) >= 0.2 AS hit FROM pairs, flags),
+ncont AS (SELECT {" + ".join(f"c_{c}::INT" for c in OL_ALL)} AS k FROM flags)
+SELECT * FROM (
+  {_union([f"SELECT 1 AS display_order, 'histogram' AS chart_type, 'Distribution of {c}' AS title, '{c}' AS x_column, "
+           f"NULL::VARCHAR AS y_column, 'histogram' AS operator, NULL::VARCHAR AS skip_note FROM flags WHERE c_{c} "
+           f"UNION ALL SELECT 2, 'box', 'Box plot — {c}', '{c}', NULL, 'box_stats', NULL FROM flags WHERE c_{c}"
+           for c in OL_ALL])}
+  UNION ALL SELECT 3, 'heatmap', 'Correlation heatmap', NULL, NULL, 'pearson_matrix', NULL FROM strong, ncont
+    WHERE hit AND k >= 2
+  UNION ALL SELECT 4, 'splom', 'Scatter matrix', NULL, NULL, 'scatter_matrix', NULL FROM strong, ncont
+    WHERE hit AND k BETWEEN 2 AND 8
+  UNION ALL SELECT 5, 'line', coalesce({", ".join(f"CASE WHEN c_{c} THEN '{c}' END" for c in OL_ALL)}) || ' over time',
+    'o_orderdate', coalesce({", ".join(f"CASE WHEN c_{c} THEN '{c}' END" for c in OL_ALL)}), 'time_line', NULL
+    FROM flags, ncont WHERE k > 0
+  UNION ALL SELECT 6, 'heatmap', 'Missingness heatmap', NULL, NULL, 'missingness_map', NULL FROM order_lines
+    HAVING count_if({" OR ".join(f"{c} IS NULL" for c in OL_ALL + ["p_type", "o_orderdate", "l_shipdate"])}) > 0
+)"""
+
+
+@register("portfolio", cte(_PORTFOLIO_SQL, V.ORDER_LINES_SQL))
 def q_portfolio(spark, sf):
     return CH.portfolio(V.order_lines(spark, sf))
 
