@@ -157,7 +157,7 @@ def links(fps: DataFrame, distance: int) -> DataFrame:
     groups as all pairs within ``distance`` bits would."""
     radius = ceil(distance / 2)
     spark, n = fps.sparkSession, fps.count()
-    bits = max(0, min(24, ceil(log2(max(1, n * ball(BITS, radius) / MEAN_VARIANTS)))))
+    bits = max(1, min(24, ceil(log2(max(1, n * ball(BITS, radius) / MEAN_VARIANTS)))))  # one at least: a shift by all 64 bits is none
     rows = _routed(fps.select("fp", F.col("fp").alias("word"), F.lit(0).alias("used")), 0, bits, radius)
     out = spark.createDataFrame([], "a bigint, b bigint")
     while True:
