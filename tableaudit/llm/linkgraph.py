@@ -40,8 +40,8 @@ RULES = (
 @dataclass(frozen=True)
 class Params:
     """``seed_share``: a host of whose pages more than this share is judged alike by rules is a seed.
-    ``threshold``: by how much a host's distrust may exceed its trust; both are in multiples of
-    what each of the seeds starts with."""
+    ``threshold``: by how much a host's distrust may exceed its trust; a seed that nothing
+    links to has 1 - damping."""
 
     damping: float = 0.85
     rounds: int = 8
@@ -82,13 +82,13 @@ def host_links(pages: DataFrame) -> DataFrame:
 def propagate(seeds: DataFrame, links: DataFrame, p: Params) -> DataFrame:
     """(host, score): personalised PageRank from ``seeds`` (host) along ``links`` (src, dst, n).
 
-    Every seed starts with 1 and keeps getting 1 - damping of it back; mass of hosts without links ends there."""
+    Every seed has 1 - damping; each round adds the walks that are a link longer. Mass of hosts without links ends there."""
     out = links.groupBy("src").agg(F.sum("n").alias("all"))
     shares = stash(links.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("share")), "shares")
     start = seeds.select("host", F.lit(1.0).alias("seed"))
     if shares.isEmpty():
         return start.select("host", F.lit(1 - p.damping).alias("score"))
-    score = start.select("host", F.col("seed").alias("score"))
+    score = start.select("host", (F.lit(1 - p.damping) * F.col("seed")).alias("score"))
     for i in range(p.rounds):
         moved = (score.join(shares, score.host == shares.src).groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("moved")))
         score = (start.join(moved, start.host == moved.dst, "full")

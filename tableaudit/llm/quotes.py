@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from tableaudit.llm.common import stash
 
-#: A line's marks: ``>`` with blanks before, between and after.
-MARKS = r"^[ \t]*(?:>[ \t]?)+"
+#: A line's marks: ``>`` with blanks before, between and one after. (A loop over one class of characters: a repeated group would recurse for each mark.)
+MARKS = r"^[ \t>]*>[ \t]?"
 #: A line that announces a quotation, if a quoted line follows.
 ANNOUNCES = r"(?i)^\s*(?:on\s.{1,200}|.{1,200}\s)(?:wrote|schrieb|escribió|a écrit)\s?:\s*$"
 #: Words that a single quoted line must have to be linked by itself.

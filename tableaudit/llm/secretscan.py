@@ -49,7 +49,7 @@ class Params:
     sample_rows: int = 16384
     strings: int = 2000
     length: int = 32
-    smoothing: float = 0.5
+    smoothing: float = 5.0
     least_ratio: float = 25.0
     least_mean: float = 1.0
     seed: int = 5
@@ -96,7 +96,9 @@ def ratios(random: np.ndarray, ordinary: np.ndarray, p: Params) -> np.ndarray:
         random = random + steps(" ".join("".join(x) for x in drawn).encode())
 
     def logs(counts: np.ndarray) -> np.ndarray:
-        c = counts.reshape(_K, _K) + p.smoothing
+        c = counts.reshape(_K, _K)
+        single = c.sum(axis=0) + 0.5
+        c = c + p.smoothing * single / single.sum()  # rare pairs fall back on how frequent the second symbol is
         return np.log(c / c.sum(axis=1, keepdims=True))
 
     return logs(random) - logs(ordinary)
