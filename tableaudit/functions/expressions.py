@@ -14,7 +14,8 @@ DATETIME_TYPES = (T.TimestampType, T.TimestampNTZType, T.DateType)
 
 # A number as a text parser reading numbers would accept it (no type suffixes).
 NUMBER_TEXT = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))\s*$"
-BLANK_TEXT = r"^\s*$"
+# White space as Unicode has it; RE2 and Java read the class alike.
+BLANK_TEXT = r"^[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]*$"
 
 
 def name_has(name: str, patterns) -> bool:
@@ -80,6 +81,21 @@ def number_of(df: DataFrame, name: str) -> Column:
     return to_number(col(name), df.schema[name].dataType)
 
 
+def exact_key(df: DataFrame, name: str) -> Column | None:
+    """Text of the integers and decimals of a column that a double cannot tell
+    apart (null for the others); None where the type has no such values."""
+    dtype = df.schema[name].dataType
+    if isinstance(dtype, T.LongType):
+        return F.when((col(name) > 1 << 53) | (col(name) < -(1 << 53)), col(name).cast("string"))
+    if isinstance(dtype, T.DecimalType) and dtype.precision > 15:
+        return col(name).cast("string")
+    return None
+
+
+def exact_keys(df: DataFrame, names) -> dict[str, Column]:
+    return {c: k for c in names if (k := exact_key(df, c)) is not None}
+
+
 def finite_or_null(c: Column) -> Column:
     """NaN and +-Infinity become null."""
     return F.when(~(F.isnan(c) | (F.abs(c) == F.lit(float("inf")))), c)
@@ -127,16 +143,19 @@ def null_share(df: DataFrame) -> Column:
     return total / F.lit(float(max(n, 1)))
 
 
+#: (least affected share, label), highest first; below all of them: low.
+SEVERITIES = ((C.SEVERITY_HIGH, "high"), (C.SEVERITY_MEDIUM, "medium"))
+
+
 def severity(affected: Column, total: Column) -> Column:
     """Affected share >= .20 high, >= .05 medium, else low."""
-    r = affected / F.greatest(total, F.lit(1))
-    return (F.when(r >= C.SEVERITY_HIGH, "high")
-            .when(r >= C.SEVERITY_MEDIUM, "medium").otherwise("low"))
+    share = affected / F.greatest(total, F.lit(1))
+    return F.coalesce(*[F.when(share >= least, label) for least, label in SEVERITIES], F.lit("low"))
 
 
 def severity_of(affected: int, total: int) -> str:
-    r = affected / max(total, 1)
-    return "high" if r >= C.SEVERITY_HIGH else ("medium" if r >= C.SEVERITY_MEDIUM else "low")
+    """``severity`` of driver-side counts."""
+    return next((label for least, label in SEVERITIES if affected / max(total, 1) >= least), "low")
 
 
 def score_band(score: Column) -> Column:
@@ -152,8 +171,6 @@ def any_of(conds: list[Column]) -> Column:
 
 
 def snake_case(name: str) -> str:
-    """A5 rule: lower, runs of non-alphanumerics to '_', squeeze, trim '_'."""
+    """A5 rule: the name's runs of ASCII letters and digits, in lower case, joined by '_'."""
     import re
-    s = re.sub(r"[^a-z0-9]+", "_", str(name).strip().lower())
-    s = re.sub(r"_+", "_", s).strip("_")
-    return s or "column"
+    return "_".join(re.findall("[a-z0-9]+", str(name).lower())) or "column"

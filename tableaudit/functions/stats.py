@@ -145,63 +145,54 @@ def moments(df: DataFrame, exprs: dict[str, Column], nulls_of: dict[str, Column]
 
 def sums(df: DataFrame, longs: dict[str, Column] | None = None,
          doubles: dict[str, Column] | None = None, maxes: dict[str, Column] | None = None,
-         chunk: int = 400, mins: dict[str, Column] | None = None,
-         maxs: dict[str, Column] | None = None) -> dict:
-    """Many light aggregates over ``df``: sums of longs and doubles, boolean ors
-    (``maxes``), double min/max, as one wide aggregate per ``chunk`` measures.
+         mins: dict[str, Column] | None = None, maxs: dict[str, Column] | None = None) -> dict:
+    """Many light aggregates over ``df`` in one job and one scan: sums of longs
+    and doubles, boolean ors (``maxes``), double min/max.
 
     Light aggregates stay fast when wide (600 measured at about the cost of
-    100); unpivoting them to ``(key, value)`` rows instead was measured to be
-    5-35x slower, so the wide form is always used."""
-    items = ([(n, "l", e) for n, e in (longs or {}).items()] + [(n, "d", e) for n, e in (doubles or {}).items()]
-             + [(n, "b", e) for n, e in (maxes or {}).items()] + [(n, "mn", e) for n, e in (mins or {}).items()]
-             + [(n, "mx", e) for n, e in (maxs or {}).items()])
-    out = {}
-    for start in range(0, len(items), chunk):
-        part = items[start:start + chunk]
-        aggs = []
-        for i, (name, kind, e) in enumerate(part):
-            if kind == "l":
-                a = F.coalesce(F.sum(e.cast("long")), F.lit(0))
-            elif kind == "d":
-                a = F.sum(e.cast("double"))
-            elif kind == "b":
-                a = F.coalesce(F.max(e.cast("boolean")), F.lit(False))
-            elif kind == "mn":
-                a = F.min(e.cast("double"))
-            else:
-                a = F.max(e.cast("double"))
-            aggs.append(a.alias(f"m{i}"))
-        row = df.agg(*aggs).collect()[0]
-        out.update({name: row[f"m{i}"] for i, (name, _, _) in enumerate(part)})
-    return out
+    100); unpivoting them to ``(key, value)`` rows was measured 5-35x slower."""
+    made = {
+        "l": lambda e: F.coalesce(F.sum(e.cast("long")), F.lit(0)),
+        "d": lambda e: F.sum(e.cast("double")),
+        "b": lambda e: F.coalesce(F.max(e.cast("boolean")), F.lit(False)),
+        "mn": lambda e: F.min(e.cast("double")),
+        "mx": lambda e: F.max(e.cast("double")),
+    }
+    items = [(n, made[kind](e)) for kind, group in (("l", longs), ("d", doubles), ("b", maxes), ("mn", mins), ("mx", maxs))
+             for n, e in (group or {}).items()]
+    if not items:
+        return {}
+    row = df.agg(*[a.alias(f"m{i}") for i, (_, a) in enumerate(items)]).collect()[0]
+    return {name: row[f"m{i}"] for i, (name, _) in enumerate(items)}
 
 
 # ---------------------------------------------------------------------------
 # Unpivoted value counts and distributed running sums
 # ---------------------------------------------------------------------------
 
+def digest(c: Column) -> Column:
+    """A text's 128-bit key: distinct counts shuffle this instead of the text."""
+    return F.concat(F.hex(F.xxhash64(c)), F.hex(F.xxhash64(c, F.lit(1))))
+
+
 def value_counts(df: DataFrame, numeric: dict[str, Column] | None = None,
-                 text: dict[str, Column] | None = None, weight: Column | None = None):
+                 text: dict[str, Column] | None = None, weight: Column | None = None,
+                 exact: dict[str, Column] | None = None):
     """Unpivot to ``(_k, _v, _s)`` and count equal values per column.
 
     Returns ``(vc, keys)``: ``vc`` has one row per distinct non-null value of
     each column (``_v`` for numbers, ``_s`` for text) with its count ``_w``;
-    ``keys`` maps column name -> integer key. Map-side combine shrinks
+    ``keys`` maps column name -> integer key. ``exact`` has the text key of
+    numbers that a double cannot tell apart. Map-side combine shrinks
     repeated values before the shuffle, so a hot value costs one row per task.
     """
-    numeric = numeric or {}
-    text = text or {}
-    keys: dict[str, int] = {}
-    structs = []
-    for name, e in numeric.items():
-        keys[name] = len(keys)
-        structs.append(F.struct(F.lit(keys[name]).alias(KEY), e.cast("double").alias(VAL),
-                                F.lit(None).cast("string").alias(TXT)))
-    for name, e in text.items():
-        keys[name] = len(keys)
-        structs.append(F.struct(F.lit(keys[name]).alias(KEY), F.lit(None).cast("double").alias(VAL),
-                                e.cast("string").alias(TXT)))
+    numeric, text, exact = numeric or {}, text or {}, exact or {}
+    keys: dict[str, int] = {name: i for i, name in enumerate([*numeric, *text])}
+    none = F.lit(None)
+    structs = [F.struct(F.lit(keys[name]).alias(KEY), e.cast("double").alias(VAL), exact.get(name, none).cast("string").alias(TXT))
+               for name, e in numeric.items()]
+    structs += [F.struct(F.lit(keys[name]).alias(KEY), none.cast("double").alias(VAL), e.cast("string").alias(TXT))
+                for name, e in text.items()]
     w = (weight if weight is not None else F.lit(1)).cast("long")
     long = (df.select(F.explode(F.array(*structs)).alias("kv"), w.alias(WEIGHT))
             .select("kv.*", WEIGHT)
@@ -260,22 +251,8 @@ def cumulative(vc: DataFrame, key: str, order: list[str], weight: str,
     return ranked, totals
 
 
-def pick_positions(ranked: DataFrame, key: str, value: str, weight: str,
-                   targets: list[tuple]) -> dict[tuple, float]:
-    """Values at 0-based positions ``(key, pos)`` of the ordered, weighted table."""
-    if not targets:
-        return {}
-    spark = ranked.sparkSession
-    kt = ranked.schema[key].dataType.simpleString()
-    tdf = spark.createDataFrame(sorted(set(targets)), f"_tk {kt}, _pos long")
-    hit = ranked.join(F.broadcast(tdf),
-                      (F.col(key) == F.col("_tk")) & (F.col("_pos") >= F.col("_before"))
-                      & (F.col("_pos") < F.col("_before") + F.col(weight)))
-    return {(r["_tk"], r["_pos"]): r[value] for r in hit.select("_tk", "_pos", value).collect()}
-
-
 def _lerp(a, b, t):
-    return a + (b - a) * t
+    return a if t == 0 or a == b else a + (b - a) * t
 
 
 def quantile_targets(n: int, probs) -> list[tuple[float, int, int]]:
@@ -288,35 +265,119 @@ def quantile_targets(n: int, probs) -> list[tuple[float, int, int]]:
     return out
 
 
-def exact_quantiles(df: DataFrame, exprs: dict[str, Column], probs,
-                    weight: Column | None = None, counts: dict[str, int] | None = None) -> dict[str, list[float | None]]:
-    """Linear-interpolated quantiles (pandas ``quantile``), exact and distributed.
+#: Accuracy of the brackets, and values of a bracket that the driver may order.
+BRACKET_ACCURACY, BRACKET_VALUES = 10_000, 2_000
+
 
-    ``counts`` (non-null values per column, when the caller already has them)
-    saves the job that would otherwise total the running-sum table."""
+@dataclass
+class _Bracket:
+    """A range of values that holds the positions ``lo`` and ``hi`` of a column."""
+    name: str
+    t: float
+    lo: int
+    hi: int
+    low: float
+    high: float
+    below: int = 0
+    upto: int = 0
+    found: float | None = None
+
+
+def exact_quantiles(df: DataFrame, exprs: dict[str, Column], probs,
+                    counts: dict[str, int] | None = None) -> dict[str, list[float | None]]:
+    """Linear-interpolated quantiles (pandas ``quantile``), exact, from narrow aggregates.
+
+    ``percentile_approx`` gives each quantile a bracket of values; one aggregate counts
+    what lies below and within it; a bracket that still holds many values gets a
+    narrower one from its own rows, and the few values that are left are counted
+    and ordered on the driver. Nothing is sorted, shuffled by value or checkpointed:
+    each job returns one row, or at most BRACKET_VALUES values a quantile.
+    ``counts``: non-null values per column, when the caller already has them."""
+    probs = list(probs)
     if not exprs:
         return {}
-    vc, keys = value_counts(df, numeric=exprs, weight=weight)
-    ranked, totals = cumulative(vc, KEY, [VAL], WEIGHT)
-    if counts is not None and weight is None:
-        n_by_key = {keys[c]: counts[c] for c in exprs if counts.get(c)}
-    else:
-        n_by_key = {r[KEY]: r["_n"] for r in totals.collect()}
-    targets = []
-    for k, n in n_by_key.items():
-        for _, lo, hi in quantile_targets(n, probs):
-            targets += [(k, lo), (k, hi)]
-    vals = pick_positions(ranked, KEY, VAL, WEIGHT, targets)
-    out = {}
-    for name, k in keys.items():
-        n = n_by_key.get(k)
-        if not n:
-            out[name] = [None] * len(probs)
-            continue
-        out[name] = [_lerp(vals[(k, lo)], vals[(k, hi)], t) for t, lo, hi in quantile_targets(n, probs)]
+    names = list(exprs)
+    x = {c: e.cast("double") for c, e in exprs.items()}
+    edge = 2.0 / BRACKET_ACCURACY
+    wanted = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-edge, edge)})
+    aggs = []
+    for i, c in enumerate(names):
+        aggs += [F.percentile_approx(x[c], wanted, BRACKET_ACCURACY).alias(f"q{i}"), F.min(x[c]).alias(f"a{i}"),
+                 F.max(x[c]).alias(f"z{i}"), F.count(x[c]).alias(f"n{i}")]
+    row = df.agg(*aggs).collect()[0]
+    ends = {c: (row[f"a{i}"], row[f"z{i}"]) for i, c in enumerate(names)}
+    n = {c: row[f"n{i}"] for i, c in enumerate(names)}
+    brackets = []
+    for i, c in enumerate(names):
+        if n[c]:
+            at = dict(zip(wanted, row[f"q{i}"]))
+            for p, (t, lo, hi) in zip(probs, quantile_targets(n[c], probs)):
+                low, high = at[max(0.0, p - edge)], at[min(1.0, p + edge)]
+                brackets.append(_Bracket(c, t, lo, hi, low if p > edge else ends[c][0], high if p < 1 - edge else ends[c][1]))
+    _narrow(df, x, brackets, ends)
+    _order(df, x, [b for b in brackets if b.found is None])
+    out, each = {}, iter(brackets)
+    for c in names:
+        out[c] = [next(each).found for _ in probs] if n[c] else [None] * len(probs)
     return out
 
 
+def _narrow(df: DataFrame, x: dict[str, Column], brackets: list[_Bracket], ends: dict) -> None:
+    """Count each bracket, and narrow those that hold more values than the driver orders."""
+    open_, last = list(brackets), False
+    while open_:
+        aggs = []
+        for i, b in enumerate(open_):
+            aggs += [F.count_if(x[b.name] < b.low).alias(f"b{i}"), F.count_if(x[b.name] <= b.high).alias(f"u{i}")]
+        row = df.agg(*aggs).collect()[0]
+        again = []
+        for i, b in enumerate(open_):
+            b.below, b.upto = row[f"b{i}"], row[f"u{i}"]
+            if b.below > b.lo or b.upto <= b.hi:  # the sketch missed: the whole column is a bracket that holds it
+                b.low, b.high = (ends[b.name][0] if b.below > b.lo else b.low), (ends[b.name][1] if b.upto <= b.hi else b.high)
+                again.append(b)
+            elif b.low == b.high:
+                b.found = b.low
+            elif b.upto - b.below > BRACKET_VALUES:
+                again.append(b)
+        full = [b for b in again if b.below <= b.lo and b.upto > b.hi]
+        if full:
+            edge = 2.0 / BRACKET_ACCURACY
+            asked = []
+            for i, b in enumerate(full):
+                size = b.upto - b.below
+                inside = F.when(x[b.name].between(b.low, b.high), x[b.name])
+                asked.append(F.percentile_approx(inside, [max(0.0, (b.lo - b.below) / size - edge), min(1.0, (b.hi + 1 - b.below) / size + edge)],
+                                                 BRACKET_ACCURACY).alias(f"q{i}"))
+            row = df.agg(*asked).collect()[0]
+            for i, b in enumerate(full):
+                low, high = row[f"q{i}"]
+                if (low, high) == (b.low, b.high):  # few values, each very often: they are ordered as they are
+                    again.remove(b)
+                b.low, b.high = low, high
+        open_ = again
+
+
+def _order(df: DataFrame, x: dict[str, Column], brackets: list[_Bracket]) -> None:
+    """Find the positions of the remaining brackets among the counts of their values."""
+    if not brackets:
+        return
+    inside = [F.struct(F.lit(i).alias(KEY), F.when(x[b.name].between(b.low, b.high), x[b.name]).alias(VAL)) for i, b in enumerate(brackets)]
+    rows = (df.select(F.inline(F.array(*inside))).where(F.col(VAL).isNotNull())
+            .groupBy(KEY, VAL).agg(F.count(F.lit(1)).alias(WEIGHT)))
+    values: dict[int, list[tuple[float, int]]] = {}
+    for r in rows.collect():
+        values.setdefault(r[KEY], []).append((r[VAL], r[WEIGHT]))
+    for i, b in enumerate(brackets):
+        at, got = b.below, {}
+        for v, w in sorted(values[i]):
+            for pos in (b.lo, b.hi):
+                if at <= pos < at + w:
+                    got[pos] = v
+            at += w
+        b.found = _lerp(got[b.lo], got[b.hi], b.t)
+
+
 def approx_quantiles(df: DataFrame, exprs: dict[str, Column], probs, accuracy: int = 10_000):
     """Bounded-memory quantiles (``percentile_approx``), one aggregate job."""
     if not exprs:
@@ -329,13 +390,14 @@ def approx_quantiles(df: DataFrame, exprs: dict[str, Column], probs, accuracy: i
 
 
 def quantiles(df: DataFrame, exprs: dict[str, Column], probs, method: str = "exact",
-              accuracy: int = 10_000, weight: Column | None = None, counts: dict[str, int] | None = None):
-    if method == "approx" and weight is None:
+              accuracy: int = 10_000, counts: dict[str, int] | None = None):
+    if method == "approx":
         return approx_quantiles(df, exprs, probs, accuracy)
-    return exact_quantiles(df, exprs, probs, weight=weight, counts=counts)
+    return exact_quantiles(df, exprs, probs, counts=counts)
 
 
-def column_profile(df: DataFrame, numeric: dict[str, Column], text: dict[str, Column] | None = None):
+def column_profile(df: DataFrame, numeric: dict[str, Column], text: dict[str, Column] | None = None,
+                   exact: dict[str, Column] | None = None):
     """Row count, moments, null counts and distinct counts from one pass over the data.
 
     The table is unpivoted and grouped to ``(column, value, count)`` once
@@ -344,9 +406,9 @@ def column_profile(df: DataFrame, numeric: dict[str, Column], text: dict[str, Co
     counts, and the number of distinct values per column. A row-count key is
     carried along, so ``nulls = rows - non-null count``."""
     from pyspark import StorageLevel
-    text = dict(text or {})
+    text = {c: F.when(e.isNotNull(), digest(e.cast("string"))) for c, e in (text or {}).items()}
     probe = "__rows__"
-    vc, keys = value_counts(df, numeric={probe: F.lit(0.0), **numeric}, text=text)
+    vc, keys = value_counts(df, numeric={probe: F.lit(0.0), **numeric}, text=text, exact=exact)
     vc = vc.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         v, w = F.col(VAL), F.col(WEIGHT)
@@ -397,86 +459,27 @@ def column_profile(df: DataFrame, numeric: dict[str, Column], text: dict[str, Co
 
 def counts_and_quantiles(df: DataFrame, exprs: dict[str, Column], probs):
     """Row count, per-column counters (count, min, max, mean, zeros, negatives,
-    values outside {0, 1}) and exact quantiles from one unpivoted value-count
-    table: one pass over the data, then small jobs over the kept table."""
-    from pyspark import StorageLevel
-    probe = "__rows__"
-    vc, keys = value_counts(df, numeric={probe: F.lit(0.0), **exprs})
-    vc = vc.drop(TXT).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        v, w = F.col(VAL), F.col(WEIGHT)
-        p1 = {r[KEY]: r for r in vc.groupBy(KEY).agg(
-            F.sum(w).alias("c"), F.sum(v * w).alias("s"), F.min(v).alias("mn"), F.max(v).alias("mx"),
-            F.sum(F.when(~v.isin(0.0, 1.0), w).otherwise(0)).alias("nb"),
-            F.sum(F.when(v == 0, w).otherwise(0)).alias("z0"),
-            F.sum(F.when(v < 0, w).otherwise(0)).alias("ng")).collect()}
-        ranked, _ = cumulative(vc.where(F.col(KEY) != keys[probe]), KEY, [VAL], WEIGHT)
-        targets = []
-        for name in exprs:
-            r = p1.get(keys[name])
-            if r is not None and r["c"]:
-                for _, lo, hi in quantile_targets(int(r["c"]), probs):
-                    targets += [(keys[name], lo), (keys[name], hi)]
-        vals = pick_positions(ranked, KEY, VAL, WEIGHT, targets)
-    finally:
-        vc.unpersist(blocking=False)
-    n = int(p1[keys[probe]]["c"]) if keys[probe] in p1 else 0
-    stats, qs = {}, {}
-    for name in exprs:
-        k = keys[name]
-        r = p1.get(k)
-        if r is None or not r["c"]:
-            stats[name] = NumStats(nonbinary=0)
-            qs[name] = [None] * len(probs)
-            continue
-        c = int(r["c"])
-        stats[name] = NumStats(count=c, min=r["mn"], max=r["mx"], mean=r["s"] / c, nonbinary=int(r["nb"]),
-                               zeros=int(r["z0"]), negatives=int(r["ng"]))
-        qs[name] = [_lerp(vals[(k, lo)], vals[(k, hi)], t) for t, lo, hi in quantile_targets(c, probs)]
-    return n, stats, qs
+    values outside {0, 1}) and exact quantiles, from narrow aggregates alone."""
+    n, stats, _ = moments(df, exprs, shape=False)
+    return n, stats, exact_quantiles(df, exprs, probs)
 
 
 def distinct_counts(df: DataFrame, numeric: dict[str, Column] | None = None,
-                    text: dict[str, Column] | None = None) -> dict[str, int]:
-    """Exact distinct non-null values per column from one unpivoted group-by."""
+                    text: dict[str, Column] | None = None, exact: dict[str, Column] | None = None) -> dict[str, int]:
+    """Exact distinct non-null values per column from one unpivoted group-by;
+    texts are told apart by 128-bit digests."""
     if not numeric and not text:
         return {}
-    vc, keys = value_counts(df, numeric=numeric, text=text)
+    text = {c: F.when(e.isNotNull(), digest(e.cast("string"))) for c, e in (text or {}).items()}
+    vc, keys = value_counts(df, numeric=numeric, text=text, exact=exact)
     got = {r[KEY]: r["cnt"] for r in vc.groupBy(KEY).agg(F.count(F.lit(1)).alias("cnt")).collect()}
     return {name: int(got.get(k, 0)) for name, k in keys.items()}
 
 
 def value_profile(df: DataFrame, numeric: dict[str, Column], text: dict[str, Column] | None,
-                  probs=(0.25, 0.5, 0.75), method: str = "exact", accuracy: int = 10_000):
-    """Distinct counts for all columns and quantiles for numeric ones.
-
-    Exact mode reuses one unpivoted, range-partitioned table for both.
-    """
-    text = text or {}
-    if method == "approx":
-        return distinct_counts(df, numeric, text), approx_quantiles(df, numeric, probs, accuracy)
-    if not numeric and not text:
-        return {}, {}
-    vc, keys = value_counts(df, numeric=numeric, text=text)
-    ranked, totals = cumulative(vc, KEY, [VAL, TXT], WEIGHT)
-    tot = {r[KEY]: (r["_n"], r["_rows"]) for r in totals.collect()}
-    distinct = {name: int(tot.get(k, (0, 0))[1]) for name, k in keys.items()}
-    targets = []
-    for name in numeric:
-        k = keys[name]
-        if k in tot:
-            for _, lo, hi in quantile_targets(tot[k][0], probs):
-                targets += [(k, lo), (k, hi)]
-    vals = pick_positions(ranked, KEY, VAL, WEIGHT, targets)
-    qs = {}
-    for name in numeric:
-        k = keys[name]
-        if k not in tot:
-            qs[name] = [None] * len(probs)
-            continue
-        qs[name] = [_lerp(vals[(k, lo)], vals[(k, hi)], t)
-                    for t, lo, hi in quantile_targets(tot[k][0], probs)]
-    return distinct, qs
+                  probs=(0.25, 0.5, 0.75), method: str = "exact", accuracy: int = 10_000, exact: dict[str, Column] | None = None):
+    """Distinct counts for all columns and quantiles for numeric ones."""
+    return distinct_counts(df, numeric, text, exact), quantiles(df, numeric, probs, method, accuracy)
 
 
 def mode_values(df: DataFrame, numeric: dict[str, Column] | None = None,

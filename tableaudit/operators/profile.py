@@ -17,7 +17,7 @@ from .. import config as C
 from ..config import DEFAULT, AuditConfig
 from ..functions import stats as S
 from ..session import reused
-from ..functions.expressions import col, column_kinds, name_has, number_of
+from ..functions.expressions import col, column_kinds, exact_keys, name_has, number_of
 
 __all__ = [
     "Facts", "facts", "numeric_profile", "column_stats", "semantic_types", "semantic_type_of",
@@ -56,16 +56,16 @@ def _facts(df: DataFrame, cfg: AuditConfig, distinct: bool, quantiles: bool,
             if c not in exprs and (columns is None or c in columns) and _groupable(df, c)}
     if distinct and not quantiles and all(c in exprs or c in text for c in df.columns):
         # one pass over the data: moments, nulls and distinct counts from the value-count table
-        n, num, nulls, dist = S.column_profile(df, exprs, text)
+        n, num, nulls, dist = S.column_profile(df, exprs, text, exact_keys(df, exprs))
         return Facts(n=n, kinds=kinds, num=num, nulls=nulls, distinct=dist)
     n, num, nulls = S.moments(df, exprs, {c: col(c) for c in df.columns})
     fx = Facts(n=n, kinds=kinds, num=num, nulls=nulls)
     if distinct or quantiles:
         if quantiles:
-            d, qs = S.value_profile(df, exprs, text, (0.25, 0.5, 0.75), cfg.quantiles, cfg.approx_accuracy)
+            d, qs = S.value_profile(df, exprs, text, (0.25, 0.5, 0.75), cfg.quantiles, cfg.approx_accuracy, exact_keys(df, exprs))
             fx.distinct, fx.quant = d, qs
         else:
-            fx.distinct = S.distinct_counts(df, exprs, text)
+            fx.distinct = S.distinct_counts(df, exprs, text, exact_keys(df, exprs))
     return fx
 
 
