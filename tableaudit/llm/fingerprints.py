@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 SAMPLES = 32
 #: Samples that one row of the sampling step takes: its compiled code stays small enough for the JVM's compiler.
-WIDTH = 4
+WIDTH = 8
 SPACE = r"[\x20\x09-\x0D]+"
 #: Bits of a uniform number, three of which come from a hash.
 _BITS = 21
@@ -39,20 +39,27 @@ def _uniforms(seed: Column) -> list[Column]:
     return [(x + F.lit(0.5)) * F.lit(2.0 ** -_BITS) for x in parts]
 
 
-def least(weights: list[str], samples: int) -> tuple[Column, list[Column]]:
-    """A generator column of sample groups, and per weight column and sample of the group its least (a, word, t)."""
-    groups = F.explode(F.sequence(F.lit(0), F.lit(samples // WIDTH - 1)))
-    out = []
+def draws() -> dict[str, Column]:
+    """r, ln c and b of each sample of the row's ``group``: columns of their own, so both weights share them."""
+    out = {}
     for i in range(WIDTH):
         number = F.col("group") * WIDTH + i
         u, v = _uniforms(2 * number), _uniforms(2 * number + 1)
-        r, c = -F.ln(u[0] * u[1]), F.ln(-F.ln(v[0] * v[1]))
-        for w in weights:
-            t = F.floor(F.col(f"ln_{w}") / r + u[2])
-            steps = F.floor((c - r * (t - u[2] + 1)) * _STEP)
-            key = F.shiftleft(steps, 32).bitwiseOR(F.xxhash64("word", t).bitwiseAND(_LOWER))
-            out.append(F.min(F.when(F.col(w) > 0, key)).alias(f"{w}_{i}"))
-    return groups, out
+        out |= {f"r{i}": -F.ln(u[0] * u[1]), f"c{i}": F.ln(-F.ln(v[0] * v[1])), f"b{i}": u[2]}
+    return out
+
+
+def least(weights: list[str]) -> list[Column]:
+    """Per weight column and sample of the group its least (a, word, t); a weight of 0 has no logarithm and so none."""
+    out = []
+    for w in weights:
+        for i in range(WIDTH):
+            r, b = F.col(f"r{i}"), F.col(f"b{i}")
+            t = F.floor(F.col(f"ln_{w}") / r + b)
+            steps = F.floor((F.col(f"c{i}") - r * (t - b + 1)) * _STEP)
+            key = F.shiftleft(steps, 32).bitwiseOR(F.col("word").bitwiseXOR(F.shiftleft(t, 3)).bitwiseAND(_LOWER))
+            out.append(F.min(key).alias(f"{w}_{i}"))
+    return out
 
 
 def digest(groups: Column, weight: str, samples: int) -> Column:
@@ -125,9 +132,9 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
              .filter("kind = 2 OR text != ''").select("bucket", "place", "kind", "about", F.xxhash64("text").alias("word")))
     # The exchange by bucket serves this and all that follows.
     counts = words.groupBy("bucket", "place", "about", "word").agg(F.count_if(F.col("kind") == 0).alias("w0"), F.count_if(F.col("kind") == 1).alias("w1"))
-    counts = counts.withColumns({"ln_w0": F.ln("w0"), "ln_w1": F.ln("w1")})
-    group, sampled = least(["w0", "w1"], samples)
-    groups = counts.withColumn("group", group).groupBy("bucket", "place", "about", "group").agg(*sampled)
+    counts = counts.select("bucket", "place", "about", "word", F.ln("w0").alias("ln_w0"), F.ln("w1").alias("ln_w1"))
+    drawn = counts.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(samples // WIDTH - 1)))).withColumns(draws())
+    groups = drawn.groupBy("bucket", "place", "about", "group").agg(*least(["w0", "w1"]))
     values = [f"{w}_{i}" for w in ("w0", "w1") for i in range(WIDTH)]
     done = groups.groupBy("bucket", "place").agg(F.max("about").alias("about"), F.collect_list(F.when(F.col("about").isNull(), F.struct("group", *values))).alias("all"))
     done = done.select("bucket", "place", "about.*", digest(F.col("all"), "w0", samples).alias("fingerprint"), digest(F.col("all"), "w1", samples).alias("edited_fingerprint"))
