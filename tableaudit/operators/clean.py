@@ -29,7 +29,7 @@ from ..session import reused
 from .detect import quality_score
 
 KEEP = ("keep_as_is", "keep_all")
-CHANGES_SCHEMA = "anomaly_id string, action string, description string, rows_changed bigint"
+CHANGES_SCHEMA = "anomaly_id string, action string, description string, rows_changed bigint, coerced_to_null bigint"
 
 
 @dataclass
@@ -44,13 +44,14 @@ class CleanResult:
     extra: dict = field(default_factory=dict)
 
 
-def _g4(v) -> str:
-    return format(float(v), ".4g")
+def shown(v) -> str:
+    """A number for a description: four significant digits."""
+    return "none" if v is None else f"{float(v):.4g}"
 
 
-def domain_floor(name: str) -> float:
-    """Physical minimum by name: 0 for non-negative domains, else -inf."""
-    return 0.0 if name_has(name, C.NONNEG_DOMAIN_PATTERNS) else float("-inf")
+def least_possible(name: str) -> Column | None:
+    """Zero for columns whose name says that they cannot be negative."""
+    return F.lit(0.0) if name_has(name, C.NONNEG_DOMAIN_PATTERNS) else None
 
 
 def as_records(anomalies) -> list[dict]:
@@ -121,13 +122,211 @@ class _State:
         return out
 
 
-def _outside(x: Column, lo, hi) -> Column:
-    return F.coalesce((x < F.lit(float(lo))) | (x > F.lit(float(hi))), F.lit(False))
+# ---------------------------------------------------------------------------
+# Actions: each rewrites the state for one decision and describes what it does
+# ---------------------------------------------------------------------------
+
+class Step:
+    """One decision on its way into the state."""
+
+    def __init__(self, st: _State, anomaly: dict, params: dict, key: str, cfg: AuditConfig):
+        self.st, self.anomaly, self.params, self.key, self.cfg = st, anomaly, params, key, cfg
+        self.kind, name = anomaly["anomaly_type"], anomaly.get("column_name")
+        self.column = name if name and name in st.exprs else None
+
+    def rows(self) -> DataFrame:
+        return self.st.base.where(self.st.alive)
+
+    def number(self) -> Column:
+        return self.st.num(self.column)
+
+    def bound(self, name: str, asked: bool = False) -> float | None:
+        """``lower_bound`` / ``upper_bound`` of the anomaly, or with ``asked`` the decision's own."""
+        own = self.params.get({"lower_bound": "min_bound", "upper_bound": "max_bound"}[name]) if asked else None
+        found = self.anomaly.get(name) if own is None else own
+        return None if found is None else float(found)
+
+    def limits(self, asked: bool = False) -> tuple[float, float] | None:
+        low, high = self.bound("lower_bound", asked), self.bound("upper_bound", asked)
+        return None if low is None or high is None else (low, high)
+
+    def outside(self, low: float, high: float) -> Column:
+        x = self.number()
+        return F.coalesce(~x.between(low, high), F.lit(False))
+
+    def share_limit(self) -> float:
+        asked = self.params.get("threshold", self.anomaly.get("threshold"))
+        return 0.5 if asked is None else float(asked)
+
+    def changes(self, where: Column) -> None:
+        """Count the rows that the decision changes."""
+        self.st.count_where(self.key, where)
+
+    def becomes(self, value: Column, dtype: T.DataType | None = None) -> None:
+        """Put ``value`` in the column; as a number it counts the texts that are none and so get lost."""
+        if dtype is None:
+            dtype = T.DoubleType()
+            if is_text(self.st.types[self.column]):
+                self.st.count_where(self.key + "_lost", self.st.exprs[self.column].isNotNull() & value.isNull() & self.number().isNull())
+        self.st.exprs[self.column], self.st.types[self.column] = value, dtype
+
+
+def _drop_column(s: Step) -> str | None:
+    if s.column is None:
+        return None
+    s.st.count_rows(s.key)
+    del s.st.exprs[s.column], s.st.types[s.column]
+    return f"removed column {s.column}"
+
+
+def _rows_to_drop(s: Step) -> tuple[Column, str] | None:
+    """The rows that a drop decision takes out, by type of anomaly."""
+    if s.kind == "HIGH_NULL_DENSITY_ROWS":
+        return s.st.null_share() > s.share_limit(), "that are mostly empty"
+    if s.column is None:
+        return None
+    ranged = {"STATISTICAL_OUTLIER": "beyond the fences of", "LOGICAL_VIOLATION": "outside the valid range of"}
+    if s.kind in ranged:
+        return s.outside(*s.limits()), f"{ranged[s.kind]} {s.column}"
+    simple = {"MISSING_DATA": (s.st.missing, "without"), "ZERO_AS_MISSING": (lambda c: s.st.num(c) == 0, "with a zero in")}
+    if s.kind in simple:
+        test, words = simple[s.kind]
+        return F.coalesce(test(s.column), F.lit(False)), f"{words} {s.column}"
+    return None
+
+
+def _drop_rows(s: Step) -> str:
+    found = _rows_to_drop(s)
+    if found is None:
+        return "left as it is: no rule says which rows to drop"
+    gone, words = found
+    s.changes(gone)
+    s.st.alive = s.st.alive & ~gone
+    return f"dropped {{rows}} rows {words}"
+
+
+def _put_mean(s: Step, wrong: Column, words: str) -> str:
+    """Replace the values that ``wrong`` marks by the mean of the others."""
+    x = s.number()
+    mean = s.rows().agg(F.avg(F.when(~wrong, x))).first()[0]
+    s.changes(wrong)
+    s.becomes(F.when(wrong, F.lit(mean)).otherwise(x))
+    return f"put the mean of the other values ({shown(mean)}) for {{rows}} {words} of {s.column}"
+
+
+def _fill_with(s: Step, value: float | None, name: str) -> str:
+    if value is None:
+        return f"left as it is: {s.column} has no numbers to take a {name} of"
+    x = s.number()
+    s.changes(x.isNull())
+    s.becomes(F.coalesce(x, F.lit(float(value))))
+    return f"filled {{rows}} gaps of {s.column} with the {name} ({shown(value)})"
+
+
+def _fill_mean(s: Step) -> str | None:
+    if s.column is None:
+        return _fill_sparse_rows(s) if s.kind == "HIGH_NULL_DENSITY_ROWS" else None
+    if s.kind == "STATISTICAL_OUTLIER":
+        return _put_mean(s, s.outside(*s.limits()), "outliers")
+    if s.kind == "ZERO_AS_MISSING":
+        return _put_mean(s, F.coalesce(s.number() == 0, F.lit(False)), "zeros")
+    return _fill_with(s, s.rows().agg(F.avg(s.number())).first()[0], "mean")
+
+
+def _fill_median(s: Step) -> str | None:
+    if s.column is None:
+        return None
+    return _fill_with(s, S.quantiles(s.rows(), {s.column: s.number()}, (0.5,), s.cfg.quantiles, s.cfg.approx_accuracy)[s.column][0], "median")
+
+
+def _fill_mode(s: Step) -> str | None:
+    if s.column is None:
+        return None
+    if is_numeric(s.st.types[s.column]):  # a column of numbers with gaps takes its median
+        return f"{_fill_median(s)}, as it holds numbers"
+    raw, dtype = s.st.exprs[s.column], s.st.types[s.column]
+    # Counted in the column's own type; the smallest of equally frequent values.
+    top = (s.rows().select(raw.alias("v")).where("v IS NOT NULL").groupBy("v").count()
+           .orderBy(F.desc("count"), "v").limit(1).select(F.col("v").cast("string")).collect())
+    if not top:
+        return f"left as it is: {s.column} has no value to take"
+    s.changes(raw.isNull())
+    s.becomes(F.coalesce(raw, F.lit(top[0][0]).cast(dtype)), dtype)
+    return f"filled {{rows}} gaps of {s.column} with its most frequent value ({top[0][0]})"
+
+
+def _fill_sparse_rows(s: Step) -> str:
+    """On rows over the null-share threshold, numeric nulls become column means."""
+    st = s.st
+    numbers = {c: st.num(c) for c in st.exprs if is_numeric(st.types[c])}
+    if not numbers:
+        return "left as it is: no column holds numbers"
+    row = s.rows().agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(numbers.values())]).first()
+    means = {c: m for c, m in zip(numbers, row) if m is not None}
+    sparse = st.null_share() > s.share_limit()
+    gaps = {c: sparse & numbers[c].isNull() for c in means}
+    st.counters[s.key] = F.when(st.alive, sum((g.cast("int") for g in gaps.values()), F.lit(0))).otherwise(0)
+    for c, m in means.items():
+        st.exprs[c], st.types[c] = F.when(gaps[c], F.lit(float(m))).otherwise(numbers[c]), T.DoubleType()
+    return "filled {rows} gaps in mostly empty rows with column means"
+
+
+def _limit_to(s: Step, low, high, words: str) -> str:
+    x, low = s.number(), low if isinstance(low, Column) else F.lit(low)
+    s.changes(x.isNotNull() & ((x < low) | (x > high)))
+    s.becomes(F.when(x.isNotNull(), F.least(F.greatest(x, low), F.lit(high))))
+    return f"moved {{rows}} values of {s.column} to {words}"
+
+
+def _cap_iqr(s: Step) -> str | None:
+    found = s.column and s.limits()
+    if not found:
+        return None
+    low, floor = F.lit(found[0]), least_possible(s.column)
+    return _limit_to(s, low if floor is None else F.greatest(low, floor), found[1], f"the fences around {shown(found[0])} to {shown(found[1])}")
+
+
+def _clamp_bounds(s: Step) -> str | None:
+    found = s.column and s.limits(asked=True)
+    return _limit_to(s, *found, f"the range {shown(found[0])} to {shown(found[1])}") if found else None
+
+
+def _treat_as_missing(s: Step) -> str | None:
+    found = s.column and s.limits()
+    if not found:
+        return None
+    wrong = s.outside(*found)
+    s.changes(wrong)
+    s.becomes(F.when(~wrong, s.number()))
+    return f"emptied {{rows}} values of {s.column} that lie outside its range"
+
+
+def _overwrite(s: Step, value: Column, words: str) -> str:
+    s.st.count_rows(s.key)
+    s.becomes(value, T.StringType())
+    return f"{words} every value of {s.column}"
+
+
+def _redact(s: Step) -> str | None:
+    return s.column and _overwrite(s, F.lit(C.REDACTED), "blacked out")
+
+
+def _hash(s: Step) -> str | None:
+    return s.column and _overwrite(s, F.sha2(s.st.exprs[s.column].cast("string"), 256), "put a SHA-256 digest for")
+
+
+ACTIONS = {
+    "drop_column": _drop_column, "drop_rows": _drop_rows, "fill_mean": _fill_mean, "fill_median": _fill_median, "fill_mode": _fill_mode,
+    "cap_iqr": _cap_iqr, "clamp_bounds": _clamp_bounds, "treat_as_missing": _treat_as_missing, "redact": _redact, "hash_sha256": _hash,
+}
 
 
 def clean(df: DataFrame, anomalies, decisions, cfg: AuditConfig = DEFAULT,
           parent_run_id: str | None = None) -> CleanResult:
-    """Apply decisions in order on the evolving table; count real changes."""
+    """Apply decisions in order on the evolving table; count real changes.
+
+    ``rows_changed`` counts the rows (or values) that a decision changes,
+    ``coerced_to_null`` the texts that are no numbers and are lost as a column becomes numeric."""
     recs = as_records(anomalies)
     with reused(nan_to_null(df)) as base:
         return _clean(base, recs, decisions, cfg, parent_run_id)
@@ -135,269 +334,46 @@ def clean(df: DataFrame, anomalies, decisions, cfg: AuditConfig = DEFAULT,
 
 def _clean(base: DataFrame, recs: list[dict], decisions, cfg: AuditConfig,
            parent_run_id: str | None) -> CleanResult:
-    by_id = {str(r["anomaly_id"]): r for r in recs}
-    by_plain = {k.replace("-", ""): v for k, v in by_id.items()}
-    st = _State(base)
-    spark = base.sparkSession
-    log: list[dict] = []          # change rows; rows_changed may be a pending key
-    resolved: list[str] = []
-    results: dict[str, int] = {}
-    held: list[DataFrame] = []
-
-    def flush():
-        got = st.flush()
-        results.update({k: v for k, v in got.items() if k != "__rows_now"})
-        return got["__rows_now"]
-
+    plain = lambda i: str(i).replace("-", "")
+    by_id = {plain(r["anomaly_id"]): r for r in recs}
+    st, counted, held = _State(base), {}, []
+    log: list[dict] = []
     for d in as_decisions(decisions):
-        aid = str(d.get("anomaly_id", ""))
-        action = str(d.get("action", "keep_as_is"))
-        params = d["params"]
-        a = by_id.get(aid) or by_plain.get(aid.replace("-", ""))
-        if a is None:
+        anomaly = by_id.get(plain(d.get("anomaly_id", "")))
+        if anomaly is None:
             continue
-        aid = str(a["anomaly_id"])
-        atype = a["anomaly_type"]
-        c = a.get("column_name")
-        has_col = bool(c) and c in st.exprs
-        i = len(log)
-        row = {"anomaly_id": aid, "action": action, "description": "", "rows_changed": 0}
+        action, key = str(d.get("action", "keep_as_is")), f"c{len(log)}"
+        row = {"anomaly_id": str(anomaly["anomaly_id"]), "action": action, "description": "", "rows_changed": key}
         log.append(row)
-        if action not in KEEP:
-            resolved.append(aid)
-        key = f"c{i}"
-
         if action in KEEP:
-            row["description"] = f"Kept {atype} as-is (no change)"
-            continue
-
-        if action == "remove_duplicates":
-            st.count_rows(key + "_before")
-            n_before_key = key + "_before"
-            flush()
-            # the de-duplicated base feeds every later statistic and counter: keep it
-            # (memory, spilling to disk) until the run's counters are in
+            row["description"] = f"kept as it is: {anomaly['anomaly_type']}"
+        elif action == "remove_duplicates":
+            st.count_rows(key)
+            counted.update(st.flush())
+            # Every later statistic and counter reads the de-duplicated rows: they are kept until the counters are in.
             deduped = st.current().dropDuplicates().persist(StorageLevel.MEMORY_AND_DISK)
             held.append(deduped)
             st.set_base(deduped)
-            st.count_rows(key + "_after")
-            row["_dedup"] = (n_before_key, key + "_after")
-            continue
-
-        if action == "drop_column" and has_col:
-            st.count_rows(key)
-            del st.exprs[c]
-            del st.types[c]
-            row["description"] = f"Dropped column '{c}'"
-            row["_key"] = key
-            continue
-
-        if action == "drop_rows":
-            mask, desc = _drop_mask(st, a, c, has_col, params)
-            if mask is None:
-                row["description"] = "drop_rows: no matching rule found — no change"
-                continue
-            st.count_where(key, mask)
-            st.alive = st.alive & ~F.coalesce(mask, F.lit(False))
-            row["description"] = desc
-            row["_key"] = key
-            continue
-
-        if action in ("fill_mean", "fill_median", "fill_mode") and has_col:
-            _fill(st, a, c, action, row, key, cfg)
-            continue
-
-        if action == "fill_mean" and atype == "HIGH_NULL_DENSITY_ROWS":
-            _fill_sparse_rows(st, a, params, row, key)
-            continue
-
-        if action == "cap_iqr" and has_col:
-            lo, hi = a.get("lower_bound"), a.get("upper_bound")
-            if lo is not None and hi is not None:
-                lo = max(float(lo), domain_floor(c))
-                x = st.num(c)
-                st.count_where(key, x.isNotNull() & ((x < lo) | (x > hi)))
-                st.exprs[c] = F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(lo)), F.lit(float(hi))))
-                st.types[c] = T.DoubleType()
-                row["description"] = f"Capped '{c}' to IQR fences [{_g4(lo)}, {_g4(hi)}]"
-                row["_key"] = key
-                continue
-
-        if action == "clamp_bounds" and has_col:
-            lo = params.get("min_bound") if params.get("min_bound") is not None else a.get("lower_bound")
-            hi = params.get("max_bound") if params.get("max_bound") is not None else a.get("upper_bound")
-            if lo is not None and hi is not None:
-                x = st.num(c)
-                st.count_where(key, x.isNotNull() & ((x < float(lo)) | (x > float(hi))))
-                st.exprs[c] = F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(float(lo))), F.lit(float(hi))))
-                st.types[c] = T.DoubleType()
-                row["description"] = f"Clamped '{c}' to [{lo}, {hi}]"
-                row["_key"] = key
-                continue
-
-        if action == "treat_as_missing" and has_col:
-            lo, hi = a.get("lower_bound"), a.get("upper_bound")
-            if lo is not None and hi is not None:
-                x = st.num(c)
-                mask = _outside(x, lo, hi)
-                st.count_where(key, mask)
-                st.exprs[c] = F.when(~mask, x)
-                st.types[c] = T.DoubleType()
-                row["description"] = "__treat__" + c
-                row["_key"] = key
-                continue
-
-        if action == "redact" and has_col:
-            st.count_rows(key)
-            st.exprs[c] = F.lit("[REDACTED]")
-            st.types[c] = T.StringType()
-            row["description"] = f"Redacted column '{c}'"
-            row["_key"] = key
-            continue
-
-        if action == "hash_sha256" and has_col:
-            st.count_rows(key)
-            st.exprs[c] = F.sha2(st.exprs[c].cast("string"), 256)
-            st.types[c] = T.StringType()
-            row["description"] = f"SHA-256 hashed column '{c}'"
-            row["_key"] = key
-            continue
-
-        row["description"] = f"Skipped unrecognised action '{action}'"
-
-    rows_now = flush()
+            st.count_rows(key + "_left")
+            row["description"] = "dropped {rows} rows that repeat another"
+        else:
+            made = ACTIONS[action](Step(st, anomaly, d["params"], key, cfg)) if action in ACTIONS else None
+            row["description"] = made or f"Skipped unrecognised action '{action}'"
+    counted.update(st.flush())
     for h in held:
         h.unpersist(blocking=False)
     for row in log:
-        if "_key" in row:
-            row["rows_changed"] = int(results.get(row.pop("_key"), 0))
-        if "_dedup" in row:
-            kb, ka = row.pop("_dedup")
-            removed = int(results.get(kb, 0)) - int(results.get(ka, 0))
-            row["rows_changed"] = removed
-            row["description"] = f"Removed {removed} duplicate rows"
-        if row["description"].startswith("__treat__"):
-            c = row["description"][len("__treat__"):]
-            row["description"] = (f"Set {row['rows_changed']} out-of-bounds value(s) in '{c}' "
-                                  f"to missing (NaN) instead of clamping")
-        for k in [k for k in row if k.startswith("_")]:
-            row.pop(k)
-        if "{rows}" in row["description"]:
-            row["description"] = row["description"].replace("{rows}", str(row["rows_changed"]))
-    out = st.current()
-    rules = None
-    if not any(r["action"] == "remove_duplicates" for r in log):
-        rules = (st.alive, dict(st.exprs))
+        key = row["rows_changed"]
+        row["rows_changed"] = int(counted.get(key, 0)) - int(counted.get(key + "_left", 0))
+        row["coerced_to_null"] = int(counted.get(key + "_lost", 0))
+        row["description"] = row["description"].replace("{rows}", str(row["rows_changed"]))
+    resolved = [r["anomaly_id"] for r in log if r["action"] not in KEEP]
     remaining = [r for r in recs if str(r["anomaly_id"]) not in set(resolved)]
-    score = quality_score(remaining, rows_now)
-    changes = spark.createDataFrame([(r["anomaly_id"], r["action"], r["description"], r["rows_changed"])
-                                     for r in log], CHANGES_SCHEMA)
-    return CleanResult(df=out, changes=changes, change_rows=log, score_after=score, rows_after=rows_now,
-                       resolved=resolved, parent_run_id=parent_run_id, extra={"rules": rules})
-
-
-def _drop_mask(st: _State, a: dict, c, has_col: bool, params: dict):
-    atype = a["anomaly_type"]
-    if atype == "MISSING_DATA" and has_col:
-        return st.missing(c), f"Dropped {{rows}} rows with missing '{c}'"
-    if atype == "STATISTICAL_OUTLIER" and has_col:
-        lo, hi = a.get("lower_bound"), a.get("upper_bound")
-        return _outside(st.num(c), lo, hi), f"Dropped {{rows}} outlier rows in '{c}'"
-    if atype == "LOGICAL_VIOLATION" and has_col:
-        lo, hi = a.get("lower_bound"), a.get("upper_bound")
-        return _outside(st.num(c), lo, hi), f"Dropped {{rows}} logically invalid rows in '{c}'"
-    if atype == "ZERO_AS_MISSING" and has_col:
-        return F.coalesce(st.num(c) == 0, F.lit(False)), f"Dropped {{rows}} zero-as-missing rows in '{c}'"
-    if atype == "HIGH_NULL_DENSITY_ROWS":
-        t = params.get("threshold")
-        if t is None:
-            t = a.get("threshold")
-        if t is None:
-            t = 0.5
-        return st.null_share() > float(t), "Dropped {rows} high-null-density rows"
-    return None, ""
-
-
-def _fill(st: _State, a: dict, c: str, action: str, row: dict, key: str, cfg: AuditConfig):
-    atype = a["anomaly_type"]
-    x = st.num(c)
-    alive_df = st.base.where(st.alive)
-    if atype == "STATISTICAL_OUTLIER" and action == "fill_mean":
-        lo, hi = float(a["lower_bound"]), float(a["upper_bound"])
-        val = alive_df.agg(F.avg(F.when((x >= lo) & (x <= hi), x))).collect()[0][0]
-        mask = _outside(x, lo, hi)
-        st.count_where(key, mask)
-        st.exprs[c] = F.when(mask, F.lit(val)).otherwise(x)
-        st.types[c] = T.DoubleType()
-        row["description"] = f"Replaced {{rows}} outliers in '{c}' with inlier mean ({_g4(val) if val is not None else 'nan'})"
-        row["_key"] = key
-        return
-    if atype == "ZERO_AS_MISSING" and action == "fill_mean":
-        val = alive_df.agg(F.avg(F.when(x != 0, x))).collect()[0][0]
-        mask = F.coalesce(x == 0, F.lit(False))
-        st.count_where(key, mask)
-        st.exprs[c] = F.when(mask, F.lit(val)).otherwise(x)
-        st.types[c] = T.DoubleType()
-        row["description"] = f"Replaced {{rows}} zero(s) in '{c}' with non-zero mean ({_g4(val) if val is not None else 'nan'})"
-        row["_key"] = key
-        return
-    numeric_col = is_numeric(st.types[c])
-    if action == "fill_mode" and not numeric_col:
-        raw = st.exprs[c]
-        val = S.mode_values(alive_df, text={c: raw}).get(c) if is_text(st.types[c]) else \
-            S.mode_values(alive_df, numeric={c: raw.cast("double")}).get(c)
-        st.count_where(key, raw.isNull())
-        st.exprs[c] = F.coalesce(raw, F.lit(val).cast(st.types[c])) if val is not None else raw
-        row["description"] = f"Filled {{rows}} '{c}' NaN(s) with mode ({val})"
-        row["_key"] = key
-        return
-    if action == "fill_mode":
-        # numeric with gaps is float in the reference, so mode becomes median
-        action, note = "fill_median", " [mode overridden: continuous column]"
-    else:
-        note = ""
-    if action == "fill_mean":
-        val = alive_df.agg(F.avg(x)).collect()[0][0]
-        what = "mean"
-    else:
-        val = S.quantiles(alive_df, {c: x}, (0.5,), cfg.quantiles, cfg.approx_accuracy)[c][0]
-        what = "median"
-    if val is None:
-        row["description"] = f"Skipped {action} on '{c}': no numeric values"
-        return
-    st.count_where(key, x.isNull())
-    st.exprs[c] = F.coalesce(x, F.lit(float(val)))
-    st.types[c] = T.DoubleType()
-    row["description"] = f"Filled {{rows}} '{c}' NaN(s) with {what} ({_g4(val)}){note}"
-    row["_key"] = key
-
-
-def _fill_sparse_rows(st: _State, a: dict, params: dict, row: dict, key: str):
-    """On rows over the null-share threshold, fill numeric nulls with column means."""
-    t = params.get("threshold") if params.get("threshold") is not None else a.get("threshold")
-    t = 0.5 if t is None else float(t)
-    nums = [c for c in st.exprs if is_numeric(st.types[c])]
-    if not nums:
-        row["description"] = "Skipped fill_mean: no numeric columns"
-        return
-    alive_df = st.base.where(st.alive)
-    means = alive_df.agg(*[F.avg(st.num(c)).alias(f"m{i}") for i, c in enumerate(nums)]).collect()[0]
-    sparse = st.null_share() > t
-    filled = F.lit(0)
-    new = {}
-    for i, c in enumerate(nums):
-        m = means[f"m{i}"]
-        if m is None:
-            continue
-        x = st.num(c)
-        filled = filled + F.when(sparse & x.isNull(), 1).otherwise(0)
-        new[c] = F.when(sparse & x.isNull(), F.lit(float(m))).otherwise(x)
-    st.counters[key] = F.when(st.alive, filled).otherwise(0)
-    for c, e in new.items():
-        st.exprs[c] = e
-        st.types[c] = T.DoubleType()
-    row["description"] = "Filled {rows} numeric null(s) in sparse rows with column means"
-    row["_key"] = key
+    changes = base.sparkSession.createDataFrame(
+        [(r["anomaly_id"], r["action"], r["description"], r["rows_changed"], r["coerced_to_null"]) for r in log], CHANGES_SCHEMA)
+    rules = None if held else (st.alive, dict(st.exprs))
+    return CleanResult(df=st.current(), changes=changes, change_rows=log, score_after=quality_score(remaining, counted["__rows_now"]),
+                       rows_after=counted["__rows_now"], resolved=resolved, parent_run_id=parent_run_id, extra={"rules": rules})
 
 
 # ---------------------------------------------------------------------------

@@ -2,9 +2,9 @@
 
 Correlations are one aggregate job. Spearman correlation is exact and
 distributed: average ranks come from the range-partitioned running sums in
-``functions.stats`` (one rank table per rank domain), are joined back to
-the rows (broadcast only when the rank table's row count is known to be
-small), and ``corr`` of the ranks is one more aggregate.
+``functions.stats`` (one rank table per rank domain: a column and the
+null mask of its partner, shared by all partners with that mask), are joined
+back to the rows (Spark broadcasts a table whose size it knows to be small), and ``corr`` of the ranks is one more aggregate.
 """
 
 from __future__ import annotations
@@ -22,8 +22,6 @@ from ..session import reused
 from .features import correlations
 from .profile import Facts, chart_flags, column_stats_rows, continuous_columns, facts
 
-BROADCAST_RANK_ROWS = 1_000_000
-
 
 # ---------------------------------------------------------------------------
 # F1, F2 Pearson
@@ -36,11 +34,7 @@ def pearson_matrix(df: DataFrame, columns: list[str] | None = None, cfg: AuditCo
         if columns is None:
             fx = fx or facts(df, cfg, distinct=True)
             columns = continuous_columns(fx)
-        if fx is not None:
-            rs = correlations(df, columns, {c: fx.num[c].mean for c in columns},
-                              {c: fx.n - fx.num[c].count for c in columns})
-        else:
-            rs = correlations(df, columns)
+        rs = correlations(df, columns, None if fx is None else {c: fx.num[c].mean for c in columns})
     rows = []
     for a in columns:
         for b in columns:
@@ -54,21 +48,18 @@ def pearson_matrix(df: DataFrame, columns: list[str] | None = None, cfg: AuditCo
     return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, r double, r_shown double")
 
 
-def max_abs_correlation(df: DataFrame, columns: list[str]) -> float | None:
-    """Largest off-diagonal |r| (null when fewer than two columns or no valid r)."""
-    if len(columns) < 2:
-        return None
-    vals = [abs(r) for r in correlations(df, columns).values() if r is not None]
-    return max(vals) if vals else None
+def strongest_pair(df: DataFrame, columns: list[str], rs: dict | None = None):
+    """(a, b, r) with the largest |r| in the upper triangle (first on ties), or None.
+    ``rs``: the correlations, where the caller already has them."""
+    rs = correlations(df, columns) if rs is None else rs
+    found = [(a, b, r) for (a, b), r in rs.items() if r is not None]
+    return max(found, key=lambda p: abs(p[2]), default=None)
 
 
-def strongest_pair(df: DataFrame, columns: list[str]):
-    """(a, b, r) with the largest |r| in the upper triangle (first on ties)."""
-    best = None
-    for (a, b), r in correlations(df, columns).items():
-        if r is not None and (best is None or abs(r) > abs(best[2])):
-            best = (a, b, r)
-    return best
+def max_abs_correlation(df: DataFrame, columns: list[str], rs: dict | None = None) -> float | None:
+    """Largest off-diagonal |r| (null when fewer than two columns or no valid r)."""
+    best = strongest_pair(df, columns, rs)
+    return None if best is None else abs(best[2])
 
 
 # ---------------------------------------------------------------------------
@@ -82,30 +73,28 @@ def spearman(df: DataFrame, pairs: list[tuple[str, str]], min_rows: int = 3) ->
     cols = sorted({c for p in pairs for c in p})
     x = {c: number_of(df, c) for c in cols}
     nulls = S.sums(df, {c: F.when(x[c].isNull(), 1).otherwise(0) for c in cols})
+    # A column is ranked within the rows that its partner has too. Partners whose nulls
+    # stand in the same rows share a mask, and so the column's rank table.
+    gaps = [c for c in cols if nulls[c]]
+    apart = {}
+    for i, a in enumerate(gaps):
+        for b in gaps[i + 1:]:
+            if nulls[a] == nulls[b]:
+                apart[(a, b)] = F.when(x[a].isNull() != x[b].isNull(), 1).otherwise(0)
+    differ = S.sums(df, {str(k): e for k, e in apart.items()})
+    mask = {c: None if not nulls[c] else next((a for a in gaps[:gaps.index(c)] if differ.get(str((a, c))) == 0), c) for c in cols}
     specs: dict[str, tuple[Column, Column]] = {}
     spec_col: dict[str, tuple[str, tuple | None]] = {}
-    pair_spec = {}
-
-    def own(c):
-        # rank among the column's own non-null values
-        s = f"s{cols.index(c)}"
-        specs[s] = (x[c], F.lit(True))
-        spec_col[s] = (c, None)
-        return s
-
-    def within(c, other, i, side):
-        # rank among rows where the other column is present too
-        s = f"p{i}{side}"
-        specs[s] = (x[c], x[c].isNotNull() & x[other].isNotNull())
-        spec_col[s] = (c, (c, other))
-        return s
 
-    for i, (a, b) in enumerate(pairs):
-        # a column's pairwise-complete rows equal its own non-null rows when the partner has no nulls
-        sa = own(a) if nulls[b] == 0 else within(a, b, i, "a")
-        sb = own(b) if nulls[a] == 0 else within(b, a, i, "b")
-        pair_spec[(a, b)] = (sa, sb)
-    lookup, keys, sizes = S.average_ranks(df, specs)
+    def domain(c: str, partner: str) -> str:
+        m = None if mask[partner] in (None, mask[c]) else mask[partner]
+        name = f"s{cols.index(c)}" + (f"m{cols.index(m)}" if m else "")
+        specs[name] = (x[c], F.lit(True) if m is None else x[c].isNotNull() & x[m].isNotNull())
+        spec_col[name] = (c, None if m is None else (c, m))
+        return name
+
+    pair_spec = {(a, b): (domain(a, b), domain(b, a)) for a, b in pairs}
+    lookup, keys = S.average_ranks(df, specs)
     cur = df.select(*[x[c].alias(f"__x{i}") for i, c in enumerate(cols)])
     idx = {c: i for i, c in enumerate(cols)}
     for s in specs:
@@ -113,8 +102,6 @@ def spearman(df: DataFrame, pairs: list[tuple[str, str]], min_rows: int = 3) ->
         c, both = spec_col[s]
         vcol = f"__x{idx[c]}"
         lk = lookup.where(F.col(S.KEY) == k).select(F.col(S.VAL).alias(f"__v{k}"), F.col("_rank").alias(f"__r{k}"))
-        if sizes.get(k, 0) <= BROADCAST_RANK_ROWS:
-            lk = F.broadcast(lk)
         cur = cur.join(lk, F.col(vcol) == F.col(f"__v{k}"), "left").drop(f"__v{k}")
         if both is not None:
             a, b = both
@@ -197,28 +184,35 @@ def recommendation_text(intent: str) -> str:
     return C.DEFAULT_RECOMMENDATION
 
 
+#: What a change did, by action; {n} its rows or values, {c} its column.
+SENTENCES = {
+    "remove_duplicates": "Repeated rows taken out: {n}.",
+    "drop_column": "{c} is no longer part of the table.",
+    "drop_rows": "{c} led to {n} dropped rows.",
+    "treat_as_missing": "{c} lost {n} values outside its range.",
+    "clamp_bounds": "{c} had {n} values moved to its limits.",
+    "cap_iqr": "{c} had {n} values moved to its limits.",
+    "redact": "{c} is blacked out.",
+    "hash_sha256": "{c} now holds digests.",
+}
+FILLED = "{c} had {n} {what} filled by the {how}."
+
+
 def cleaning_summary(changes: DataFrame, anomalies: DataFrame) -> DataFrame:
-    """one sentence per change; count = rows_changed, else total_flagged, else affected."""
+    """one sentence per change; count = rows_changed, else total_flagged, else affected.
+    Only the removal of repeated rows has a sentence without a column."""
     a = anomalies.select("anomaly_id", "anomaly_type", "column_name", "total_flagged", "affected_rows")
     j = changes.join(a, "anomaly_id", "left")
     n = F.coalesce(F.col("rows_changed"), F.col("total_flagged"), F.col("affected_rows")).cast("string")
-    c = F.col("column_name")
-    act = F.col("action")
-    method = F.regexp_replace(act, "^fill_", "")
-    text = (F.when(act == "remove_duplicates", F.format_string("%s duplicate row(s) removed.", n))
-            .when((act == "drop_column") & c.isNotNull(), F.format_string("'%s': column dropped.", c))
-            .when((act == "drop_rows") & c.isNotNull(), F.format_string("'%s': %s row(s) dropped.", c, n))
-            .when((act == "treat_as_missing") & c.isNotNull(),
-                  F.format_string("'%s': %s out-of-range value(s) set to missing (NaN).", c, n))
-            .when(act.isin("clamp_bounds", "cap_iqr") & c.isNotNull(),
-                  F.format_string("'%s': %s out-of-range value(s) capped to bounds.", c, n))
-            .when(act.isin("fill_mean", "fill_median", "fill_mode") & c.isNotNull()
-                  & (F.col("anomaly_type") == "ZERO_AS_MISSING"),
-                  F.format_string("'%s': %s zero(s) treated as missing and imputed via %s.", c, n, method))
-            .when(act.isin("fill_mean", "fill_median", "fill_mode") & c.isNotNull(),
-                  F.format_string("'%s': %s missing value(s) imputed via %s.", c, n, method))
-            .when((act == "redact") & c.isNotNull(), F.format_string("'%s': column redacted.", c))
-            .when((act == "hash_sha256") & c.isNotNull(), F.format_string("'%s': column hashed.", c)))
+    c, action = F.col("column_name"), F.col("action")
+    fills = action.startswith("fill_")
+    what = F.when(F.col("anomaly_type") == "ZERO_AS_MISSING", "zeros").otherwise("gaps")
+    pattern = F.when(fills, FILLED)
+    for name, sentence in SENTENCES.items():
+        pattern = pattern.when(action == name, sentence)
+    text = F.when((action == "remove_duplicates") | c.isNotNull(), pattern)
+    for mark, value in (("{c}", F.coalesce(c, F.lit(""))), ("{n}", n), ("{what}", what), ("{how}", F.expr("substring(action, 6)"))):
+        text = F.replace(text, F.lit(mark), value)
     return j.select("anomaly_id", "action", text.alias("sentence")).where(F.col("sentence").isNotNull())
 
 
@@ -232,20 +226,17 @@ def imputed_columns(changes: DataFrame, anomalies: DataFrame) -> DataFrame:
 
 def narrative_notes_list(df: DataFrame, fx: Facts, top_corr_count: int, imputed: list[tuple[str, float]],
                          cleaning: list[str], cfg: AuditConfig = DEFAULT) -> list[str]:
-    notes = []
-    mean_null = sum(fx.nulls[c] / fx.n for c in df.columns) / len(df.columns) if fx.n and df.columns else 0.0
-    if mean_null > cfg.null_note_rate:
-        notes.append(f"High null rate ({mean_null:.1%}) — imputation or column removal recommended.")
-    low_var = sum(1 for c in fx.numeric() if fx.num[c].std is not None and fx.num[c].std == 0)
-    if low_var > 0:
-        notes.append(f"{low_var} zero-variance column(s) detected — excluded from charts, consider dropping.")
-    if not top_corr_count:
-        notes.append("No strong numeric correlations found — dataset may need feature engineering.")
-    for c, nr in imputed:
-        if nr > cfg.imputation_warn_rate:
-            notes.append(f"'{c}' had {nr:.1%} nulls filled by imputation — its distribution is skewed toward "
-                         f"the fill value; treat stats with caution.")
-    return list(cleaning) + notes
+    """Cleaning sentences, then a note for each thing a reader should know of the table."""
+    mean_null = sum(fx.nulls.values()) / (fx.n * len(df.columns)) if fx.n and df.columns else 0.0
+    constant = [c for c in fx.numeric() if fx.num[c].std == 0]
+    checks = [
+        (mean_null > cfg.null_note_rate, f"On average {mean_null:.1%} of a column is empty: fill the gaps or drop columns."),
+        (bool(constant), f"Constant and of no use to a model or chart: {len(constant)} columns."),
+        (not top_corr_count, "No two numeric columns move together; derived columns may help."),
+    ]
+    checks += [(rate > cfg.imputation_warn_rate, f"{c}: {rate:.1%} of its values were filled in, so its statistics lean towards the filled value.")
+               for c, rate in imputed]
+    return [*cleaning, *(note for true, note in checks if true)]
 
 
 def narrative_notes(df: DataFrame, changes: DataFrame | None = None, anomalies: DataFrame | None = None,

@@ -7,6 +7,7 @@ classes run on the driver over one small record per column.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -103,12 +104,8 @@ COLUMN_STATS_SCHEMA = ("name string, dtype string, null_count bigint, null_rate
 
 
 def _r4(v):
-    if v is None:
-        return None
-    v = float(v)
-    if v != v or v in (float("inf"), float("-inf")):
-        return None
-    return round(v, 4)
+    """To four places; what isn't a finite number is null."""
+    return None if v is None or not math.isfinite(v) else round(float(v), 4)
 
 
 def column_stats_rows(df: DataFrame, fx: Facts) -> list[tuple]:
@@ -223,8 +220,7 @@ def coverage_warning(df: DataFrame, bounds, fx: Facts) -> str | None:
     missing = [c for c in cont if c not in b]
     if not missing:
         return None
-    return (f"Semantic range checks were skipped for {len(missing)} of {len(cont)} numeric "
-            f"column(s) ({', '.join(missing)}) because no bounds were given.")
+    return f"No valid range is known for {', '.join(missing)} ({len(missing)} of {len(cont)} continuous columns): their values are not checked against one."
 
 
 def is_engineered(name: str) -> bool:
@@ -256,14 +252,17 @@ def continuous_columns(fx: Facts) -> list[str]:
     return [c for c in fx.numeric() if chart_flags(c, fx.num[c], fx.distinct.get(c))[1]]
 
 
-def dataset_summary_text(n: int, df: DataFrame, anomaly_types: list[str], intent: str = "") -> str:
+def dataset_summary_text(n: int, df: DataFrame, anomaly_types: list[str], intent: str = "", names: int | None = None) -> str:
+    """One line on a table: rows, columns by kind, intent and anomaly types. With ``names``
+    at most so many columns of a kind are named, and how many more there are."""
+    def listed(columns: list[str]) -> str:
+        shown = columns if names is None else columns[:names]
+        return ", ".join(shown) + (f" and {len(columns) - len(shown)} more" if len(shown) < len(columns) else "")
+
     kinds = column_kinds(df)
-    types = ",".join(sorted(set(anomaly_types)))
-    s = (f"Rows:{n} Cols:{len(df.columns)} | Intent:{intent or 'N/A'} | "
-         f"Anomalies:{len(anomaly_types)} ({types}) | "
-         f"Numeric:{kinds['numeric'][:C.SUMMARY_MAX_COLUMNS]} | "
-         f"Categorical:{kinds['categorical'][:C.SUMMARY_MAX_COLUMNS]}")
-    return s[:C.SUMMARY_MAX_CHARS]
+    parts = [f"{n} rows", f"{len(df.columns)} columns", f"numeric: {listed(kinds['numeric'])}", f"text: {listed(kinds['categorical'])}",
+             f"{len(anomaly_types)} anomalies: {', '.join(sorted(set(anomaly_types)))}", f"intent: {intent or 'not given'}"]
+    return "; ".join(parts)
 
 
 def dataset_summary(df: DataFrame, anomalies: DataFrame | None = None, intent: str = "") -> DataFrame:

@@ -16,53 +16,56 @@ from .. import config as C
 AUDIT_SCHEMA = ("agent_name string, phase string, action string, reason string, column_affected string, "
                 "rows_affected bigint, before_value string, after_value string, is_llm_decision boolean, "
                 "timestamp timestamp")
-ACTION_MAX = 255
 
 
-def audit_log(spark: SparkSession, entries: list[dict], start: _dt.datetime | None = None) -> DataFrame:
-    """G1: one row per action; action text cut to 255 characters; entries
-    without a timestamp get increasing ones from ``start`` (keeps the order)."""
+def audit_log(spark: SparkSession, entries: list[dict], start: _dt.datetime | None = None,
+              action_max: int | None = None) -> DataFrame:
+    """G1: one row per action; entries without a timestamp get increasing ones
+    from ``start`` (keeps the order). With ``action_max`` longer action texts
+    are cut and end with how many characters are left out."""
     t0 = start or _dt.datetime(2000, 1, 1)
     rows = []
     for i, e in enumerate(entries):
-        rows.append((e.get("agent_name"), e.get("phase"), (e.get("action") or "")[:ACTION_MAX], e.get("reason"),
+        rows.append((e.get("agent_name"), e.get("phase"), _shortened(e.get("action") or "", action_max), e.get("reason"),
                      e.get("column_affected"), e.get("rows_affected"), e.get("before_value"),
                      e.get("after_value"), bool(e.get("is_llm_decision", False)),
                      e.get("timestamp") or t0 + _dt.timedelta(milliseconds=i)))
     return spark.createDataFrame(rows, AUDIT_SCHEMA)
 
 
+def _shortened(text: str, most: int | None) -> str:
+    if most is None or len(text) <= most:
+        return text
+    mark = f" [+{len(text)}]"
+    kept = max(0, most - len(mark))
+    return text[:kept] + f" [+{len(text) - kept}]"
+
+
 def append_audit(log: DataFrame, path: str) -> None:
     """Batch append to the audit table (parquet), partitioned by phase."""
     log.write.mode("append").partitionBy("phase").parquet(path)
 
 
+def _entry(agent: str, phase: str, action: str, reason: str, rows: int, column: str | None = None) -> dict:
+    return {"agent_name": agent, "phase": phase, "action": action, "reason": reason, "rows_affected": rows, "column_affected": column}
+
+
 def entries_from_detection(det) -> list[dict]:
-    return [{"agent_name": "orchestrator", "phase": "phase1",
-             "action": f"Phase 1 complete — {len(det.records)} anomalies, score {det.score:.1f}",
-             "reason": "Completed 5-tier anomaly detection pipeline",
-             "rows_affected": sum(r["affected_rows"] for r in det.records)}]
+    found = sum(r["affected_rows"] for r in det.records)
+    return [_entry("orchestrator", "phase1", f"detection found {len(det.records)} kinds of anomaly; the table scores {det.score:.1f}", "all tiers ran", found)]
 
 
 def entries_from_clean(res, records: list[dict]) -> list[dict]:
-    by_id = {str(r["anomaly_id"]): r for r in records}
-    out = []
-    for ch in res.change_rows:
-        a = by_id.get(str(ch["anomaly_id"]), {})
-        out.append({"agent_name": "janitor", "phase": "phase2", "action": ch["description"],
-                    "reason": f"User selected '{ch['action']}' for {a.get('anomaly_type')}",
-                    "column_affected": a.get("column_name"), "rows_affected": ch["rows_changed"]})
-    return out
+    of = {str(r["anomaly_id"]): r for r in records}
+    nothing: dict = {}
+    return [_entry("janitor", "phase2", ch["description"], f"decision {ch['action']} on {of.get(str(ch['anomaly_id']), nothing).get('anomaly_type')}",
+                   ch["rows_changed"], of.get(str(ch["anomaly_id"]), nothing).get("column_name")) for ch in res.change_rows]
 
 
 def entries_from_engineer(eng, rows: int) -> list[dict]:
-    out = []
-    for r in eng.report.collect():  # one row per transform
-        src = list(r["source_columns"] or [])
-        out.append({"agent_name": "engineer", "phase": "phase2", "action": r["description"],
-                    "reason": r["transform_type"], "column_affected": src[0] if src else "N/A",
-                    "rows_affected": 0 if r["transform_type"] == "SKIPPED_OHE" else rows})
-    return out
+    # One row per transform.
+    return [_entry("engineer", "phase2", r["description"], r["transform_type"], rows if r["output_columns"] else 0, next(iter(r["source_columns"] or []), "N/A"))
+            for r in eng.report.collect()]
 
 
 def audit_feed(log: DataFrame, agent: str = "all", phase: str = "all") -> DataFrame:
@@ -90,10 +93,15 @@ def transform_counts(log: DataFrame) -> DataFrame:
                                                     F.lit(len(C.TRANSFORM_TYPES)))))
 
 
-def run_history(runs: DataFrame, created_col: str = "created_at") -> DataFrame:
-    """Runs newest first, each with the total run count."""
+def run_history(runs: DataFrame, created_col: str = "created_at", position: bool = False) -> DataFrame:
+    """Runs newest first, each with the total run count. With ``position`` each has
+    its place in that order, numbered over the sorted ranges instead of in one window."""
     total = runs.count()
-    return runs.withColumn("total_runs", F.lit(total)).orderBy(F.desc(created_col))
+    ordered = runs.withColumn("total_runs", F.lit(total)).orderBy(F.desc(created_col), *[c for c in runs.columns if c != created_col])
+    if not position:
+        return ordered
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema.fields)
+    return (ordered.rdd.zipWithIndex().map(lambda r: (*r[0], r[1])).toDF(f"{kinds}, position bigint"))
 
 
 def run_detail(anomalies: DataFrame, run_id: str, run_col: str = "run_id") -> DataFrame:
@@ -113,13 +121,13 @@ def null_band(rate):
             .when(r < 0.60, "high").otherwise("critical"))
 
 
-def stat_bands(stats: DataFrame, limit: int = 30) -> DataFrame:
-    """Heat-map band per column with nulls (worst first, at most ``limit``) and the table bar band."""
+def stat_bands(stats: DataFrame) -> DataFrame:
+    """Heat-map band per column with nulls (worst first) and the table bar band."""
     pct = F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.col("null_rate") * 100))
     return (stats.where(F.col("null_rate") > 0)
             .select("name", "null_rate", null_band(F.col("null_rate")).alias("heat_band"),
                     F.when(pct > 40, "critical").when(pct > 15, "high").otherwise("good").alias("bar_band"))
-            .orderBy(F.desc("null_rate"), "name").limit(limit))
+            .orderBy(F.desc("null_rate"), "name"))
 
 
 def correlation_labels(corrs: DataFrame, column: str = "signed_r") -> DataFrame:

@@ -572,9 +572,9 @@ def q_chart_columns(spark, sf):
 @register("dataset_summary", cte(f"""
 {ORDERS_DETECT_CTES.strip()}
 SELECT (SELECT n FROM anomaly_n)::BIGINT AS row_count, 6 AS col_count, (SELECT count(*) FROM anomalies)::INTEGER AS anomaly_count,
-  'Rows:' || (SELECT n FROM anomaly_n) || ' Cols:6 | Intent:cleanup | Anomalies:' || (SELECT count(*) FROM anomalies)
-  || ' (' || (SELECT string_agg(DISTINCT anomaly_type, ',' ORDER BY anomaly_type) FROM anomalies) || ')'
-  || ' | Numeric:[''o_orderkey'', ''cust'', ''reading''] | Categorical:[''status'', ''priority'']' AS summary""",
+  (SELECT n FROM anomaly_n) || ' rows; 6 columns; numeric: o_orderkey, cust, reading; text: status, priority; '
+  || (SELECT count(*) FROM anomalies) || ' anomalies: '
+  || (SELECT string_agg(DISTINCT anomaly_type, ', ' ORDER BY anomaly_type) FROM anomalies) || '; intent: cleanup' AS summary""",
     V.DIRTY_ORDERS_SQL))
 def q_dataset_summary(spark, sf):
     df = V.dirty_orders(spark, sf)
@@ -675,19 +675,36 @@ def q_ml_readiness(spark, sf):
 
 @register("cleaning_summary", plain("""
 SELECT anomaly_id, action, sentence FROM (VALUES
-  ('DUPLICATE_ROWS', 'remove_duplicates', (SELECT n0 - n1 FROM counts) || ' duplicate row(s) removed.'),
-  ('MISSING_DATA|priority', 'drop_rows', '''priority'': ' || (SELECT n1 - n2 FROM counts) || ' row(s) dropped.'),
-  ('MISSING_DATA|reading', 'fill_mean', '''reading'': ' || (SELECT f3 FROM counts) || ' missing value(s) imputed via mean.'),
-  ('MISSING_DATA|status', 'fill_mode', '''status'': ' || (SELECT f4 FROM counts) || ' missing value(s) imputed via mode.'),
-  ('LOGICAL_VIOLATION|reading', 'clamp_bounds', '''reading'': ' || (SELECT c5 FROM counts) || ' out-of-range value(s) capped to bounds.'),
+  ('DUPLICATE_ROWS', 'remove_duplicates', 'Repeated rows taken out: ' || (SELECT n0 - n1 FROM counts) || '.'),
+  ('MISSING_DATA|priority', 'drop_rows', 'priority led to ' || (SELECT n1 - n2 FROM counts) || ' dropped rows.'),
+  ('MISSING_DATA|reading', 'fill_mean', 'reading had ' || (SELECT f3 FROM counts) || ' gaps filled by the mean.'),
+  ('MISSING_DATA|status', 'fill_mode', 'status had ' || (SELECT f4 FROM counts) || ' gaps filled by the mode.'),
+  ('LOGICAL_VIOLATION|reading', 'clamp_bounds', 'reading had ' || (SELECT c5 FROM counts) || ' values moved to its limits.'),
   ('HIGH_NULL_DENSITY_ROWS', 'drop_rows', NULL),
-  ('MISSING_DATA|cust', 'cap_iqr', '''cust'': 0 out-of-range value(s) capped to bounds.')
+  ('MISSING_DATA|cust', 'cap_iqr', 'cust had 0 values moved to its limits.')
 ) t(anomaly_id, action, sentence) WHERE sentence IS NOT NULL""", V.DIRTY_ORDERS_SQL, CLEAN_CHAIN))
 def q_cleaning_summary(spark, sf):
     det, res = _orders_clean(spark, sf)
     return EDA.cleaning_summary(res.changes, det.anomalies)
 
 
+#: Every turn, with a sentence that holds a keyword (or none) in place of some: the driver's turns hold none.
+SPOKEN = ("Please FORECAST sales", "split them into Segments", "is this fraud?", "an Outlier in a model", "nothing of the kind",
+          "Show me a plot", "scatterbrained", "a HEATMAP, please", "tell me more")
+
+
+def spoken(spark, sf):
+    c = V.table(spark, sf, "conversations")
+    text = F.col("text")
+    for i, words in enumerate(SPOKEN):
+        text = F.when((F.col("conv_id") * 7 + F.col("turn")) % 12 == i, F.lit(words)).otherwise(text)
+    return c.withColumn("text", text)
+
+
+SPOKEN_SQL = ("spoken AS (SELECT conv_id, turn, role, CASE (conv_id * 7 + turn) % 12 "
+              + " ".join(f"WHEN {i} THEN {O.lit(w)}" for i, w in enumerate(SPOKEN)) + " ELSE text END AS text FROM conversations)")
+
+
 @register("recommend", plain("""
 SELECT conv_id, turn, CASE
   WHEN lower(text) LIKE '%predict%' OR lower(text) LIKE '%forecast%' OR lower(text) LIKE '%model%'
@@ -697,10 +714,9 @@ SELECT conv_id, turn, CASE
   WHEN lower(text) LIKE '%anomaly%' OR lower(text) LIKE '%outlier%' OR lower(text) LIKE '%fraud%'
     THEN 'Anomaly detection is the next step. Isolation Forest or LOF work well on this feature set.'
   ELSE 'Exploratory analysis is complete. Review correlations and missingness hotspots before modelling.'
-  END AS recommendation FROM conversations WHERE role = 'user'"""))
+  END AS recommendation FROM spoken""", SPOKEN_SQL))
 def q_recommend(spark, sf):
-    c = V.table(spark, sf, "conversations").where(F.col("role") == "user")
-    return EDA.recommend(c, "text").select("conv_id", "turn", "recommendation")
+    return EDA.recommend(spoken(spark, sf), "text").select("conv_id", "turn", "recommendation")
 
 
 @register("histogram", plain("""
@@ -784,7 +800,7 @@ SELECT * FROM (
   UNION ALL SELECT 3, 'heatmap', 'Correlation heatmap', NULL, NULL, 'pearson_matrix', NULL FROM strong, ncont
     WHERE hit AND k >= 2
   UNION ALL SELECT 4, 'splom', 'Scatter matrix', NULL, NULL, 'scatter_matrix', NULL FROM strong, ncont
-    WHERE hit AND k BETWEEN 2 AND 8
+    WHERE hit AND k >= 2
   UNION ALL SELECT 5, 'line', coalesce({", ".join(f"CASE WHEN c_{c} THEN '{c}' END" for c in OL_ALL)}) || ' over time',
     'o_orderdate', coalesce({", ".join(f"CASE WHEN c_{c} THEN '{c}' END" for c in OL_ALL)}), 'time_line', NULL
     FROM flags, ncont WHERE k > 0
@@ -800,18 +816,17 @@ def q_portfolio(spark, sf):
 
 @register("scatter_matrix", plain("""
 SELECT l_orderkey, l_linenumber, l_quantity, l_discount, round(amount, 4) AS amount FROM order_lines
-WHERE (SELECT max(abs(r)) >= 0.2 FROM (SELECT corr(l_quantity, amount) AS r FROM order_lines))
-ORDER BY md5('42|' || l_orderkey || '|' || l_linenumber) LIMIT 5000""", V.ORDER_LINES_SQL))
+WHERE (SELECT max(abs(r)) >= 0.2 FROM (SELECT corr(l_quantity, amount) AS r FROM order_lines))""", V.ORDER_LINES_SQL))
 def q_scatter_matrix(spark, sf):
-    sample, _ = CH.scatter_matrix(V.order_lines(spark, sf), key=["l_orderkey", "l_linenumber"])
-    return rounded(sample)
+    points, _ = CH.scatter_matrix(V.order_lines(spark, sf), key=["l_orderkey", "l_linenumber"])
+    return rounded(points)
 
 
 @register("time_line", plain("""
-SELECT ts, value FROM events WHERE ts IS NOT NULL AND value IS NOT NULL
-ORDER BY md5('42|' || epoch_us(ts) || '|' || value::VARCHAR), ts, value LIMIT 5000"""))
+SELECT date_trunc('day', ts)::TIMESTAMP AS time, count(*) AS count, round(min(value), 4) AS lowest, round(avg(value), 4) AS mean, round(max(value), 4) AS highest
+FROM events WHERE ts IS NOT NULL AND value IS NOT NULL GROUP BY 1"""))
 def q_time_line(spark, sf):
-    return CH.time_line(V.table(spark, sf, "events"), "ts", "value")
+    return rounded(CH.time_line(V.table(spark, sf, "events"), "ts", "value"))
 
 
 # ---------------------------------------------------------------------------
@@ -835,7 +850,7 @@ def q_transform_counts(spark, sf):
 
 
 @register("audit_feed", plain("""
-SELECT 'janitor' AS agent_name, 'phase2' AS phase, 'User selected ''' || action || ''' for ' || anomaly_type AS reason,
+SELECT 'janitor' AS agent_name, 'phase2' AS phase, 'decision ' || action || ' on ' || anomaly_type AS reason,
   column_name AS column_affected, rows_changed::BIGINT AS rows_affected
 FROM (""" + SQL["clean_changes"].split("\nSELECT anomaly_id, action, rows_changed::INTEGER", 1)[0] + """
 SELECT * FROM (VALUES
@@ -865,15 +880,17 @@ _ORDER_STATS_SQL = _stats_sql("dirty_orders", [
 SELECT name, null_rate, CASE WHEN null_rate < 0.01 THEN 'clean' WHEN null_rate < 0.20 THEN 'low'
   WHEN null_rate < 0.40 THEN 'elevated' WHEN null_rate < 0.60 THEN 'high' ELSE 'critical' END AS heat_band,
   CASE WHEN null_rate * 100 > 40 THEN 'critical' WHEN null_rate * 100 > 15 THEN 'high' ELSE 'good' END AS bar_band
-FROM ({_ORDER_STATS_SQL}) WHERE null_rate > 0 ORDER BY null_rate DESC, name LIMIT 30""", V.DIRTY_ORDERS_SQL))
+FROM ({_ORDER_STATS_SQL}) WHERE null_rate > 0 """, V.DIRTY_ORDERS_SQL))
 def q_stat_bands(spark, sf):
     return TR.stat_bands(P.column_stats(V.dirty_orders(spark, sf)))
 
 
 @register("sort_stats", plain(f"""
-SELECT name, skewness FROM ({_ORDER_STATS_SQL}) ORDER BY skewness ASC NULLS LAST""", V.DIRTY_ORDERS_SQL))
+SELECT name, skewness, (row_number() OVER (ORDER BY skewness ASC NULLS LAST, name) - 1)::INTEGER AS position FROM ({_ORDER_STATS_SQL})""", V.DIRTY_ORDERS_SQL))
 def q_sort_stats(spark, sf):
-    return TR.sort_stats(P.column_stats(V.dirty_orders(spark, sf)), "skewness", True).select("name", "skewness")
+    rows = TR.sort_stats(P.column_stats(V.dirty_orders(spark, sf)).orderBy("name"), "skewness", True).select("name", "skewness").collect()  # one row a column
+    rows.sort(key=lambda r: (r.skewness is None, r.skewness or 0.0, r.name))
+    return spark.createDataFrame([(r.name, r.skewness, i) for i, r in enumerate(rows)], "name string, skewness double, position int")
 
 
 @register("correlation_labels", plain(f"""
@@ -889,10 +906,9 @@ _CHART_WORDS = __import__("tableaudit.config", fromlist=["x"]).CHART_KEYWORDS
 
 
 @register("chart_requests", plain(
-    "SELECT conv_id, turn, role FROM conversations WHERE "
-    + " OR ".join(f"contains(lower(text), '{w}')" for w in _CHART_WORDS)))
+    "SELECT conv_id, turn, role FROM spoken WHERE " + " OR ".join(f"contains(lower(text), '{w}')" for w in _CHART_WORDS), SPOKEN_SQL))
 def q_chart_requests(spark, sf):
-    return CV.chart_requests(V.table(spark, sf, "conversations")).select("conv_id", "turn", "role")
+    return CV.chart_requests(spoken(spark, sf)).select("conv_id", "turn", "role")
 
 
 @register("conversation_context", plain("""
@@ -964,19 +980,21 @@ def q_normalise_headers(spark, sf):
     return IN.normalise_headers(customer_text(spark, sf))[0]
 
 
-@register("infer_types", plain("""
-SELECT * FROM (VALUES
- ('c_custkey', (SELECT CASE WHEN count_if(regexp_matches(c_custkey::VARCHAR, '^\\s*[+-]?\\d+\\s*$')) = count(c_custkey)
-   THEN 'bigint' ELSE 'double' END FROM customer)),
- ('c_name', 'string'),
- ('c_nationkey', (SELECT CASE WHEN count_if(regexp_matches(c_nationkey::VARCHAR, '^\\s*[+-]?\\d+\\s*$')) = count(c_nationkey)
-   THEN 'bigint' ELSE 'double' END FROM customer)),
- ('c_acctbal', (SELECT CASE WHEN count_if(regexp_matches(c_acctbal::VARCHAR, '^\\s*[+-]?\\d+\\s*$')) = count(c_acctbal)
-   THEN 'bigint' ELSE 'double' END FROM customer)),
- ('c_mktsegment', 'string')) t("column", inferred_type)"""))
+def _type_sql(c: str) -> str:
+    v = f"{c}::VARCHAR"
+    whole = f"regexp_matches({v}, '^[+-]?[0-9]+$')"
+    return (f"SELECT '{c}' AS \"column\", CASE WHEN count({c}) = 0 THEN 'string' WHEN bool_and(lower({v}) IN ('true', 'false')) THEN 'boolean' "
+            f"WHEN bool_and({whole} AND TRY_CAST({v} AS BIGINT) IS NOT NULL) THEN 'bigint' WHEN bool_and({whole}) THEN 'decimal(38,0)' "
+            f"WHEN bool_and(TRY_CAST({v} AS DOUBLE) IS NOT NULL) THEN 'double' ELSE 'string' END AS inferred_type FROM typed")
+
+
+@register("infer_types", plain(_union([_type_sql(c) for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment", "rich", "serial")]),
+    "typed AS (SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment, c_acctbal > 0 AS rich, '1234567890123456789' || (c_custkey % 10) AS serial FROM customer)"))
 def q_infer_types(spark, sf):
     df, _ = IN.normalise_headers(customer_text(spark, sf))
-    return IN.inferred_schema(df)
+    rich = F.when(F.col("c_acctbal").cast("double") > 0, "True").otherwise("False")
+    serial = F.concat(F.lit("1234567890123456789"), (F.col("c_custkey").cast("bigint") % 10).cast("string"))
+    return IN.inferred_schema(df.withColumns({"rich": rich, "serial": serial}))
 
 
 # ---------------------------------------------------------------------------
@@ -1062,3 +1080,191 @@ def q_distribution_facts(spark, sf):
           r4_(f["std"]), r4_(f["cv"]), f["shape"], f["cv_label"], f["suggest_transform"])],
         "column string, n bigint, skewness double, kurtosis double, mean double, median double, std double, "
         "cv double, shape string, cv_label string, suggest_transform boolean")
+
+
+# ---------------------------------------------------------------------------
+# Exact keys, dates in many forms, files read back, whole runs
+# ---------------------------------------------------------------------------
+
+BIG_SQL = "big AS (SELECT o_orderkey + 1152921504606846976 AS order_id, o_custkey + 1152921504606846976 AS cust_ref FROM orders)"
+
+
+def big(spark, sf):
+    o = V.table(spark, sf, "orders")
+    return o.select((F.col("o_orderkey") + F.lit(1 << 60)).alias("order_id"), (F.col("o_custkey") + F.lit(1 << 60)).alias("cust_ref"))
+
+
+@register("column_stats_big_ids", plain(_union([
+    f"SELECT '{c}' AS name, count_if({c} IS NULL)::BIGINT AS null_count, count(DISTINCT {c}) AS unique_count FROM big" for c in ("order_id", "cust_ref")]), BIG_SQL))
+def q_column_stats_big_ids(spark, sf):
+    return P.column_stats(big(spark, sf)).select("name", "null_count", "unique_count")
+
+
+@register("semantic_types_big_ids", plain(_union([
+    f"SELECT '{c}' AS \"column\", CASE WHEN count(DISTINCT {c}) / count(*) >= 0.95 AND {str(named).lower()} THEN 'ID' ELSE 'CONTINUOUS' END AS semantic_type FROM big"
+    for c, named in (("order_id", True), ("cust_ref", False))]), BIG_SQL))
+def q_semantic_types_big_ids(spark, sf):
+    return P.semantic_types(big(spark, sf))
+
+
+@register("clean_fill_mode_date", plain("""
+SELECT o_orderkey, cust, status, round(reading, 4) AS reading, priority, coalesce(order_date, (SELECT order_date FROM dirty_orders
+  WHERE order_date IS NOT NULL GROUP BY order_date ORDER BY count(*) DESC, order_date LIMIT 1)) AS order_date FROM dirty_orders""", V.DIRTY_ORDERS_SQL))
+def q_clean_fill_mode_date(spark, sf):
+    return rounded(CL.apply_one(V.dirty_orders(spark, sf), {"anomaly_type": "MISSING_DATA", "column_name": "order_date"}, "fill_mode").df)
+
+
+#: Ways to write a day: Spark's pattern (None: a number of seconds).
+DAY_FORMS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd", "M/d/yyyy", "MM/dd/yyyy HH:mm", "MMM d yyyy", "d-MMM-yyyy", "dd.MM.yyyy", "yyyyMMdd", "yyyy/MM/dd")
+
+
+def written_dates(spark, sf):
+    """Events whose time is text in ten forms, and Unix seconds."""
+    e = V.table(spark, sf, "events")
+    ts = F.col("ts").cast("timestamp_ntz")
+    text = F.lit(None).cast("string")
+    for i, form in enumerate(DAY_FORMS):
+        text = F.when(F.col("event_id") % 10 == i, F.date_format(ts, form)).otherwise(text)
+    return e.select("event_id", text.alias("created_text"), F.floor(FE.wall_micros(ts) / 1_000_000).cast("double").alias("created_epoch"))
+
+
+@register("datetime_parts_written", plain(f"""
+SELECT event_id, {", ".join(f"year(ts)::BIGINT AS {c}_year, month(ts)::BIGINT AS {c}_month, (isodow(ts) - 1)::BIGINT AS {c}_dow, (isodow(ts) >= 6)::BIGINT AS {c}_is_weekend"
+                           for c in ("created_text", "created_epoch"))} FROM events"""))
+def q_datetime_parts_written(spark, sf):
+    df = written_dates(spark, sf)
+    out, _ = FE.datetime_parts(df, FE.detect_datetime(df))
+    return out.select("event_id", *[f"{c}_{part}" for c in ("created_text", "created_epoch") for part in ("year", "month", "dow", "is_weekend")])
+
+
+@register("engineered_part", plain("""
+SELECT p_partkey, """ + ", ".join(f"CASE WHEN p_type = '{v}' THEN 1 ELSE 0 END::INTEGER AS \"p_type_{v}\"" for v in PART_TYPES) + """,
+  CASE WHEN p_brand IS NOT NULL THEN count(*) OVER (PARTITION BY p_brand) END AS p_brand_freq FROM part"""))
+def q_engineered_part(spark, sf):
+    return FE.engineer(V.table(spark, sf, "part")).df.select("p_partkey", *[f"p_type_{v}" for v in PART_TYPES], "p_brand_freq")
+
+
+def _scratch(spark, name: str) -> str:
+    """A fresh path in the session's shared checkpoint folder."""
+    import uuid
+
+    from ..session import checkpoint_dir
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def quoted_turns(spark, sf):
+    c = V.table(spark, sf, "conversations")
+    return c.select(F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").cast("string").alias("turn"),
+                    F.concat(F.lit('say "'), F.substring("text", 1, 40), F.lit('", ok\nand, more')).alias("text"))
+
+
+@register("csv_round_trip", plain("""
+SELECT conv_id::VARCHAR AS conv_id, turn::VARCHAR AS turn, 'say "' || substr(text, 1, 40) || '", ok' || chr(10) || 'and, more' AS text FROM conversations"""))
+def q_csv_round_trip(spark, sf):
+    path = _scratch(spark, "turns")
+    quoted_turns(spark, sf).write.option("header", True).option("escape", '"').csv(path)
+    return IN.read_table(spark, path, "csv")[0]
+
+
+@register("validate_csv", plain("""
+SELECT * FROM (VALUES ('readable', true), ('has_columns', true), ('has_rows', (SELECT count(*) > 0 FROM conversations)), ('row_shape', true)) t("check", passed)"""))
+def q_validate_csv(spark, sf):
+    path = _scratch(spark, "turns")
+    quoted_turns(spark, sf).write.option("header", True).option("escape", '"').csv(path)
+    return IN.validate_input(spark, path).select("check", "passed")
+
+
+from ..sources import sinks as SK  # noqa: E402
+
+
+@register("write_table_read_back", plain("SELECT * FROM nation"))
+def q_write_table_read_back(spark, sf):
+    path = _scratch(spark, "table")
+    SK.write_table(V.table(spark, sf, "nation"), path, partition_by=["n_regionkey"])
+    return spark.read.parquet(path).select(*V.table(spark, sf, "nation").columns)
+
+
+@register("write_reports_read_back", plain(f"""
+SELECT name, null_count, 'run1' AS run_id FROM ({_ORDER_STATS_SQL})""", V.DIRTY_ORDERS_SQL))
+def q_write_reports_read_back(spark, sf):
+    base = _scratch(spark, "reports")
+    SK.write_reports({"stats": P.column_stats(V.dirty_orders(spark, sf))}, base, "run1")
+    return spark.read.parquet(f"{base}/stats").select("name", "null_count", "run_id")
+
+
+@register("audit_log_read_back", plain("""
+SELECT reason, rows_affected, position FROM (""" + SQL["clean_changes"].split("\nSELECT anomaly_id, action, rows_changed::INTEGER", 1)[0] + """
+SELECT 'decision ' || action || ' on ' || anomaly_type AS reason, rows_changed::BIGINT AS rows_affected, position FROM (VALUES
+  ('remove_duplicates', 'DUPLICATE_ROWS', (SELECT n0 - n1 FROM counts), 0), ('drop_rows', 'MISSING_DATA', (SELECT n1 - n2 FROM counts), 1),
+  ('fill_mean', 'MISSING_DATA', (SELECT f3 FROM counts), 2), ('fill_mode', 'MISSING_DATA', (SELECT f4 FROM counts), 3),
+  ('clamp_bounds', 'LOGICAL_VIOLATION', (SELECT c5 FROM counts), 4), ('keep_as_is', 'ZERO_AS_MISSING', 0, 5),
+  ('drop_rows', 'HIGH_NULL_DENSITY_ROWS', (SELECT n5 - n6 FROM counts), 6), ('keep_as_is', 'MISSING_DATA', 0, 7), ('cap_iqr', 'MISSING_DATA', 0, 8)
+) t(action, anomaly_type, rows_changed, position))"""))
+def q_audit_log_read_back(spark, sf):
+    """The appended audit table, read back in the order of its times."""
+    det, res = _orders_clean(spark, sf)
+    path = _scratch(spark, "audit")
+    TR.append_audit(TR.audit_log(spark, TR.entries_from_clean(res, det.records)), path)
+    rows = TR.audit_feed(spark.read.parquet(path), "janitor").select("reason", "rows_affected").collect()  # one row a decision
+    return spark.createDataFrame([(r.reason, r.rows_affected, i) for i, r in enumerate(rows)], "reason string, rows_affected bigint, position int")
+
+
+@register("audit_facets", plain("SELECT * FROM (VALUES ('agent', 'janitor'), ('agent', 'orchestrator'), ('phase', 'phase1'), ('phase', 'phase2')) t(facet, value) "
+                                "WHERE (SELECT count(*) FROM orders) > 0"))
+def q_audit_facets(spark, sf):
+    det, res = _orders_clean(spark, sf)
+    return TR.audit_facets(TR.audit_log(spark, TR.entries_from_detection(det) + TR.entries_from_clean(res, det.records)))
+
+
+@register("run_history", plain("""
+SELECT o_orderkey AS run, o_orderdate AS created_at, count(*) OVER ()::INTEGER AS total_runs,
+  (row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) - 1)::BIGINT AS position FROM orders"""))
+def q_run_history(spark, sf):
+    runs = V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("run"), F.col("o_orderdate").alias("created_at"))
+    return TR.run_history(runs, position=True).withColumn("total_runs", F.col("total_runs").cast("int"))
+
+
+@register("revise_orders", plain(f"SELECT {OUT} FROM dirty_orders WHERE NOT (priority IS NULL OR {BLANK.format('priority')})", V.DIRTY_ORDERS_SQL))
+def q_revise_orders(spark, sf):
+    df = V.dirty_orders(spark, sf)
+    det = D.detect(df, V.DIRTY_ORDERS_BOUNDS)
+    return rounded(CL.revise(df, det, [{"anomaly_id": "MISSING_DATA|priority", "action": "drop_rows"}], "first").df)
+
+
+@register("narrative_notes", plain(f"""
+SELECT (row_number() OVER (ORDER BY o) - 1)::INTEGER AS position, note FROM (
+  SELECT 0 AS o, 'On average ' || printf('%.1f', 100 * m) || '% of a column is empty: fill the gaps or drop columns.' AS note
+  FROM (SELECT ({' + '.join(f'count_if({c} IS NULL)' for c in ORDERS_COLS)}) / (count(*) * {len(ORDERS_COLS)}.0) AS m FROM dirty_orders) WHERE m > 0.1
+  UNION ALL SELECT 2, 'No two numeric columns move together; derived columns may help.' WHERE false)""", V.DIRTY_ORDERS_SQL))
+def q_narrative_notes(spark, sf):
+    return EDA.narrative_notes(V.dirty_orders(spark, sf))
+
+
+@register("eda_bundle", plain("SELECT count(*) AS row_count, 6 AS col_count, 3 AS numeric, 2 AS categorical, 1 AS datetimes FROM dirty_orders", V.DIRTY_ORDERS_SQL))
+def q_eda_bundle(spark, sf):
+    e = EDA.eda(V.dirty_orders(spark, sf), "predict")
+    return spark.createDataFrame([(e.row_count, e.col_count, len(e.numeric_cols), len(e.categorical_cols), len(e.datetime_cols))],
+                                 "row_count bigint, col_count int, numeric int, categorical int, datetimes int")
+
+
+@register("chart_data_scatter", plain("SELECT l_quantity, round(l_extendedprice, 4) AS l_extendedprice, l_returnflag FROM lineitem"))
+def q_chart_data_scatter(spark, sf):
+    return rounded(CH.chart_data(V.table(spark, sf, "lineitem"), "scatter", "l_quantity", "l_extendedprice", "l_returnflag"))
+
+
+@register("chart_data_line", plain("""
+SELECT l_shipdate, count(*) AS count, round(min(l_quantity), 4) AS lowest, round(avg(l_quantity), 4) AS mean, round(max(l_quantity), 4) AS highest
+FROM lineitem WHERE l_shipdate IS NOT NULL GROUP BY l_shipdate"""))
+def q_chart_data_line(spark, sf):
+    return rounded(CH.chart_data(V.table(spark, sf, "lineitem"), "line", "l_shipdate", "l_quantity"))
+
+
+register("chart_data_histogram", SQL["histogram"])(lambda spark, sf: rounded(CH.chart_data(V.dirty_lineitem(spark, sf), "histogram", "l_extendedprice")))
+register("chart_data_box", SQL["box_stats"])(lambda spark, sf: rounded(CH.chart_data(V.dirty_lineitem(spark, sf), "box", "l_extendedprice")))
+
+
+@register("box_outliers", plain("""
+SELECT round(l_extendedprice, 4) AS l_extendedprice, round(greatest(1000 - l_extendedprice, l_extendedprice - 200000), 4) AS distance
+FROM dirty_lineitem WHERE l_extendedprice < 1000 OR l_extendedprice > 200000""", V.DIRTY_LINEITEM_SQL))
+def q_box_outliers(spark, sf):
+    return rounded(CH.box_outliers(V.dirty_lineitem(spark, sf), "l_extendedprice", 1000.0, 200000.0))

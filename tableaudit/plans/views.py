@@ -130,8 +130,3 @@ order_lines AS (
   SELECT l_orderkey, l_linenumber, l_quantity, l_discount,
          l_quantity * 1.0 * p_retailprice AS amount, p_type, o_orderdate, l_shipdate
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"""
-
-
-def with_views(sql: str, *views: str) -> str:
-    """Prefix a query with the CTE text of the views it reads."""
-    return "WITH " + ",\n".join(v.strip() for v in views) + "\n" + sql

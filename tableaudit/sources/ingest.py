@@ -2,28 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config as C
-from ..functions.expressions import NUMBER_TEXT, col, finite_frame, is_text, snake_case, to_number
+from ..functions.expressions import BLANK_TEXT, NUMBER_TEXT, col, finite_frame, is_text, snake_case, to_number
 
 # The text tokens a CSV reader turns into missing by default.
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
              "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 INTEGRAL_TEXT = r"^\s*[+-]?\d+\s*$"
+TRUE_TEXT, FALSE_TEXT = ("True", "TRUE", "true"), ("False", "FALSE", "false")
 REPLACEMENT_CHAR = "�"
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, **options) -> tuple[DataFrame, str | None]:
-    """A1: load a table. CSV is read as text with a header; when the UTF-8 read
-    holds U+FFFD (undecodable bytes) it is read again as latin-1, which
-    decodes any byte. Returns ``(df, encoding)``."""
+    """A1: load a table. CSV is read as text with a header; quoted fields may hold
+    separators, doubled quotes and line ends (``multiLine="false"`` splits files
+    without such line ends among tasks). When the UTF-8 read holds U+FFFD
+    (undecodable bytes) it is read again as latin-1, which decodes any byte.
+    Returns ``(df, encoding)``."""
     fmt = fmt or path.rsplit(".", 1)[-1].lower()
     if fmt not in ("csv", "txt", "tsv"):
         return spark.read.format(fmt).options(**options).load(path), None
-    opts = {"header": "true", "inferSchema": "false", "mode": "PERMISSIVE", "multiLine": "false"}
+    opts = {"header": "true", "inferSchema": "false", "mode": "PERMISSIVE", "multiLine": "true", "quote": '"', "escape": '"'}
     if fmt == "tsv":
         opts["sep"] = "\t"
     opts.update(options)
@@ -40,41 +43,42 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, **options
     return df, "latin-1"
 
 
-def null_tokens(df: DataFrame) -> DataFrame:
-    """Default missing-value tokens in text columns become null."""
-    toks = [t for t in NA_TOKENS if t]
-    return df.select(*[F.when(col(f.name).isin(*toks) | (F.trim(col(f.name)) == ""), None)
-                       .otherwise(col(f.name)).alias(f.name) if is_text(f.dataType) else col(f.name)
-                       for f in df.schema.fields])
+def null_tokens(df: DataFrame, blank_is_null: bool = False) -> DataFrame:
+    """Default missing-value tokens in text columns become null; blank text stays, unless asked."""
+    def present(c: Column) -> Column:
+        gone = c.isin(*NA_TOKENS)
+        return F.when(~(gone | c.rlike(BLANK_TEXT)) if blank_is_null else ~gone, c)
 
+    return df.select(*[(present(col(f.name)) if is_text(f.dataType) else col(f.name)).alias(f.name) for f in df.schema.fields])
 
-def infer_types(df: DataFrame) -> DataFrame:
-    """A2: a text column becomes numeric only if every non-null value parses as
-    a number (bigint when all are integral, else double); dates stay text.
+
+#: Types that a text column may have, the first that fits all its values: a test, and the expression.
+def _candidates(c: Column) -> list[tuple[str, Column, Column]]:
+    whole = c.rlike(INTEGRAL_TEXT)
+    return [
+        ("boolean", c.isin(*TRUE_TEXT, *FALSE_TEXT), c.isin(*TRUE_TEXT)),
+        ("bigint", whole & F.trim(c).try_cast("bigint").isNotNull(), F.trim(c).try_cast("bigint")),
+        ("decimal", whole & F.trim(c).try_cast("decimal(38,0)").isNotNull(), F.trim(c).try_cast("decimal(38,0)")),
+        ("double", c.rlike(NUMBER_TEXT) & ~whole | whole & F.trim(c).try_cast("bigint").isNotNull(), to_number(c, T.StringType())),
+    ]
+
+
+def infer_types(df: DataFrame, blank_is_null: bool = False) -> DataFrame:
+    """A2: a text column becomes boolean, bigint, decimal (integers beyond 64 bits) or
+    double if all its non-null values are such; else it stays text, as dates do.
     One aggregate job decides all columns."""
-    df = null_tokens(df)
-    text = [f.name for f in df.schema.fields if is_text(f.dataType)]
-    if not text:
+    df = null_tokens(df, blank_is_null)
+    tests = {f.name: _candidates(col(f.name)) for f in df.schema.fields if is_text(f.dataType)}
+    if not tests:
         return df
     aggs = []
-    for i, c in enumerate(text):
-        aggs += [F.count(col(c)).alias(f"n{i}"), F.count_if(col(c).rlike(NUMBER_TEXT)).alias(f"p{i}"),
-                 F.count_if(col(c).rlike(INTEGRAL_TEXT)).alias(f"i{i}")]
-    row = df.agg(*aggs).collect()[0]
-    out = []
-    for f in df.schema.fields:
-        c = f.name
-        if c in text:
-            i = text.index(c)
-            n, p, ints = row[f"n{i}"], row[f"p{i}"], row[f"i{i}"]
-            if n > 0 and p == n:
-                if ints == n:
-                    out.append(F.trim(col(c)).cast("bigint").alias(c))
-                else:
-                    out.append(to_number(col(c), T.StringType()).alias(c))
-                continue
-        out.append(col(c))
-    return df.select(*out)
+    for i, (c, kinds) in enumerate(tests.items()):
+        aggs += [F.count(col(c)).alias(f"n{i}"), *[F.count_if(fits).alias(f"{kind}{i}") for kind, fits, _ in kinds]]
+    row = df.agg(*aggs).first()
+    chosen = {}
+    for i, (c, kinds) in enumerate(tests.items()):
+        chosen[c] = next((e for kind, _, e in kinds if row[f"n{i}"] and row[f"{kind}{i}"] == row[f"n{i}"]), col(c))
+    return df.select(*[chosen.get(c, col(c)).alias(c) for c in df.columns])
 
 
 def inferred_schema(df: DataFrame) -> DataFrame:
@@ -93,7 +97,7 @@ def validate_input(spark: SparkSession, path: str, fmt: str = "csv") -> DataFram
             if raw.limit(1).count() == 0:
                 checks.append(("non_empty_file", False, "The file is empty."))
                 return spark.createDataFrame(checks, "check string, passed boolean, message string")
-            df = (spark.read.options(header="true", mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
+            df = (spark.read.options(header="true", mode="PERMISSIVE", multiLine="true", escape='"', columnNameOfCorruptRecord="_corrupt_record")
                   .schema(_with_corrupt(spark, path)).csv(path))
         else:
             df = spark.read.format(fmt).load(path)
@@ -114,7 +118,7 @@ def validate_input(spark: SparkSession, path: str, fmt: str = "csv") -> DataFram
 
 
 def _with_corrupt(spark: SparkSession, path: str) -> T.StructType:
-    header = spark.read.options(header="true").csv(path).schema
+    header = spark.read.options(header="true", multiLine="true", escape='"').csv(path).schema
     return T.StructType([T.StructField(f.name, T.StringType()) for f in header.fields]
                         + [T.StructField("_corrupt_record", T.StringType())])
 

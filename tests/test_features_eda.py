@@ -11,6 +11,10 @@ import pytest
 
 from tableaudit.operators import charts as CH
 from tableaudit.operators import eda as EDA
+from pyspark.sql import functions as F
+
+from tableaudit.config import AuditConfig
+from tableaudit.functions import stats as S
 from tableaudit.operators import features as FE
 
 
@@ -183,8 +187,8 @@ def test_eda_bundle_and_notes(spark):
     out = EDA.eda(res.df, "find outliers", res.changes, det.anomalies)
     assert out.row_count == res.df.count() and out.col_count == 3
     assert out.recommendation.startswith("Anomaly detection")
-    assert out.notes[0].startswith("'b':") and "imputed via mean" in out.notes[0]
-    assert any("nulls filled by imputation" in n for n in out.notes)  # b had > 20 % nulls
+    assert out.notes[0] == "b had 40 gaps filled by the mean."
+    assert any(n.startswith("b: ") and "were filled in" in n for n in out.notes)  # b had > 20 % nulls
     assert out.column_stats.count() == 3
     notes = EDA.narrative_notes(res.df, res.changes, det.anomalies).collect()
     assert [r["note"] for r in notes] == out.notes
@@ -197,3 +201,55 @@ def test_insight_text(spark):
     b = CH.box_stats(df, "v", 3.0).first().asDict()
     assert "No value lies beyond" in CH.insight_text("box", b)
     assert CH.insight_text("line", {"pct": 12.0, "trend": "upward"}).endswith("upward trend.")
+
+
+def test_duration_and_unix_parts_do_not_depend_on_the_zone(spark):
+    df = spark.sql("""SELECT timestamp_ntz'2024-03-01 00:00:00' AS start_date, timestamp_ntz'2024-03-15 00:00:00' AS end_date,
+                      1709251200D AS made_ts, '2024-03-10T02:30:00+02:00' AS text_date""").union(
+        spark.sql("SELECT timestamp_ntz'2024-03-20 00:00:00', timestamp_ntz'2024-03-18 12:00:00', 1709251199D, 'Jan 5 2024'"))
+    seen = []
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    for z in ("UTC", "Asia/Tokyo"):
+        spark.conf.set("spark.sql.session.timeZone", z)
+        try:
+            parsed = FE.detect_datetime(df)
+            out, _ = FE.datetime_parts(df, parsed)
+            out, _ = FE.duration_days(out, parsed)
+            seen.append([tuple(r) for r in out.select("duration_days_start_date_to_end_date", "made_ts_year", "made_ts_month", "text_date_month", "text_date_dow").collect()])
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", zone)
+    assert seen[0] == seen[1] == [(14, 2024, 3, 3, 6), (-2, 2024, 2, 1, 4)]
+
+
+def test_one_hot_names_stay_apart(spark):
+    df = spark.createDataFrame([("Yes", 1), ("yes", 2), ("x", 3)], "a string, a_x int")
+    out, recs, _ = FE.one_hot(df, 10)
+    assert recs[0]["output_columns"] == ["a_Yes", "a_x_2", "a_yes_2"]
+    assert {tuple(r) for r in out.collect()} == {("Yes", 1, 1, 0, 0), ("yes", 2, 0, 0, 1), ("x", 3, 0, 1, 0)}
+
+
+def test_infinite_values_and_far_dates(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (float("inf"),)], "v double")
+    assert S.exact_quantiles(df, {"v": F.col("v")}, (0.5,))["v"] == [2.0]
+    assert sum(r["count"] for r in CH.histogram(df, "v", 4).collect()) == 2
+    far = spark.sql("SELECT timestamp'9999-12-31 00:00:00' - make_interval(0, 0, 0, i) AS t, CAST(i AS DOUBLE) AS v FROM (SELECT explode(sequence(0, 9)) AS i)")
+    assert CH.trend(far, "t", "v")["trend"] == "downward"
+
+
+def test_portfolio_has_every_column_and_the_primary_chart(spark):
+    df = spark.range(300).select(*[(F.col("id") * (i + 1) % 97).cast("double").alias(f"v{i}") for i in range(10)])
+    rows = CH.portfolio(df, primary=("scatter", "v0", "v1")).collect()
+    assert sum(r.chart_type == "histogram" for r in rows) == 10 and rows[0].display_order == 0 and rows[0].x_column == "v0"
+    bound = CH.portfolio(df, AuditConfig(max_histogram_columns=8, scatter_max_columns=3)).collect()
+    assert sum(r.chart_type == "histogram" and r.skip_note is None for r in bound) == 8
+    assert sum("Left out" in (r.skip_note or "") for r in bound) == 2
+
+
+def test_exact_quantiles_by_brackets(spark):
+    import numpy as np
+    rng = np.random.default_rng(1)
+    values = np.concatenate([rng.normal(0, 1, 30000), np.repeat(0.25, 9000), [1e9]])
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(4)
+    probs = (0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0)
+    got = S.exact_quantiles(df, {"v": F.col("v")}, probs)["v"]
+    assert np.allclose(got, np.quantile(values, probs), rtol=0, atol=1e-12)

@@ -92,12 +92,14 @@ def test_write_reports_and_table(spark, tmpdir_path):
 
 def test_audit_trail(spark):
     long_action = "x" * 300
+    assert TR.audit_log(spark, [{"action": long_action}]).first()["action"] == long_action
+    assert TR.audit_log(spark, [{"action": long_action}], action_max=255).first()["action"] == "x" * 248 + " [+52]"
     log = TR.audit_log(spark, [
         {"agent_name": "engineer", "phase": "phase2", "action": long_action, "reason": "OHE"},
         {"agent_name": "engineer", "phase": "phase2", "action": "b", "reason": "OHE"},
         {"agent_name": "janitor", "phase": "phase2", "action": "c", "reason": "r"},
         {"agent_name": "orchestrator", "phase": "phase1", "action": "d", "reason": "r"}])
-    assert len(log.first()["action"]) == 255
+    assert len(log.first()["action"]) == 300
     assert TR.audit_feed(log, "engineer").count() == 2
     assert TR.audit_feed(log, "all", "phase1").count() == 1
     tc = {r["transform_type"]: (r["entries"], r["display_order"]) for r in TR.transform_counts(log).collect()}
@@ -154,3 +156,20 @@ def test_run_history_and_detail(spark):
     an = spark.createDataFrame([("r1", 1, "b"), ("r1", 0, "a"), ("r2", 0, "z")],
                                "run_id string, display_order int, anomaly_id string")
     assert [r["anomaly_id"] for r in TR.run_detail(an, "r1").collect()] == ["a", "b"]
+
+
+def test_csv_with_quotes_and_line_ends(spark, tmpdir_path):
+    path = f"{tmpdir_path}/quoted.csv"
+    with open(path, "w") as f:
+        f.write('a,b\n1,"say ""hi"", ok"\n2,"two\nlines"\n3,\n4," "\n')
+    df, enc = IN.read_table(spark, path)
+    assert enc == "utf-8" and [tuple(r) for r in df.collect()] == [("1", 'say "hi", ok'), ("2", "two\nlines"), ("3", None), ("4", " ")]
+
+
+def test_infer_types_of_booleans_blanks_and_long_integers(spark):
+    rows = [("True", "12345678901234567890", " ", "1", "1" * 40), ("false", "5", "x", "2.5", "2"), (None, None, "", "inf", None)]
+    df = spark.createDataFrame(rows, "t string, big string, blank string, num string, huge string")
+    got = IN.infer_types(df)
+    assert dict(got.dtypes) == {"t": "boolean", "big": "decimal(38,0)", "blank": "string", "num": "double", "huge": "string"}
+    assert [r.blank for r in got.collect()] == [" ", "x", None] and [r.t for r in got.collect()] == [True, False, None]
+    assert [r.blank for r in IN.infer_types(df, blank_is_null=True).collect()] == [None, "x", None]
