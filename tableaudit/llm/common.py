@@ -35,6 +35,11 @@ def row_hash(*cols: Column) -> Column:
     return F.xxhash64(*[x for c in cols for x in (c, c.isNull())])
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of a row as one struct, whatever their names."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a slice holds about ``most_bytes`` of ``column``
     (one row at least): what a task keeps in memory doesn't follow the batch size."""

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tableaudit.llm.common import stash
+from tableaudit.llm.common import stash, whole_row
 
 #: Bits of the hash, and of one histogram level.
 HASH_BITS, LEVEL_BITS = 60, 10
@@ -121,8 +121,7 @@ def mix_report(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int =
 
 def mix(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """The rows that the mix takes, repeated rows as often as taken, columns as in ``docs``."""
-    names = docs.columns
-    keyed = docs.select("source", rank(F.col("doc_id"), F.col("text")).alias("h"), F.struct(*names).alias("all"))
+    keyed = docs.select("source", rank(F.col("doc_id"), F.col("text")).alias("h"), whole_row(docs).alias("all"))
     rows = stash(docs.select("source", words(F.col("text")).alias("size"), rank(F.col("doc_id"), F.col("text")).alias("h")), "sizes")
     out = _counted(keyed, thresholds(rows, cycle, most), most).filter("n > 0")
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("all.*")

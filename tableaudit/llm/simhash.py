@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableaudit.llm.common import row_hash, slices, stash, utf8
+from tableaudit.llm.common import row_hash, slices, stash, utf8, whole_row
 
 BITS = 64
 SEED = 42
@@ -224,12 +224,11 @@ def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: that of the
     smallest doc_id (null last); of several rows with it one, always the same.
     All columns stay as they are."""
-    names = docs.columns
     groups = near_duplicates(docs, shingle, distance)
     chosen = (groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "row")).alias("m"))
               .select(F.col("m.doc_id").alias("id_"), F.col("m.row").alias("row_")))
     chosen = stash(chosen, "chosen")
-    keyed = docs.select(F.struct(*names).alias("all"), F.col("doc_id").alias("id"), row_hash(F.col("doc_id"), F.col("text")).alias("row"))
+    keyed = docs.select(whole_row(docs).alias("all"), F.col("doc_id").alias("id"), row_hash(F.col("doc_id"), F.col("text")).alias("row"))
     kept = keyed.join(chosen, F.col("id").eqNullSafe(F.col("id_")) & (F.col("row") == F.col("row_")), "left_semi")
     # Rows that agree in doc_id and text but perhaps in nothing else are few: only they are grouped whole.
     again = stash(groups.groupBy("doc_id", "row").count().filter("count > 1").select(F.col("row").alias("row_")).distinct(), "again")
