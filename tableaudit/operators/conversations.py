@@ -17,20 +17,12 @@ def chart_requests(conv: DataFrame, text_col: str = "text") -> DataFrame:
     return conv.where(cond)
 
 
-def last_turns(conv: DataFrame, n: int = 10, key: str = "conv_id", order: str = "turn",
-               salt_buckets: int = 64) -> DataFrame:
-    """Last ``n`` turns per conversation without sorting a whole conversation in one task.
-
-    Stage 1 keeps the top ``n`` inside each (conversation, salt) bucket, so a
-    conversation holding a third of all rows is spread over ``salt_buckets``
-    tasks; stage 2 picks the top ``n`` among at most ``n * salt_buckets``
-    survivors per conversation."""
-    salted = conv.withColumn("__salt", F.pmod(F.xxhash64(F.col(order)), F.lit(salt_buckets)))
-    w1 = Window.partitionBy(key, "__salt").orderBy(F.col(order).desc())
-    stage1 = salted.withColumn("__r", F.row_number().over(w1)).where(F.col("__r") <= n)
-    w2 = Window.partitionBy(key).orderBy(F.col(order).desc())
-    return (stage1.withColumn("__r", F.row_number().over(w2)).where(F.col("__r") <= n)
-            .drop("__salt", "__r"))
+def last_turns(conv: DataFrame, n: int = 10, key: str = "conv_id", order: str = "turn") -> DataFrame:
+    """Last ``n`` turns per conversation. Spark limits each conversation to its ``n`` last turns in
+    every map task before the one shuffle (WindowGroupLimit), so a conversation that
+    holds a third of all rows sends at most ``n`` rows a task."""
+    latest = Window.partitionBy(key).orderBy(F.col(order).desc())
+    return conv.withColumn("__r", F.row_number().over(latest)).where(F.col("__r") <= n).drop("__r")
 
 
 def conversation_context(conv: DataFrame, history: int = 10, context: int = 6) -> DataFrame:

@@ -110,9 +110,9 @@ def run_detail(anomalies: DataFrame, run_id: str, run_col: str = "run_id") -> Da
 
 
 def sort_stats(stats: DataFrame, key: str = "null_rate", ascending: bool = False) -> DataFrame:
-    """Column stats sorted on any column, nulls last in both directions."""
+    """Column stats sorted on any column, nulls last in both directions, ties by name."""
     c = F.col(key)
-    return stats.orderBy(c.asc_nulls_last() if ascending else c.desc_nulls_last())
+    return stats.orderBy(c.asc_nulls_last() if ascending else c.desc_nulls_last(), "name")
 
 
 def null_band(rate):

@@ -556,7 +556,7 @@ def _chart_cols_sql(view: str, cols: list[str]) -> str:
     parts = []
     for c in cols:
         idn = str(O.name_has(c, K.ID_NAME_PATTERNS)).lower()
-        eng = str(P.is_engineered(c)).lower()
+        eng = str("_x_" in c or c.endswith("_log") or c.endswith("_freq")).lower()
         safe = (f"(count(DISTINCT {c}) > 1 AND NOT ({idn} AND count({c}) > 0 AND "
                 f"count(DISTINCT {c}) / count({c}) >= 0.95))")
         parts.append(f"SELECT '{c}' AS \"column\", {safe} AS chart_safe, ({safe} AND count_if({c} NOT IN (0, 1)) > 0"
@@ -888,8 +888,7 @@ def q_stat_bands(spark, sf):
 @register("sort_stats", plain(f"""
 SELECT name, skewness, (row_number() OVER (ORDER BY skewness ASC NULLS LAST, name) - 1)::INTEGER AS position FROM ({_ORDER_STATS_SQL})""", V.DIRTY_ORDERS_SQL))
 def q_sort_stats(spark, sf):
-    rows = TR.sort_stats(P.column_stats(V.dirty_orders(spark, sf)).orderBy("name"), "skewness", True).select("name", "skewness").collect()  # one row a column
-    rows.sort(key=lambda r: (r.skewness is None, r.skewness or 0.0, r.name))
+    rows = TR.sort_stats(P.column_stats(V.dirty_orders(spark, sf)), "skewness", True).select("name", "skewness").collect()  # one row a column
     return spark.createDataFrame([(r.name, r.skewness, i) for i, r in enumerate(rows)], "name string, skewness double, position int")
 
 
@@ -1155,11 +1154,11 @@ def _scratch(spark, name: str) -> str:
 def quoted_turns(spark, sf):
     c = V.table(spark, sf, "conversations")
     return c.select(F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").cast("string").alias("turn"),
-                    F.concat(F.lit('say "'), F.substring("text", 1, 40), F.lit('", ok\nand, more')).alias("text"))
+                    F.concat(F.lit('say "'), F.col("text"), F.lit('", ok\nand, more')).alias("text"))
 
 
 @register("csv_round_trip", plain("""
-SELECT conv_id::VARCHAR AS conv_id, turn::VARCHAR AS turn, 'say "' || substr(text, 1, 40) || '", ok' || chr(10) || 'and, more' AS text FROM conversations"""))
+SELECT conv_id::VARCHAR AS conv_id, turn::VARCHAR AS turn, 'say "' || text || '", ok' || chr(10) || 'and, more' AS text FROM conversations"""))
 def q_csv_round_trip(spark, sf):
     path = _scratch(spark, "turns")
     quoted_turns(spark, sf).write.option("header", True).option("escape", '"').csv(path)

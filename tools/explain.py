@@ -10,18 +10,16 @@ import sys
 
 sys.path.insert(0, __file__.rsplit("/tools/", 1)[0])
 
-from pyspark.sql import functions as F  # noqa: E402
-
-from tableaudit.functions import stats as S  # noqa: E402
-from tableaudit.functions.expressions import col, number_of  # noqa: E402
+from tableaudit.operators import charts as CH  # noqa: E402
 from tableaudit.operators import clean as CL  # noqa: E402
 from tableaudit.operators import conversations as CV  # noqa: E402
 from tableaudit.operators import detect as D  # noqa: E402
+from tableaudit.operators import features as FE  # noqa: E402
 from tableaudit.plans import views as V  # noqa: E402
 from tableaudit.session import local_session  # noqa: E402
 
 KEEP = re.compile(r"(Exchange|Join|HashAggregate|ObjectHashAggregate|SortAggregate|Scan |ReadSchema|PushedFilters|"
-                  r"Window|Generate|MapInPandas|TakeOrderedAndProject|InMemoryTableScan|BroadcastExchange|"
+                  r"Window|Generate|MapInPandas|TakeOrderedAndProject|MapInArrow|InMemoryTableScan|BroadcastExchange|"
                   r"WindowGroupLimit|Expand|CartesianProduct|BroadcastNestedLoopJoin)")
 
 
@@ -38,21 +36,28 @@ def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = local_session()
     spark.conf.set("spark.sql.adaptive.enabled", "false")  # show the static plan
-    li = V.dirty_lineitem(spark, sf)
-    g = li.groupBy(*[col(c) for c in li.columns]).agg(F.count(F.lit(1)).alias("w"))
-    shape("detect: group-by-all with map-side combine (one shuffle)", g.agg(F.sum("w")))
-    vc, _ = S.value_counts(li, {"l_extendedprice": number_of(li, "l_extendedprice")})
-    shape("quantiles: unpivoted value counts", vc)
-    shape("quantiles: range partitioning before running sums",
-          vc.repartitionByRange(8, S.KEY, S.VAL).sortWithinPartitions(S.KEY, S.VAL))
     raw = V.table(spark, sf, "lineitem")
+    seen = []
+    # Operators collect small results: their plans are taken where they ask for them.
+    collect = type(raw).collect
+    type(raw).collect = lambda self: seen.append(self) or collect(self)
+    det = D.detect(V.dirty_lineitem(spark, sf), V.DIRTY_LINEITEM_BOUNDS)
+    for i, df in enumerate(seen):
+        shape(f"D.detect, job {i + 1} of {len(seen)}", df)
+    seen.clear()
+    FE.correlations(V.dirty_lineitem(spark, sf), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], dict.fromkeys(["l_quantity"], 0.0))
+    for df in seen:
+        shape("FE.correlations", df)
+    type(raw).collect = collect
     a = {"anomaly_type": "LOGICAL_VIOLATION", "column_name": "l_quantity", "lower_bound": 1.0, "upper_bound": 40.0}
-    shape("clean: one projection + filter, pruned scan", CL.apply_one(raw, a, "drop_rows").df.select("l_orderkey", "l_quantity"))
+    shape("CL.clean: one projection + filter, pruned scan", CL.apply_one(raw, a, "drop_rows").df.select("l_orderkey", "l_quantity"))
     conv = V.table(spark, sf, "conversations")
-    shape("conversation context: salted two-stage top-N", CV.conversation_context(conv))
-    det = D.detect(V.dirty_orders(spark, sf), V.DIRTY_ORDERS_BOUNDS)
-    shape("flag_rows: groups re-expanded, hot groups chunked", D.flag_rows(V.dirty_orders(spark, sf), det))
-    shape("order_lines join (planner's choice, AQE off)", V.order_lines(spark, sf))
+    shape("CV.conversation_context", CV.conversation_context(conv))
+    orders = V.dirty_orders(spark, sf)
+    shape("D.flag_rows: groups cut into chunks and dealt out", D.flag_rows(orders, D.detect(orders, V.DIRTY_ORDERS_BOUNDS)))
+    shape("D.detect_duplicates: digests alone are shuffled", D.detect_duplicates(V.dirty_lineitem(spark, sf)))
+    shape("CH.time_line", CH.time_line(V.table(spark, sf, "events"), "ts", "value"))
+    assert det.records
 
 
 if __name__ == "__main__":
