@@ -189,6 +189,12 @@ def test_blocks(page, want):
     assert [t for t, m in P.blocks(page) if m == P.TEXT] == want
 
 
+def test_link_lists_are_menus_outside_of_landmarks():
+    page = "<ul><li><a href=/x>One entry</a><li><a>Two</a> </ul><p>Text with a <a>link</a> in it</p>"
+    assert P.blocks(page) == [("One entry", P.OUT), ("Two", P.OUT), ("Text with a link in it", P.OPEN)]
+    assert [m for _, m in P.blocks(f"<main>{page}</main>")] == [P.TEXT] * 3
+
+
 def repeated_by_force(streams, run):
     out = [[False] * len(s) for s in streams]
     for i, a in enumerate(streams):
