@@ -24,7 +24,7 @@ from tableaudit.llm.common import shared_path, slices
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Words whose ids a worker remembers, and as many parts of words.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 
 ORC = {
     "compression": "zstd",
@@ -67,8 +67,8 @@ class Known:
         """The ids of a sequence of numbers, and how many each has."""
         size = self.first[numbers + 1] - self.first[numbers]
         upto = np.cumsum(size) - size
-        source = np.repeat(self.first[numbers] - upto, size)
-        source += np.arange(len(source))
+        source = np.repeat((self.first[numbers] - upto).astype(np.int32), size)  # a batch has fewer than 2^31 ids, as its lists in Arrow do
+        source += np.arange(len(source), dtype=np.int32)
         return self.flat[source], size
 
 
