@@ -158,7 +158,9 @@ def links(fps: DataFrame, distance: int) -> DataFrame:
     radius = ceil(distance / 2)
     spark, n = fps.sparkSession, fps.count()
     bits = max(1, min(24, ceil(log2(max(1, n * ball(BITS, radius) / MEAN_VARIANTS)))))  # one at least: a shift by all 64 bits is none
-    rows = _routed(fps.select("fp", F.col("fp").alias("word"), F.lit(0).alias("used")), 0, bits, radius)
+    # Each fingerprint becomes dozens of rows: a table of few files is dealt out first.
+    dealt = fps.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp")
+    rows = _routed(dealt.select("fp", F.col("fp").alias("word"), F.lit(0).alias("used")), 0, bits, radius)
     out = spark.createDataFrame([], "a bigint, b bigint")
     while True:
         held = sum((F.when(F.col("used") == u, F.lit(ball(BITS - bits, radius - u))).otherwise(0) for u in range(radius + 1)), F.lit(0))
