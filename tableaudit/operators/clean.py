@@ -49,9 +49,9 @@ def shown(v) -> str:
     return "none" if v is None else f"{float(v):.4g}"
 
 
-def least_possible(name: str) -> Column | None:
+def least_possible(name: str, names: C.NamePatterns = C.NAMES) -> Column | None:
     """Zero for columns whose name says that they cannot be negative."""
-    return F.lit(0.0) if name_has(name, C.NONNEG_DOMAIN_PATTERNS) else None
+    return F.lit(0.0) if name_has(name, names.nonnegative) else None
 
 
 def as_records(anomalies) -> list[dict]:
@@ -282,7 +282,7 @@ def _cap_iqr(s: Step) -> str | None:
     found = s.column and s.limits()
     if not found:
         return None
-    low, floor = F.lit(found[0]), least_possible(s.column)
+    low, floor = F.lit(found[0]), least_possible(s.column, s.cfg.names)
     return _limit_to(s, low if floor is None else F.greatest(low, floor), found[1], f"the fences around {shown(found[0])} to {shown(found[1])}")
 
 

@@ -33,7 +33,7 @@ def pearson_matrix(df: DataFrame, columns: list[str] | None = None, cfg: AuditCo
     with reused(df) as df:
         if columns is None:
             fx = fx or facts(df, cfg, distinct=True)
-            columns = continuous_columns(fx)
+            columns = continuous_columns(fx, cfg.names)
         rs = correlations(df, columns, None if fx is None else {c: fx.num[c].mean for c in columns})
     rows = []
     for a in columns:
@@ -126,7 +126,7 @@ def top_spearman(df: DataFrame, k: int = 3, cfg: AuditConfig = DEFAULT, fx: Fact
     with reused(df) as df:
         if columns is None:
             fx = fx or facts(df, cfg, distinct=True)
-            columns = continuous_columns(fx)
+            columns = continuous_columns(fx, cfg.names)
         pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
         rs = spearman(df, pairs)
     ranked = sorted(((abs(r), a, b, r) for (a, b), r in rs.items() if r is not None), reverse=True)[:k]

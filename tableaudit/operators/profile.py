@@ -138,13 +138,13 @@ def column_stats(df: DataFrame, cfg: AuditConfig = DEFAULT, fx: Facts | None = N
 # B4 semantic types, B5 zero classes
 # ---------------------------------------------------------------------------
 
-def semantic_type_of(name: str, s: S.NumStats, n_rows: int, n_distinct: int | None) -> str:
+def semantic_type_of(name: str, s: S.NumStats, n_rows: int, n_distinct: int | None, names: C.NamePatterns = C.NAMES) -> str:
     if s.nonbinary == 0:
         return "BOOLEAN"
     if n_rows > 0 and n_distinct is not None and n_distinct / n_rows >= C.ID_CARDINALITY_THRESHOLD \
-            and name_has(name, C.ID_NAME_PATTERNS):
+            and name_has(name, names.identifier):
         return "ID"
-    if name_has(name, C.TIMESTAMP_NAME_PATTERNS) and s.count > 0 \
+    if name_has(name, names.timestamp) and s.count > 0 \
             and C.UNIX_TS_MIN <= s.min and s.max <= C.UNIX_TS_MAX:
         return "TIMESTAMP"
     return "CONTINUOUS"
@@ -153,16 +153,16 @@ def semantic_type_of(name: str, s: S.NumStats, n_rows: int, n_distinct: int | No
 def semantic_types(df: DataFrame, cfg: AuditConfig = DEFAULT, fx: Facts | None = None) -> DataFrame:
     """BOOLEAN / ID / TIMESTAMP / CONTINUOUS per numeric column."""
     fx = fx or facts(df, cfg, distinct=True)
-    rows = [(c, semantic_type_of(c, fx.num[c], fx.n, fx.distinct.get(c))) for c in fx.numeric()]
+    rows = [(c, semantic_type_of(c, fx.num[c], fx.n, fx.distinct.get(c), cfg.names)) for c in fx.numeric()]
     return df.sparkSession.createDataFrame(rows, "column string, semantic_type string")
 
 
-def zero_class_of(name: str, s: S.NumStats, bounds: dict) -> str:
-    if name_has(name, C.ZERO_ALWAYS_VALID_PATTERNS):
+def zero_class_of(name: str, s: S.NumStats, bounds: dict, names: C.NamePatterns = C.NAMES) -> str:
+    if name_has(name, names.zero_valid):
         return "ABSOLUTE_ZERO"
     if s.nonbinary == 0:
         return "ABSOLUTE_ZERO"
-    if name_has(name, C.ZERO_MEANINGFUL_KEYWORDS):
+    if name_has(name, names.zero_meaningful):
         return "ABSOLUTE_ZERO"
     lo = (bounds.get(name) or {}).get("min_bound")
     if lo is not None and lo > 0:
@@ -177,7 +177,7 @@ def classify_zeros(df: DataFrame, bounds=None, cfg: AuditConfig = DEFAULT,
     """ABSOLUTE_ZERO / MISSING_ZERO / BOUNDARY_ZERO per numeric column."""
     b = domain_bounds(bounds, df.columns)
     fx = fx or facts(df, cfg, distinct=False)
-    rows = [(c, zero_class_of(c, fx.num[c], b)) for c in fx.numeric()]
+    rows = [(c, zero_class_of(c, fx.num[c], b, cfg.names)) for c in fx.numeric()]
     return df.sparkSession.createDataFrame(rows, "column string, zero_class string")
 
 
@@ -227,12 +227,12 @@ def is_engineered(name: str) -> bool:
     return C.ENGINEERED_INFIX in name or any(name.endswith(s) for s in C.ENGINEERED_SUFFIXES)
 
 
-def chart_flags(name: str, s: S.NumStats, n_distinct: int | None) -> tuple[bool, bool]:
+def chart_flags(name: str, s: S.NumStats, n_distinct: int | None, names: C.NamePatterns = C.NAMES) -> tuple[bool, bool]:
     """(chart_safe, continuous_chart_safe) for one numeric column."""
     d = n_distinct or 0
     safe = d > 1
     if safe and s.count > 0 and d / s.count >= C.ID_CARDINALITY_THRESHOLD \
-            and name_has(name, C.ID_NAME_PATTERNS):
+            and name_has(name, names.identifier):
         safe = False
     cont = safe and s.nonbinary > 0 and not is_engineered(name)
     return safe, cont
@@ -243,13 +243,13 @@ def chart_columns(df: DataFrame, cfg: AuditConfig = DEFAULT, fx: Facts | None =
     fx = fx or facts(df, cfg, distinct=True)
     rows = []
     for c in fx.numeric():
-        safe, cont = chart_flags(c, fx.num[c], fx.distinct.get(c))
+        safe, cont = chart_flags(c, fx.num[c], fx.distinct.get(c), cfg.names)
         rows.append((c, safe, cont))
     return df.sparkSession.createDataFrame(rows, "column string, chart_safe boolean, continuous boolean")
 
 
-def continuous_columns(fx: Facts) -> list[str]:
-    return [c for c in fx.numeric() if chart_flags(c, fx.num[c], fx.distinct.get(c))[1]]
+def continuous_columns(fx: Facts, names: C.NamePatterns = C.NAMES) -> list[str]:
+    return [c for c in fx.numeric() if chart_flags(c, fx.num[c], fx.distinct.get(c), names)[1]]
 
 
 def dataset_summary_text(n: int, df: DataFrame, anomaly_types: list[str], intent: str = "", names: int | None = None) -> str:

@@ -253,3 +253,11 @@ def test_exact_quantiles_by_brackets(spark):
     probs = (0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0)
     got = S.exact_quantiles(df, {"v": F.col("v")}, probs)["v"]
     assert np.allclose(got, np.quantile(values, probs), rtol=0, atol=1e-12)
+
+
+def test_name_patterns_are_parameters(spark):
+    from tableaudit.config import NamePatterns
+    from tableaudit.operators import profile as P
+    df = spark.range(200).select((F.col("id") * 7).alias("kennung"))
+    assert P.semantic_types(df).first().semantic_type == "CONTINUOUS"
+    assert P.semantic_types(df, AuditConfig(names=NamePatterns(identifier=("kennung",)))).first().semantic_type == "ID"
