@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -40,6 +41,15 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers are reused, and one that has done a
+    large task would keep what it took while others run beside it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a slice holds about ``most_bytes`` of ``column``
     (one row at least): what a task keeps in memory doesn't follow the batch size."""
@@ -54,6 +64,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 <
             size += n or 0
         if start < batch.num_rows:
             yield batch.slice(start)
+    give_back()
 
 
 def utf8(batch: pa.RecordBatch, column: str) -> list[bytes]:

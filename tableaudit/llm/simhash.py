@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableaudit.llm.common import row_hash, slices, stash, utf8, whole_row
+from tableaudit.llm.common import give_back, row_hash, slices, stash, utf8, whole_row
 
 BITS = 64
 SEED = 42
@@ -130,6 +130,7 @@ def _leaf(bits: int, distance: int):
         size = np.diff(np.r_[first, len(at)])
         centre, near = np.repeat(own[first], size), np.repeat(far[first] <= inner, size)
         links = near & (own != centre) & (np.bitwise_count((own ^ centre).view(np.uint64)) <= distance)
+        give_back()
         return forest(own[links], centre[links])
 
     return links
