@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -67,6 +67,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 <
     give_back()
 
 
+def kept(docs: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], object]]) -> DataFrame:
+    """The rows of ``docs`` that a mask keeps, all columns as they are, whatever their names.
+    ``start`` runs once a task and gives the function that makes the mask of a batch."""
+    names, numbered = docs.columns, [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*numbered)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = start()
+        for batch in slices((b.rename_columns(names) for b in batches), "text"):
+            yield batch.filter(pa.array(mask(batch), pa.bool_())).rename_columns(numbered)
+
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
+
+
 def utf8(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """The texts of a batch as UTF-8 bytes; null is empty."""
     values = batch.column(batch.schema.get_field_index(column))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableaudit.llm.common import slices, utf8
+from tableaudit.llm.common import kept, slices, utf8
 
 WINDOW = 10
 #: Words of a shard; bytes of benchmark text that are searched for in one pass.
@@ -223,10 +223,4 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Dat
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` in which no benchmark window occurs, all columns as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(_blocks(benchmark, window))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
-            _, hit, _, _ = _find(utf8(batch, "text"), shared.value, window)
-            yield batch.filter(pa.array([h == 0 for h in hit]))
-
-    return docs.mapInArrow(run, docs.schema)
+    return kept(docs, lambda: lambda batch: [h == 0 for h in _find(utf8(batch, "text"), shared.value, window)[1]])

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableaudit.llm.common import row_hash, slices, utf8
+from tableaudit.llm.common import kept, row_hash, slices, utf8
 
 FOLDS = 5
 
@@ -224,9 +224,8 @@ def accept(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFram
     """The rows of ``docs`` that the classifier accepts (score >= threshold), all columns as they are."""
     scores = _scorer(docs, fit(docs, labels, p), p)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         hasher = Hasher(p)
-        for batch in slices(batches, "text"):
-            yield batch.filter(pa.array(scores(batch, hasher) >= p.threshold))
+        return lambda batch: scores(batch, hasher) >= p.threshold
 
-    return docs.mapInArrow(run, docs.schema)
+    return kept(docs, start)
