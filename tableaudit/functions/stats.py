@@ -280,6 +280,7 @@ class _Bracket:
     high: float
     below: int = 0
     upto: int = 0
+    misses: int = 0
     found: float | None = None
 
 
@@ -324,7 +325,7 @@ def exact_quantiles(df: DataFrame, exprs: dict[str, Column], probs,
 
 def _narrow(df: DataFrame, x: dict[str, Column], brackets: list[_Bracket], ends: dict) -> None:
     """Count each bracket, and narrow those that hold more values than the driver orders."""
-    open_, last = list(brackets), False
+    open_ = list(brackets)
     while open_:
         aggs = []
         for i, b in enumerate(open_):
@@ -333,29 +334,50 @@ def _narrow(df: DataFrame, x: dict[str, Column], brackets: list[_Bracket], ends:
         again = []
         for i, b in enumerate(open_):
             b.below, b.upto = row[f"b{i}"], row[f"u{i}"]
-            if b.below > b.lo or b.upto <= b.hi:  # the sketch missed: the whole column is a bracket that holds it
-                b.low, b.high = (ends[b.name][0] if b.below > b.lo else b.low), (ends[b.name][1] if b.upto <= b.hi else b.high)
+            if b.below > b.lo or b.upto <= b.hi:  # the sketch missed: start again from the whole column, with wider brackets
+                (b.low, b.high), b.misses = ends[b.name], b.misses + 1
                 again.append(b)
             elif b.low == b.high:
                 b.found = b.low
             elif b.upto - b.below > BRACKET_VALUES:
                 again.append(b)
         full = [b for b in again if b.below <= b.lo and b.upto > b.hi]
+        stuck = []
         if full:
-            edge = 2.0 / BRACKET_ACCURACY
-            asked = []
+            aggs = []
             for i, b in enumerate(full):
-                size = b.upto - b.below
+                size, edge = b.upto - b.below, 2.0 * 4 ** b.misses / BRACKET_ACCURACY
                 inside = F.when(x[b.name].between(b.low, b.high), x[b.name])
-                asked.append(F.percentile_approx(inside, [max(0.0, (b.lo - b.below) / size - edge), min(1.0, (b.hi + 1 - b.below) / size + edge)],
-                                                 BRACKET_ACCURACY).alias(f"q{i}"))
-            row = df.agg(*asked).collect()[0]
+                aggs.append(F.percentile_approx(inside, [max(0.0, (b.lo - b.below) / size - edge), min(1.0, (b.hi + 1 - b.below) / size + edge)],
+                                                BRACKET_ACCURACY).alias(f"q{i}"))
+            row = df.agg(*aggs).collect()[0]
             for i, b in enumerate(full):
                 low, high = row[f"q{i}"]
-                if (low, high) == (b.low, b.high):  # few values, each very often: they are ordered as they are
-                    again.remove(b)
+                if (low, high) == (b.low, b.high):
+                    stuck.append(b)
                 b.low, b.high = low, high
-        open_ = again
+        if stuck:
+            _peel(df, x, stuck)
+        open_ = [b for b in again if b.found is None]
+
+
+def _peel(df: DataFrame, x: dict[str, Column], brackets: list[_Bracket]) -> None:
+    """Brackets whose ends are very frequent values: find the positions there, or leave the ends out."""
+    aggs = []
+    for i, b in enumerate(brackets):
+        v = x[b.name]
+        aggs += [F.count_if(v == b.low).alias(f"l{i}"), F.count_if(v == b.high).alias(f"h{i}"),
+                 F.min(F.when(v > b.low, v)).alias(f"n{i}"), F.max(F.when(v < b.high, v)).alias(f"p{i}")]
+    row = df.agg(*aggs).collect()[0]
+    for i, b in enumerate(brackets):
+        after_low, before_high = b.below + row[f"l{i}"], b.upto - row[f"h{i}"]
+        following, previous = row[f"n{i}"], row[f"p{i}"]
+        if b.lo < after_low:
+            b.found = _lerp(b.low, b.low if b.hi < after_low else following, b.t)
+        elif b.hi >= before_high:
+            b.found = _lerp(b.high if b.lo >= before_high else previous, b.high, b.t)
+        else:
+            b.low, b.high = following, previous
 
 
 def _order(df: DataFrame, x: dict[str, Column], brackets: list[_Bracket]) -> None:

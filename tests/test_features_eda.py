@@ -261,3 +261,13 @@ def test_name_patterns_are_parameters(spark):
     df = spark.range(200).select((F.col("id") * 7).alias("kennung"))
     assert P.semantic_types(df).first().semantic_type == "CONTINUOUS"
     assert P.semantic_types(df, AuditConfig(names=NamePatterns(identifier=("kennung",)))).first().semantic_type == "ID"
+
+
+def test_exact_quantiles_between_very_frequent_values(spark, monkeypatch):
+    import numpy as np
+    monkeypatch.setattr(S, "BRACKET_VALUES", 3)
+    for values in (np.r_[np.repeat(1.0, 40000), np.arange(2, 12), np.repeat(20.0, 40000)], np.r_[np.repeat(1.0, 500), np.repeat(2.0, 500)],
+                   np.r_[np.arange(50000.0), np.repeat(-5.0, 20000)]):
+        df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(3)
+        probs = (0.0, 0.25, 0.4999, 0.5, 0.50005, 0.75, 1.0)
+        assert np.allclose(S.exact_quantiles(df, {"v": F.col("v")}, probs)["v"], np.quantile(values, probs), rtol=0, atol=1e-9)
