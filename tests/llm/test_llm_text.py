@@ -233,6 +233,22 @@ def test_pages_without_article(spark, shard):
     assert P.main_text(df.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("deal", [(0, 0, 0), (0, 0, 1), (1, 0, 1), (0, 1, 2)])
+def test_repeats_do_not_depend_on_the_deal(spark, deal):
+    """A run on two pages of one shard and one page of another goes from all three."""
+    notice = " ".join(f"n{i}" for i in range(10))
+    pages = [("h", shard, i, True, [" ".join(f"p{i}w{j}" for j in range(20)), notice], [P.OPEN, P.OPEN]) for i, shard in enumerate(deal)]
+    pages += [("h", 0, 8, False, ["short one"], [P.OUT]), ("other", 0, 9, True, [notice], [P.OPEN])]
+    got = P.repeats(spark.createDataFrame(pages, "host string, shard int, row bigint, open boolean, texts array<string>, marks array<int>"), P.Params(run=8)).collect()
+    gone = {}
+    for r in got:
+        gone[r.row] = np.frombuffer(r.covered, np.int8).astype(bool)
+        for at in r.more or ():
+            gone[r.row][at:at + 8] = True
+    assert set(gone) == {0, 1, 2, 9} and not gone[9].any()
+    assert all(gone[i].tolist() == [False] * 20 + [True] * 10 for i in range(3))
+
+
 # Link graph
 
 def test_rules_and_urls(spark):
