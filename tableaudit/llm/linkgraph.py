@@ -2,8 +2,10 @@
 
 Rules judge the urls they fit. For the rest, trust flows from trusted hosts along
 host links (personalised PageRank), and distrust flows from blocked hosts against
-the links: who links to blocked hosts is suspect. A host whose distrust exceeds its
-trust by the threshold is blocked. DataFrame functions only.
+the links: who links to blocked hosts is suspect. A blocked host's distrust is divided
+among all that link to it, so a host's own links are weighed as well: the part of its
+walks that ends at blocked hosts, however many others link there. A host whose distrust,
+the greater of both, exceeds its trust by the threshold is blocked. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -41,10 +43,12 @@ RULES = (
 class Params:
     """``seed_share``: a host of whose pages more than this share is judged alike by rules is a seed.
     ``threshold``: by how much a host's distrust may exceed its trust; a seed that nothing
-    links to has 1 - damping."""
+    links to has 1 - damping. ``tolerance``: propagation ends when a round adds less than this
+    to all hosts together; ``rounds`` ends it earlier, if given."""
 
     damping: float = 0.85
-    rounds: int = 8
+    rounds: int | None = None
+    tolerance: float = 1e-4
     seed_share: float = 0.9
     threshold: float = 0.05
     rules: tuple[Rule, ...] = RULES
@@ -79,36 +83,45 @@ def host_links(pages: DataFrame) -> DataFrame:
             .groupBy("src", "dst").agg(F.count("*").alias("n")))
 
 
-def propagate(seeds: DataFrame, links: DataFrame, p: Params) -> DataFrame:
+def propagate(seeds: DataFrame, links: DataFrame, p: Params, of: str = "src") -> DataFrame:
     """(host, score): personalised PageRank from ``seeds`` (host) along ``links`` (src, dst, n).
 
-    Every seed has 1 - damping; each round adds the walks that are a link longer. Mass of hosts without links ends there."""
-    out = links.groupBy("src").agg(F.sum("n").alias("all"))
-    shares = stash(links.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("share")), "shares")
+    Every seed has 1 - damping; each round adds the walks that are a link longer. Mass of hosts without links ends there.
+    ``of``: whose links a link's share is taken of; with "dst" a score is the damped mean of those that link here, not a part of each."""
+    out = links.groupBy(F.col(of).alias("whose")).agg(F.sum("n").alias("all"))
+    shares = stash(links.join(out, F.col(of) == F.col("whose")).select("src", "dst", (F.col("n") / F.col("all")).alias("share")), "shares")
     start = seeds.select("host", F.lit(1.0).alias("seed"))
-    if shares.isEmpty():
-        return start.select("host", F.lit(1 - p.damping).alias("score"))
     score = start.select("host", (F.lit(1 - p.damping) * F.col("seed")).alias("score"))
-    for i in range(p.rounds):
+    if shares.isEmpty():
+        return score
+    total = score.agg(F.sum("score")).first()[0] or 0.0
+    done = 0
+    while total and (p.rounds is None or done < p.rounds):
         moved = (score.join(shares, score.host == shares.src).groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("moved")))
         score = (start.join(moved, start.host == moved.dst, "full")
                  .select(F.coalesce("host", "dst").alias("host"),
                          (F.lit(1 - p.damping) * F.coalesce("seed", F.lit(0.0)) + F.lit(p.damping) * F.coalesce("moved", F.lit(0.0))).alias("score")))
-        score = stash(score, f"rank{i}")
+        score = stash(score, f"rank{done}")
+        # No score ever falls, so the sum grows by all that has changed.
+        before, total, done = total, score.agg(F.sum("score")).first()[0], done + 1
+        if total - before < p.tolerance:
+            break
     return score
 
 
 def host_verdicts(pages: DataFrame, links: DataFrame, p: Params) -> DataFrame:
-    """(host, trust, distrust, host_verdict) from ``pages`` (host, rule_verdict) and ``links``."""
+    """(host, trust, distrust, host_verdict) from ``pages`` (host, rule_verdict) and ``links``; distrust is the greater of both measures."""
     share = pages.filter("host != ''").groupBy("host").agg(
         F.count("*").alias("n"), F.count_if(F.col("rule_verdict") == "allow").alias("allowed"), F.count_if(F.col("rule_verdict") == "block").alias("blocked"))
     share = stash(share, "hosts")
     trust = propagate(share.filter(F.col("allowed") > F.col("n") * p.seed_share).select("host"), links, p)
     back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    distrust = propagate(share.filter(F.col("blocked") > F.col("n") * p.seed_share).select("host"), back, p)
+    blocked = share.filter(F.col("blocked") > F.col("n") * p.seed_share).select("host")
+    received = propagate(blocked, back, p).withColumnRenamed("score", "received")
+    own = propagate(blocked, back, p, of="dst").withColumnRenamed("score", "own")
     both = (share.select("host").join(trust.withColumnRenamed("score", "trust"), "host", "left")
-            .join(distrust.withColumnRenamed("score", "distrust"), "host", "left")
-            .select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")))
+            .join(received, "host", "left").join(own, "host", "left")
+            .select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce(F.greatest("received", "own"), F.lit(0.0)).alias("distrust")))
     bad = F.col("distrust") - F.col("trust") > p.threshold
     return both.withColumn("host_verdict", F.when(bad, "block").otherwise("allow"))
 

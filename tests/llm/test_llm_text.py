@@ -285,3 +285,29 @@ def test_propagation_is_personalised_pagerank(spark):
     for _ in range(p.rounds):
         score = (1 - p.damping) * seed + p.damping * score @ move
     assert all(abs(got.get(f"h{i}", 0) - score[i]) < 1e-12 for i in range(n))
+
+
+@pytest.mark.parametrize("linkers", [1, 3, 1000])
+def test_popular_blocked_hosts_pass_on_distrust(spark, linkers):
+    a = lambda *hosts: "".join(f'<a href="http://{h}/">t</a>' for h in hosts)
+    pages = [(0, "http://bad.net/es/1", "")] + [(i, f"http://farm{i}.org/", a("bad.net")) for i in range(1, linkers + 1)]
+    pages += [(2001, "http://second.org/", a("farm1.org")), (2002, "http://mixed.org/", a("bad.net", *(f"fine{i}.org" for i in range(40)))), (2003, "http://fine0.org/", a("fine1.org")),
+              (2004, "http://good.com/", a("known.org")), (2005, "http://known.org/", a("bad.net", "fine0.org", "fine1.org", "fine2.org"))]
+    got = {r.page_id: r.verdict for r in G.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "block" for i in [*range(linkers + 1), 2001])
+    assert [got[i] for i in (2003, 2004, 2005)] == ["allow"] * 3 and (linkers == 1 or got[2002] == "allow")
+
+
+def test_distrust_gathers_over_long_chains(spark):
+    """Scores are the limits, also of hosts far from all seeds, and of circles."""
+    p, far, arms = G.Params(), 12, 40
+    links = [(f"a{k}.{i}" if i else f"s{k}", f"a{k}.{i + 1}" if i < far - 1 else "hub", 1) for k in range(arms) for i in range(far)]
+    frame = spark.createDataFrame(links, "src string, dst string, n long")
+    got = {r.host: r.score for r in G.propagate(spark.createDataFrame([(f"s{k}",) for k in range(arms)], "host string"), frame, p).collect()}
+    assert abs(got["hub"] - arms * (1 - p.damping) * p.damping ** far) < 1e-9 and got["hub"] > p.threshold
+    ring = spark.createDataFrame([("x", "y", 1), ("y", "x", 1)], "src string, dst string, n long")
+    got = {r.host: r.score for r in G.propagate(spark.createDataFrame([("x",)], "host string"), ring, G.Params(tolerance=1e-2)).collect()}
+    assert abs(got["x"] + got["y"] - 1) < 0.06
+    pages = spark.createDataFrame([("hub", "block"), *((x, None) for x in {x for x, _, _ in links})], "host string, rule_verdict string")
+    distrust = {r.host: r.distrust for r in G.host_verdicts(pages, frame, p).collect()}
+    assert abs(distrust["s0"] - (1 - p.damping) * p.damping ** far) < 1e-9
