@@ -1,8 +1,8 @@
 """Secret scan: fixed patterns, and character Markov models for the rest.
 
-Two first-order character models are trained from labelled samples: random strings
+Two first-order character models are trained on labelled parts of the documents: random strings
 (values that the patterns found, and seeded strings over the usual alphabets) and
-ordinary identifiers (the other words of the sampled documents). A candidate token
+ordinary identifiers (the other words of all documents). A candidate token
 outside the patterns' spans is a secret if its log-likelihood ratio, random against
 ordinary, is high enough, in all and for each character.
 """
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableaudit.llm.common import row_hash, slices
+from tableaudit.llm.common import slices
 
 # The patterns and least lengths of the base kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -42,11 +42,9 @@ _CODE[np.frombuffer(SYMBOLS.encode(), np.uint8)] = np.arange(_K)
 
 @dataclass(frozen=True)
 class Params:
-    """``sample_rows``: about so many documents, chosen by hash, train the models.
-    ``strings``: seeded random strings of each alphabet among the samples of that class.
+    """``strings``: seeded random strings of each alphabet among the samples of that class.
     ``least_ratio``, ``least_mean``: log-likelihood ratio (nats) of a secret, in all and for each step."""
 
-    sample_rows: int = 16384
     strings: int = 2000
     length: int = 32
     smoothing: float = 5.0
@@ -105,10 +103,8 @@ def ratios(random: np.ndarray, ordinary: np.ndarray, p: Params) -> np.ndarray:
 
 
 def train(docs: DataFrame, p: Params = Params()) -> np.ndarray:
-    """Step ratios from about ``p.sample_rows`` documents; each task sends two small tables of counts."""
-    n = docs.count()
-    share = min(1.0, p.sample_rows / max(1, n))
-    picked = docs.select("text").filter(F.col("text").isNotNull() & (F.pmod(row_hash(F.col("doc_id"), F.col("text")), F.lit(1 << 20)) < int(share * (1 << 20))))
+    """Step ratios from all documents; each task sends two small tables of counts."""
+    texts = docs.select("text").filter(F.col("text").isNotNull())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, _K * _K), np.int64)
@@ -119,7 +115,7 @@ def train(docs: DataFrame, p: Params = Params()) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(step, pa.int32()), pa.array(total[label, step])], names=["label", "step", "n"])
 
     # At most two counts for each pair of symbols come to the driver.
-    counts = picked.mapInArrow(count, "label int, step int, n bigint").groupBy("label", "step").agg(F.sum("n").alias("n"))
+    counts = texts.mapInArrow(count, "label int, step int, n bigint").groupBy("label", "step").agg(F.sum("n").alias("n"))
     total = np.zeros((2, _K * _K), np.int64)
     for r in counts.collect():
         total[r.label, r.step] = r.n

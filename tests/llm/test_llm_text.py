@@ -163,6 +163,14 @@ def test_models_tell_random_from_ordinary(spark):
     assert X.scan(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_models_count_all_documents(spark):
+    """Also of tables of many documents none is left out."""
+    texts = [f"name_{i} of {'abcdefghij'[i % 10] * 3}{i:x} token={RANDOM}{i}" for i in range(20_000)]
+    random, ordinary = (sum(x) for x in zip(*map(X.sample_counts, texts)))
+    got = X.train(spark.createDataFrame(list(enumerate([*texts, None])), DOCS))
+    assert np.array_equal(got, X.ratios(random, ordinary, X.Params()))
+
+
 # Page text
 
 def test_text_of_pages(spark):
