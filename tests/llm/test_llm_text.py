@@ -245,9 +245,9 @@ def test_pages_without_article(spark, shard):
 def test_repeats_do_not_depend_on_the_deal(spark, deal):
     """A run on two pages of one shard and one page of another goes from all three."""
     notice = " ".join(f"n{i}" for i in range(10))
-    pages = [("h", shard, i, True, [" ".join(f"p{i}w{j}" for j in range(20)), notice], [P.OPEN, P.OPEN]) for i, shard in enumerate(deal)]
-    pages += [("h", 0, 8, False, ["short one"], [P.OUT]), ("other", 0, 9, True, [notice], [P.OPEN])]
-    got = P.repeats(spark.createDataFrame(pages, "host string, shard int, row bigint, open boolean, texts array<string>, marks array<int>"), P.Params(run=8)).collect()
+    pages = [("h", shard, i, i, True, [" ".join(f"p{i}w{j}" for j in range(20)), notice], [P.OPEN, P.OPEN]) for i, shard in enumerate(deal)]
+    pages += [("h", 0, 8, 8, False, ["short one"], [P.OUT]), ("other", 0, 9, 9, True, [notice], [P.OPEN])]
+    got = P.repeats(spark.createDataFrame(pages, "host string, shard int, row bigint, page bigint, open boolean, texts array<string>, marks array<int>"), P.Params(run=8)).collect()
     gone = {}
     for r in got:
         gone[r.row] = np.frombuffer(r.covered, np.int8).astype(bool)
@@ -257,6 +257,25 @@ def test_repeats_do_not_depend_on_the_deal(spark, deal):
     assert all(gone[i].tolist() == [False] * 20 + [True] * 10 for i in range(3))
 
 
+@pytest.mark.parametrize("shard", [1 << 19, 40])
+def test_copies_of_pages_without_article(spark, shard):
+    """Copies, whole or with a word changed, don't take each other's text; what other pages repeat goes from them too."""
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    notice, alone = (" ".join(word() for _ in range(12)) for _ in range(2))
+    texts = [" ".join(word() for _ in range(90)) for _ in range(3)]
+    changed = texts[0].split(" ")
+    changed[50] = "changed"
+    texts.append(" ".join(changed))
+    pages = [(i, f"http://h.example/{i}", f"<p>{texts[k]}</p><div>{notice}</div>") for i, k in enumerate([0, 0, 3, 1, 2, 2])]
+    pages += [(i, f"http://copies.example/{i}", f"<p>{texts[0]}</p><div>{alone}</div>") for i in (6, 7)]
+    pages += [(8, "http://copies.example/8", "<p>one</p>"), (9, "http://copies.example/9", "<p>two</p>")]
+    got = P.main_text(spark.createDataFrame(pages, "page_id long, url string, html string"), P.Params(run=8, shard_tokens=shard)).collect()
+    text = {r.page_id: r.text for r in got}
+    assert len(got) == 10 and [text[i] for i in range(6)] == [texts[k] for k in [0, 0, 3, 1, 2, 2]]
+    assert text[6] == text[7] == f"{texts[0]}\n{alone}" and (text[8], text[9]) == ("one", "two")
+
+
 # Link graph
 
 def test_rules_and_urls(spark):
