@@ -1,7 +1,7 @@
 """Quotation linking: who replies to whom, read off what messages quote.
 
 A line's quote level is the number of its leading ``>`` marks; consecutive lines of
-one level are a passage. Quoted passages and their lines are normalised (marks off,
+one level are a passage. Quoted passages, their paragraphs and their lines are normalised (marks off,
 white space as one space, lower case) and hashed. The first earlier message of the
 conversation that says the same in its own words (as its whole text, a passage, a
 paragraph or a line) is their original. A message replies to the original of which it
@@ -19,9 +19,9 @@ from tableaudit.llm.common import stash
 
 #: A line's marks: ``>`` with blanks before, between and one after. (A loop over one class of characters: a repeated group would recurse for each mark.)
 MARKS = r"^[ \t>]*>[ \t]?"
-#: A line that announces a quotation, if a quoted line follows.
-ANNOUNCES = r"(?i)^\s*(?:on\s.{1,200}|.{1,200}\s)(?:wrote|schrieb|escribió|a écrit)\s?:\s*$"
-#: Words that a single quoted line must have to be linked by itself.
+#: A line that announces a quotation, if a quoted line follows; of any length if it has a mail address.
+ANNOUNCES = r"(?i)^\s*(?:on\s.{1,200}|.{1,200}\s|.*\S@\S.*\s)(?:wrote|schrieb|escribió|a écrit)\s?:\s*$"
+#: Words that a single quoted line must have to be linked by itself; shorter ones count beside another unit of their original.
 LINE_WORDS = 3
 #: Turns of one conversation that a window orders at once.
 CHUNK = 4096
@@ -75,14 +75,20 @@ def originals(parsed: DataFrame) -> DataFrame:
 
 
 def quoted(parsed: DataFrame) -> DataFrame:
-    """(conv_id, turn, level, hash, n) of every quoted passage and, where a passage has several, line."""
+    """(conv_id, turn, level, hash, n, short) of every quoted passage and, where a passage has several, paragraph and line.
+    A paragraph of one line is that line; ``short`` lines don't link by themselves."""
+    def units(x, texts, line):
+        return F.transform(texts, lambda y: F.struct(x["level"].alias("level"), _unit(y).alias("unit"), F.lit(line).alias("line")))
+
+    trimmed = lambda y: F.regexp_replace(y, r"^\s+|\s+$", "")
     passages = F.filter("passages", lambda x: x["level"] > 0)
-    whole = F.transform(passages, lambda x: F.struct(x["level"].alias("level"), _unit(x["body"]).alias("unit")))
+    whole = F.flatten(F.transform(passages, lambda x: units(x, F.array(x["body"]), False)))
     several = F.filter(passages, lambda x: x["body"].contains("\n"))
-    lines = F.flatten(F.transform(several, lambda x: F.transform(F.split(x["body"], "\n"), lambda y: F.struct(x["level"].alias("level"), _unit(y).alias("unit")))))
-    lines = F.filter(lines, lambda x: x["unit"]["n"] >= LINE_WORDS)
-    return (parsed.filter(F.exists("lines", lambda x: x["level"] > 0)).select("conv_id", "turn", F.explode(F.concat(whole, lines)).alias("q"))
-            .select("conv_id", "turn", "q.level", "q.unit.hash", "q.unit.n").filter(F.col("hash").isNotNull()))
+    parts = lambda x: F.filter(F.transform(F.split(trimmed(x["body"]), r"\n[ \t]*\n"), trimmed), lambda y: y.contains("\n"))
+    paragraphs = F.flatten(F.transform(F.filter(several, lambda x: trimmed(x["body"]).rlike(r"\n[ \t]*\n")), lambda x: units(x, parts(x), False)))
+    lines = F.flatten(F.transform(several, lambda x: units(x, F.split(x["body"], "\n"), True)))
+    return (parsed.filter(F.exists("lines", lambda x: x["level"] > 0)).select("conv_id", "turn", F.explode(F.concat(whole, paragraphs, lines)).alias("q"))
+            .select("conv_id", "turn", "q.level", "q.unit.hash", "q.unit.n", (F.col("q.line") & (F.col("q.unit.n") < LINE_WORDS)).alias("short")).filter(F.col("hash").isNotNull()))
 
 
 def previous_turns(turns: DataFrame) -> DataFrame:
@@ -113,7 +119,7 @@ def link(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text, n_quoted, n_linked, parent_turn, link, root_turn, depth) of every row of ``messages``.
 
     ``text`` is the message without quotations, ``n_quoted`` its quoted lines, ``n_linked``
-    its quoted passages and lines whose original was found, ``link`` how its parent was (``quote``,
+    its quoted passages, paragraphs and lines whose original was found, ``link`` how its parent was (``quote``,
     ``previous``; ``first`` has none), ``depth`` its distance from ``root_turn``.
     (root_turn, depth, turn) is the reply order: each message follows what it answers.
     Null and empty texts quote nothing. Rows without conv_id or turn stand alone
@@ -128,7 +134,7 @@ def link(messages: DataFrame) -> DataFrame:
     # Only conversations in which something is quoted need their originals hashed.
     quoting = stash(asked.select("conv_id").distinct(), "quoting")
     found = (asked.join(originals(known.join(quoting, "conv_id", "left_semi")), ["conv_id", "hash"]).filter(F.col("original") < F.col("turn"))
-             .groupBy("conv_id", "turn", "level", "original").agg(F.sum("n").alias("n"), F.count("*").alias("units")))
+             .groupBy("conv_id", "turn", "level", "original").agg(F.sum("n").alias("n"), F.count("*").alias("units"), F.count_if(~F.col("short")).alias("long")).filter("long > 0"))
     parent = found.groupBy("conv_id", "turn").agg(F.max(F.struct(-F.col("level"), "n", "original")).alias("best"), F.sum("units").alias("n_linked"))
     turns = previous_turns(known.select("conv_id", "turn").distinct())
     linked = (turns.join(parent, ["conv_id", "turn"], "left")

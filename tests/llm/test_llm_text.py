@@ -100,6 +100,19 @@ def test_quotations_find_their_originals(spark):
     assert {r.root_turn for k, r in got.items()} == {0}
 
 
+def test_quoted_paragraphs_and_short_lines(spark):
+    first = "Dear all, the first\nparagraph stands here.\n\nThe second one is\nabout the weather today.\n\nThe third one ends it\nwith many greetings.\nBob"
+    long = "On Monday, " + "Bob " * 60 + "<bob@example.com> wrote:"
+    rows = [
+        (1, 0, "u", first), (1, 1, "a", "Something else."), (1, 2, "u", "No, nothing.\nNever"),
+        (1, 3, "u", f"{long}\n> Dear all, the first paragraph\n> stands here.\n>\n> The second one is about the weather\n> today.\nAgreed."),
+        (1, 4, "u", "> The third one ends it\n> Bob\n> not said\nHm."), (1, 5, "u", "> said by nobody\n> Never\nWhat?"),
+    ]
+    got = {r.turn: r for r in R.link(spark.createDataFrame(rows, MSG)).collect()}
+    assert [(got[t].parent_turn, got[t].link, got[t].n_linked) for t in (3, 4, 5)] == [(0, "quote", 2), (0, "quote", 2), (4, "previous", 0)]
+    assert got[3].text == "Agreed."
+
+
 def test_reply_order_and_long_chains(spark, monkeypatch):
     monkeypatch.setattr(R, "CHUNK", 8)
     rows = [(1, 3 * i, "u", f"message number {i} says so") for i in range(70)] + [(1, 500, "u", "> message number 2 says so\nlate")]
