@@ -13,13 +13,14 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableaudit.llm.common import kept, slices, utf8
+from tableaudit.llm.common import row_hash, slices, stash, utf8, whole_row
 
 WINDOW = 10
 #: Words of a shard; bytes of benchmark text that are searched for in one pass.
@@ -37,26 +38,37 @@ class Suffixes:
     """Test suffixes of a block of benchmark items, one for each distinct window, by its length."""
 
     vocabulary: dict[bytes, int]
+    names: list[str]  # item ids, sorted
     windows: dict[int, np.ndarray]  # length -> distinct windows
-    items: dict[int, list[list[str]]]  # length -> for each of them the item ids that have it
+    items: dict[int, tuple[np.ndarray, np.ndarray]]  # length -> where each window's items end, and their numbers in names
     texts: np.ndarray  # all items' word numbers, 0 after each
     at: dict[int, np.ndarray]  # length -> a place of each window in texts
 
+    def items_of(self, size: int, which: int) -> list[str]:
+        ends, items = self.items[size]
+        return [self.names[i] for i in items[ends[which - 1] if which else 0:ends[which]]]
+
 
 def prepare(items: list[tuple[str, bytes]], window: int) -> Suffixes:
     vocabulary: dict[bytes, int] = {}
-    seen: dict[tuple, tuple[set, int]] = {}
-    texts: list[int] = []
+    names = sorted({item for item, _ in items})
+    number = {item: i for i, item in enumerate(names)}
+    texts, parts, at = [np.empty(0, np.int32)], {}, 0
     for item, text in items:
-        codes = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in split_words(text)]
-        size = min(window, len(codes))
-        for i in range(len(codes) - size + 1 if size else 0):
-            seen.setdefault(tuple(codes[i:i + size]), (set(), len(texts) + i))[0].add(item)
-        texts += [*codes, 0]
-    sizes = sorted({len(k) for k in seen})
-    of = {n: sorted(k for k in seen if len(k) == n) for n in sizes}
-    return Suffixes(vocabulary, {n: np.array(of[n], np.int64) for n in sizes}, {n: [sorted(seen[k][0]) for k in of[n]] for n in sizes},
-                    np.array(texts or [0], np.int64), {n: np.array([seen[k][1] for k in of[n]], np.int64) for n in sizes})
+        codes = np.array([*(vocabulary.setdefault(w, len(vocabulary) + 1) for w in split_words(text)), 0], np.int32)
+        size = min(window, len(codes) - 1)
+        if size:
+            parts.setdefault(size, []).append((number[item], at, np.lib.stride_tricks.sliding_window_view(codes[:-1], size)))
+        texts.append(codes)
+        at += len(codes)
+    out = Suffixes(vocabulary, names, {}, {}, np.concatenate(texts) if items else np.zeros(1, np.int32), {})
+    for size, found in sorted(parts.items()):
+        place = np.concatenate([first + np.arange(len(w)) for _, first, w in found])
+        out.windows[size], first, which = np.unique(np.concatenate([w for _, _, w in found]), axis=0, return_index=True, return_inverse=True)
+        pair = np.unique(which.ravel() * len(names) + np.repeat([i for i, _, _ in found], [len(w) for _, _, w in found]))
+        out.items[size] = np.searchsorted(pair, (np.arange(len(first)) + 1) * len(names)), (pair % len(names)).astype(np.int32)
+        out.at[size] = place[first]
+    return out
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -123,16 +135,14 @@ def search(codes: np.ndarray, tests: Suffixes) -> Iterator[tuple[int, np.ndarray
         yield size, which, place[found], length
 
 
-def _blocks(benchmark: DataFrame, window: int) -> list[Suffixes]:
-    """The benchmark in blocks of about BLOCK_BYTES: what is broadcast at once has that bound."""
+def _blocks(benchmark: DataFrame, window: int) -> Iterator[Suffixes]:
+    """The benchmark in blocks of about BLOCK_BYTES, one after another: what the driver holds and is broadcast at once has that bound."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").filter(F.col("item_id").isNotNull() & F.col("text").isNotNull())
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = 1 + size // BLOCK_BYTES
-    out = []
     for block in range(count):
         mine = items.filter(F.pmod(F.xxhash64("item"), F.lit(count)) == block)
-        out.append(prepare([(r.item, (r.text or "").encode()) for r in mine.toLocalIterator()], window))
-    return out
+        yield prepare([(r.item, (r.text or "").encode()) for r in mine.toLocalIterator()], window)
 
 
 class Shard:
@@ -164,8 +174,8 @@ class Shard:
                 yield self.of[p], at + self.offset[p], size, w, far
 
 
-def _find(docs: list[bytes], blocks: list[Suffixes], window: int):
-    """For each text its words, hit words, item ids and longest match."""
+def _matches(docs: list[bytes], blocks: list[Suffixes], window: int):
+    """For each text its words; for those with matches their spans (first word, words), item ids and longest match."""
     counts = [0] * len(docs)
     spans: dict[int, set[tuple[int, int]]] = {}
     items: dict[int, set[str]] = {}
@@ -175,7 +185,7 @@ def _find(docs: list[bytes], blocks: list[Suffixes], window: int):
         for tests in blocks:
             for doc, at, size, w, far in shard.matches(tests):
                 spans.setdefault(doc, set()).add((at, size))
-                items.setdefault(doc, set()).update(tests.items[size][w])
+                items.setdefault(doc, set()).update(tests.items_of(size, w))
                 longest[doc] = max(longest[doc], far)
 
     shard = Shard(window)
@@ -186,41 +196,88 @@ def _find(docs: list[bytes], blocks: list[Suffixes], window: int):
             look(full)
     if shard.size:
         look(shard)
-    hit = [0] * len(docs)
-    for doc, found in spans.items():
-        reach = 0
-        for at, size in sorted(found):
-            hit[doc] += max(0, at + size - max(at, reach))
-            reach = max(reach, at + size)
-    return counts, hit, items, longest
+    return counts, spans, items, longest
+
+
+def _covered(spans: set[tuple[int, int]]) -> int:
+    """Words that spans (first word, words) cover."""
+    hit = reach = 0
+    for at, size in sorted(spans):
+        hit += max(0, at + size - max(at, reach))
+        reach = max(reach, at + size)
+    return hit
+
+
+def _find(docs: list[bytes], blocks: list[Suffixes], window: int):
+    """For each text its words, hit words, item ids and longest match."""
+    counts, spans, items, longest = _matches(docs, blocks, window)
+    return counts, [_covered(spans.get(i, set())) for i in range(len(docs))], items, longest
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """(row, at, size, items, longest) of the documents with matches, once for each block of the benchmark that
+    has some. Each block is broadcast alone, and what it finds is written to the shared folder."""
+    spark = docs.sparkSession
+    source = docs.select(row_hash(F.col("doc_id"), F.col("text")).alias("row"), "text")
+    parts = []
+    for tests in _blocks(benchmark, window):
+        shared = spark.sparkContext.broadcast(tests)
+        del tests
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, "text", 4 << 20):
+                _, spans, items, longest = _matches(utf8(batch, "text"), [shared.value], window)
+                found = sorted(spans)
+                if found:
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(found)), pa.array([[a for a, _ in spans[i]] for i in found], pa.list_(pa.int64())), pa.array([[n for _, n in spans[i]] for i in found], pa.list_(pa.int64())),
+                         pa.array([sorted(items[i]) for i in found], pa.list_(pa.string())), pa.array([longest[i] for i in found], pa.int64())],
+                        names=["row", "at", "size", "items", "longest"])
+
+        found = source.mapInArrow(run, "row bigint, at array<bigint>, size array<bigint>, items array<string>, longest bigint")
+        parts.append(stash(found, "hits"))
+        shared.destroy()
+    return reduce(DataFrame.union, parts)
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest) of every row of ``docs``.
 
-    ``longest``: words of the longest verbatim match with an item. Null, empty and
+    ``longest``: words of the longest verbatim match found with an item, followed from one place of each window
+    and within a shard. Null, empty and
     word-less texts have no words and no hits; items without words or without
     id have no windows; an item of fewer words than ``window`` is one window.
     Repeated rows and items give equal rows; empty tables an empty result, or
     no hits. Other columns are not looked at.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(_blocks(benchmark, window))
-    source = docs.select("doc_id", "text")
+    hits = (_hits(docs, benchmark, window).groupBy("row").agg(F.collect_set(F.struct("at", "size", "items")).alias("f"), F.max("longest").alias("longest"))
+            .select("row", F.flatten("f.at").alias("at"), F.flatten("f.size").alias("size"), F.flatten("f.items").alias("items"), "longest"))
+    source = docs.select("doc_id", row_hash(F.col("doc_id"), F.col("text")).alias("row"), "text")
+    kind = dict(source.dtypes)["doc_id"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
-            counts, hit, items, longest = _find(utf8(batch, "text"), shared.value, window)
-            ids = [sorted(items.get(i, ())) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(split_words(t)) for t in utf8(batch, "text")], pa.int64())], names=["doc_id", "row", "n_words"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for at, size, items in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+                ids = sorted(set(items or ()))
+                hit = _covered(set(zip(at or (), size or ())))
+                rows.append((hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), hit > 0))
+            cols = list(zip(*rows)) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in ids], pa.int64()),
-                 pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids]), pa.array([h > 0 for h in hit]), pa.array(longest, pa.int64())],
+                [batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.bool_()))), batch.column(5)],
                 names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest"])
 
-    kind = dict(source.dtypes)["doc_id"]
-    return source.mapInArrow(run, f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, longest bigint")
+    words = source.mapInArrow(count, f"doc_id {kind}, row bigint, n_words bigint")
+    joined = words.join(hits, "row", "left").select("doc_id", "n_words", "at", "size", "items", F.coalesce("longest", F.lit(0)).alias("longest"))
+    return joined.mapInArrow(run, f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, longest bigint")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` in which no benchmark window occurs, all columns as they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(_blocks(benchmark, window))
-    return kept(docs, lambda: lambda batch: [h == 0 for h in _find(utf8(batch, "text"), shared.value, window)[1]])
+    hits = _hits(docs, benchmark, window).select("row").distinct()
+    keyed = docs.select(whole_row(docs).alias("all"), row_hash(F.col("doc_id"), F.col("text")).alias("row"))
+    return keyed.join(hits, "row", "left_anti").select("all.*")

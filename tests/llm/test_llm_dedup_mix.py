@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -224,6 +225,23 @@ def test_decontamination_odd_rows(spark):
     assert D.overlaps(frame(spark, []), items).count() == 0
 
 
+def test_benchmark_blocks_are_broadcast_one_by_one(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    text = lambda n: " ".join(rng.choice(["a", "b", "c", "d"], n))
+    docs = [(i, text(60)) for i in range(12)] + [(50, ""), (51, "e f g")]
+    items = [(i, text(12)) for i in range(9)] + [(20, "e f")]
+    sent, put = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(D, "BLOCK_BYTES", 60)
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: sent.append(value) or put(value))
+    df, tests = spark.createDataFrame([*docs, docs[0]], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(d, c, h, hashlib.sha256(found.encode()).hexdigest()) for d, c, h, found in overlaps_by_force(docs, items, 5)}
+    got = D.overlaps(df, tests, 5).collect()
+    assert len(got) == len(docs) + 1 and {(r.doc_id, r.n_words, r.n_hit, r.items_sha256) for r in got} == want
+    assert {r.doc_id for r in D.clean(df, tests, 5).collect()} == {d for d, _, h, _ in want if not h}
+    assert len(sent) > 4 and all(isinstance(x, D.Suffixes) for x in sent)
+    assert max(len(x.names) for x in sent) < len(items)
+
+
 # Mixing
 
 def check_mix(rows, cycle=(1, 2, 3)):
