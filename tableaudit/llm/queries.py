@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tableaudit.llm import decontaminate, fingerprints, linkgraph, mixing, orcstore, pagetext, quality, quotes, secretscan, simhash
+from tableaudit.llm import decontaminate, exactdup, fingerprints, linkgraph, mixing, orcstore, pagetext, quality, quotes, secretscan, simhash
 from tableaudit.llm.common import table
 
 
@@ -50,11 +50,15 @@ def op10_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkgraph.judge(table(spark, sf_dir, "pages"))
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_weighted_fingerprints, op2_quotation_linking, op3_quality_classifier, op4_simhash_near_dedup, op5_token_orc,
-        op6_secret_scan, op7_host_suffix_array, op8_benchmark_decontamination, op9_source_mixing, op10_link_graph,
+        op6_secret_scan, op7_host_suffix_array, op8_benchmark_decontamination, op9_source_mixing, op10_link_graph, op13_exact_dedup,
     )
 }
 
@@ -95,4 +99,12 @@ SELECT doc_id, size, source_size, target,
 FROM o
 """
 
-SQL = {"op8_benchmark_decontamination": OP8_SQL, "op9_source_mixing": OP9_SQL}
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+g AS (SELECT low, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY low)
+SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size,
+       row_number() OVER (PARTITION BY low ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(low) AS text_sha256
+FROM d JOIN g USING (low)
+"""
+
+SQL = {"op8_benchmark_decontamination": OP8_SQL, "op9_source_mixing": OP9_SQL, "op13_exact_dedup": OP13_SQL}
