@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tableaudit.llm import decontaminate, exactdup, fingerprints, linkgraph, mixing, orcstore, pagetext, quality, quotes, secretscan, simhash
+from tableaudit.llm import decontaminate, exactdup, fingerprints, linkgraph, mixing, orcstore, pagetext, quality, quotes, secretscan, simhash, turnrepair
 from tableaudit.llm.common import table
 
 
@@ -50,6 +50,11 @@ def op10_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkgraph.judge(table(spark, sf_dir, "pages"))
 
 
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return turnrepair.repair_report(turnrepair.damage(conversations), conversations)
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -58,7 +63,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_weighted_fingerprints, op2_quotation_linking, op3_quality_classifier, op4_simhash_near_dedup, op5_token_orc,
-        op6_secret_scan, op7_host_suffix_array, op8_benchmark_decontamination, op9_source_mixing, op10_link_graph, op13_exact_dedup,
+        op6_secret_scan, op7_host_suffix_array, op8_benchmark_decontamination, op9_source_mixing, op10_link_graph, op12_turn_repair, op13_exact_dedup,
     )
 }
 
@@ -99,6 +104,51 @@ SELECT doc_id, size, source_size, target,
 FROM o
 """
 
+#: CRC-32 of a decimal string, bit by bit.
+CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({0}, ''),
+    lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda a, e: xor(xor(a, e) >> 1, (xor(a, e) & 1) * 3988292384)))"""
+
+# Costs and audits of the four states are carried from row to row; a struct's minimum is the cheapest, then the least audit.
+OP12_SQL = r"""
+WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    """ + CRC32.format("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')") + r""" % 20 AS k FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+             CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(CASE WHEN k = 3 THEN [1, 2] ELSE [1] END) AS copy FROM o WHERE k > 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS rn, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS core,
+             left(role, 1) AS who FROM d),
+f AS (SELECT *, CASE WHEN core = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY rn) > 1 THEN 'duplicate'
+                     WHEN right(core, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+             coalesce(lag(who) OVER (PARTITION BY conv_id ORDER BY rn) || who NOT IN ('su', 'ua', 'au'), false) AS illegal FROM n),
+g AS (SELECT *, fault IN ('blank', 'duplicate') AS must, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS more FROM f),
+dp AS (SELECT conv_id, CAST(0 AS BIGINT) AS rn, {'c': 0::BIGINT, 't': ''} AS s0, {'c': 1000000000::BIGINT, 't': ''} AS s1,
+              {'c': 1000000000::BIGINT, 't': ''} AS s2, {'c': 1000000000::BIGINT, 't': ''} AS s3 FROM (SELECT DISTINCT conv_id FROM g)
+  UNION ALL
+  SELECT conv_id, rn, {'c': s0.c + 4, 't': s0.t || 'D'},
+         list_min([{'c': s1.c + 4, 't': s1.t || 'D'}] || CASE WHEN must OR who <> 's' THEN [] ELSE [{'c': s0.c + more, 't': s0.t || 'K'}] END),
+         list_min([{'c': p2.c + 4, 't': p2.t || 'D'}] || CASE WHEN must THEN [] ELSE [{'c': b.c + more + 3, 't': b.t || 'R'}] END || CASE WHEN must OR who <> 'u' THEN [] ELSE [{'c': b.c + more, 't': b.t || 'K'}] END),
+         list_min([{'c': p3.c + 4, 't': p3.t || 'D'}] || CASE WHEN must THEN [] ELSE [{'c': p2.c + more + 3, 't': p2.t || 'R'}] END || CASE WHEN must OR who <> 'a' THEN [] ELSE [{'c': p2.c + more, 't': p2.t || 'K'}] END)
+  FROM (SELECT g.conv_id, g.rn, must, more, who, s0, s1,
+               list_min([s2, {'c': s0.c + 3, 't': s0.t || 'I'}, {'c': s1.c + 3, 't': s1.t || 'I'}, {'c': s3.c + 3, 't': s3.t || 'I'}]) AS p2,
+               list_min([s3, {'c': s0.c + 6, 't': s0.t || 'II'}, {'c': s1.c + 6, 't': s1.t || 'II'}, {'c': s2.c + 3, 't': s2.t || 'I'}]) AS p3,
+               list_min([s0, s1, list_min([s3, {'c': s0.c + 6, 't': s0.t || 'II'}, {'c': s1.c + 6, 't': s1.t || 'II'}, {'c': s2.c + 3, 't': s2.t || 'I'}])]) AS b
+        FROM dp JOIN g ON g.conv_id IS NOT DISTINCT FROM dp.conv_id AND g.rn = dp.rn + 1)),
+best AS (SELECT conv_id, list_min([s0, s3, {'c': s2.c + 3, 't': s2.t || 'I'}, {'c': s1.c + 6, 't': s1.t || 'II'}]) AS e
+         FROM dp QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY rn DESC) = 1),
+l AS (SELECT conv_id, unnest(string_split(e.t, '')) AS edit, generate_subscripts(string_split(e.t, ''), 1) AS pos FROM best WHERE e.t <> ''),
+m AS (SELECT *, sum(CASE WHEN edit <> 'I' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY pos) AS rn, sum(CASE WHEN edit <> 'D' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY pos) AS place FROM l),
+j AS (SELECT m.*, g.role, g.text, bool_or(m.edit = 'K' AND m.place = 1 AND g.who = 's') OVER (PARTITION BY m.conv_id) AS led
+      FROM m LEFT JOIN g ON m.edit <> 'I' AND g.conv_id IS NOT DISTINCT FROM m.conv_id AND g.rn = m.rn),
+r AS (SELECT conv_id, string_agg((CASE WHEN edit = 'K' THEN role WHEN (place - CASE WHEN led THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END)
+                                 || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY pos) AS said FROM j WHERE edit <> 'D' GROUP BY conv_id),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+             count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal FROM g GROUP BY conv_id)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(e.c, 0) AS cost, coalesce(e.t, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM a.conv_id
+     LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
 OP13_SQL = r"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
 g AS (SELECT low, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY low)
@@ -107,4 +157,4 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size,
 FROM d JOIN g USING (low)
 """
 
-SQL = {"op8_benchmark_decontamination": OP8_SQL, "op9_source_mixing": OP9_SQL, "op13_exact_dedup": OP13_SQL}
+SQL = {"op8_benchmark_decontamination": OP8_SQL, "op9_source_mixing": OP9_SQL, "op12_turn_repair": OP12_SQL, "op13_exact_dedup": OP13_SQL}
