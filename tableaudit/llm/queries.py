@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tableaudit.llm import decontaminate, exactdup, fingerprints, linkgraph, mixing, orcstore, pagetext, quality, quotes, secretscan, simhash, turnrepair
+from tableaudit.llm import decontaminate, exactdup, fingerprints, linkgraph, mixing, orcstore, pagetext, prefixtrie, quality, quotes, secretscan, simhash, turnrepair
 from tableaudit.llm.common import table
 
 
@@ -50,6 +50,11 @@ def op10_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkgraph.judge(table(spark, sf_dir, "pages"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefixtrie.rebuild(table(spark, sf_dir, "conversations"))
+    return prefixtrie.prefix_trie(turns).drop("node", "parent")
+
+
 def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
     return turnrepair.repair_report(turnrepair.damage(conversations), conversations)
@@ -63,7 +68,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_weighted_fingerprints, op2_quotation_linking, op3_quality_classifier, op4_simhash_near_dedup, op5_token_orc,
-        op6_secret_scan, op7_host_suffix_array, op8_benchmark_decontamination, op9_source_mixing, op10_link_graph, op12_turn_repair, op13_exact_dedup,
+        op6_secret_scan, op7_host_suffix_array, op8_benchmark_decontamination, op9_source_mixing, op10_link_graph, op11_prefix_trie, op12_turn_repair, op13_exact_dedup,
     )
 }
 
@@ -108,6 +113,28 @@ FROM o
 CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({0}, ''),
     lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda a, e: xor(xor(a, e) >> 1, (xor(a, e) & 1) * 3988292384)))"""
 
+# A node is named by its path; each node's weights go to every prefix of one path to it.
+OP11_SQL = r"""
+WITH o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+           FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, """ + CRC32.format("CAST(conv_id AS VARCHAR)") + r""" % 4 AS h FROM (SELECT DISTINCT conv_id FROM o)),
+t AS (SELECT c.conv_id, 0 AS kind, i, role, text FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % 20 AND i <= h
+      UNION ALL SELECT conv_id, 1, i, role, text FROM c JOIN o USING (conv_id) WHERE i > h),
+r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY kind, i) AS depth, sha256(length(role) || ':' || role || text) AS said,
+             CAST(len(regexp_extract_all(text, '[^ 	-]+')) AS BIGINT) AS words FROM t),
+p AS (SELECT conv_id, depth, string_agg(said, '/') OVER (PARTITION BY conv_id ORDER BY depth) AS path, string_agg(said, '/') OVER (PARTITION BY conv_id ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS up, words,
+             depth = max(depth) OVER (PARTITION BY conv_id) AS last FROM r
+      UNION ALL SELECT conv_id, 0, '', NULL, 0, conv_id NOT IN (SELECT conv_id FROM r) FROM c),
+n AS (SELECT path, any_value(CASE WHEN depth > 0 THEN coalesce(up, '') END) AS up, any_value(depth) AS depth, any_value(words) AS words, min(conv_id) AS conv_id, count(*) AS n_convs,
+             string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (last) AS ends FROM p GROUP BY path),
+k AS (SELECT up AS path, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up),
+w AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (path)),
+s AS (SELECT a.path, count(*) FILTER (w.n_children = 0) AS n_leaves, sum((w.n_convs - 1) * w.words) AS saved FROM w JOIN p a ON a.conv_id = w.conv_id AND a.depth <= w.depth GROUP BY a.path)
+SELECT w.conv_id, CAST(w.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, w.n_convs, w.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(w.ends, '')) AS ends_sha256
+FROM w JOIN s USING (path) LEFT JOIN w u ON u.path = w.up
+"""
+
 # Costs and audits of the four states are carried from row to row; a struct's minimum is the cheapest, then the least audit.
 OP12_SQL = r"""
 WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
@@ -157,4 +184,4 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size,
 FROM d JOIN g USING (low)
 """
 
-SQL = {"op8_benchmark_decontamination": OP8_SQL, "op9_source_mixing": OP9_SQL, "op12_turn_repair": OP12_SQL, "op13_exact_dedup": OP13_SQL}
+SQL = {"op8_benchmark_decontamination": OP8_SQL, "op9_source_mixing": OP9_SQL, "op11_prefix_trie": OP11_SQL, "op12_turn_repair": OP12_SQL, "op13_exact_dedup": OP13_SQL}
