@@ -15,18 +15,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config as C
 from ..config import DEFAULT, AuditConfig
+from ..functions import positions as PO
 from ..functions import stats as S
 from ..functions.expressions import (col, is_numeric, is_text, missing, name_has, nan_to_null,
                                      to_number)
 from ..session import reused
-from .detect import quality_score
+from .detect import quality_score, row_digest
 
 KEEP = ("keep_as_is", "keep_all")
 CHANGES_SCHEMA = "anomaly_id string, action string, description string, rows_changed bigint, coerced_to_null bigint"
@@ -336,7 +336,7 @@ def _clean(base: DataFrame, recs: list[dict], decisions, cfg: AuditConfig,
            parent_run_id: str | None) -> CleanResult:
     plain = lambda i: str(i).replace("-", "")
     by_id = {plain(r["anomaly_id"]): r for r in recs}
-    st, counted, held = _State(base), {}, []
+    st, counted, rebased = _State(base), {}, False
     log: list[dict] = []
     for d in as_decisions(decisions):
         anomaly = by_id.get(plain(d.get("anomaly_id", "")))
@@ -350,18 +350,16 @@ def _clean(base: DataFrame, recs: list[dict], decisions, cfg: AuditConfig,
         elif action == "remove_duplicates":
             st.count_rows(key)
             counted.update(st.flush())
-            # Every later statistic and counter reads the de-duplicated rows: they are kept until the counters are in.
-            deduped = st.current().dropDuplicates().persist(StorageLevel.MEMORY_AND_DISK)
-            held.append(deduped)
-            st.set_base(deduped)
+            # Only digests and row numbers are shuffled; later statistics and counters read the rows where they lie.
+            now = st.current()
+            st.set_base(PO.keep_first(now, row_digest(now)))
+            rebased = True
             st.count_rows(key + "_left")
             row["description"] = "dropped {rows} rows that repeat another"
         else:
             made = ACTIONS[action](Step(st, anomaly, d["params"], key, cfg)) if action in ACTIONS else None
             row["description"] = made or f"Skipped unrecognised action '{action}'"
     counted.update(st.flush())
-    for h in held:
-        h.unpersist(blocking=False)
     for row in log:
         key = row["rows_changed"]
         row["rows_changed"] = int(counted.get(key, 0)) - int(counted.get(key + "_left", 0))
@@ -371,7 +369,7 @@ def _clean(base: DataFrame, recs: list[dict], decisions, cfg: AuditConfig,
     remaining = [r for r in recs if str(r["anomaly_id"]) not in set(resolved)]
     changes = base.sparkSession.createDataFrame(
         [(r["anomaly_id"], r["action"], r["description"], r["rows_changed"], r["coerced_to_null"]) for r in log], CHANGES_SCHEMA)
-    rules = None if held else (st.alive, dict(st.exprs))
+    rules = None if rebased else (st.alive, dict(st.exprs))
     return CleanResult(df=st.current(), changes=changes, change_rows=log, score_after=quality_score(remaining, counted["__rows_now"]),
                        rows_after=counted["__rows_now"], resolved=resolved, parent_run_id=parent_run_id, extra={"rules": rules})
 

@@ -1060,6 +1060,35 @@ def q_flag_rows(spark, sf):
                                        "is_logical_violation", "is_outlier", "is_sparse", "first_tier")
 
 
+_EXAMPLES = [("DUPLICATE_ROWS", "is_duplicate")] + [(f"MISSING_DATA|{c}", f"NOT is_duplicate AND ({c} IS NULL{blank})") for c, blank in (
+    ("cust", ""), ("status", " OR trim(status) = ''"), ("reading", ""), ("priority", " OR trim(priority) = ''"), ("order_date", ""))] + [
+    ("LOGICAL_VIOLATION|reading", "NOT is_duplicate AND NOT is_missing AND reading <> 0 AND (reading < 1000 OR reading > 600000)")]
+
+
+def stored_dirty_orders(spark, sf):
+    """The dirty orders as files, in the order of their keys."""
+    path = _scratch(spark, "dirty_orders")
+    V.dirty_orders(spark, sf).orderBy("o_orderkey").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@register("anomaly_examples", cte(f"""
+stored AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS place, row_number() OVER (PARTITION BY o_orderkey) > 1 AS is_duplicate,
+   (o_orderkey IS NULL OR cust IS NULL OR coalesce(trim(status) = '', true) OR reading IS NULL OR coalesce(trim(priority) = '', true) OR order_date IS NULL) AS is_missing FROM dirty_orders),
+claims AS ({" UNION ALL ".join(f"SELECT '{a}' AS anomaly_id, place FROM stored WHERE {p}" for a, p in _EXAMPLES)}),
+ranked AS (SELECT anomaly_id, CAST(row_number() OVER (PARTITION BY anomaly_id ORDER BY place) AS INTEGER) AS example, place AS row_number FROM claims)
+SELECT * FROM ranked WHERE example <= 5""", V.DIRTY_ORDERS_SQL))
+def q_anomaly_examples(spark, sf):
+    df = stored_dirty_orders(spark, sf)
+    kinds = [a for a, _ in _EXAMPLES]
+    return D.example_rows(df, D.detect(df, V.DIRTY_ORDERS_BOUNDS)).where(F.col("anomaly_id").isin(kinds))
+
+
+@register("remove_duplicates_stored", plain("SELECT DISTINCT * FROM dirty_orders", V.DIRTY_ORDERS_SQL))
+def q_remove_duplicates_stored(spark, sf):
+    return CL.remove_duplicates(stored_dirty_orders(spark, sf))
+
+
 @register("distribution_facts", plain("""
 SELECT 'l_extendedprice' AS "column", count(l_extendedprice) AS n, round(skewness(l_extendedprice), 4) AS skewness,
   round(kurtosis(l_extendedprice), 4) AS kurtosis, round(avg(l_extendedprice), 4) AS mean,
@@ -1176,6 +1205,20 @@ def q_validate_csv(spark, sf):
 from ..sources import sinks as SK  # noqa: E402
 
 
+@register("validate_csv_ragged", plain("""
+SELECT 'row_shape' AS "check", count(*) FILTER (turn % 5 = 3) = 0 AS passed, count(*) FILTER (turn % 5 = 3) || ' row(s) have a different number of fields than the header.' AS message FROM conversations"""))
+def q_validate_csv_ragged(spark, sf):
+    """Quoted texts with line ends; every turn 3, 8 ... has a field too few."""
+    c = V.table(spark, sf, "conversations")
+    text = F.concat(F.lit('"'), F.regexp_replace("text", '"', '""'), F.lit('\nand, more"'))
+    line = F.when(F.col("turn") % 5 == 3, F.concat_ws(",", "conv_id", text)).otherwise(F.concat_ws(",", "conv_id", "turn", text))
+    # The first row of every file begins with the header.
+    begins = F.monotonically_increasing_id() % (1 << 33) == 0
+    path = _scratch(spark, "ragged")
+    c.select(F.when(begins, F.concat(F.lit("conv_id,turn,text\n"), line)).otherwise(line).alias("value")).write.text(path)
+    return IN.validate_input(spark, path).where(F.col("check") == "row_shape")
+
+
 @register("write_table_read_back", plain("SELECT * FROM nation"))
 def q_write_table_read_back(spark, sf):
     path = _scratch(spark, "table")

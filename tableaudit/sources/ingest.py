@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config as C
+from . import splitcsv as SC
 from ..functions.expressions import BLANK_TEXT, NUMBER_TEXT, col, finite_frame, is_text, snake_case, to_number
 
 # The text tokens a CSV reader turns into missing by default.
@@ -14,33 +15,27 @@ NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
              "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 INTEGRAL_TEXT = r"^\s*[+-]?\d+\s*$"
 TRUE_TEXT, FALSE_TEXT = ("True", "TRUE", "true"), ("False", "FALSE", "false")
-REPLACEMENT_CHAR = "�"
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, **options) -> tuple[DataFrame, str | None]:
     """A1: load a table. CSV is read as text with a header; quoted fields may hold
-    separators, doubled quotes and line ends (``multiLine="false"`` splits files
-    without such line ends among tasks). When the UTF-8 read holds U+FFFD
-    (undecodable bytes) it is read again as latin-1, which decodes any byte.
-    Returns ``(df, encoding)``."""
+    separators, doubled quotes and line ends. Files are read in as many tasks as they have splits, line ends in quotes or not
+    (``splitcsv``). Bytes that are no UTF-8 make the encoding latin-1, which decodes any. With options
+    beside ``sep`` and ``quote`` the plain reader is taken. Returns ``(df, encoding)``."""
     fmt = fmt or path.rsplit(".", 1)[-1].lower()
     if fmt not in ("csv", "txt", "tsv"):
         return spark.read.format(fmt).options(**options).load(path), None
-    opts = {"header": "true", "inferSchema": "false", "mode": "PERMISSIVE", "multiLine": "true", "quote": '"', "escape": '"'}
-    if fmt == "tsv":
-        opts["sep"] = "\t"
-    opts.update(options)
-    spark_names = {"utf-8": "UTF-8", "latin-1": "ISO-8859-1"}
-    for enc in C.CSV_ENCODINGS[:2]:
-        df = spark.read.options(**opts, encoding=spark_names[enc]).csv(path)
-        if enc == "latin-1" or not df.columns:
-            return df, enc
-        bad = F.lit(False)
-        for c in df.columns:
-            bad = bad | F.coalesce(col(c).contains(REPLACEMENT_CHAR), F.lit(False))
-        if not df.where(bad).limit(1).count():
-            return df, enc
-    return df, "latin-1"
+    options = {("sep" if k == "delimiter" else k): v for k, v in options.items()}
+    sep, quote = options.get("sep", "\t" if fmt == "tsv" else ","), options.get("quote", '"')
+    layout = SC.examine(spark, path, sep, quote)
+    plain = {"header": "true", "inferSchema": "false", "mode": "PERMISSIVE", "sep": sep, "quote": quote, "escape": '"',
+             "encoding": SC.SPARK_NAMES[layout.encoding], **options}
+    own = set(options) - {"sep", "quote"}
+    if own or layout.returns_only or layout.empty:
+        return spark.read.options(**{"multiLine": "true", **plain}).csv(path), layout.encoding
+    if not layout.quoted_line_ends:
+        return spark.read.options(**plain).csv(path), layout.encoding
+    return SC.parsed(SC.records(spark, layout, sep, quote), layout.header, sep, quote), layout.encoding
 
 
 def null_tokens(df: DataFrame, blank_is_null: bool = False) -> DataFrame:
@@ -89,38 +84,37 @@ def inferred_schema(df: DataFrame) -> DataFrame:
 
 
 def validate_input(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """A4: (check, passed, message) rows: readable, has columns, has rows, no ragged rows."""
-    checks = []
+    """A4: (check, passed, message) rows: readable, has columns, has rows, no ragged rows.
+    Of CSV, the columns, rows and ragged rows are found in one pass over the splits after the one that finds how they begin."""
+    checks: list[tuple[str, bool, str]] = []
+
+    def report() -> DataFrame:
+        return spark.createDataFrame(checks, "check string, passed boolean, message string")
+
+    bad = None
     try:
         if fmt == "csv":
-            raw = spark.read.text(path)
-            if raw.limit(1).count() == 0:
+            layout = SC.examine(spark, path)
+            if not layout.files:
                 checks.append(("non_empty_file", False, "The file is empty."))
-                return spark.createDataFrame(checks, "check string, passed boolean, message string")
-            df = (spark.read.options(header="true", mode="PERMISSIVE", multiLine="true", escape='"', columnNameOfCorruptRecord="_corrupt_record")
-                  .schema(_with_corrupt(spark, path)).csv(path))
+                return report()
+            cols = [] if layout.empty else layout.header
+            n = 0
+            if cols:
+                rows = SC.parsed(SC.records(spark, layout), cols, corrupt=True)
+                n, bad = rows.agg(F.count(F.lit(1)), F.count(F.col(SC.CORRUPT))).first()
         else:
             df = spark.read.format(fmt).load(path)
+            cols, n = df.columns, df.limit(1).count()
         checks.append(("readable", True, "The file could be read."))
     except Exception as exc:  # noqa: BLE001
         checks.append(("readable", False, f"Could not parse file: {type(exc).__name__}"))
-        return spark.createDataFrame(checks, "check string, passed boolean, message string")
-    cols = [c for c in df.columns if c != "_corrupt_record"]
-    checks.append(("has_columns", bool(cols), "No columns found." if not cols else f"{len(cols)} columns."))
-    has_rows = df.limit(1).count() > 0
-    checks.append(("has_rows", has_rows, "The file has a header but no data rows." if not has_rows else "Has rows."))
-    if "_corrupt_record" in df.columns:
-        # the parser needs at least one data column next to the corrupt-record column
-        bad = df.agg(F.count_if(F.col("_corrupt_record").isNotNull()).alias("bad"),
-                     *[F.count(col(c)) for c in cols[:1]]).first()["bad"]
+        return report()
+    checks.append(("has_columns", bool(cols), f"{len(cols)} columns." if cols else "No columns found."))
+    checks.append(("has_rows", n > 0, "Has rows." if n else "The file has a header but no data rows."))
+    if bad is not None:
         checks.append(("row_shape", bad == 0, f"{bad} row(s) have a different number of fields than the header."))
-    return spark.createDataFrame(checks, "check string, passed boolean, message string")
-
-
-def _with_corrupt(spark: SparkSession, path: str) -> T.StructType:
-    header = spark.read.options(header="true", multiLine="true", escape='"').csv(path).schema
-    return T.StructType([T.StructField(f.name, T.StringType()) for f in header.fields]
-                        + [T.StructField("_corrupt_record", T.StringType())])
+    return report()
 
 
 def normalise_headers(df: DataFrame, renames: dict[str, str] | None = None) -> tuple[DataFrame, dict[str, str]]:
