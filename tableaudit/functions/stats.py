@@ -265,8 +265,8 @@ def quantile_targets(n: int, probs) -> list[tuple[float, int, int]]:
     return out
 
 
-#: Accuracy of the brackets, and values of a bracket that the driver may order.
-BRACKET_ACCURACY, BRACKET_VALUES = 10_000, 2_000
+#: Accuracy of the brackets; values that the driver may order, of all brackets and of one.
+BRACKET_ACCURACY, DRIVER_VALUES, BRACKET_VALUES = 10_000, 100_000, 2_000
 
 
 @dataclass
@@ -278,6 +278,7 @@ class _Bracket:
     hi: int
     low: float
     high: float
+    n: int = 0
     below: int = 0
     upto: int = 0
     misses: int = 0
@@ -286,14 +287,12 @@ class _Bracket:
 
 def exact_quantiles(df: DataFrame, exprs: dict[str, Column], probs,
                     counts: dict[str, int] | None = None) -> dict[str, list[float | None]]:
-    """Linear-interpolated quantiles (pandas ``quantile``), exact, from narrow aggregates.
-
-    ``percentile_approx`` gives each quantile a bracket of values; one aggregate counts
-    what lies below and within it; a bracket that still holds many values gets a
-    narrower one from its own rows, and the few values that are left are counted
-    and ordered on the driver. Nothing is sorted, shuffled by value or checkpointed:
-    each job returns one row, or at most BRACKET_VALUES values a quantile.
-    ``counts``: non-null values per column, when the caller already has them."""
+    """Linear-interpolated quantiles (pandas ``quantile``), exact, from two scans.
+
+    The first takes a quantile sketch a column, whose rank bound gives each quantile a bracket of values. The
+    second counts each bracket's values, and what lies below it as one value more: a row a task, so nothing but what
+    lies within the bound is shuffled. The positions are then found among those counts: by the driver if they are few, else
+    by running sums over ranges. ``counts``: non-null values per column, when the caller already has them."""
     probs = list(probs)
     if not exprs:
         return {}
@@ -314,15 +313,60 @@ def exact_quantiles(df: DataFrame, exprs: dict[str, Column], probs,
             at = dict(zip(wanted, row[f"q{i}"]))
             for p, (t, lo, hi) in zip(probs, quantile_targets(n[c], probs)):
                 low, high = at[max(0.0, p - edge)], at[min(1.0, p + edge)]
-                brackets.append(_Bracket(c, t, lo, hi, low if p > edge else ends[c][0], high if p < 1 - edge else ends[c][1]))
-    _narrow(df, x, brackets, ends)
-    _order(df, x, [b for b in brackets if b.found is None])
+                brackets.append(_Bracket(c, t, lo, hi, low if p > edge else ends[c][0], high if p < 1 - edge else ends[c][1], n[c]))
+    _place(df, x, brackets)
+    missed = [b for b in brackets if b.found is None]
+    if missed:  # the sketch broke its bound: whole columns are narrowed step by step
+        for b in missed:
+            b.low, b.high = ends[b.name]
+        _narrow(df, x, missed, ends)
+        _order(df, x, [b for b in missed if b.found is None])
     out, each = {}, iter(brackets)
     for c in names:
         out[c] = [next(each).found for _ in probs] if n[c] else [None] * len(probs)
     return out
 
 
+def _place(df: DataFrame, x: dict[str, Column], brackets: list[_Bracket]) -> None:
+    """Find all brackets' positions in one scan; ``found`` stays None where a bracket doesn't hold them."""
+    if not brackets:
+        return
+    below = F.lit(None).cast("double")
+    at = [F.when(x[b.name] < b.low, F.struct(F.lit(i).alias(KEY), below.alias(VAL)))
+           .when(x[b.name] <= b.high, F.struct(F.lit(i).alias(KEY), x[b.name].alias(VAL))) for i, b in enumerate(brackets)]
+    counts = (df.select(F.inline(F.array_compact(F.array(*at)))).groupBy(KEY, VAL).agg(F.count(F.lit(1)).alias(WEIGHT)))
+    expected = sum(b.n for b in brackets) * 8 / BRACKET_ACCURACY
+    if expected > DRIVER_VALUES:
+        counts = cut(counts)
+        if counts.count() > DRIVER_VALUES:
+            _place_in_ranges(counts, brackets)
+            return
+    values: dict[int, list[tuple[float, int]]] = {}
+    for r in counts.collect():
+        values.setdefault(r[KEY], []).append((r[VAL], r[WEIGHT]))
+    for i, b in enumerate(brackets):
+        pos, got = 0, {}
+        for v, w in sorted(values.get(i, []), key=lambda vw: (vw[0] is not None, vw[0] or 0.0)):
+            for p in (b.lo, b.hi):
+                if pos <= p < pos + w:
+                    got[p] = v
+            pos += w
+        if got.get(b.lo) is not None and got.get(b.hi) is not None:
+            b.found = _lerp(got[b.lo], got[b.hi], b.t)
+
+
+def _place_in_ranges(counts: DataFrame, brackets: list[_Bracket]) -> None:
+    """The same, where the brackets hold more values than the driver orders: two rows a bracket reach it."""
+    ranked, _ = cumulative(counts, KEY, [VAL], WEIGHT)
+    wanted = ranked.sparkSession.createDataFrame([(i, p) for i, b in enumerate(brackets) for p in {b.lo, b.hi}], f"{KEY} int, p bigint")
+    hit = ranked.join(F.broadcast(wanted), KEY).where((F.col("_before") <= F.col("p")) & (F.col("p") < F.col("_before") + F.col(WEIGHT)))
+    got = {(r[KEY], r.p): r[VAL] for r in hit.select(KEY, "p", VAL).collect()}
+    for i, b in enumerate(brackets):
+        low, high = got.get((i, b.lo)), got.get((i, b.hi))
+        if low is not None and high is not None:
+            b.found = _lerp(low, high, b.t)
+
+
 def _narrow(df: DataFrame, x: dict[str, Column], brackets: list[_Bracket], ends: dict) -> None:
     """Count each bracket, and narrow those that hold more values than the driver orders."""
     open_ = list(brackets)
@@ -418,67 +462,6 @@ def quantiles(df: DataFrame, exprs: dict[str, Column], probs, method: str = "exa
     return exact_quantiles(df, exprs, probs, counts=counts)
 
 
-def column_profile(df: DataFrame, numeric: dict[str, Column], text: dict[str, Column] | None = None,
-                   exact: dict[str, Column] | None = None):
-    """Row count, moments, null counts and distinct counts from one pass over the data.
-
-    The table is unpivoted and grouped to ``(column, value, count)`` once
-    (map-side combine) and kept; every statistic is then a small grouped
-    aggregate over that table: sum(w*v), centred power sums, zero / negative
-    counts, and the number of distinct values per column. A row-count key is
-    carried along, so ``nulls = rows - non-null count``."""
-    from pyspark import StorageLevel
-    text = {c: F.when(e.isNotNull(), digest(e.cast("string"))) for c, e in (text or {}).items()}
-    probe = "__rows__"
-    vc, keys = value_counts(df, numeric={probe: F.lit(0.0), **numeric}, text=text, exact=exact)
-    vc = vc.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        v, w = F.col(VAL), F.col(WEIGHT)
-        p1 = {r[KEY]: r for r in vc.groupBy(KEY).agg(
-            F.sum(w).alias("c"), F.count(F.lit(1)).alias("d"), F.sum(v * w).alias("s"),
-            F.min(v).alias("mn"), F.max(v).alias("mx"),
-            F.sum(F.when(~v.isin(0.0, 1.0), w).otherwise(0)).alias("nb"),
-            F.sum(F.when(v == 0, w).otherwise(0)).alias("z0"),
-            F.sum(F.when(v < 0, w).otherwise(0)).alias("ng")).collect()}
-        n = int(p1[keys[probe]]["c"]) if keys[probe] in p1 else 0
-        mu = {k: (r["s"] / r["c"] if r["c"] and r["s"] is not None else 0.0) for k, r in p1.items()}
-        mu_map = F.create_map(*[x for k, m in mu.items() for x in (F.lit(k), F.lit(float(m)))])
-        d = v - F.element_at(mu_map, F.col(KEY))
-        p2 = {r[KEY]: r for r in vc.where(F.col(VAL).isNotNull()).groupBy(KEY).agg(
-            F.sum(d * w).alias("d1"), F.sum(d * d * w).alias("d2"), F.sum(d * d * d * w).alias("d3"),
-            F.sum(d * d * d * d * w).alias("d4")).collect()}
-    finally:
-        vc.unpersist(blocking=False)
-    out, nulls, distinct = {}, {}, {}
-    for name, k in keys.items():
-        if name == probe:
-            continue
-        r = p1.get(k)
-        c = int(r["c"]) if r is not None else 0
-        nulls[name] = n - c
-        distinct[name] = int(r["d"]) if r is not None else 0
-        if name not in numeric:
-            continue
-        if not c:
-            out[name] = NumStats(nonbinary=0)
-            continue
-        q = p2[k]
-        s1, s2, s3, s4 = (q[f"d{i}"] or 0.0 for i in (1, 2, 3, 4))
-        dd = s1 / c
-        m2 = max(s2 / c - dd * dd, 0.0)
-        m3 = s3 / c - 3 * dd * s2 / c + 2 * dd ** 3
-        m4 = s4 / c - 4 * dd * s3 / c + 6 * dd * dd * s2 / c - 3 * dd ** 4
-        std = math.sqrt(m2 * c / (c - 1)) if c > 1 else None
-        if m2 <= 0:
-            skew, kurt = (0.0 if c >= 3 else None), (0.0 if c >= 4 else None)
-        else:
-            skew = adjusted_skew(m3 / m2 ** 1.5, c)
-            kurt = adjusted_kurt(m4 / (m2 * m2) - 3.0, c)
-        out[name] = NumStats(count=c, min=r["mn"], max=r["mx"], mean=mu[k], std=std, skew=skew, kurt=kurt,
-                             nonbinary=int(r["nb"]), zeros=int(r["z0"]), negatives=int(r["ng"]))
-    return n, out, nulls, distinct
-
-
 def counts_and_quantiles(df: DataFrame, exprs: dict[str, Column], probs):
     """Row count, per-column counters (count, min, max, mean, zeros, negatives,
     values outside {0, 1}) and exact quantiles, from narrow aggregates alone."""
@@ -486,22 +469,40 @@ def counts_and_quantiles(df: DataFrame, exprs: dict[str, Column], probs):
     return n, stats, exact_quantiles(df, exprs, probs)
 
 
-def distinct_counts(df: DataFrame, numeric: dict[str, Column] | None = None,
-                    text: dict[str, Column] | None = None, exact: dict[str, Column] | None = None) -> dict[str, int]:
-    """Exact distinct non-null values per column from one unpivoted group-by;
-    texts are told apart by 128-bit digests."""
-    if not numeric and not text:
+def distinct_counts(df: DataFrame, exprs: dict[str, Column]) -> dict[str, int]:
+    """Exact distinct non-null values per column in one job: each value is a column number and 128 digest bits,
+    combined before the shuffle, so frequent values cost a row a task and rare ones spread by digest."""
+    if not exprs:
         return {}
-    text = {c: F.when(e.isNotNull(), digest(e.cast("string"))) for c, e in (text or {}).items()}
-    vc, keys = value_counts(df, numeric=numeric, text=text, exact=exact)
-    got = {r[KEY]: r["cnt"] for r in vc.groupBy(KEY).agg(F.count(F.lit(1)).alias("cnt")).collect()}
-    return {name: int(got.get(k, 0)) for name, k in keys.items()}
+    cells = [F.when(e.isNotNull(), F.struct(F.lit(i).alias(KEY), F.xxhash64(e).alias("_a"), F.xxhash64(F.lit(1), e).alias("_b"))) for i, e in enumerate(exprs.values())]
+    each = df.select(F.inline(F.array_compact(F.array(*cells)))).groupBy(KEY, "_a", "_b").agg(F.lit(1).alias(WEIGHT))
+    got = {r[KEY]: r["n"] for r in each.groupBy(KEY).agg(F.count(F.lit(1)).alias("n")).collect()}
+    return {name: int(got.get(i, 0)) for i, name in enumerate(exprs)}
+
+
+#: Distinct-value sketches: 64 KB each; five standard errors.
+SKETCH_LOG_K, SKETCH_BOUND = 16, 5 * 1.04 / 2 ** 8
+
+
+def distinct_estimates(df: DataFrame, exprs: dict[str, Column]) -> dict[str, int]:
+    """Distinct non-null values per column to within ``SKETCH_BOUND``, from mergeable sketches in one scan without a shuffle of values."""
+    if not exprs:
+        return {}
+    aggs = [F.hll_sketch_estimate(F.hll_sketch_agg(F.when(e.isNotNull(), F.xxhash64(e)), SKETCH_LOG_K)).alias(f"d{i}") for i, e in enumerate(exprs.values())]
+    row = df.agg(*aggs).first()
+    return {name: int(row[f"d{i}"] or 0) for i, name in enumerate(exprs)}
+
+
+def distinct_for(df: DataFrame, exprs: dict[str, Column], marks: dict[str, list[float]]) -> dict[str, int]:
+    """Distinct counts that compare with each of a column's ``marks`` as the exact ones do: the
+    sketch's estimate where its bounds leave no mark open, else the exact count of that column."""
+    found = distinct_estimates(df, exprs)
 
+    def open_(name: str) -> bool:
+        low, high = found[name] * (1 - SKETCH_BOUND) - 1, found[name] * (1 + SKETCH_BOUND) + 1
+        return any(low <= m <= high for m in marks[name])
 
-def value_profile(df: DataFrame, numeric: dict[str, Column], text: dict[str, Column] | None,
-                  probs=(0.25, 0.5, 0.75), method: str = "exact", accuracy: int = 10_000, exact: dict[str, Column] | None = None):
-    """Distinct counts for all columns and quantiles for numeric ones."""
-    return distinct_counts(df, numeric, text, exact), quantiles(df, numeric, probs, method, accuracy)
+    return {**found, **distinct_counts(df, {c: e for c, e in exprs.items() if open_(c)})}
 
 
 def mode_values(df: DataFrame, numeric: dict[str, Column] | None = None,

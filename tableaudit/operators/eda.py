@@ -276,7 +276,7 @@ def eda(df: DataFrame, intent: str = "", changes: DataFrame | None = None,
         anomalies: DataFrame | None = None, cfg: AuditConfig = DEFAULT) -> EDA:
     """Row/column counts, kinds, column stats, top correlations, hotspots,
     readiness, notes and recommendation for one table."""
-    fx = facts(df, cfg, distinct=True)
+    fx = facts(df, cfg, distinct=True, exact=True)
     spark = df.sparkSession
     stats = spark.createDataFrame(column_stats_rows(df, fx),
                                   "name string, dtype string, null_count bigint, null_rate double, "

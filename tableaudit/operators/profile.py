@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,35 +41,38 @@ class Facts:
         return self.kinds["numeric"]
 
 
-def facts(df: DataFrame, cfg: AuditConfig = DEFAULT, distinct: bool = True,
-          quantiles: bool = False, columns: list[str] | None = None) -> Facts:
-    """Moments of numeric columns, null counts of all, distinct counts, quartiles."""
+def facts(df: DataFrame, cfg: AuditConfig = DEFAULT, distinct: bool = True, exact: bool = False) -> Facts:
+    """Moments of numeric columns, null counts of all, and distinct counts: ``exact`` ones, or such as
+    decide every rule as the exact ones do (from sketches, where these decide)."""
     with reused(df) as df:
-        return _facts(df, cfg, distinct, quantiles, columns)
+        return _facts(df, distinct, exact)
 
 
-def _facts(df: DataFrame, cfg: AuditConfig, distinct: bool, quantiles: bool,
-           columns: list[str] | None) -> Facts:
+def _facts(df: DataFrame, distinct: bool, exact: bool) -> Facts:
     kinds = column_kinds(df)
-    num_cols = [c for c in kinds["numeric"] if columns is None or c in columns]
-    exprs = {c: number_of(df, c) for c in num_cols}
-    text = {c: col(c) for c in df.columns
-            if c not in exprs and (columns is None or c in columns) and _groupable(df, c)}
-    if distinct and not quantiles and all(c in exprs or c in text for c in df.columns):
-        # one pass over the data: moments, nulls and distinct counts from the value-count table
-        n, num, nulls, dist = S.column_profile(df, exprs, text, exact_keys(df, exprs))
-        return Facts(n=n, kinds=kinds, num=num, nulls=nulls, distinct=dist)
+    exprs = {c: number_of(df, c) for c in kinds["numeric"]}
     n, num, nulls = S.moments(df, exprs, {c: col(c) for c in df.columns})
     fx = Facts(n=n, kinds=kinds, num=num, nulls=nulls)
-    if distinct or quantiles:
-        if quantiles:
-            d, qs = S.value_profile(df, exprs, text, (0.25, 0.5, 0.75), cfg.quantiles, cfg.approx_accuracy, exact_keys(df, exprs))
-            fx.distinct, fx.quant = d, qs
-        else:
-            fx.distinct = S.distinct_counts(df, exprs, text, exact_keys(df, exprs))
+    if distinct:
+        keys = distinct_keys(df, exprs)
+        if exact:
+            keys |= {c: col(c) for c in df.columns if c not in exprs and _groupable(df, c)}
+        fx.distinct = S.distinct_counts(df, keys) if exact else S.distinct_for(df, keys, distinct_marks(n, num))
     return fx
 
 
+def distinct_keys(df: DataFrame, exprs: dict[str, Column]) -> dict[str, Column]:
+    """What tells numbers apart: the value, and its exact text where a double can't."""
+    exact = exact_keys(df, exprs)
+    return {c: F.when(e.isNotNull(), F.struct(e.cast("double").alias("v"), exact[c].alias("t"))) if c in exact else e.cast("double") for c, e in exprs.items()}
+
+
+def distinct_marks(n: int, num: dict[str, S.NumStats], least: int = DEFAULT.min_unique_for_transform) -> dict[str, list[float]]:
+    """The distinct counts at which a rule on a numeric column changes its answer."""
+    few = [1, 2, least - 1, least]
+    return {c: [*few, n * C.ID_CARDINALITY_THRESHOLD, s.count * C.ID_CARDINALITY_THRESHOLD] for c, s in num.items()}
+
+
 def _groupable(df: DataFrame, c: str) -> bool:
     dt = df.schema[c].dataType
     return not isinstance(dt, (T.MapType, T.ArrayType, T.StructType, T.BinaryType))
@@ -130,7 +133,7 @@ def column_stats_rows(df: DataFrame, fx: Facts) -> list[tuple]:
 
 def column_stats(df: DataFrame, cfg: AuditConfig = DEFAULT, fx: Facts | None = None) -> DataFrame:
     """Per column: dtype, nulls, null rate (4 dp), distinct, mean, std, min, max, skew, kurtosis."""
-    fx = fx or facts(df, cfg, distinct=True)
+    fx = fx or facts(df, cfg, distinct=True, exact=True)
     return df.sparkSession.createDataFrame(column_stats_rows(df, fx), COLUMN_STATS_SCHEMA)
 
 

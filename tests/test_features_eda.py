@@ -271,3 +271,41 @@ def test_exact_quantiles_between_very_frequent_values(spark, monkeypatch):
         df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(3)
         probs = (0.0, 0.25, 0.4999, 0.5, 0.50005, 0.75, 1.0)
         assert np.allclose(S.exact_quantiles(df, {"v": F.col("v")}, probs)["v"], np.quantile(values, probs), rtol=0, atol=1e-9)
+
+
+def test_sketched_distinct_counts_decide_as_exact_ones(spark):
+    """Columns at, below and above every mark; each comparison comes out as with the exact count."""
+    from tableaudit.functions import stats as S
+    n = 4_000
+    sizes = [1, 2, 9, 10, 11, 50, 51, 1_000, 3_799, 3_800, 3_801, 4_000]
+    df = spark.range(n).select(*[F.when(F.col("id") < n - 1, F.col("id") % k).alias(f"c{k}") for k in sizes]).repartition(5)
+    exprs = {c: F.col(c) for c in df.columns}
+    exact = S.distinct_counts(df, exprs)
+    assert exact == {c: df.select(c).dropna().distinct().count() for c in df.columns}
+    marks = [1, 2, 9, 10, 50, 51, 0.95 * n]
+    got = S.distinct_for(df, exprs, {c: marks for c in exprs})
+    for c in exprs:
+        assert [got[c] >= m for m in marks] == [exact[c] >= m for m in marks] and [got[c] > m for m in marks] == [exact[c] > m for m in marks]
+    estimates = S.distinct_estimates(df, exprs)
+    assert all(abs(estimates[c] - exact[c]) <= S.SKETCH_BOUND * exact[c] + 1 for c in exprs)
+
+
+def test_quantiles_take_two_scans_or_ranges(spark, monkeypatch):
+    """Positions among many values are found by running sums over ranges; a broken bracket is narrowed step by step."""
+    import numpy as np
+
+    from tableaudit.functions import stats as S
+    values = [float(i * 7919 % 10_007) for i in range(20_000)] + [5.0] * 3_000
+    df = spark.createDataFrame([(v, None if i % 3 else v / 3) for i, v in enumerate(values)], "v double, w double").repartition(6)
+    probs = (0.0, 0.25, 0.5, 0.75, 0.999, 1.0)
+    want = [list(np.quantile(values, probs)), list(np.quantile([v / 3 for i, v in enumerate(values) if i % 3 == 0], probs))]
+    exprs = {"v": F.col("v"), "w": F.col("w")}
+    for most in (100_000, 2):
+        monkeypatch.setattr(S, "DRIVER_VALUES", most)
+        got = S.exact_quantiles(df, exprs, probs)
+        assert np.allclose([got["v"], got["w"]], want, rtol=0, atol=1e-9)
+    real = S._place
+    monkeypatch.setattr(S, "_place", lambda *a: None)
+    got = S.exact_quantiles(df, exprs, (0.5,))
+    assert np.allclose([got["v"], got["w"]], [[w[2]] for w in want], rtol=0, atol=1e-9)
+    assert real is not S._place
