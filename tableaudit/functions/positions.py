@@ -76,3 +76,18 @@ def keep_first(df: DataFrame, digest: list[Column]) -> DataFrame:
     later = cut(repeats(numbered.select(*[d.alias(n) for d, n in zip(digest, names)], POSITION), names))
     kept = marked(numbered, later, "__later").where("NOT __later")
     return kept.select(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with each row's place from 0 in ``order``: sorted in ranges, counted a range (a row a partition reaches the
+    driver), and numbered within it. Rows that tie on the whole order have any of their places."""
+    at, part = name + "_at", name + "_part"
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({part: F.spark_partition_id(), at: F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
+    ranged = cut(ranged)
+    offsets, before = [], 0
+    for r in sorted(ranged.groupBy(part).count().collect(), key=lambda r: r[part]):
+        offsets.append((r[part], before))
+        before += r["count"]
+    starts = df.sparkSession.createDataFrame(offsets, f"`{part}` int, `{name}` bigint")
+    out = ranged.join(F.broadcast(starts), part).withColumn(name, F.col(name) + F.col(at))
+    return out.drop(part, at).orderBy(name)

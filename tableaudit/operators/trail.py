@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions import positions as PO
+from ..sources.sinks import write_run
 
 AUDIT_SCHEMA = ("agent_name string, phase string, action string, reason string, column_affected string, "
                 "rows_affected bigint, before_value string, after_value string, is_llm_decision boolean, "
@@ -41,9 +43,9 @@ def _shortened(text: str, most: int | None) -> str:
     return text[:kept] + f" [+{len(text) - kept}]"
 
 
-def append_audit(log: DataFrame, path: str) -> None:
-    """Batch append to the audit table (parquet), partitioned by phase."""
-    log.write.mode("append").partitionBy("phase").parquet(path)
+def append_audit(log: DataFrame, path: str, run_id: str) -> None:
+    """Add a run's entries to the audit table (parquet, partitioned by run); the same run written again replaces its entries."""
+    write_run(log, path, run_id)
 
 
 def _entry(agent: str, phase: str, action: str, reason: str, rows: int, column: str | None = None) -> dict:
@@ -100,8 +102,7 @@ def run_history(runs: DataFrame, created_col: str = "created_at", position: bool
     ordered = runs.withColumn("total_runs", F.lit(total)).orderBy(F.desc(created_col), *[c for c in runs.columns if c != created_col])
     if not position:
         return ordered
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema.fields)
-    return (ordered.rdd.zipWithIndex().map(lambda r: (*r[0], r[1])).toDF(f"{kinds}, position bigint"))
+    return PO.numbered(runs.withColumn("total_runs", F.lit(total)), [F.desc(created_col), *[F.col(c) for c in runs.columns if c != created_col]], "position")
 
 
 def run_detail(anomalies: DataFrame, run_id: str, run_col: str = "run_id") -> DataFrame:

@@ -708,12 +708,12 @@ SPOKEN_SQL = ("spoken AS (SELECT conv_id, turn, role, CASE (conv_id * 7 + turn)
 @register("recommend", plain("""
 SELECT conv_id, turn, CASE
   WHEN lower(text) LIKE '%predict%' OR lower(text) LIKE '%forecast%' OR lower(text) LIKE '%model%'
-    THEN 'Predictive modelling is appropriate. Consider regression or classification after feature selection.'
+    THEN 'Build a predictive modelling baseline: pick features first, then fit a regression or a classifier.'
   WHEN lower(text) LIKE '%cluster%' OR lower(text) LIKE '%segment%' OR lower(text) LIKE '%group%'
-    THEN 'Clustering is suitable. Standardise numeric features before applying k-means or DBSCAN.'
+    THEN 'Look for clusters: put the numeric columns on one scale, then try k-means or a density method.'
   WHEN lower(text) LIKE '%anomaly%' OR lower(text) LIKE '%outlier%' OR lower(text) LIKE '%fraud%'
-    THEN 'Anomaly detection is the next step. Isolation Forest or LOF work well on this feature set.'
-  ELSE 'Exploratory analysis is complete. Review correlations and missingness hotspots before modelling.'
+    THEN 'Hunt for anomalies next, for instance with an isolation forest or local density scores.'
+  ELSE 'The overview is done: look at the strongest correlations and the emptiest columns before any modelling.'
   END AS recommendation FROM spoken""", SPOKEN_SQL))
 def q_recommend(spark, sf):
     return EDA.recommend(spoken(spark, sf), "text").select("conv_id", "turn", "recommendation")
@@ -1143,16 +1143,17 @@ def q_clean_fill_mode_date(spark, sf):
 
 
 #: Ways to write a day: Spark's pattern (None: a number of seconds).
-DAY_FORMS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd", "M/d/yyyy", "MM/dd/yyyy HH:mm", "MMM d yyyy", "d-MMM-yyyy", "dd.MM.yyyy", "yyyyMMdd", "yyyy/MM/dd")
+DAY_FORMS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd", "M/d/yyyy", "MM/dd/yyyy HH:mm", "MMM d yyyy", "d-MMM-yyyy", "dd.MM.yyyy", "yyyyMMdd", "yyyy/MM/dd",
+             "yyyy-MM-dd hh:mm:ss a", "MMM d yyyy HH:mm", "d MMMM yyyy HH:mm", "EEE, dd MMM yyyy HH:mm:ss 'GMT'", "MM-dd-yyyy", "yyyy.MM.dd", "M/d/yy", "yyyyMMdd'T'HHmmss", "MMMM d, yyyy")
 
 
 def written_dates(spark, sf):
-    """Events whose time is text in ten forms, and Unix seconds."""
+    """Events whose time is text in nineteen forms, and Unix seconds."""
     e = V.table(spark, sf, "events")
     ts = F.col("ts").cast("timestamp_ntz")
     text = F.lit(None).cast("string")
     for i, form in enumerate(DAY_FORMS):
-        text = F.when(F.col("event_id") % 10 == i, F.date_format(ts, form)).otherwise(text)
+        text = F.when(F.col("event_id") % len(DAY_FORMS) == i, F.date_format(ts, form)).otherwise(text)
     return e.select("event_id", text.alias("created_text"), F.floor(FE.wall_micros(ts) / 1_000_000).cast("double").alias("created_epoch"))
 
 
@@ -1230,7 +1231,10 @@ def q_write_table_read_back(spark, sf):
 SELECT name, null_count, 'run1' AS run_id FROM ({_ORDER_STATS_SQL})""", V.DIRTY_ORDERS_SQL))
 def q_write_reports_read_back(spark, sf):
     base = _scratch(spark, "reports")
-    SK.write_reports({"stats": P.column_stats(V.dirty_orders(spark, sf))}, base, "run1")
+    stats = P.column_stats(V.dirty_orders(spark, sf))
+    for run in ("run0", "run1", "run1"):  # a run written twice is there once, and one of no rows takes its own away
+        SK.write_reports({"stats": stats}, base, run)
+    SK.write_reports({"stats": stats.limit(0)}, base, "run0")
     return spark.read.parquet(f"{base}/stats").select("name", "null_count", "run_id")
 
 
@@ -1246,7 +1250,8 @@ def q_audit_log_read_back(spark, sf):
     """The appended audit table, read back in the order of its times."""
     det, res = _orders_clean(spark, sf)
     path = _scratch(spark, "audit")
-    TR.append_audit(TR.audit_log(spark, TR.entries_from_clean(res, det.records)), path)
+    for _ in range(2):  # a run written twice is there once
+        TR.append_audit(TR.audit_log(spark, TR.entries_from_clean(res, det.records)), path, "run1")
     rows = TR.audit_feed(spark.read.parquet(path), "janitor").select("reason", "rows_affected").collect()  # one row a decision
     return spark.createDataFrame([(r.reason, r.rows_affected, i) for i, r in enumerate(rows)], "reason string, rows_affected bigint, position int")
 

@@ -173,3 +173,26 @@ def test_infer_types_of_booleans_blanks_and_long_integers(spark):
     assert dict(got.dtypes) == {"t": "boolean", "big": "decimal(38,0)", "blank": "string", "num": "double", "huge": "string"}
     assert [r.blank for r in got.collect()] == [" ", "x", None] and [r.t for r in got.collect()] == [True, False, None]
     assert [r.blank for r in IN.infer_types(df, blank_is_null=True).collect()] == [None, "x", None]
+
+
+def test_a_repeated_run_replaces_its_own_rows(spark, tmpdir_path):
+    one, two = spark.createDataFrame([(1,), (2,)], "a int"), spark.createDataFrame([(3,)], "a int")
+    run = "day=1/2 %x"
+    for df, r in ((one, run), (two, "other"), (one, run), (two, run)):
+        SK.write_reports({"t": df}, tmpdir_path, r)
+    read = lambda: sorted((r.a, r.run_id) for r in spark.read.parquet(f"{tmpdir_path}/t").collect())
+    assert read() == [(3, run), (3, "other")]
+    SK.write_reports({"t": two.limit(0)}, tmpdir_path, run)
+    assert read() == [(3, "other")]
+    bad = spark.createDataFrame([(1, 0)], "a int, z int").select(F.expr("a DIV z").alias("a"))
+    with pytest.raises(Exception):
+        SK.write_reports({"t": bad}, tmpdir_path, "other")
+    assert read() == [(3, "other")]
+
+
+def test_run_positions_over_many_ranges(spark):
+    rows = [(f"r{i}", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i * 37 % 500)) for i in range(300)]
+    got = TR.run_history(spark.createDataFrame(rows, "id string, created_at timestamp").repartition(7), position=True).collect()
+    assert [r.position for r in got] == list(range(300)) and got[0].total_runs == 300
+    assert [r.created_at for r in got] == sorted((r.created_at for r in got), reverse=True)
+    assert TR.run_history(spark.createDataFrame([], "id string, created_at timestamp"), position=True).collect() == []
