@@ -153,12 +153,79 @@ def test_quality_odd_rows(spark):
     assert Q.score(frame(spark, []), none).count() == 0 and Q.accept(frame(spark, []), labels).count() == 0
 
 
-def test_quality_pieces_hold_the_whole_text():
-    text = b"ab " * (Q.CHUNK // 2) + b"c" * (Q.CHUNK + 5)
-    assert b"".join(Q.pieces(text)) == text and all(len(p) <= Q.CHUNK for p in Q.pieces(text))
-    hasher = Q.Hasher(Q.Params())
-    bag = Q.sample_buckets(text, hasher, 100, np.random.default_rng(1))
-    assert len(bag) == 100
+def plain_buckets(text, p):
+    """Bucket numbers of a text, byte by byte."""
+    mod, prime = 1 << 64, 0x100000001B3
+
+    def bucket(h, kind):
+        h = (h + kind) * 0x9E3779B97F4A7C15 % mod
+        h ^= h >> 29
+        return h * 0xBF58476D1CE4E5B9 % mod >> 64 - (p.buckets.bit_length() - 1)
+
+    out = Counter()
+    for n in p.grams:
+        for i in range(len(text) - n + 1):
+            h = 0
+            for byte in text[i:i + n]:
+                h = (h * prime + byte) % mod
+            out[bucket(h, n)] += 1
+    words, before, read = re.findall(rb"[^\x20\x09-\x0D]+", text), None, []
+    for w in words:
+        h = (sum((c + 1) * pow(prime, i, mod) for i, c in enumerate(w)) + len(w)) % mod
+        read.append(1 if h == before else h)
+        before = h
+    out.update(bucket(h, 101) for h in read)
+    out.update(bucket((x * prime + y) % mod, 102) for x, y in zip(read, read[1:]))
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="abé \n", max_size=60), st.sampled_from([3, 7, 1 << 20]))
+def test_quality_grams_are_the_same_in_chunks_of_any_size(text, chunk):
+    before = Q.CHUNK
+    try:
+        Q.CHUNK = chunk
+        p = Q.Params()
+        ids, counts = Q.bag(text.encode(), Q.Hasher(p))
+    finally:
+        Q.CHUNK = before
+    assert dict(zip(ids.tolist(), counts.tolist())) == dict(plain_buckets(text.encode(), p))
+
+
+def test_quality_score_is_the_mean_of_the_learned_numbers():
+    p = Q.Params()
+    w = np.random.default_rng(3).normal(size=p.buckets).astype(np.float32)
+    for text in (b"", b"a", b"one two two  three", "é ü\n".encode() * 50, b"x" * 2_000):
+        got = plain_buckets(text, p)
+        mean = sum(float(w[b]) * n for b, n in got.items()) / max(1, sum(got.values()))
+        assert Q.score_text(text, Q.Hasher(p), w, 0.25) == pytest.approx(1 / (1 + np.exp(-mean - 0.25)), abs=1e-6)
+
+
+def test_quality_training_follows_the_gradient():
+    """One step on one document moves its own log odds towards its label, by the same step whatever its length."""
+    p = Q.Params(epochs=1, batch=1, buckets=1 << 10)
+    for text in (b"a b c d", b"a b c d " * 400):
+        bag = Q.bag(text, Q.Hasher(p))
+        odds = []
+        for label in (0, 1):
+            w, b = Q.train([bag] * 30, np.full(30, label), p)
+            odds.append(float((w[bag[0]] * bag[1]).sum() / bag[1].sum()) + b)
+        assert odds[0] < -0.5 and odds[1] > 0.5
+
+
+def test_quality_sends_one_bag_a_document(spark):
+    """Thousands of rows of one doc_id are one sample, and a small share of very many labels still picks rows."""
+    rows = [(1, f"good words number {i}", "en", "s", 1) for i in range(3_000)] + [(i, f"bad {i} text", "en", "s", 1) for i in range(2, 60)]
+    labels = spark.createDataFrame([(i, int(i == 1)) for i in range(1, 60)], "doc_id long, quality int")
+    seen = []
+    real = Q.train
+    try:
+        Q.train = lambda bags, y, p: seen.append((len(bags), int(y.sum()))) or real(bags, y, p)
+        Q.fit(frame(spark, rows), labels)
+    finally:
+        Q.train = real
+    wanted = [i for i in range(1, 60) if zlib.crc32(str(i).encode()) % 5]
+    assert seen == [(len(wanted), int(1 in wanted))]
 
 
 # Decontamination
