@@ -75,11 +75,32 @@ def judged(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[Column,
     return name, verdict
 
 
+# Comments; elements whose contents are text; an attribute; a tag up to the value of its first href, which is the match's end.
+_COMMENT = r"(?s)<!--(?:>|->|.*?(?:--!?>|\z))"
+_RAW = r"(?is)<(script|style|template|textarea|title|iframe|noembed|noframes|xmp)\b.*?(?:</\1(?=[\s/>])|\z)"
+_ATTRIBUTE = r"""[^\s=/>"']++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++))?+"""
+_TO_HREF = r"""(?i)<(?:{0})(?:[\s/]++(?!href[\s=])""" + _ATTRIBUTE + r""")*+[\s/]++href\s*+=\s*+["']?+"""
+_VALUE = r"""(?:(?<=")[^"]*+|(?<=')[^']*+|(?<![\"'])[^\s"'>]++)"""
+
+
+def _target(tag: Column, prefix: str, base: Column | None = None) -> Column:
+    """The host that a tag's href leads to: its own, after ``//`` as after a scheme, else that of ``base``; null without one."""
+    value = F.trim(F.regexp_replace(tag, "^" + prefix, ""))
+    absolute = F.when(value.startswith("//"), host_of(F.concat(F.lit("x:"), value))).when(value.rlike(r"(?i)^[a-z][a-z0-9+.-]*://"), host_of(value))
+    if base is None:
+        return absolute
+    return absolute.when(~value.rlike(r"(?i)^([a-z][a-z0-9+.-]*:|#|$)"), base)
+
+
 def host_links(pages: DataFrame) -> DataFrame:
-    """(src, dst, n) of the links between different hosts, from ``host`` and ``html``."""
-    hrefs = F.regexp_extract_all("html", F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']?([a-z][a-z0-9+.-]*://[^"'\s>]+)"""), F.lit(1))
-    links = pages.filter("host != ''").select(F.col("host").alias("src"), F.explode(hrefs).alias("href"))
-    return (links.select("src", host_of(F.col("href")).alias("dst")).filter("dst != '' AND dst != src")
+    """(src, dst, n) of the links between different hosts, from ``host`` and ``html``: the href of ``a`` and ``area`` elements outside of
+    comments, scripts and the like, whatever other attributes hold; relative ones lead to the host of the page's ``base``."""
+    link, base = _TO_HREF.format("a|area"), _TO_HREF.format("base")
+    text = F.regexp_replace(F.regexp_replace("html", _COMMENT, ""), _RAW, "")
+    tags = pages.filter("host != ''").select(F.col("host").alias("src"), text.alias("text"))
+    links = tags.select("src", _target(F.regexp_extract("text", base + _VALUE, 0), base).alias("base"),
+                        F.explode(F.regexp_extract_all("text", F.lit(link + _VALUE), F.lit(0))).alias("tag"))
+    return (links.select("src", _target(F.col("tag"), link, F.col("base")).alias("dst")).filter("dst != '' AND dst != src")
             .groupBy("src", "dst").agg(F.count("*").alias("n")))
 
 

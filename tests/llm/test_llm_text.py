@@ -351,3 +351,23 @@ def test_distrust_gathers_over_long_chains(spark):
     pages = spark.createDataFrame([("hub", "block"), *((x, None) for x in {x for x, _, _ in links})], "host string, rule_verdict string")
     distrust = {r.host: r.distrust for r in G.host_verdicts(pages, frame, p).collect()}
     assert abs(distrust["s0"] - (1 - p.damping) * p.damping ** far) < 1e-9
+
+
+def test_links_of_pages_are_read_as_a_browser_reads_them(spark):
+    from tableaudit.llm import linkgraph as L
+    html = {
+        '<a href="//bad.net/x">': {"bad.net": 1}, "<area shape=rect href='http://A.net/'>": {"a.net": 1}, '<a title="a > b" href=http://c.net/x>': {"c.net": 1},
+        '<!-- <a href="http://no.net/"> --><a data-href="http://no.net/" href="https://d.net?x">': {"d.net": 1}, '<a title=\' href="http://no.net/" \' href="http://e.net">': {"e.net": 1},
+        '<script>"<a href=\\"http://no.net\\">"</script><A\nHREF = "http://f.net/"><a href="http://f.net/b">': {"f.net": 2},
+        '<base href="http://g.net/dir/"><a href="rel"><a href="/abs"><a href="#top"><a href="mailto:x@y.z"><a href="">': {"g.net": 2},
+        '<base target=_top href="//h.net"><a href=x?u=http://no.net/>': {"h.net": 1}, '<abbr href="http://no.net"><a name=x>http://no.net</a><link href="http://no.net">': {},
+        '<a href="http://own.net/x"><a href=\'http://i.net/it"s\'>': {"i.net": 1}, "<a " + " ".join(f"data-a{i}='>'" for i in range(500)) + ' href="http://j.net">': {"j.net": 1},
+        "<!-- never closed <a href='http://no.net'>": {}, "x" * 300_000 + "<" * 50_000 + "<a href='http://k.net'>": {"k.net": 1}, "": {},
+    }
+    for_host = {f"p{i}.org": (h, want) for i, (h, want) in enumerate(html.items())}
+    rows = [(host if "own.net" not in h else "own.net", h) for host, (h, _) in for_host.items()] + [("null.org", None), ("", "<a href='http://no.net'>")]
+    got = {}
+    for r in L.host_links(spark.createDataFrame(rows, "host string, html string")).collect():
+        got.setdefault(r.src, {})[r.dst] = r.n
+    want = {(host if "own.net" not in h else "own.net"): w for host, (h, w) in for_host.items() if w}
+    assert got == want
