@@ -371,3 +371,29 @@ def test_links_of_pages_are_read_as_a_browser_reads_them(spark):
         got.setdefault(r.src, {})[r.dst] = r.n
     want = {(host if "own.net" not in h else "own.net"): w for host, (h, w) in for_host.items() if w}
     assert got == want
+
+
+@pytest.mark.parametrize("page, want", [
+    ('<div class="content has-sidebar"><article><p>a</p></article></div>', ["a"]),
+    ('<main class="no-sidebar"><p>a</p></main>', ["a"]),
+    ('<article class="post related-none"><p>a</p></article>', ["a"]),
+    ('<article class="related"><p>a</p></article>', ["a"]),
+    ('<article><div class="entry-header"><h1>t</h1></div><div class="section-header"><h2>s</h2></div><p class="side-note">n</p><p>a</p></article>', ["t", "s", "n", "a"]),
+    ('<article><div class="header"><h1>t</h1></div><p>a longer text</p><div class="share-buttons">tweet</div></article>', ["t", "a longer text"]),
+    ('<article><p>a</p><div id="comment-12">c</div></article>', ["a"]),
+    ('<article><p>a</p><div class="ad"><h3>buy</h3>much longer than the article itself</div></article>', ["a"]),
+    ('<article><div class="widget">nearly all of the text of this article</div><p>a</p></article>', ["nearly all of the text of this article", "a"]),
+    ('<div id="sidebar"><article>teaser</article></div><article><p>a</p></article>', ["a"]),
+    ('<div id="page-header"><main><p>a</p></main></div>', ["a"]),
+    ('<article><p>a</p></article><article class="comment"><p>c</p></article><div class="comments-area"><article>c</article></div>', ["a"]),
+    ('<article><p>a</p><div class="comments"><h2>Comments</h2>' + "<p>long</p>" * 50 + "</div></article>", ["a"]),
+    ('<div class="site-footer2">f</div><div class="top_nav">n</div><div class="cookie-notice">c</div><article>a</article>', ["a"]),
+    ("<article>" + "<p class='x'>" + "w " * 200_000 + "</p>" + "<div class=ad>z</div>" * 3 + "</article>", [("w " * 200_000).strip()]),
+])
+def test_names_of_parts_do_not_empty_an_article(page, want):
+    assert [text for text, mark in P.blocks(page) if mark == P.TEXT] == want
+
+
+def test_names_of_parts_without_a_landmark():
+    got = dict(P.blocks('<div class="content has-sidebar"><p>a</p><div class="sidebar">s</div><div class="main-navigation">n</div></div>'))
+    assert got == {"a": P.OPEN, "s": P.OUT, "n": P.OUT}
