@@ -1,10 +1,10 @@
 """Secret scan: fixed patterns, and character Markov models for the rest.
 
-Two first-order character models are trained on labelled parts of the documents: random strings
-(values that the patterns found, and seeded strings over the usual alphabets) and
-ordinary identifiers (the other words of all documents). A candidate token
-outside the patterns' spans is a secret if its log-likelihood ratio, random against
-ordinary, is high enough, in all and for each character.
+Two first-order character models are trained on labelled samples, each to one half on parts of the documents and to the other
+on seeded strings, so that neither drowns the other in a corpus of any size: random strings (values that the patterns found; strings over the
+usual alphabets) and ordinary identifiers (the other words of all documents; names, paths, versions and times put together from common words
+and numbers). A candidate token outside the patterns' spans is a secret if its log-likelihood ratio, random against
+ordinary, is high enough, in all and for each character. UUIDs are identifiers here, whatever their digits.
 """
 
 from __future__ import annotations
@@ -29,11 +29,23 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST = {"assign": 6, "access": 20}
 
 SYMBOLS = string.ascii_letters + string.digits + "+/_=-"
-#: Spans that the models may add: longer runs of SYMBOLS with a letter and a digit.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-LETTER, DIGIT = re.compile(r"[A-Za-z]"), re.compile(r"[0-9]")
+#: Spans that the models may add: longer runs of SYMBOLS with a letter.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LETTER = re.compile(r"[A-Za-z]")
+UUID = re.compile(r"(?i)(?:[A-Za-z_/=+-]*[_/=+-])?[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}(?:[_/=+-][A-Za-z_/=+-]*)?")
+#: Common words of which identifiers are made.
+NAME_WORDS = """access account action active address admin agent alert amount answer archive array article asset audio author average backup batch benchmark binary bucket buffer
+build button cache case category change channel chart check class clean client cluster code column comment common compare config connect content context control copy count country create
+current custom data database date default delete detail device digit directory document download driver edit element email encode engine entry error event example expected export factor
+field file filter folder format function general global group handler header hidden history image import index input insert instance integer internal item join key label language layer
+length level library limit link list local location logger lookup manager mapping master matrix member memory message method metric model module monitor name network node normal number
+object offset option order output package page parent parser password path pattern payment phone pixel point policy position prefix price process product profile project python query
+queue random range reader record reference region release remote report request response result return review role route sample schema score search section segment select sequence server
+service session setting shape signal simple single site size source space speed stage start state static status storage stream string structure style summary supplementary switch symbol
+system table target task template test text thread time title token total track training transfer tree trigger type unique update upload user utility value vector version video view
+weight width window word worker write xml zone""".split()
 ALPHABETS = (string.digits + "abcdef", string.digits + "ABCDEF", string.ascii_uppercase + "234567", string.ascii_letters + string.digits,
-             string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "-_")
+             string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "-_", string.ascii_letters, string.ascii_lowercase)
 
 _K = len(SYMBOLS)
 _CODE = np.full(256, -1, np.int64)
@@ -42,14 +54,14 @@ _CODE[np.frombuffer(SYMBOLS.encode(), np.uint8)] = np.arange(_K)
 
 @dataclass(frozen=True)
 class Params:
-    """``strings``: seeded random strings of each alphabet among the samples of that class.
+    """``strings``: seeded strings of each alphabet among the random samples, and seeded identifiers of each form among the ordinary ones.
     ``least_ratio``, ``least_mean``: log-likelihood ratio (nats) of a secret, in all and for each step."""
 
     strings: int = 2000
     length: int = 32
     smoothing: float = 5.0
-    least_ratio: float = 25.0
-    least_mean: float = 1.0
+    least_ratio: float = 10.0
+    least_mean: float = 0.45
     seed: int = 5
 
 
@@ -81,25 +93,50 @@ def sample_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
         rest.append(text[at:max(at, start)])
         at = max(at, end)
     rest.append(text[at:])
-    # Tokens of the candidates' kind have no label yet: they train neither model.
-    ordinary = CANDIDATE.sub(lambda m: " " if DIGIT.search(m[0]) and LETTER.search(m[0]) else m[0], " ".join(rest))
+    # Candidates with digits have no label yet: they train neither model. Long words without digits are mostly words.
+    ordinary = CANDIDATE.sub(lambda m: " " if re.search("[0-9]", m[0]) and LETTER.search(m[0]) else m[0], " ".join(rest))
     return steps(" ".join(random).encode("utf-8", "replace")), steps(ordinary.encode("utf-8", "replace"))
 
 
+def identifiers(p: Params) -> list[str]:
+    """Seeded ordinary identifiers: words joined in the usual ways, with numbers, versions, dates and times."""
+    rng = np.random.default_rng(p.seed)
+    out = []
+    for form in ("_", "-", "/", "", "camel", "upper", "time"):
+        for _ in range(p.strings):
+            said = [NAME_WORDS[i] for i in rng.integers(0, len(NAME_WORDS), rng.integers(2, 6))]
+            number = str(rng.integers(0, 10 ** int(rng.integers(1, 5))))
+            day = f"20{rng.integers(0, 40):02d}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}"
+            clock = f"{rng.integers(0, 24):02d}{rng.integers(0, 60):02d}{rng.integers(0, 60):02d}"
+            if form == "time":
+                out.append([f"{day}T{clock}Z", f"{day.replace('-', '')}T{clock}Z", f"{said[0]}-{day}", f"{said[0]}_{day.replace('-', '')}_{number}", f"{number:0>4}-{number:0>6}"][rng.integers(0, 5)])
+                continue
+            if rng.random() < 0.5:
+                said.insert(int(rng.integers(1, len(said) + 1)), [number, f"v{number}", f"{number:0>4}", day.replace("-", form if form in "_-/" else "")][rng.integers(0, 4)])
+            if form == "camel":
+                text = "".join(w.capitalize() for w in said)
+                out.append(text if rng.random() < 0.5 else text[0].lower() + text[1:])
+            else:
+                text = "_".join(said).upper() if form == "upper" else form.join(said)
+                out.append(f"/{text}" if form == "/" and rng.random() < 0.5 else text if rng.random() < 0.8 else "_".join(w.capitalize() for w in said))
+    return out
+
+
 def ratios(random: np.ndarray, ordinary: np.ndarray, p: Params) -> np.ndarray:
-    """Log-likelihood ratio of each step, random against ordinary."""
+    """Log-likelihood ratio of each step, random against ordinary: of the means of the documents' and the seeded strings' models."""
     rng = np.random.default_rng(p.seed)
+    seeded = np.zeros_like(random)
     for alphabet in ALPHABETS:
         drawn = np.array(list(alphabet))[rng.integers(0, len(alphabet), (p.strings, p.length))]
-        random = random + steps(" ".join("".join(x) for x in drawn).encode())
+        seeded = seeded + steps(" ".join("".join(x) for x in drawn).encode())
 
-    def logs(counts: np.ndarray) -> np.ndarray:
+    def model(counts: np.ndarray) -> np.ndarray:
         c = counts.reshape(_K, _K)
         single = c.sum(axis=0) + 0.5
         c = c + p.smoothing * single / single.sum()  # rare pairs fall back on how frequent the second symbol is
-        return np.log(c / c.sum(axis=1, keepdims=True))
+        return c / c.sum(axis=1, keepdims=True)
 
-    return logs(random) - logs(ordinary)
+    return np.log(model(random) + model(seeded)) - np.log(model(ordinary) + model(steps(" ".join(identifiers(p)).encode())))
 
 
 def train(docs: DataFrame, p: Params = Params()) -> np.ndarray:
@@ -129,7 +166,7 @@ def markov_spans(text: str, taken: list[tuple[int, int, int]], ratio: np.ndarray
         start, end = m.span()
         while at < len(taken) and taken[at][2] <= start:
             at += 1
-        if any(s < end and e > start for s, _, e in taken[at:at + 8]) or not (DIGIT.search(m[0]) and LETTER.search(m[0])):
+        if any(s < end and e > start for s, _, e in taken[at:at + 8]) or not LETTER.search(m[0]) or UUID.fullmatch(m[0]):
             continue
         code = _CODE[np.frombuffer(m[0].encode(), np.uint8)]
         score = float(ratio[code[:-1], code[1:]].sum())

@@ -397,3 +397,51 @@ def test_names_of_parts_do_not_empty_an_article(page, want):
 def test_names_of_parts_without_a_landmark():
     got = dict(P.blocks('<div class="content has-sidebar"><p>a</p><div class="sidebar">s</div><div class="main-navigation">n</div></div>'))
     assert got == {"a": P.OPEN, "s": P.OUT, "n": P.OUT}
+
+
+#: Words of which none is among those that the seeded identifiers are made of.
+OTHER_WORDS = """quick brown fox jumped lazy dogs river mountain window orange kitchen tractor season journey whisper candle marble gentle harvest lantern bridge castle feather meadow pocket
+silver thunder velvet winter apple banana carrot dinner forest garden hammer island jacket kettle ladder magnet needle onion pencil quarter rocket saddle tunnel umbrella village wagon yellow
+zebra optimization hyperparameter transformer embedding gradient regularization""".split()
+
+
+def test_error_rates_of_the_models(spark):
+    """False alarms of identifiers under 2 %, recall of random strings from 16 characters on at least 0.9."""
+    import random
+    import uuid
+
+    rnd = random.Random(1)
+    ratio, p = X.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")), X.Params()
+    assert not set(OTHER_WORDS) & set(X.NAME_WORDS) - {"window"}
+
+    def said(n):
+        return [rnd.choice(OTHER_WORDS) for _ in range(n)]
+
+    def flagged(make):
+        return sum(bool(X.markov_spans(make(), [], ratio, p)) for _ in range(500)) / 500
+
+    day = lambda: f"{rnd.randint(1990, 2030)}-{rnd.randint(1, 12):02d}-{rnd.randint(1, 28):02d}"
+    ordinary = {
+        "uuid": lambda: str(uuid.UUID(int=rnd.getrandbits(128))), "named uuid": lambda: f"order-{uuid.UUID(int=rnd.getrandbits(128))}".upper(),
+        "snake": lambda: "_".join(said(rnd.randint(3, 5))), "snake with number": lambda: "_".join([*said(2), str(rnd.randint(0, 9999)), *said(2)]),
+        "kebab": lambda: "-".join(said(rnd.randint(3, 5))), "kebab with number": lambda: "-".join([*said(3), str(rnd.randint(0, 99))]),
+        "camel": lambda: "".join(w.capitalize() for w in said(rnd.randint(3, 5))), "path": lambda: "/" + "/".join(said(rnd.randint(3, 5))),
+        "constant": lambda: "_".join(said(3)).upper(), "one word": lambda: "".join(said(3)), "time": lambda: day().replace("-", "") + f"T{rnd.randint(0, 235959):06d}Z",
+        "dated": lambda: f"{said(1)[0]}-{day()}-{said(1)[0]}",
+    }
+    alarms = {k: flagged(make) for k, make in ordinary.items()}
+    assert max(alarms.values()) <= 0.02, alarms
+    for size in (16, 20, 32):
+        for alphabet in X.ALPHABETS:
+            make = lambda: "".join(rnd.choice(alphabet) for _ in range(size))
+            assert flagged(make) >= 0.9, (size, alphabet)
+    named = ["utf8_general_identifier_2020_column_name", "BM25_vs_TFIDF_comparison_table", "arXiv-2301-00001-supplementary", "test_case_0001_expected_output", "ISBN-978-3-16-148410-0",
+             "getElementsByClassName", "/usr/local/lib/python3/site-packages"]
+    assert not any(X.markov_spans(n, [], ratio, p) for n in named)
+
+
+def test_seeded_samples_do_not_drown_in_a_large_corpus():
+    """Also beside a million times as many documents a name that they lack is ordinary."""
+    counts = [np.asarray(x, np.int64) for x in X.sample_counts("some ordinary words and names of things, token=Zx81kQp0aa " * 50)]
+    ratio = X.ratios(counts[0] * 10**6, counts[1] * 10**6, X.Params())
+    assert X.markov_spans(RANDOM, [], ratio, X.Params()) and not X.markov_spans("report_2020_column_name_v3", [], ratio, X.Params())
