@@ -10,6 +10,7 @@ is answered from stripe statistics, row indexes and Bloom filters first.
 from __future__ import annotations
 
 import itertools
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -44,6 +45,24 @@ _SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174
 _BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
+#: The settings of a tokenizer file whose texts may be cut into words here.
+_CUT_HERE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None, "truncation": None, "padding": None,
+}
+
+
+def cut_here(settings: dict) -> bool:
+    """Does the file's tokenizer normalise and split as ``Encoder`` assumes of plain words?"""
+    same = all(settings.get(k) == v for k, v in _CUT_HERE.items())
+    model = settings["model"]
+    plain = model.get("type", "BPE") == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix")
+    return same and plain and all(t["content"].startswith("<|") for t in settings.get("added_tokens", []))
+
+
 class Known:
     """Distinct strings, by number, and the ids of each, one after another in ``flat``."""
 
@@ -77,7 +96,7 @@ class Encoder:
     are those of its words in turn, and each distinct word is looked up once for a batch of
     texts. Plain words are cut into the tokenizer's own pre-tokens here and given to its model
     part by part; other words go through the whole tokenizer. Ids are remembered over
-    the tasks of a worker."""
+    the tasks of a worker. A tokenizer that normalises or splits otherwise (``cut_here``) gets whole texts."""
 
     def __init__(self, tokenizer: str):
         import os
@@ -90,10 +109,15 @@ class Encoder:
 
             tokenizer = public_tokenizers.path(tokenizer)
         self.tokenizer = Tokenizer.from_file(tokenizer)
+        self.fast = cut_here(json.loads(self.tokenizer.to_str()))
         self.words, self.parts = Known(), Known()
 
     def ids(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids one after another, each text's with the end id after them, and their numbers."""
+        if not self.fast:
+            lists = [[*e.ids, end_id] for e in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            size = np.fromiter(map(len, lists), np.int64, len(lists))
+            return np.fromiter(itertools.chain.from_iterable(lists), np.int32, int(size.sum())), size
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         ids, size = self._coded(split.flatten(), "words", self._whole)
         ends = np.cumsum(pc.list_value_length(split).to_numpy(), dtype=np.int64)
@@ -177,7 +201,8 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int =
 
 def read(spark: SparkSession, path: str, doc_ids: list | None = None) -> DataFrame:
     """(doc_id, start, n, ids) of the dataset; with ``doc_ids`` of these alone, found
-    through the files' statistics, row indexes and Bloom filters."""
+    through the files' statistics, row indexes and Bloom filters. A dataset without rows gives none; of a
+    doc_id that stands in it several times all rows; null doc_ids can't be asked for."""
     rows = spark.read.orc(path)
     # One row for each file: the files are as many as the write had partitions.
     totals = rows.groupBy("part").agg(F.sum("n").alias("total"))
@@ -203,6 +228,7 @@ def digests(rows: DataFrame) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
-    """Write ``docs`` below the shared folder and return the digests of what the files hold."""
+    """Write ``docs`` below the shared folder and return the digests of what the files hold: a row for
+    every row of ``docs`` (see ``write`` for nulls, repeated rows, empty tables and other columns)."""
     spark = docs.sparkSession
     return digests(read(spark, write(docs, shared_path(spark, "tokens"), tokenizer, end_id)))

@@ -373,6 +373,39 @@ def model():
 
 
 ENCODER = O.Encoder(O.TOKENIZER)
+
+
+@pytest.mark.parametrize("file,fast", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_any_tokenizer_file_gives_its_own_ids(spark, file, fast):
+    import pyarrow as pa
+
+    coder = O.Encoder(file)
+    assert coder.fast == fast
+    texts = ["", "Hello  World's 42 tests\n", "É <|endoftext|> x", "naïve 　wide \t", *(t or "" for t in ODD[:9])]
+    ids, size = coder.ids(pa.array(texts), 7)
+    want = [[*coder.tokenizer.encode(t, add_special_tokens=False).ids, 7] for t in texts]
+    assert ids.tolist() == [i for w in want for i in w] and size.tolist() == [len(w) for w in want]
+    rows = O.round_trip(frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)]), tokenizer=file).orderBy("doc_id").collect()
+    assert [r.n_tokens for r in rows] == [len(coder.tokenizer.encode(t, add_special_tokens=False).ids) + 1 for t in texts]
+
+
+def test_a_lookup_skips_files_and_stripes(spark, tmp_path):
+    """Of 20,000 documents in files of many row groups, a search for two ids reads a few groups' rows."""
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    path = O.write(docs.coalesce(1), str(tmp_path / "ids"))
+    assert sorted(r.doc_id for r in O.read(spark, path, [5, 17_003]).collect()) == [5, 17_003]
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that the plan that runs can be asked for its scan
+        run = spark.read.orc(path).filter(F.col("doc_id").isin([5, 17_003]))._jdf.queryExecution()
+        assert "In(doc_id" in run.toString()
+        plan = run.executedPlan()
+        plan.executeCollect()
+        leaves = spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(plan.collectLeaves())
+        scanned = sum(n.metrics().apply("numOutputRows").value() for n in leaves)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert 2 <= scanned <= 2 * 1_000
 ODD_TEXT = st.text(max_size=60) | st.text(alphabet="aA's' \n\t\u0301é\u00a0\u3000\x1c\x85<|endoftext>İß1²×", max_size=40)
 
 
