@@ -27,12 +27,12 @@ def last_turns(conv: DataFrame, n: int = 10, key: str = "conv_id", order: str =
 
 def conversation_context(conv: DataFrame, history: int = 10, context: int = 6) -> DataFrame:
     """H2: per conversation, the last ``history`` turns in time order and a
-    context string of the last ``context`` of them as ``ROLE: text`` lines."""
+    context string of the last ``context`` of them as ``ROLE: text`` lines; a null role or text is empty."""
     last = last_turns(conv, history)
     g = last.groupBy("conv_id").agg(
         F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))  # <= history rows
     tail = F.slice(F.col("turns"), F.greatest(F.size("turns") - context + 1, F.lit(1)), context)
-    lines = F.transform(tail, lambda t: F.concat(F.upper(t["role"]), F.lit(": "), t["text"]))
+    lines = F.transform(tail, lambda t: F.concat(F.upper(F.coalesce(t["role"], F.lit(""))), F.lit(": "), F.coalesce(t["text"], F.lit(""))))
     return g.select("conv_id", F.size("turns").alias("history_turns"),
                     F.element_at(F.col("turns"), 1)["turn"].alias("first_turn"),
                     F.concat_ws("\n", lines).alias("context"))

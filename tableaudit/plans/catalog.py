@@ -760,7 +760,7 @@ def q_trend(spark, sf):
 
 
 @register("missingness_map", plain(f"""
-SELECT concat_ws(',', {', '.join(f"CASE WHEN {c} IS NULL THEN '{c}' END" for c in ORDERS_COLS)}) AS pattern,
+SELECT CAST(to_json(list_filter([{', '.join(f"CASE WHEN {c} IS NULL THEN '{c}' END" for c in ORDERS_COLS)}], lambda x: x IS NOT NULL)) AS VARCHAR) AS pattern,
   ({' + '.join(f'({c} IS NULL)::INT' for c in ORDERS_COLS)}) AS null_columns, count(*) AS rows
 FROM dirty_orders GROUP BY 1, 2 HAVING null_columns > 0""", V.DIRTY_ORDERS_SQL))
 def q_missingness_map(spark, sf):
@@ -910,6 +910,22 @@ def q_chart_requests(spark, sf):
     return CV.chart_requests(spoken(spark, sf)).select("conv_id", "turn", "role")
 
 
+def part_known(spark, sf):
+    """Conversations of which some turns lack the role or the text."""
+    c = V.table(spark, sf, "conversations")
+    return c.withColumns({"role": F.when(F.col("turn") % 5 != 3, F.col("role")), "text": F.when((F.col("conv_id") + F.col("turn")) % 7 != 2, F.col("text"))})
+
+
+@register("conversation_context_part_known", plain("""
+SELECT conv_id, count(*)::INTEGER AS history_turns, min(turn) AS first_turn,
+  coalesce(string_agg(upper(role) || ': ' || text, chr(10) ORDER BY turn) FILTER (WHERE r <= 6), '') AS context
+FROM (SELECT conv_id, turn, CASE WHEN turn % 5 <> 3 THEN role ELSE '' END AS role, CASE WHEN (conv_id + turn) % 7 <> 2 THEN text ELSE '' END AS text,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 10
+GROUP BY conv_id"""))
+def q_conversation_context_part_known(spark, sf):
+    return CV.conversation_context(part_known(spark, sf), 10, 6)
+
+
 @register("conversation_context", plain("""
 SELECT conv_id, count(*)::INTEGER AS history_turns, min(turn) AS first_turn,
   coalesce(string_agg(upper(role) || ': ' || text, chr(10) ORDER BY turn) FILTER (WHERE r <= 6), '') AS context
@@ -1294,6 +1310,64 @@ def q_eda_bundle(spark, sf):
                                  "row_count bigint, col_count int, numeric int, categorical int, datetimes int")
 
 
+def hollow_orders(spark, sf):
+    """Orders with many gaps, a constant and a rank that goes with the price."""
+    o = V.table(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    return o.select(F.when(k % 2 == 0, F.col("o_totalprice")).alias("price"), F.when(k % 3 == 0, F.col("o_orderstatus")).alias("status"), F.lit(7.0).alias("flat"))
+
+
+@register("narrative_notes_hollow", plain("""
+SELECT (row_number() OVER (ORDER BY o) - 1)::INTEGER AS position, note FROM (
+  SELECT 0 AS o, 'On average ' || printf('%.1f', 100 * m) || '% of a column is empty: fill the gaps or drop columns.' AS note
+  FROM (SELECT (count_if(o_orderkey % 2 <> 0) + count_if(o_orderkey % 3 <> 0)) / (count(*) * 3.0) AS m FROM orders) WHERE m > 0.1
+  UNION ALL SELECT 1, 'Constant and of no use to a model or chart: 1 columns.'
+  UNION ALL SELECT 2, 'No two numeric columns move together; derived columns may help.' WHERE (SELECT count(*) > 0 FROM orders))"""))
+def q_narrative_notes_hollow(spark, sf):
+    return EDA.narrative_notes(hollow_orders(spark, sf))
+
+
+@register("eda_report", plain("""
+SELECT 'stat' AS part, name AS item, null_rate AS value, unique_count::VARCHAR AS text FROM (""" + plain(_ORDER_STATS_SQL, V.DIRTY_ORDERS_SQL) + """)
+UNION ALL SELECT 'hotspot', "column", null_rate, NULL FROM (""" + SQL["missingness_hotspots"] + """)
+UNION ALL SELECT 'readiness', NULL, ml_readiness, NULL FROM (""" + SQL["ml_readiness"] + """)
+UNION ALL SELECT 'note', NULL, position, note FROM (""" + SQL["narrative_notes"] + """)
+UNION ALL SELECT 'recommendation', NULL, NULL, 'Build a predictive modelling baseline: pick features first, then fit a regression or a classifier.'
+UNION ALL SELECT 'kind', name, NULL, CASE WHEN dtype IN ('bigint', 'double') THEN 'numeric' WHEN dtype = 'string' THEN 'categorical' ELSE 'datetime' END FROM (""" + plain(_ORDER_STATS_SQL, V.DIRTY_ORDERS_SQL) + ")"))
+def q_eda_report(spark, sf):
+    """The parts of the narrative of one table, one row for each of their statements."""
+    e = EDA.eda(V.dirty_orders(spark, sf), "predict churn")
+    kinds = [("kind", c, None, kind) for kind, cols in (("numeric", e.numeric_cols), ("categorical", e.categorical_cols), ("datetime", e.datetime_cols)) for c in cols]
+    said = [("readiness", None, e.ml_readiness, None), ("recommendation", None, None, e.recommendation), *kinds, *[("note", None, float(i), n) for i, n in enumerate(e.notes)]]
+    rows = spark.createDataFrame(said, "part string, item string, value double, text string")
+    stats = e.column_stats.select(F.lit("stat").alias("part"), F.col("name").alias("item"), F.col("null_rate").alias("value"), F.col("unique_count").cast("string").alias("text"))
+    hot = e.hotspots.select(F.lit("hotspot").alias("part"), F.col("column").alias("item"), F.col("null_rate").alias("value"), F.lit(None).cast("string").alias("text"))
+    return rows.unionByName(stats).unionByName(hot)
+
+
+@register("engineered_events", plain("SELECT event_id, value_log, ts_year, ts_month, ts_dow, ts_is_weekend FROM (" + SQL["log_transform_events"] + ") JOIN (" + SQL["datetime_parts_events"] + ") USING (event_id)"))
+def q_engineered_events(spark, sf):
+    """The log and date columns of one whole feature run."""
+    out = FE.engineer(V.table(spark, sf, "events")).df
+    return rounded(out.select("event_id", "value_log", "ts_year", "ts_month", "ts_dow", "ts_is_weekend"))
+
+
+@register("row_limit_warning", plain("SELECT CASE WHEN count(*) > 50000 THEN 'Dataset has more than 50,000 rows — processing continues.' END AS warning FROM lineitem"))
+def q_row_limit_warning(spark, sf):
+    return spark.createDataFrame([(IN.row_limit_warning(V.table(spark, sf, "lineitem")),)], "warning string")
+
+
+@register("column_kinds", plain("""
+SELECT 'events' AS "table", column_name AS "column", CASE WHEN column_type IN ('BIGINT', 'INTEGER', 'DOUBLE') THEN 'numeric' WHEN column_type = 'VARCHAR' THEN 'categorical' ELSE 'datetime' END AS kind
+FROM (DESCRIBE SELECT * FROM events)
+UNION ALL SELECT 'lineitem', column_name, CASE WHEN column_type IN ('BIGINT', 'INTEGER', 'DOUBLE') THEN 'numeric' WHEN column_type = 'VARCHAR' THEN 'categorical' ELSE 'datetime' END
+FROM (DESCRIBE SELECT * FROM lineitem)"""))
+def q_column_kinds(spark, sf):
+    from ..functions.expressions import column_kinds
+    rows = [(t, c, kind) for t in ("events", "lineitem") for kind, cols in column_kinds(V.table(spark, sf, t)).items() for c in cols]
+    return spark.createDataFrame(rows, "table string, column string, kind string")
+
+
 @register("chart_data_scatter", plain("SELECT l_quantity, round(l_extendedprice, 4) AS l_extendedprice, l_returnflag FROM lineitem"))
 def q_chart_data_scatter(spark, sf):
     return rounded(CH.chart_data(V.table(spark, sf, "lineitem"), "scatter", "l_quantity", "l_extendedprice", "l_returnflag"))

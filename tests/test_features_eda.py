@@ -164,7 +164,7 @@ def test_missingness_map_and_portfolio(spark):
     rows = [(1.0, None), (None, "a"), (None, None), (2.0, "b")]
     df = spark.createDataFrame(rows, "x double, s string")
     m = {r["pattern"]: r["rows"] for r in CH.missingness_map(df).collect()}
-    assert m == {"s": 1, "x": 1, "x,s": 1}
+    assert m == {'["s"]': 1, '["x"]': 1, '["x","s"]': 1}
     p = CH.portfolio(df).collect()
     assert any(r["title"] == "Missingness heatmap" for r in p)
 
