@@ -5,6 +5,8 @@ from __future__ import annotations
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,9 +20,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folder of the step that runs, if it is to be dropped afterwards.
+_STEP: ContextVar[str | None] = ContextVar("step", default=None)
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the cluster's shared checkpoint folder."""
-    return f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the cluster's shared checkpoint folder, or below the folder of the step that runs."""
+    return f"{_STEP.get() or checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``shared_path`` named."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def step_folder(spark: SparkSession, label: str) -> Iterator[None]:
+    """What is stashed inside goes into one folder, which is dropped at the end: write what is to stay elsewhere first."""
+    path = shared_path(spark, f"{label}-steps")
+    token = _STEP.set(path)
+    try:
+        yield
+    finally:
+        _STEP.reset(token)
+        drop(spark, path)
 
 
 def stash(df: DataFrame, label: str) -> DataFrame:
