@@ -334,7 +334,8 @@ def _place(df: DataFrame, x: dict[str, Column], brackets: list[_Bracket]) -> Non
     below = F.lit(None).cast("double")
     at = [F.when(x[b.name] < b.low, F.struct(F.lit(i).alias(KEY), below.alias(VAL)))
            .when(x[b.name] <= b.high, F.struct(F.lit(i).alias(KEY), x[b.name].alias(VAL))) for i, b in enumerate(brackets)]
-    counts = (df.select(F.inline(F.array_compact(F.array(*at)))).groupBy(KEY, VAL).agg(F.count(F.lit(1)).alias(WEIGHT)))
+    # Null structs become rows of nulls, which the filter drops in generated code.
+    counts = (df.select(F.inline(F.array(*at))).where(F.col(KEY).isNotNull()).groupBy(KEY, VAL).agg(F.count(F.lit(1)).alias(WEIGHT)))
     expected = sum(b.n for b in brackets) * 8 / BRACKET_ACCURACY
     if expected > DRIVER_VALUES:
         counts = cut(counts)
@@ -475,7 +476,7 @@ def distinct_counts(df: DataFrame, exprs: dict[str, Column]) -> dict[str, int]:
     if not exprs:
         return {}
     cells = [F.when(e.isNotNull(), F.struct(F.lit(i).alias(KEY), F.xxhash64(e).alias("_a"), F.xxhash64(F.lit(1), e).alias("_b"))) for i, e in enumerate(exprs.values())]
-    each = df.select(F.inline(F.array_compact(F.array(*cells)))).groupBy(KEY, "_a", "_b").agg(F.lit(1).alias(WEIGHT))
+    each = df.select(F.inline(F.array(*cells))).where(F.col(KEY).isNotNull()).groupBy(KEY, "_a", "_b").agg(F.lit(1).alias(WEIGHT))
     got = {r[KEY]: r["n"] for r in each.groupBy(KEY).agg(F.count(F.lit(1)).alias("n")).collect()}
     return {name: int(got.get(i, 0)) for i, name in enumerate(exprs)}
 
