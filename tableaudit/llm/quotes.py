@@ -1,7 +1,8 @@
 """Quotation linking: who replies to whom, read off what messages quote.
 
-A line's quote level is the number of its leading ``>`` marks; consecutive lines of
-one level are a passage. Quoted passages, their paragraphs and their lines are normalised (marks off,
+A line's quote level is the number of its leading ``>`` marks, and one more for each
+"Original Message" rule above it (mail programs that put one quote all that follows);
+consecutive lines of one level are a passage. Quoted passages, their paragraphs and their lines are normalised (marks off,
 white space as one space, lower case) and hashed. The first earlier message of the
 conversation that says the same in its own words (as its whole text, a passage, a
 paragraph or a line) is their original. A message replies to the original of which it
@@ -19,8 +20,21 @@ from tableaudit.llm.common import stash
 
 #: A line's marks: ``>`` with blanks before, between and one after. (A loop over one class of characters: a repeated group would recurse for each mark.)
 MARKS = r"^[ \t>]*>[ \t]?"
-#: A line that announces a quotation, if a quoted line follows; of any length if it has a mail address.
-ANNOUNCES = r"(?i)^\s*(?:on\s.{1,200}|.{1,200}\s|.*\S@\S.*\s)(?:wrote|schrieb|escribió|a écrit)\s?:\s*$"
+#: Verbs of lines that announce a quotation.
+_WROTE = r"(?:wrote|writes|schrieb|schreibt|escribió|escribe|a écrit|écrit|ha scritto|scrive|schreef)"
+_DATED = r"(?:on|am|le|el|il|op)[ \t]"
+#: Announcements with blank lines up to the quotation, which a ``>`` stands for. In this order: two or three lines that begin like a date and
+#: have a digit in the first or a mail address in the last; a line of any length with a mail address; a shorter line; a line whose verb stands before the name.
+ANNOUNCES = (r"(?imdu)^[ \t]*(?:"
+             rf"{_DATED}[^\n]{{1,200}}(?<![.!?:\s])[ \t]*\n(?:[^\n]{{1,200}}(?<![.!?:\s])[ \t]*\n)?(?=[^\n]*\S@\S)(?:[^\n]{{0,200}}[ \t>])?{_WROTE}"
+             rf"|{_DATED}(?=[^\n]*\d)[^\n]{{1,200}}(?<![.!?:\s])[ \t]*\n(?:[^\n]{{0,200}}[ \t>])?{_WROTE}"
+             rf"|(?=[^\n]*\S@\S)[^\n]*[ \t]{_WROTE}"
+             rf"|[^\n]{{1,200}}[ \t]{_WROTE}"
+             rf"|(?:am|den)[ \t][^\n]{{1,200}}[ \t](?:schrieb|schreibt)[ \t][^\n]{{1,200}}"
+             r")[ \t]?:\s*\n(?=>$)")
+#: A rule over a whole message, and the header lines below it.
+RULE = (r"(?imdu)^[ \t]*-{2,20}[ \t]*(?:original message|forwarded message|ursprüngliche nachricht|weitergeleitete nachricht|mensaje original|message d'origine|message original|messaggio originale)[ \t]*-{2,20}[ \t]*$"
+        r"(?:\n[ \t]*(?:from|sent|date|to|cc|bcc|reply-to|subject|von|gesendet|datum|an|betreff|de|enviado|fecha|para|asunto|envoyé|à|objet|da|inviato|oggetto)[ \t]?:[^\n]*){0,16}\n?")
 #: Words that a single quoted line must have to be linked by itself; shorter ones count beside another unit of their original.
 LINE_WORDS = 3
 #: Turns of one conversation that a window orders at once.
@@ -29,10 +43,11 @@ _START, _END = "\x1e", "\x1d"
 
 
 def lines_of(text: Column) -> Column:
-    """Array of (level, body) of a text's lines."""
-    parts = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"), "\n")
+    """Array of (level, body) of a text's lines; rules and their headers are left out."""
+    parts = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"), RULE)
     marks = lambda x: F.regexp_extract(x, MARKS, 0)
-    return F.transform(parts, lambda x: F.struct(F.length(F.regexp_replace(marks(x), "[^>]", "")).alias("level"), F.regexp_replace(x, MARKS, "").alias("body")))
+    line = lambda x, i: F.struct((F.length(F.regexp_replace(marks(x), "[^>]", "")) + i).alias("level"), F.regexp_replace(x, MARKS, "").alias("body"))
+    return F.flatten(F.transform(parts, lambda part, i: F.transform(F.split(part, "\n"), lambda x: line(x, i))))
 
 
 def passages_of(lines: Column) -> Column:
@@ -55,11 +70,11 @@ def _unit(text: Column) -> Column:
 
 
 def own_text(lines: Column, text: Column) -> Column:
-    """What is left without quoted lines and the lines that announce them; unquoted texts stay as they are."""
-    announces = lambda x, i: x["body"].rlike(ANNOUNCES) & (F.coalesce(F.get(lines, i + 1)["level"], F.lit(0)) > 0)
-    own = F.filter(lines, lambda x, i: (x["level"] == 0) & ~announces(x, i))
-    joined = F.array_join(F.transform(own, lambda x: x["body"]), "\n")
-    plain = F.regexp_replace(F.regexp_replace(joined, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    """What is left without quoted lines and what announces them; unquoted texts stay as they are. A quoted line is
+    stood for by a ``>``, which no other line begins with."""
+    joined = F.array_join(F.transform(lines, lambda x: F.when(x["level"] == 0, x["body"]).otherwise(">")), "\n")
+    own = F.regexp_replace(F.regexp_replace(joined, ANNOUNCES, ""), r"(?md)^>$\n?", "")
+    plain = F.regexp_replace(F.regexp_replace(own, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
     return F.when(F.exists(lines, lambda x: x["level"] > 0), plain).otherwise(F.coalesce(text, F.lit("")))
 
 
@@ -118,7 +133,8 @@ def threads(parents: DataFrame) -> DataFrame:
 def link(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text, n_quoted, n_linked, parent_turn, link, root_turn, depth) of every row of ``messages``.
 
-    ``text`` is the message without quotations, ``n_quoted`` its quoted lines, ``n_linked``
+    ``text`` is the message without quotations and what announces them (``ANNOUNCES``, ``RULE``: nothing below such a rule is
+    the message's own), ``n_quoted`` its quoted lines, ``n_linked``
     its quoted passages, paragraphs and lines whose original was found, ``link`` how its parent was (``quote``,
     ``previous``; ``first`` has none), ``depth`` its distance from ``root_turn``.
     (root_turn, depth, turn) is the reply order: each message follows what it answers.

@@ -113,6 +113,43 @@ def test_quoted_paragraphs_and_short_lines(spark):
     assert got[3].text == "Agreed."
 
 
+ANNOUNCED = [
+    ("Sure.\n\nOn Monday, Bob wrote:\n\n> one two three\n\nBye.", "Sure.\n\nBye."),
+    ("On Mon, 5 Jan 2026 at 10:00, Bob Example\n<bob@example.com> wrote:\n> one two three\nYes.", "Yes."),
+    ("On Monday, Bob Example\n<bob@example.com> wrote:\n\n> one two three\nYes.", "Yes."),
+    ("On Mon, 5 Jan 2026 at 10:00, Bob Example with a long name <\nbob@example.com> wrote:\n> one two three\nYes.", "Yes."),
+    ("Bob writes:\n> one two three\nYes.", "Yes."),
+    ("Am Montag schrieb Bob:\n> one two three\nJa.", "Ja."),
+    ("Am 5. Januar 2026 um 10:00 schrieb Bob <bob@example.com>:\n\n> one two three", ""),
+    ("Le lun. 5 janv. 2026, Bob <bob@example.com> a écrit :\n> one two three\nOui.", "Oui."),
+    ("Yes.\n\n-----Original Message-----\nFrom: Bob\nSent: Monday\nTo: Ann\nSubject: this\n\none two three\n\nBob", "Yes."),
+    ("---- Ursprüngliche Nachricht ----\r\nVon: Bob\r\n\r\none two three", ""),
+    # Not announcements: other lines stay.
+    ("On reflection I disagree.\nBob wrote:\n> one two three\nNo.", "On reflection I disagree.\nNo."),
+    ("Bob wrote:\nmuch of it.\n> one two three\nNo.", "Bob wrote:\nmuch of it.\nNo."),
+    ("On page 3 he says:\n> one two three\nNo.", "On page 3 he says:\nNo."),
+    ("On Monday, Bob wrote:\nnothing quoted", "On Monday, Bob wrote:\nnothing quoted"),
+    ("a -----Original Message----- b", "a -----Original Message----- b"),
+]
+
+
+def test_announcements_of_quotations_are_taken_out(spark):
+    rows = [(i, t, "u", text) for i, (said, _) in enumerate(ANNOUNCED) for t, text in enumerate(["one two three", "something else", said])]
+    got = {(r.conv_id, r.turn): r for r in R.link(spark.createDataFrame(rows, MSG)).collect()}
+    assert [got[i, 2].text for i in range(len(ANNOUNCED))] == [want for _, want in ANNOUNCED]
+    assert [got[i, 2].parent_turn for i in range(len(ANNOUNCED))] == [0] * 13 + [1, 1]
+    assert got[8, 2].n_linked >= 1 and got[13, 2].n_quoted == 0
+
+
+def test_messages_below_nested_rules_and_long_lines(spark):
+    rule = "-----Original Message-----\nFrom: x\n"
+    rows = [(1, 0, "u", "first of all this"), (1, 1, "a", f"second is that\n{rule}first of all this"), (1, 2, "u", f"third\n{rule}second is that\n{rule}first of all this"),
+            (2, 0, "u", "b@c " * 100_000 + "\n> x"), (2, 1, "u", "on 1" * 100_000 + "\n" * 1000 + "> x y z"), (2, 2, "u", "-" * 100_000 + "\n> x"), (2, 3, "u", rule * 300 + "deep")]
+    got = {(r.conv_id, r.turn): r for r in R.link(spark.createDataFrame(rows, MSG)).collect()}
+    assert [(got[1, t].text, got[1, t].parent_turn, got[1, t].depth) for t in range(3)] == [("first of all this", None, 0), ("second is that", 0, 1), ("third", 1, 2)]
+    assert got[2, 0].text == ("b@c " * 100_000).strip() and got[2, 1].text == "on 1" * 100_000 and got[2, 2].text == "-" * 100_000 and got[2, 3].text == ""
+
+
 def test_reply_order_and_long_chains(spark, monkeypatch):
     monkeypatch.setattr(R, "CHUNK", 8)
     rows = [(1, 3 * i, "u", f"message number {i} says so") for i in range(70)] + [(1, 500, "u", "> message number 2 says so\nlate")]
