@@ -60,6 +60,15 @@ def row_hash(*cols: Column) -> Column:
     return F.xxhash64(*[x for c in cols for x in (c, c.isNull())])
 
 
+def row_key(*cols: Column) -> Column:
+    """128-bit identity of a row, for joins in which two rows of one hash would give a wrong result: two 64-bit hashes of different beginnings."""
+    return F.struct(*[F.xxhash64(F.lit(seed), *[x for c in cols for x in (c, c.isNull())]).alias(name) for seed, name in ((1, "a"), (2, "b"))])
+
+
+#: Type of a row_key.
+ROW_KEY = "struct<a:bigint,b:bigint>"
+
+
 def whole_row(df: DataFrame) -> Column:
     """All columns of a row as one struct, whatever their names."""
     return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableaudit.llm.common import row_hash, slices, stash, utf8, whole_row
+from tableaudit.llm.common import ROW_KEY, row_key, slices, stash, utf8, whole_row
 
 WINDOW = 10
 #: Words of a shard; bytes of benchmark text that are searched for in one pass.
@@ -199,13 +199,20 @@ def _matches(docs: list[bytes], blocks: list[Suffixes], window: int):
     return counts, spans, items, longest
 
 
+def _runs(spans: set[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans (first word, words) as disjoint runs in order; spans that touch stay apart."""
+    out: list[tuple[int, int]] = []
+    for at, size in sorted(spans):
+        if out and at < sum(out[-1]):
+            out[-1] = out[-1][0], max(sum(out[-1]), at + size) - out[-1][0]
+        else:
+            out.append((at, size))
+    return out
+
+
 def _covered(spans: set[tuple[int, int]]) -> int:
     """Words that spans (first word, words) cover."""
-    hit = reach = 0
-    for at, size in sorted(spans):
-        hit += max(0, at + size - max(at, reach))
-        reach = max(reach, at + size)
-    return hit
+    return sum(size for _, size in _runs(spans))
 
 
 def _find(docs: list[bytes], blocks: list[Suffixes], window: int):
@@ -218,7 +225,7 @@ def _hits(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
     """(row, at, size, items, longest) of the documents with matches, once for each block of the benchmark that
     has some. Each block is broadcast alone, and what it finds is written to the shared folder."""
     spark = docs.sparkSession
-    source = docs.select(row_hash(F.col("doc_id"), F.col("text")).alias("row"), "text")
+    source = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row"), "text")
     parts = []
     for tests in _blocks(benchmark, window):
         shared = spark.sparkContext.broadcast(tests)
@@ -234,15 +241,16 @@ def _hits(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
                          pa.array([sorted(items[i]) for i in found], pa.list_(pa.string())), pa.array([longest[i] for i in found], pa.int64())],
                         names=["row", "at", "size", "items", "longest"])
 
-        found = source.mapInArrow(run, "row bigint, at array<bigint>, size array<bigint>, items array<string>, longest bigint")
+        found = source.mapInArrow(run, f"row {ROW_KEY}, at array<bigint>, size array<bigint>, items array<string>, longest bigint")
         parts.append(stash(found, "hits"))
         shared.destroy()
     return reduce(DataFrame.union, parts)
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest) of every row of ``docs``.
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest, places) of every row of ``docs``.
 
+    ``places``: the runs of hit words (at: number of words before, words), in order.
     ``longest``: words of the longest verbatim match found with an item, followed from one place of each window
     and within a shard. Null, empty and
     word-less texts have no words and no hits; items without words or without
@@ -252,8 +260,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Dat
     """
     hits = (_hits(docs, benchmark, window).groupBy("row").agg(F.collect_set(F.struct("at", "size", "items")).alias("f"), F.max("longest").alias("longest"))
             .select("row", F.flatten("f.at").alias("at"), F.flatten("f.size").alias("size"), F.flatten("f.items").alias("items"), "longest"))
-    source = docs.select("doc_id", row_hash(F.col("doc_id"), F.col("text")).alias("row"), "text")
+    source = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("row"), "text")
     kind = dict(source.dtypes)["doc_id"]
+    runs = pa.list_(pa.struct([("at", pa.int64()), ("words", pa.int64())]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
@@ -264,20 +273,21 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Dat
             rows = []
             for at, size, items in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
                 ids = sorted(set(items or ()))
-                hit = _covered(set(zip(at or (), size or ())))
-                rows.append((hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), hit > 0))
-            cols = list(zip(*rows)) if rows else [()] * 4
+                places = _runs(set(zip(at or (), size or ())))
+                hit = sum(words for _, words in places)
+                rows.append((hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), hit > 0, [{"at": a, "words": n} for a, n in places]))
+            cols = list(zip(*rows)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.bool_()))), batch.column(5)],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest"])
+                [batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.bool_()))), batch.column(5), pa.array(cols[4], runs)],
+                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "places"])
 
-    words = source.mapInArrow(count, f"doc_id {kind}, row bigint, n_words bigint")
+    words = source.mapInArrow(count, f"doc_id {kind}, row {ROW_KEY}, n_words bigint")
     joined = words.join(hits, "row", "left").select("doc_id", "n_words", "at", "size", "items", F.coalesce("longest", F.lit(0)).alias("longest"))
-    return joined.mapInArrow(run, f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, longest bigint")
+    return joined.mapInArrow(run, f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, longest bigint, places array<struct<at:bigint,words:bigint>>")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` in which no benchmark window occurs, all columns as they are."""
     hits = _hits(docs, benchmark, window).select("row").distinct()
-    keyed = docs.select(whole_row(docs).alias("all"), row_hash(F.col("doc_id"), F.col("text")).alias("row"))
+    keyed = docs.select(whole_row(docs).alias("all"), row_key(F.col("doc_id"), F.col("text")).alias("row"))
     return keyed.join(hits, "row", "left_anti").select("all.*")

@@ -122,7 +122,7 @@ c AS (SELECT conv_id, """ + CRC32.format("CAST(conv_id AS VARCHAR)") + r""" % 4
 t AS (SELECT c.conv_id, 0 AS kind, i, role, text FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % 20 AND i <= h
       UNION ALL SELECT conv_id, 1, i, role, text FROM c JOIN o USING (conv_id) WHERE i > h),
 r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY kind, i) AS depth, sha256(length(role) || ':' || role || text) AS said,
-             CAST(len(regexp_extract_all(text, '[^ 	-]+')) AS BIGINT) AS words FROM t),
+             CAST(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS BIGINT) AS words FROM t),
 p AS (SELECT conv_id, depth, string_agg(said, '/') OVER (PARTITION BY conv_id ORDER BY depth) AS path, string_agg(said, '/') OVER (PARTITION BY conv_id ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS up, words,
              depth = max(depth) OVER (PARTITION BY conv_id) AS last FROM r
       UNION ALL SELECT conv_id, 0, '', NULL, 0, conv_id NOT IN (SELECT conv_id FROM r) FROM c),

@@ -21,6 +21,7 @@ from tableaudit.llm import orcstore as O
 from tableaudit.llm import quality as Q
 from tableaudit.llm import queries as LQ
 from tableaudit.llm import simhash as S
+from tableaudit.llm.common import ROW_KEY, row_key
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -292,6 +293,13 @@ def test_decontamination_odd_rows(spark):
     assert D.overlaps(frame(spark, []), items).count() == 0
 
 
+def test_row_keys_tell_nulls_and_columns_apart(spark):
+    rows = [(None, ""), ("", None), (None, None), ("", ""), ("a", "b"), ("ab", ""), ("", "ab")]
+    keys = spark.createDataFrame([*rows, *rows], "x string, y string").select(row_key(F.col("x"), F.col("y")).alias("k"))
+    assert keys.distinct().count() == len(rows) and keys.schema["k"].dataType.simpleString() == ROW_KEY
+    assert keys.filter("k.a = k.b").isEmpty()
+
+
 def test_benchmark_blocks_are_broadcast_one_by_one(spark, monkeypatch):
     rng = np.random.default_rng(3)
     text = lambda n: " ".join(rng.choice(["a", "b", "c", "d"], n))
@@ -305,6 +313,10 @@ def test_benchmark_blocks_are_broadcast_one_by_one(spark, monkeypatch):
     got = D.overlaps(df, tests, 5).collect()
     assert len(got) == len(docs) + 1 and {(r.doc_id, r.n_words, r.n_hit, r.items_sha256) for r in got} == want
     assert {r.doc_id for r in D.clean(df, tests, 5).collect()} == {d for d, _, h, _ in want if not h}
+    for r, text in ((r, dict(docs)[r.doc_id].split()) for r in got):
+        runs = [text[p.at:p.at + p.words] for p in r.places]
+        assert sum(map(len, runs)) == r.n_hit and [p.at for p in r.places] == sorted(p.at for p in r.places)
+        assert all(overlaps_by_force([(0, " ".join(run))], items, 5)[0][2] == len(run) for run in runs)
     assert len(sent) > 4 and all(isinstance(x, D.Suffixes) for x in sent)
     assert max(len(x.names) for x in sent) < len(items)
 
