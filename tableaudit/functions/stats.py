@@ -526,10 +526,12 @@ def average_ranks(df: DataFrame, specs: dict[str, tuple[Column, Column]]):
 
     ``specs`` maps a domain name to ``(value, in_domain)``; the rank of a value
     is taken among the rows where ``in_domain`` holds. Returns
-    ``(lookup, keys)``: ``lookup`` has ``_k, _v, _rank`` (one row per
-    distinct value per domain, checkpointed).
+    ``(lookup, keys, sizes)``: ``lookup`` has ``_k, _v, _rank`` (one row per
+    distinct value per domain, checkpointed), ``sizes`` the rows and distinct
+    values of each domain by its key.
     """
     exprs = {name: F.when(cond, v.cast("double")) for name, (v, cond) in specs.items()}
     vc, keys = value_counts(df, numeric=exprs)
-    ranked, _ = cumulative(vc.drop(TXT), KEY, [VAL], WEIGHT)
-    return ranked.select(KEY, VAL, (F.col("_before") + (F.col(WEIGHT) + 1) / 2.0).alias("_rank")), keys
+    ranked, totals = cumulative(vc.drop(TXT), KEY, [VAL], WEIGHT)
+    sizes = {r[KEY]: (r["_n"], r["_rows"]) for r in totals.collect()}  # one row a domain
+    return ranked.select(KEY, VAL, (F.col("_before") + (F.col(WEIGHT) + 1) / 2.0).alias("_rank")), keys, sizes

@@ -3,14 +3,19 @@
 Correlations are one aggregate job. Spearman correlation is exact and
 distributed: average ranks come from the range-partitioned running sums in
 ``functions.stats`` (one rank table per rank domain: a column and the
-null mask of its partner, shared by all partners with that mask), are joined
-back to the rows (Spark broadcasts a table whose size it knows to be small), and ``corr`` of the ranks is one more aggregate.
+null mask of its partner, shared by all partners with that mask). Rank tables of
+few values are sent to the tasks, which look ranks up and add up their products in
+one scan; larger ones meet the table's values in one join for all domains, and the
+ranks of a row are put together by its position. Either plan is as long for two columns as for fifty.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +23,7 @@ from .. import config as C
 from ..config import DEFAULT, AuditConfig
 from ..functions import stats as S
 from ..functions.expressions import col, number_of
+from ..functions.positions import POSITION, with_position
 from ..session import reused
 from .features import correlations
 from .profile import Facts, chart_flags, column_stats_rows, continuous_columns, facts
@@ -66,6 +72,52 @@ def max_abs_correlation(df: DataFrame, columns: list[str], rs: dict | None = Non
 # F3 Spearman
 # ---------------------------------------------------------------------------
 
+#: Distinct values of all rank domains together whose ranks (16 bytes each) are sent to every task; more are joined.
+SENT_VALUES = 1 << 20
+
+
+def _looked_up(tables):
+    """Ranks of a batch whose columns are the domains' values: ``tables`` has for each its values in order and their ranks."""
+    def ranks(batch: pa.RecordBatch) -> list[np.ndarray]:
+        out = []
+        for column, (values, rank) in zip(batch.columns, tables.value):
+            v = column.to_numpy(zero_copy_only=False).astype(float)
+            at = np.searchsorted(values, v) if len(values) else np.zeros(len(v), np.int64)
+            out.append(np.where(np.isnan(v), np.nan, np.append(rank, np.nan)[at]))
+        return out
+    return ranks
+
+
+def _gathered(domains: int):
+    """Ranks of a batch whose rows are lists of (domain, rank)."""
+    def ranks(batch: pa.RecordBatch) -> list[np.ndarray]:
+        lists = batch.column(0)
+        row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+        key, rank = (f.to_numpy(zero_copy_only=False) for f in lists.flatten().flatten())
+        out = np.full((domains, len(lists)), np.nan)
+        out[key, row] = rank
+        return list(out)
+    return ranks
+
+
+def _rank_products(pairs: list[tuple[int, int]], ranks):
+    """Per task and pair of domains (p) the sums (n, sa, sb, saa, sbb, sab) over the rows that have both ranks."""
+    def run(batches):
+        total = np.zeros((len(pairs), 6))
+        for batch in batches:
+            r = ranks(batch)
+            known = [~np.isnan(c) for c in r]
+            for i, (a, b) in enumerate(pairs):
+                both = known[a] & known[b]
+                u, v = r[a][both], r[b][both]
+                total[i] += len(u), u.sum(), v.sum(), u @ u, v @ v, u @ v
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(pairs)), pa.int32()), *(pa.array(c) for c in total.T)], names=["p", *_SUMS])
+    return run
+
+
+_SUMS = ("n", "sa", "sb", "saa", "sbb", "sab")
+
+
 def spearman(df: DataFrame, pairs: list[tuple[str, str]], min_rows: int = 3) -> dict:
     """Exact Spearman r per pair on pairwise-complete rows (None if < min_rows or constant)."""
     if not pairs:
@@ -84,39 +136,43 @@ def spearman(df: DataFrame, pairs: list[tuple[str, str]], min_rows: int = 3) ->
     differ = S.sums(df, {str(k): e for k, e in apart.items()})
     mask = {c: None if not nulls[c] else next((a for a in gaps[:gaps.index(c)] if differ.get(str((a, c))) == 0), c) for c in cols}
     specs: dict[str, tuple[Column, Column]] = {}
-    spec_col: dict[str, tuple[str, tuple | None]] = {}
 
     def domain(c: str, partner: str) -> str:
         m = None if mask[partner] in (None, mask[c]) else mask[partner]
         name = f"s{cols.index(c)}" + (f"m{cols.index(m)}" if m else "")
         specs[name] = (x[c], F.lit(True) if m is None else x[c].isNotNull() & x[m].isNotNull())
-        spec_col[name] = (c, None if m is None else (c, m))
         return name
 
     pair_spec = {(a, b): (domain(a, b), domain(b, a)) for a, b in pairs}
-    lookup, keys = S.average_ranks(df, specs)
-    cur = df.select(*[x[c].alias(f"__x{i}") for i, c in enumerate(cols)])
-    idx = {c: i for i, c in enumerate(cols)}
-    for s in specs:
-        k = keys[s]
-        c, both = spec_col[s]
-        vcol = f"__x{idx[c]}"
-        lk = lookup.where(F.col(S.KEY) == k).select(F.col(S.VAL).alias(f"__v{k}"), F.col("_rank").alias(f"__r{k}"))
-        cur = cur.join(lk, F.col(vcol) == F.col(f"__v{k}"), "left").drop(f"__v{k}")
-        if both is not None:
-            a, b = both
-            cond_cur = F.col(f"__x{idx[a]}").isNotNull() & F.col(f"__x{idx[b]}").isNotNull()
-            cur = cur.withColumn(f"__r{k}", F.when(cond_cur, F.col(f"__r{k}")))
-    aggs = []
-    for i, (a, b) in enumerate(pairs):
-        sa, sb = pair_spec[(a, b)]
-        ra, rb = F.col(f"__r{keys[sa]}"), F.col(f"__r{keys[sb]}")
-        aggs += [F.corr(ra, rb).alias(f"r{i}"), F.count(F.when(ra.isNotNull() & rb.isNotNull(), 1)).alias(f"n{i}")]
-    row = cur.agg(*aggs).collect()[0]
+    lookup, keys, sizes = S.average_ranks(df, specs)
+    # Centred on the domain's mean rank: the sums of squares lose no digits.
+    rank = F.col("_rank") - F.element_at(F.create_map(*[F.lit(v) for k, (n, _) in sizes.items() for v in (k, (n + 1) / 2.0)]), F.col(S.KEY)) if sizes else F.col("_rank")
+    lookup = lookup.select(S.KEY, S.VAL, rank.alias("_rank"))
+    wanted = [(keys[a], keys[b]) for a, b in (pair_spec[p] for p in pairs)]
+    shape = "p int, " + ", ".join(f"{s} double" for s in _SUMS)
+    domains = sorted(keys, key=keys.get)
+    values = {name: F.when(specs[name][1], specs[name][0].cast("double")) for name in domains}
+    if sum(rows for _, rows in sizes.values()) <= SENT_VALUES:
+        got = lookup.toArrow()
+        key, val, rnk = (got.column(c).to_numpy() for c in (S.KEY, S.VAL, "_rank"))
+        order = np.lexsort((val, key))
+        key, val, rnk = key[order], val[order], rnk[order]
+        edge = np.searchsorted(key, np.arange(len(domains) + 1))
+        tables = df.sparkSession.sparkContext.broadcast([(val[i:j], rnk[i:j]) for i, j in zip(edge[:-1], edge[1:])])
+        sums = df.select(*[e.alias(name) for name, e in values.items()]).mapInArrow(_rank_products(wanted, _looked_up(tables)), shape)
+    else:
+        cells = F.array(*[F.struct(F.lit(keys[name]).alias(S.KEY), e.alias(S.VAL)) for name, e in values.items()])
+        long = with_position(df).select(POSITION, F.explode(cells).alias("kv")).select(POSITION, "kv.*").where(F.col(S.VAL).isNotNull())
+        rows = long.join(lookup, [S.KEY, S.VAL]).groupBy(POSITION).agg(F.collect_list(F.struct(S.KEY, "_rank")).alias("ranks"))  # a row's own domains
+        sums = rows.select("ranks").mapInArrow(_rank_products(wanted, _gathered(len(domains))), shape)
+    found = {r.p: r for r in sums.groupBy("p").agg(*[F.sum(s).alias(s) for s in _SUMS]).collect()}
     out = {}
     for i, p in enumerate(pairs):
-        r, n = row[f"r{i}"], row[f"n{i}"]
-        out[p] = None if (n < min_rows or r is None or r != r) else float(r)
+        t, out[p] = found.get(i), None
+        if t is not None and t.n >= max(min_rows, 1):
+            va, vb = t.saa - t.sa * t.sa / t.n, t.sbb - t.sb * t.sb / t.n
+            if va > 0 and vb > 0:
+                out[p] = max(-1.0, min(1.0, (t.sab - t.sa * t.sb / t.n) / math.sqrt(va * vb)))
     return out
 
 
