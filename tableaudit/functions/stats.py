@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -287,10 +288,10 @@ class _Bracket:
 
 def exact_quantiles(df: DataFrame, exprs: dict[str, Column], probs,
                     counts: dict[str, int] | None = None) -> dict[str, list[float | None]]:
-    """Linear-interpolated quantiles (pandas ``quantile``), exact, from two scans.
+    """Linear-interpolated quantiles (pandas ``quantile``), exact, from three scans.
 
     The first takes a quantile sketch a column, whose rank bound gives each quantile a bracket of values. The
-    second counts each bracket's values, and what lies below it as one value more: a row a task, so nothing but what
+    second counts what lies below and up to the end of each bracket, the third the values inside, so nothing but what
     lies within the bound is shuffled. The positions are then found among those counts: by the driver if they are few, else
     by running sums over ranges. ``counts``: non-null values per column, when the caller already has them."""
     probs = list(probs)
@@ -328,42 +329,60 @@ def exact_quantiles(df: DataFrame, exprs: dict[str, Column], probs,
 
 
 def _place(df: DataFrame, x: dict[str, Column], brackets: list[_Bracket]) -> None:
-    """Find all brackets' positions in one scan; ``found`` stays None where a bracket doesn't hold them."""
+    """Find all brackets' positions; ``found`` stays None where a bracket doesn't hold them. One scan counts what lies below and
+    up to the end of each bracket, in light sums; the rows inside of one, a few in ten thousand unless values tie, are all that a second unpivots."""
     if not brackets:
         return
-    below = F.lit(None).cast("double")
-    at = [F.when(x[b.name] < b.low, F.struct(F.lit(i).alias(KEY), below.alias(VAL)))
-           .when(x[b.name] <= b.high, F.struct(F.lit(i).alias(KEY), x[b.name].alias(VAL))) for i, b in enumerate(brackets)]
+    light = {}
+    for i, b in enumerate(brackets):
+        light |= {f"b{i}": F.when(x[b.name] < b.low, 1).otherwise(0), f"u{i}": F.when(x[b.name] <= b.high, 1).otherwise(0)}
+    row = sums(df, light)
+    inner = []
+    for i, b in enumerate(brackets):
+        b.below, b.upto = row[f"b{i}"], row[f"u{i}"]
+        if b.below <= b.lo and b.upto > b.hi:
+            if b.low == b.high:
+                b.found = b.low + 0.0
+            else:
+                inner.append(b)
+    if not inner:
+        return
+    names = list(dict.fromkeys(b.name for b in inner))
+    # A row's values are taken once, whatever expressions they are: the filter does not reach below the generator.
+    taken = df.select(F.inline(F.array(F.struct(*[x[c].alias(f"x{j}") for j, c in enumerate(names)]))))
+    at = [F.col(f"x{names.index(b.name)}") for b in inner]
+    held = [(v >= b.low) & (v <= b.high) for v, b in zip(at, inner)]
+    cells = F.array(*[F.when(h, F.struct(F.lit(i).alias(KEY), v.alias(VAL))) for i, (v, h) in enumerate(zip(at, held))])
     # Null structs become rows of nulls, which the filter drops in generated code.
-    counts = (df.select(F.inline(F.array(*at))).where(F.col(KEY).isNotNull()).groupBy(KEY, VAL).agg(F.count(F.lit(1)).alias(WEIGHT)))
-    expected = sum(b.n for b in brackets) * 8 / BRACKET_ACCURACY
-    if expected > DRIVER_VALUES:
+    counts = (taken.where(reduce(Column.__or__, held)).select(F.inline(cells)).where(F.col(KEY).isNotNull())
+              .groupBy(KEY, VAL).agg(F.count(F.lit(1)).alias(WEIGHT)))
+    if sum(b.upto - b.below for b in inner) > DRIVER_VALUES:
         counts = cut(counts)
         if counts.count() > DRIVER_VALUES:
-            _place_in_ranges(counts, brackets)
+            _place_in_ranges(counts, inner)
             return
     values: dict[int, list[tuple[float, int]]] = {}
     for r in counts.collect():
         values.setdefault(r[KEY], []).append((r[VAL], r[WEIGHT]))
-    for i, b in enumerate(brackets):
-        pos, got = 0, {}
-        for v, w in sorted(values.get(i, []), key=lambda vw: (vw[0] is not None, vw[0] or 0.0)):
+    for i, b in enumerate(inner):
+        pos, got = b.below, {}
+        for v, w in sorted(values.get(i, [])):
             for p in (b.lo, b.hi):
                 if pos <= p < pos + w:
                     got[p] = v
             pos += w
-        if got.get(b.lo) is not None and got.get(b.hi) is not None:
+        if b.lo in got and b.hi in got:
             b.found = _lerp(got[b.lo], got[b.hi], b.t)
 
 
 def _place_in_ranges(counts: DataFrame, brackets: list[_Bracket]) -> None:
     """The same, where the brackets hold more values than the driver orders: two rows a bracket reach it."""
     ranked, _ = cumulative(counts, KEY, [VAL], WEIGHT)
-    wanted = ranked.sparkSession.createDataFrame([(i, p) for i, b in enumerate(brackets) for p in {b.lo, b.hi}], f"{KEY} int, p bigint")
+    wanted = ranked.sparkSession.createDataFrame([(i, p - b.below) for i, b in enumerate(brackets) for p in {b.lo, b.hi}], f"{KEY} int, p bigint")
     hit = ranked.join(F.broadcast(wanted), KEY).where((F.col("_before") <= F.col("p")) & (F.col("p") < F.col("_before") + F.col(WEIGHT)))
     got = {(r[KEY], r.p): r[VAL] for r in hit.select(KEY, "p", VAL).collect()}
     for i, b in enumerate(brackets):
-        low, high = got.get((i, b.lo)), got.get((i, b.hi))
+        low, high = got.get((i, b.lo - b.below)), got.get((i, b.hi - b.below))
         if low is not None and high is not None:
             b.found = _lerp(low, high, b.t)
 

@@ -335,6 +335,22 @@ def test_quantiles_take_two_scans_or_ranges(spark, monkeypatch):
     assert real is not S._place
 
 
+def test_brackets_are_counted_where_they_lie(spark):
+    """What lies below a bracket is a sum, and tied positions need no row at all; positions hold with nulls and zeros of either sign."""
+    import numpy as np
+
+    from tableaudit.functions import stats as S
+    values = [float(i % 7) for i in range(7_000)] + [-0.0] * 500
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)] * 50, "v double").repartition(4)
+    tied, wide, off = (S._Bracket("v", 0.5, lo, lo + 1, low, high, len(values)) for lo, low, high in ((3_800, 3.0, 3.0), (2_499, 1.0, 2.0), (7_400, 0.0, 3.0)))
+    S._place(df, {"v": F.col("v")}, [tied, wide, off])
+    assert [(b.below, b.upto) for b in (tied, wide, off)] == [(3_500, 4_500), (1_500, 3_500), (0, 4_500)]
+    assert (tied.found, wide.found, off.found) == (3.0, 1.5, None)
+    zero = S._Bracket("v", 0.0, 10, 11, -0.0, -0.0, len(values))
+    S._place(df, {"v": F.col("v")}, [zero])
+    assert np.copysign(1.0, zero.found) == 1.0
+
+
 def test_written_dates_in_any_form(spark):
     """Forms that a table may hold, each read as its words say; numbers over twelve tell the day from the month."""
     from tableaudit.functions import dates as DT
