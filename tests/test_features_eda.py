@@ -366,6 +366,15 @@ def test_interaction_reads_a_joined_table_once(spark):
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_scatter_matrix_reads_a_joined_table_once(spark):
+    from tableaudit.operators import charts as CH
+    df = _joined(spark)
+    points, note = CH.scatter_matrix(df, key=["note"])
+    assert note is None and points.columns == ["note", "amount", "total"]
+    assert sorted(map(tuple, points.collect())) == sorted((r.note, r.amount, r.total) for r in df.collect())
+    assert "Join" not in points._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_written_dates_in_any_form(spark):
     """Forms that a table may hold, each read as its words say; numbers over twelve tell the day from the month."""
     from tableaudit.functions import dates as DT
