@@ -19,6 +19,9 @@ LONGER = "uary|ruary|ch|il|e|y|ust|tember|t|ober|ember"
 WEEKDAY = r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+"
 ZONE = r"(?i)(?<=\d:\d\d|\d:\d\d\.\d{1,9}|T\d{6}|[AP]M)\s*(Z|UTC|GMT|[+-]\d\d:?\d\d)$"
 
+#: What every text ends with that ``ZONE`` matches.
+ZONE_END = r"(?i)(Z|UTC|GMT|[+-]\d\d:?\d\d)$"
+
 MONTH = "(?i)\\b(" + "|".join(MONTHS) + f")(?:{LONGER})?\\b\\.?"
 #: Shapes of dates: Y year, 9 a number of one or two digits, D eight digits, b month name; then of times: t six digits, f fraction, p AM/PM.
 DATE = r"(Y[-/.]9[-/.]9|9[-/.]9[-/.][Y9]|D|Y[-/.]9|b 9 Y|9[- ]b[- ][Y9]|b[- ]Y|Y[- ]b[- ]9)"
@@ -29,8 +32,9 @@ SHAPE = f"^{DATE}{TIME}$"
 def spelling(c: Column) -> Column:
     """One spelling for the ways to write a date."""
     t = F.regexp_replace(F.trim(c), WEEKDAY, "")
-    t = F.regexp_replace(t, ZONE, "")
-    t = F.regexp_replace(F.regexp_replace(t, ",", " "), r"\s+", " ")
+    # The cheap test first: most texts end without a zone.
+    t = _bound(t, lambda t: F.when(t.rlike(ZONE_END), F.regexp_replace(t, ZONE, "")).otherwise(t))
+    t = F.regexp_replace(t, r"[,\s]+", " ")
     t = F.regexp_replace(t, r"(?i)(?<=\d)(st|nd|rd|th)\b", "")
     t = F.regexp_replace(t, r"(?i)(?<=\d) ?([ap])\.?m\.?$", " $1m")
     t = F.regexp_replace(t, MONTH, "$1")
@@ -78,11 +82,12 @@ def forms(df: DataFrame, columns: dict[str, Column]) -> dict[str, list[tuple[str
     if not columns:
         return {}
     each = []
-    for i, c in enumerate(columns.values()):
-        t = spelling(c)
+    spelled = df.select(*[spelling(c).alias(f"t{i}") for i, c in enumerate(columns.values())])  # taken once a value
+    for i in range(len(columns)):
+        t = F.col(f"t{i}")
         first, second = (F.try_element_at(F.split(t, "[-/. ]"), F.lit(k)).try_cast("int") for k in (1, 2))
         each.append(F.struct(F.lit(i).alias("i"), shape(t).alias("shape"), first.alias("first"), second.alias("second")))
-    seen = (df.select(F.inline(F.array(*each))).where(F.col("shape").rlike(SHAPE)).groupBy("i", "shape")
+    seen = (spelled.select(F.inline(F.array(*each))).where(F.col("shape").rlike(SHAPE)).groupBy("i", "shape")
             .agg(F.max("first").alias("first"), F.max("second").alias("second")).collect())
     out: dict[str, list[tuple[str, list[str]]]] = {}
     for i, c in enumerate(columns):

@@ -375,6 +375,16 @@ def test_scatter_matrix_reads_a_joined_table_once(spark):
     assert "Join" not in points._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_dates_are_spelled_once_a_value(spark, monkeypatch):
+    from tableaudit.functions import dates as DT
+    taken, shape = [], DT.shape
+    monkeypatch.setattr(DT, "shape", lambda t: taken.append(str(t)) or shape(t))
+    df = spark.createDataFrame([("2024-01-05T10:00:00Z",), ("2024-01-05 10:00 +02:00",), ("1/5/2024, 10:00 GMT",), ("5 Jan 2024",), ("10:00:00.5utc",), (None,)], "t string")
+    found = DT.forms(df, {"t": F.col("t")})
+    assert [form for form, _ in found["t"]] == ["9 b Y", "9/9/Y 9:9", "Y-9-9 9:9", "Y-9-9T9:9:9"]
+    assert taken and "regexp_replace" not in "".join(taken)
+
+
 def test_written_dates_in_any_form(spark):
     """Forms that a table may hold, each read as its words say; numbers over twelve tell the day from the month."""
     from tableaudit.functions import dates as DT
