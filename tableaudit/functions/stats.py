@@ -540,17 +540,26 @@ def mode_values(df: DataFrame, numeric: dict[str, Column] | None = None,
     return {name: got.get(k) for name, k in keys.items()}
 
 
-def average_ranks(df: DataFrame, specs: dict[str, tuple[Column, Column]]):
+def average_ranks(df: DataFrame, values: dict[str, Column], domains: dict[str, tuple[str, str | None]]):
     """Average ranks (ties share the mean position, 1-based) per rank domain.
 
-    ``specs`` maps a domain name to ``(value, in_domain)``; the rank of a value
-    is taken among the rows where ``in_domain`` holds. Returns
+    ``domains`` maps a domain's name to a column of ``values`` and to the one whose nulls leave
+    rows out (None: no other). A column's values are counted once, with a weight for each domain. Returns
     ``(lookup, keys, sizes)``: ``lookup`` has ``_k, _v, _rank`` (one row per
     distinct value per domain, checkpointed), ``sizes`` the rows and distinct
     values of each domain by its key.
     """
-    exprs = {name: F.when(cond, v.cast("double")) for name, (v, cond) in specs.items()}
-    vc, keys = value_counts(df, numeric=exprs)
-    ranked, totals = cumulative(vc.drop(TXT), KEY, [VAL], WEIGHT)
+    keys = {name: i for i, name in enumerate(domains)}
+    columns = list(dict.fromkeys(c for c, _ in domains.values()))
+    masks = list(dict.fromkeys(m for _, m in domains.values()))
+    weights = [f"{WEIGHT}{j}" for j in range(len(masks))]
+    has = [(F.lit(1) if m is None else F.when(values[m].isNotNull(), 1).otherwise(0)).cast("long").alias(w) for m, w in zip(masks, weights)]
+    cells = F.array(*[F.struct(F.lit(i).alias("_c"), values[c].cast("double").alias(VAL)) for i, c in enumerate(columns)])
+    counted = (df.select(F.explode(cells).alias("kv"), *has).select("kv.*", *weights).where(F.col(VAL).isNotNull())
+               .groupBy("_c", VAL).agg(*[F.sum(w).alias(w) for w in weights]))
+    of = F.array(*[F.when(F.col("_c") == columns.index(c), F.struct(F.lit(keys[name]).alias(KEY), F.col(weights[masks.index(m)]).alias(WEIGHT)))
+                   for name, (c, m) in domains.items()])
+    vc = counted.select(VAL, F.inline(of)).where(F.col(WEIGHT) > 0).select(KEY, VAL, WEIGHT)
+    ranked, totals = cumulative(vc, KEY, [VAL], WEIGHT)
     sizes = {r[KEY]: (r["_n"], r["_rows"]) for r in totals.collect()}  # one row a domain
     return ranked.select(KEY, VAL, (F.col("_before") + (F.col(WEIGHT) + 1) / 2.0).alias("_rank")), keys, sizes

@@ -5,14 +5,15 @@ distributed: average ranks come from the range-partitioned running sums in
 ``functions.stats`` (one rank table per rank domain: a column and the
 null mask of its partner, shared by all partners with that mask). Rank tables of
 few values are sent to the tasks, which look ranks up and add up their products in
-one scan; larger ones meet the table's values in one join for all domains, and the
-ranks of a row are put together by its position. Either plan is as long for two columns as for fifty.
+one scan. Columns of more values meet their ranks in one join for all of them, which carries the
+others' values; the ranks of a row are put together by its position where several columns are joined. Either plan is as long for two columns as for fifty.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -76,42 +77,38 @@ def max_abs_correlation(df: DataFrame, columns: list[str], rs: dict | None = Non
 SENT_VALUES = 1 << 20
 
 
-def _looked_up(tables):
-    """Ranks of a batch whose columns are the domains' values: ``tables`` has for each its values in order and their ranks."""
-    def ranks(batch: pa.RecordBatch) -> list[np.ndarray]:
-        out = []
-        for column, (values, rank) in zip(batch.columns, tables.value):
-            v = column.to_numpy(zero_copy_only=False).astype(float)
-            at = np.searchsorted(values, v) if len(values) else np.zeros(len(v), np.int64)
-            out.append(np.where(np.isnan(v), np.nan, np.append(rank, np.nan)[at]))
+def _ranks(domains: int, tables, sent: dict[int, int], joined: bool):
+    """Ranks of a batch, by domain. ``tables`` has for each domain in ``sent`` its values in order and their ranks, to be looked up
+    for the column that ``sent`` names; if ``joined``, the first column lists each row's (domain, rank) of all others."""
+    def ranks(batch: pa.RecordBatch) -> np.ndarray:
+        out = np.full((domains, batch.num_rows), np.nan)
+        if joined:
+            lists = batch.column(0)
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            key, rank = (f.to_numpy(zero_copy_only=False) for f in lists.flatten().flatten())
+            out[key, row] = rank
+        columns = [c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[joined:]]
+        for d, j in sent.items():
+            values, rank = tables.value[d]
+            if len(values):
+                v = columns[j]
+                out[d] = np.where(np.isnan(v), np.nan, np.append(rank, np.nan)[np.searchsorted(values, v)])
         return out
     return ranks
 
 
-def _gathered(domains: int):
-    """Ranks of a batch whose rows are lists of (domain, rank)."""
-    def ranks(batch: pa.RecordBatch) -> list[np.ndarray]:
-        lists = batch.column(0)
-        row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
-        key, rank = (f.to_numpy(zero_copy_only=False) for f in lists.flatten().flatten())
-        out = np.full((domains, len(lists)), np.nan)
-        out[key, row] = rank
-        return list(out)
-    return ranks
-
-
-def _rank_products(pairs: list[tuple[int, int]], ranks):
+def _rank_products(pairs: dict[int, tuple[int, int]], ranks):
     """Per task and pair of domains (p) the sums (n, sa, sb, saa, sbb, sab) over the rows that have both ranks."""
     def run(batches):
         total = np.zeros((len(pairs), 6))
         for batch in batches:
             r = ranks(batch)
-            known = [~np.isnan(c) for c in r]
-            for i, (a, b) in enumerate(pairs):
+            known = ~np.isnan(r)
+            for i, (a, b) in enumerate(pairs.values()):
                 both = known[a] & known[b]
                 u, v = r[a][both], r[b][both]
                 total[i] += len(u), u.sum(), v.sum(), u @ u, v @ v, u @ v
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(pairs)), pa.int32()), *(pa.array(c) for c in total.T)], names=["p", *_SUMS])
+        yield pa.RecordBatch.from_arrays([pa.array(list(pairs), pa.int32()), *(pa.array(c) for c in total.T)], names=["p", *_SUMS])
     return run
 
 
@@ -122,6 +119,7 @@ def spearman(df: DataFrame, pairs: list[tuple[str, str]], min_rows: int = 3) ->
     """Exact Spearman r per pair on pairwise-complete rows (None if < min_rows or constant)."""
     if not pairs:
         return {}
+    pairs = list(dict.fromkeys(pairs))
     cols = sorted({c for p in pairs for c in p})
     x = {c: number_of(df, c) for c in cols}
     nulls = S.sums(df, {c: F.when(x[c].isNull(), 1).otherwise(0) for c in cols})
@@ -135,36 +133,58 @@ def spearman(df: DataFrame, pairs: list[tuple[str, str]], min_rows: int = 3) ->
                 apart[(a, b)] = F.when(x[a].isNull() != x[b].isNull(), 1).otherwise(0)
     differ = S.sums(df, {str(k): e for k, e in apart.items()})
     mask = {c: None if not nulls[c] else next((a for a in gaps[:gaps.index(c)] if differ.get(str((a, c))) == 0), c) for c in cols}
-    specs: dict[str, tuple[Column, Column]] = {}
+    specs: dict[str, tuple[str, str | None]] = {}
 
     def domain(c: str, partner: str) -> str:
         m = None if mask[partner] in (None, mask[c]) else mask[partner]
         name = f"s{cols.index(c)}" + (f"m{cols.index(m)}" if m else "")
-        specs[name] = (x[c], F.lit(True) if m is None else x[c].isNotNull() & x[m].isNotNull())
+        specs[name] = (c, m)
         return name
 
     pair_spec = {(a, b): (domain(a, b), domain(b, a)) for a, b in pairs}
-    lookup, keys, sizes = S.average_ranks(df, specs)
+    lookup, keys, sizes = S.average_ranks(df, x, specs)
     # Centred on the domain's mean rank: the sums of squares lose no digits.
     rank = F.col("_rank") - F.element_at(F.create_map(*[F.lit(v) for k, (n, _) in sizes.items() for v in (k, (n + 1) / 2.0)]), F.col(S.KEY)) if sizes else F.col("_rank")
     lookup = lookup.select(S.KEY, S.VAL, rank.alias("_rank"))
-    wanted = [(keys[a], keys[b]) for a, b in (pair_spec[p] for p in pairs)]
+    # The columns with the fewest values are looked up in the tasks, as many as may be sent; the others' values are joined.
+    of = {c: [keys[name] for name, (d, _) in specs.items() if d == c] for c in cols}
+    held = {c: sum(sizes.get(k, (0, 0))[1] for k in of[c]) for c in cols}
+    few, left = [], SENT_VALUES
+    for c in sorted(cols, key=held.get):
+        if held[c] > left:
+            break
+        few.append(c)
+        left -= held[c]
+    many = [c for c in cols if c not in few]
+    wanted = {p: (keys[a], keys[b]) for p, (a, b) in pair_spec.items()}
+    sent = {k: j for j, c in enumerate(few) for k in of[c]}
+    got = lookup.where(F.col(S.KEY).isin(list(sent))).toArrow()
+    key, val, rnk = (got.column(c).to_numpy() for c in (S.KEY, S.VAL, "_rank"))
+    order = np.lexsort((val, key))
+    key, val, rnk = key[order], val[order], rnk[order]
+    tables = df.sparkSession.sparkContext.broadcast({k: (val[i:j], rnk[i:j]) for k in sent for i, j in [np.searchsorted(key, [k, k + 1])]})
     shape = "p int, " + ", ".join(f"{s} double" for s in _SUMS)
-    domains = sorted(keys, key=keys.get)
-    values = {name: F.when(specs[name][1], specs[name][0].cast("double")) for name in domains}
-    if sum(rows for _, rows in sizes.values()) <= SENT_VALUES:
-        got = lookup.toArrow()
-        key, val, rnk = (got.column(c).to_numpy() for c in (S.KEY, S.VAL, "_rank"))
-        order = np.lexsort((val, key))
-        key, val, rnk = key[order], val[order], rnk[order]
-        edge = np.searchsorted(key, np.arange(len(domains) + 1))
-        tables = df.sparkSession.sparkContext.broadcast([(val[i:j], rnk[i:j]) for i, j in zip(edge[:-1], edge[1:])])
-        sums = df.select(*[e.alias(name) for name, e in values.items()]).mapInArrow(_rank_products(wanted, _looked_up(tables)), shape)
-    else:
-        cells = F.array(*[F.struct(F.lit(keys[name]).alias(S.KEY), e.alias(S.VAL)) for name, e in values.items()])
-        long = with_position(df).select(POSITION, F.explode(cells).alias("kv")).select(POSITION, "kv.*").where(F.col(S.VAL).isNotNull())
-        rows = long.join(lookup, [S.KEY, S.VAL]).groupBy(POSITION).agg(F.collect_list(F.struct(S.KEY, "_rank")).alias("ranks"))  # a row's own domains
-        sums = rows.select("ranks").mapInArrow(_rank_products(wanted, _gathered(len(domains))), shape)
+    light = [x[c].cast("double").alias(f"f{j}") for j, c in enumerate(few)]
+    names = [f"f{j}" for j in range(len(few))]
+    # A row's rank counts only in pairs whose columns it both has, so what its domain leaves out needs no test.
+    parts = []
+    sent_pairs = [p for p in pairs if p[0] in few and p[1] in few]
+    if sent_pairs:
+        parts.append((sent_pairs, df.select(*light), _ranks(len(keys), tables, sent, False)))
+    if many:
+        column = {k: i for i, c in enumerate(many) for k in of[c]}
+        ranks = lookup.where(F.col(S.KEY).isin(list(column))).withColumn("_c", F.element_at(F.create_map(*[F.lit(v) for kc in column.items() for v in kc]), F.col(S.KEY)))
+        ranks = ranks.groupBy("_c", S.VAL).agg(F.collect_list(F.struct(S.KEY, "_rank")).alias("ranks"))  # a column's domains
+        if len(many) == 1:
+            rows = df.select(x[many[0]].cast("double").alias(S.VAL), *light).where(F.col(S.VAL).isNotNull()).join(ranks, S.VAL)
+        else:
+            cells = F.array(*[F.struct(F.lit(i).alias("_c"), x[c].cast("double").alias(S.VAL)) for i, c in enumerate(many)])
+            numbered = with_position(df.select(*[col(c) for c in cols]))
+            long = numbered.select(POSITION, *light, F.explode(cells).alias("kv")).select(POSITION, *names, "kv.*").where(F.col(S.VAL).isNotNull())
+            rows = long.join(ranks, ["_c", S.VAL]).groupBy(POSITION).agg(F.flatten(F.collect_list("ranks")).alias("ranks"), *[F.first(f).alias(f) for f in names])
+        parts.append(([p for p in pairs if p not in sent_pairs], rows.select("ranks", *names), _ranks(len(keys), tables, sent, True)))
+    each = [rows.mapInArrow(_rank_products({pairs.index(p): wanted[p] for p in ps}, ranks), shape) for ps, rows, ranks in parts]
+    sums = reduce(DataFrame.union, each)
     found = {r.p: r for r in sums.groupBy("p").agg(*[F.sum(s).alias(s) for s in _SUMS]).collect()}
     out = {}
     for i, p in enumerate(pairs):
@@ -179,7 +199,7 @@ def spearman(df: DataFrame, pairs: list[tuple[str, str]], min_rows: int = 3) ->
 def top_spearman(df: DataFrame, k: int = 3, cfg: AuditConfig = DEFAULT, fx: Facts | None = None,
                  columns: list[str] | None = None) -> DataFrame:
     """Top-k pairs by |Spearman r| among continuous chart columns (3 dp)."""
-    with reused(df) as df:
+    with reused(df if columns is None else df.select(*[col(c) for c in dict.fromkeys(columns)])) as df:
         if columns is None:
             fx = fx or facts(df, cfg, distinct=True)
             columns = continuous_columns(fx, cfg.names)

@@ -375,6 +375,30 @@ def test_scatter_matrix_reads_a_joined_table_once(spark):
     assert "Join" not in points._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("sent", [160, 500])
+def test_spearman_joins_only_columns_of_many_values(spark, monkeypatch, sent):
+    """One column of many values: its rows meet their ranks as they are, the others' ranks are looked up. Two: joined, put together by position."""
+    monkeypatch.setattr(EDA, "SENT_VALUES", sent)
+    rng = np.random.default_rng(9)
+    n = 300
+    data = {"a": rng.normal(size=n), "b": np.round(rng.normal(size=n) * 3), "c": np.round(rng.normal(size=n) * 2)}
+    data["d"] = np.round(data["a"] * 100 + rng.normal(size=n) * 20)
+    data["b"][rng.random(n) < 0.2] = np.nan
+    data["a"][rng.random(n) < 0.1] = np.nan
+    columns = list(data) if sent == 160 else ["a", "b", "c"]
+    pdf = pd.DataFrame(data)[columns]
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in pdf.to_numpy()], ", ".join(f"{c} double" for c in columns)).repartition(4)
+    if sent == 500:
+        def no_positions(*a):
+            raise AssertionError("rows need no position for one column")
+        monkeypatch.setattr(EDA, "with_position", no_positions)
+    pairs = [(x, y) for i, x in enumerate(columns) for y in columns[i + 1:]]
+    got = EDA.spearman(df, [*pairs, pairs[0]])
+    for x, y in pairs:
+        both = pdf[[x, y]].dropna()
+        assert got[x, y] == pytest.approx(both[x].rank().corr(both[y].rank()), abs=1e-12), (x, y)
+
+
 def test_dates_are_spelled_once_a_value(spark, monkeypatch):
     from tableaudit.functions import dates as DT
     taken, shape = [], DT.shape
