@@ -35,7 +35,7 @@ def spelling(c: Column) -> Column:
     # The cheap test first: most texts end without a zone.
     t = _bound(t, lambda t: F.when(t.rlike(ZONE_END), F.regexp_replace(t, ZONE, "")).otherwise(t))
     t = F.regexp_replace(t, r"[,\s]+", " ")
-    t = F.regexp_replace(t, r"(?i)(?<=\d)(st|nd|rd|th)\b", "")
+    t = F.regexp_replace(t, r"(?i)(?=[snrt])(?<=\d)(st|nd|rd|th)\b", "")
     t = F.regexp_replace(t, r"(?i)(?<=\d) ?([ap])\.?m\.?$", " $1m")
     t = F.regexp_replace(t, MONTH, "$1")
     return F.regexp_replace(t, r"(:\d\d\.\d{6})\d+", "$1")
@@ -43,8 +43,8 @@ def spelling(c: Column) -> Column:
 
 def shape(spelled: Column) -> Column:
     """The shape of a spelled date: two shapes are equal if one pattern reads both."""
-    t = F.regexp_replace(spelled, "(?i)(?<![a-z])(" + "|".join(MONTHS) + ")(?![a-z])", "b")
-    for form, letter in ((r"(?i)\b[AP]M$", "p"), (r"(?<=:\d\d)\.\d{1,6}", "f"), (r"(?<=T)\d{6}$", "t"), (r"\d{8}", "D"), (r"\d{4}", "Y"), (r"\d{1,2}", "9")):
+    t = F.regexp_replace(spelled, "(?i)(?<![a-z])(?=[a-z])(" + "|".join(MONTHS) + ")(?![a-z])", "b")
+    for form, letter in ((r"(?i)\b[AP]M$", "p"), (r"(:\d\d)\.\d{1,6}", "$1f"), (r"T\d{6}$", "Tt"), (r"\d{8}", "D"), (r"\d{4}", "Y"), (r"\d{1,2}", "9")):
         t = F.regexp_replace(t, form, letter)
     return t
 
