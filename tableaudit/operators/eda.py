@@ -77,17 +77,19 @@ def max_abs_correlation(df: DataFrame, columns: list[str], rs: dict | None = Non
 SENT_VALUES = 1 << 20
 
 
-def _ranks(domains: int, tables, sent: dict[int, int], joined: bool):
-    """Ranks of a batch, by domain. ``tables`` has for each domain in ``sent`` its values in order and their ranks, to be looked up
-    for the column that ``sent`` names; if ``joined``, the first column lists each row's (domain, rank) of all others."""
+def _ranks(domains: int, tables, sent: dict[int, int], flat: list[int], listed: bool = False):
+    """Ranks of a batch, by domain. Its first columns are the ranks in the ``flat`` domains, or if ``listed`` one column of each row's
+    (domain, rank). ``tables`` has for each domain in ``sent`` its values in order and their ranks, to be looked up for the column that ``sent`` names."""
     def ranks(batch: pa.RecordBatch) -> np.ndarray:
         out = np.full((domains, batch.num_rows), np.nan)
-        if joined:
+        for d, c in zip(flat, batch.columns):
+            out[d] = c.to_numpy(zero_copy_only=False)
+        if listed:
             lists = batch.column(0)
             row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
             key, rank = (f.to_numpy(zero_copy_only=False) for f in lists.flatten().flatten())
             out[key, row] = rank
-        columns = [c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[joined:]]
+        columns = [c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[len(flat) + listed:]]
         for d, j in sent.items():
             values, rank = tables.value[d]
             if len(values):
@@ -170,19 +172,22 @@ def spearman(df: DataFrame, pairs: list[tuple[str, str]], min_rows: int = 3) ->
     parts = []
     sent_pairs = [p for p in pairs if p[0] in few and p[1] in few]
     if sent_pairs:
-        parts.append((sent_pairs, df.select(*light), _ranks(len(keys), tables, sent, False)))
+        parts.append((sent_pairs, df.select(*light), _ranks(len(keys), tables, sent, [])))
     if many:
         column = {k: i for i, c in enumerate(many) for k in of[c]}
         ranks = lookup.where(F.col(S.KEY).isin(list(column))).withColumn("_c", F.element_at(F.create_map(*[F.lit(v) for kc in column.items() for v in kc]), F.col(S.KEY)))
-        ranks = ranks.groupBy("_c", S.VAL).agg(F.collect_list(F.struct(S.KEY, "_rank")).alias("ranks"))  # a column's domains
-        if len(many) == 1:
-            rows = df.select(x[many[0]].cast("double").alias(S.VAL), *light).where(F.col(S.VAL).isNotNull()).join(ranks, S.VAL)
+        flat = sorted(column) if len(many) == 1 else []
+        if flat:
+            of_value = ranks.groupBy(S.VAL).agg(*[F.max(F.when(F.col(S.KEY) == k, F.col("_rank"))).alias(f"r{k}") for k in flat])
+            rows = df.select(x[many[0]].cast("double").alias(S.VAL), *light).where(F.col(S.VAL).isNotNull()).join(of_value, S.VAL)
+            rows = rows.select(*[f"r{k}" for k in flat], *names)
         else:
+            of_value = ranks.groupBy("_c", S.VAL).agg(F.collect_list(F.struct(S.KEY, "_rank")).alias("ranks"))  # a column's domains
             cells = F.array(*[F.struct(F.lit(i).alias("_c"), x[c].cast("double").alias(S.VAL)) for i, c in enumerate(many)])
             numbered = with_position(df.select(*[col(c) for c in cols]))
             long = numbered.select(POSITION, *light, F.explode(cells).alias("kv")).select(POSITION, *names, "kv.*").where(F.col(S.VAL).isNotNull())
-            rows = long.join(ranks, ["_c", S.VAL]).groupBy(POSITION).agg(F.flatten(F.collect_list("ranks")).alias("ranks"), *[F.first(f).alias(f) for f in names])
-        parts.append(([p for p in pairs if p not in sent_pairs], rows.select("ranks", *names), _ranks(len(keys), tables, sent, True)))
+            rows = long.join(of_value, ["_c", S.VAL]).groupBy(POSITION).agg(F.flatten(F.collect_list("ranks")).alias("ranks"), *[F.first(f).alias(f) for f in names]).drop(POSITION)
+        parts.append(([p for p in pairs if p not in sent_pairs], rows, _ranks(len(keys), tables, sent, flat, not flat)))
     each = [rows.mapInArrow(_rank_products({pairs.index(p): wanted[p] for p in ps}, ranks), shape) for ps, rows, ranks in parts]
     sums = reduce(DataFrame.union, each)
     found = {r.p: r for r in sums.groupBy("p").agg(*[F.sum(s).alias(s) for s in _SUMS]).collect()}
