@@ -47,11 +47,11 @@ def step_folder(spark: SparkSession, label: str) -> Iterator[None]:
         drop(spark, path)
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
+def stash(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage
     ends there, and a lost executor costs no recomputation."""
     path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

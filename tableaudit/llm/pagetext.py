@@ -1,10 +1,17 @@
-"""Main text of web pages: structure, and host suffix arrays where structure leaves it open.
+"""Main text of web pages: blocks by structure, boilerplate by suffix arrays of each host.
 
-A page is cut into blocks. Blocks in an article or main element are the page's text,
-those in menus, headers, footers and the like are not. Where a page has neither
-element, its other blocks are open: the token streams of a host's pages (all but
-landmark text) are concatenated, a suffix array finds long runs of tokens that
-repeat on pages of otherwise different text, and what they cover is boilerplate; unique runs are kept.
+A page is cut into blocks. Blocks in menus, headers, footers and the like are out; blocks in
+an article or main element are landmark text; where a page has neither element, its other
+blocks are open. Landmark and open text of every page goes through suffix arrays of its
+host's concatenated token streams, which find long runs of tokens that pages repeat.
+
+Open text: what runs cover that repeat on pages of otherwise different text (all but
+landmark text is looked at) is boilerplate; unique runs are kept.
+
+Landmark text: articles quote each other, so a run counts only if it stands in the landmark
+text of more than half of the host's different texts (four at least). An exact check
+follows: a block goes if such runs cover all of it, and none goes from a page if that would be
+more than half of its text (then the page is a copy with changes, and no notice).
 
 A host's pages are dealt out to shards of bounded size, so a host with a third of
 all pages is many tasks; each shard names each of its windows once, and windows that several
@@ -18,6 +25,7 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -76,11 +84,14 @@ _MIX = np.random.default_rng(7).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np
 @dataclass(frozen=True)
 class Params:
     """``run``: tokens of the shortest run that counts as repeated. ``shard_tokens``: tokens of a shard's streams, about.
-    ``alike``: resemblance of open texts (estimated from their sketches) from which pages count as one."""
+    ``alike``: resemblance of open texts (estimated from their sketches) from which pages count as one.
+    ``site``: share of a host's different landmark texts above which a run is the site's; ``least``: number of texts it must stand in."""
 
     run: int = 8
     shard_tokens: int = 1 << 19
     alike: float = 0.8
+    site: float = 0.5
+    least: int = 4
 
 
 def marks(attrs: str) -> tuple[bool, set[str]]:
@@ -228,19 +239,37 @@ def suffix_order(stream: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
     return np.argsort(rank, kind="stable"), rank
 
 
+def neighbours(stream: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array of a token stream, and whether each suffix agrees with the one after it in their first ``run`` tokens."""
+    order, _ = suffix_order(stream, run)
+    a, b = order[:-1], order[1:]
+    same = np.maximum(a, b) + run <= len(stream)
+    for i in range(run):
+        same[same] = stream[a[same] + i] == stream[b[same] + i]
+    return order, same
+
+
+def common(stream: np.ndarray, page: np.ndarray, run: int, share: float) -> np.ndarray:
+    """One place of each run of ``run`` tokens that stands on more than ``share`` of the pages, which count from 0.
+
+    Each page's last token is one of its own, so no run spans two pages."""
+    if len(stream) < run:
+        return np.empty(0, np.int64)
+    order, same = neighbours(stream, run)
+    first = np.flatnonzero(np.r_[True, ~same])
+    end = np.r_[first[1:], len(order)]
+    most, last = share * (page[-1] + 1), np.searchsorted(page, page, "right") - 1
+    many = (end - first > most) & (order[first] + run <= last[order[first]])
+    return np.array([order[a] for a, b in zip(first[many], end[many]) if len(np.unique(page[order[a:b]])) > most], np.int64)
+
+
 def repeated(stream: np.ndarray, page: np.ndarray, run: int) -> np.ndarray:
     """True for tokens covered by a run of ``run`` tokens that stands on distinct pages.
 
     Between pages ``stream`` has tokens of their own, so no run spans two pages."""
     covered = np.zeros(len(stream) + 1, np.int64)
     if len(stream) >= run:
-        order, _ = suffix_order(stream, run)
-        # Neighbours in the suffix array that agree in their first ``run`` tokens.
-        a, b = order[:-1], order[1:]
-        inside = np.maximum(a, b) + run <= len(stream)
-        same = inside.copy()
-        for i in range(run):
-            same[same] = stream[a[same] + i] == stream[b[same] + i]
+        order, same = neighbours(stream, run)
         group = np.r_[0, np.cumsum(~same)]
         pages = page[order]
         first = np.flatnonzero(np.r_[True, ~same])
@@ -266,7 +295,8 @@ def windows(stream: np.ndarray, run: int) -> np.ndarray:
 
 
 def parse(pages: DataFrame) -> DataFrame:
-    """``pages`` (page_id, url, html) -> (page_id, url, row, host, texts, marks, open, tokens)."""
+    """``pages`` (page_id, url, html) -> (page_id, url, row, host, texts, marks, open, tokens, words, content): ``tokens`` outside of
+    landmarks, ``words`` and ``content`` (a hash) of the landmark text."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
     source = pages.select("page_id", "url", row_hash(F.col("page_id"), F.col("url"), F.col("html")).alias("row"), host.alias("host"), "html")
 
@@ -275,11 +305,12 @@ def parse(pages: DataFrame) -> DataFrame:
             found = [blocks(x or "") for x in batch.column(4).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in range(4)), pa.array([[t for t, _ in b] for b in found], pa.list_(pa.string())), pa.array([[m for _, m in b] for b in found], pa.list_(pa.int32())),
-                 pa.array([any(m == OPEN for _, m in b) for b in found]), pa.array([sum(t.count(" ") + 1 for t, m in b if m != TEXT) for b in found], pa.int64())],
-                names=["page_id", "url", "row", "host", "texts", "marks", "open", "tokens"])
+                 pa.array([any(m == OPEN for _, m in b) for b in found]), pa.array([sum(t.count(" ") + 1 for t, m in b if m != TEXT) for b in found], pa.int64()),
+                 pa.array([sum(t.count(" ") + 1 for t, m in b if m == TEXT) for b in found], pa.int64()), pa.array([_hash("\n".join(t for t, m in b if m == TEXT)) for b in found], pa.int64())],
+                names=["page_id", "url", "row", "host", "texts", "marks", "open", "tokens", "words", "content"])
 
     kinds = dict(source.dtypes)
-    return source.mapInArrow(run, f"page_id {kinds['page_id']}, url string, row bigint, host string, texts array<string>, marks array<int>, open boolean, tokens bigint")
+    return source.mapInArrow(run, f"page_id {kinds['page_id']}, url string, row bigint, host string, texts array<string>, marks array<int>, open boolean, tokens bigint, words bigint, content bigint")
 
 
 def sketch(words: list[str]) -> list[int]:
@@ -364,11 +395,11 @@ def main_text(pages: DataFrame, p: Params = Params()) -> DataFrame:
     Blocks are joined by line feeds. Null and empty html, and pages without text, give
     an empty text. Null urls and urls without host share the empty host. Repeated rows
     give equal rows and are one page to the suffix arrays; an empty table gives an
-    empty result; other columns are not looked at.
+    empty result; other columns are not looked at. The text of every page comes through its
+    host's suffix arrays; what they find in landmark text is then checked block by block.
     """
-    parsed = stash(parse(pages), "blocks")
-    text = F.array_join(F.filter("texts", lambda t, i: F.get(F.col("marks"), i) == TEXT), "\n")
-    closed = parsed.filter("NOT open").select("page_id", "url", text.alias("text"))
+    parsed = stash(parse(pages), "blocks", "zstd")
+    closed = landmark_text(parsed.filter("NOT open"), site_runs(parsed, p), p)
     open_pages = parsed.filter("open")
     if not open_pages.isEmpty():
         found = open_text(parsed, p)
@@ -377,6 +408,95 @@ def main_text(pages: DataFrame, p: Params = Params()) -> DataFrame:
     return closed.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
 
 
+def _rows(batches: Iterator[pa.RecordBatch], most: int = 64) -> Iterator[list[dict]]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, most):
+            yield batch.slice(at, most).to_pylist()
+
+
+def _landmark(row: dict) -> list[str]:
+    return [t for t, m in zip(row["texts"], row["marks"]) if m == TEXT]
+
+
+def _common(run: int, share: float):
+    """For a shard of a host's landmark texts: their number, and a hash of each run that more than ``share`` of them have."""
+
+    def found(pdf: pd.DataFrame) -> pd.DataFrame:
+        texts = pdf.drop_duplicates("content")["stream"]
+        streams = [np.array([*map(_hash, zlib.decompress(x).decode().split(" ")), -1 - i], np.int64) for i, x in enumerate(texts)]
+        stream = np.concatenate(streams)
+        at = common(stream, np.repeat(np.arange(len(streams)), [len(x) for x in streams]), run, share)
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "texts": [len(streams)], "runs": [windows(stream, run)[at].tolist()]})
+
+    return found
+
+
+def site_runs(parsed: DataFrame, p: Params) -> DataFrame:
+    """(host, runs): hashes of the runs of ``p.run`` tokens that stand in more than ``p.site`` of a host's different landmark texts,
+    ``p.least`` at least.
+
+    Equal texts lie in one shard of their host, so numbers add up, and a run that more than a share of all texts have is one that more than
+    this share of some shard's texts have: the shards' suffix arrays name candidates (a shard has at most 1 / ``p.site`` times as many as
+    its texts have tokens on average), which are then counted in all texts. The result doesn't depend on the deal."""
+    texts = parsed.filter("words > 0").select("host", "content", "words", "texts", "marks")
+    large = texts.groupBy("host").agg(F.ceil(F.sum("words") / p.shard_tokens).alias("shards")).filter("shards > 1")
+    shard = F.pmod(F.xxhash64("content"), F.coalesce("shards", F.lit(1))).cast("int")
+    dealt = texts.join(F.broadcast(large), "host", "left").select("host", shard.alias("shard"), "content", "texts", "marks")
+
+    def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = set()  # equal texts of a task travel once
+        for rows in _rows(batches):
+            new = [r for r in rows if (r["host"], r["content"]) not in sent and not sent.add((r["host"], r["content"]))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r["host"] for r in new], pa.string()), pa.array([r["shard"] for r in new], pa.int32()), pa.array([r["content"] for r in new], pa.int64()),
+                 pa.array([zlib.compress(" ".join(_landmark(r)).encode()) for r in new], pa.binary())], names=["host", "shard", "content", "stream"])
+
+    made = dealt.mapInArrow(streams, "host string, shard int, content bigint, stream binary").groupBy("host", "shard").applyInPandas(
+        _common(p.run, p.site), "host string, texts bigint, runs array<bigint>")
+    made = stash(made, "shard-runs")
+    hosts = made.groupBy("host").agg(F.sum("texts").alias("all"), F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
+    hosts = stash(hosts.filter((F.col("all") >= p.least) & (F.size("runs") > 0)), "candidates")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _rows(batches):
+            for r in rows:
+                has = np.unique(windows(np.array([_hash(w) for t in _landmark(r) for w in t.split(" ")], np.int64), p.run))
+                has = has[np.isin(has, np.array(r["runs"], np.int64))]
+                yield pa.RecordBatch.from_arrays([pa.array([r["host"]] * len(has), pa.string()), pa.array(has), pa.array([r["content"]] * len(has), pa.int64())], names=["host", "window", "content"])
+
+    having = texts.join(hosts, "host").select("host", "content", "texts", "marks", "runs").mapInArrow(count, "host string, window bigint, content bigint")
+    numbers = having.groupBy("host", "window").agg(F.count_distinct("content").alias("n")).join(hosts.select("host", "all"), "host")
+    site = numbers.filter((F.col("n") > p.site * F.col("all")) & (F.col("n") >= p.least))
+    return stash(site.groupBy("host").agg(F.collect_list("window").alias("runs")), "site-runs")
+
+
+def without(texts: list[str], runs: list[int], run: int) -> list[str]:
+    """Blocks of a landmark text less those that ``runs`` cover whole; all of them if that would be more than half of the text."""
+    words = [t.split(" ") for t in texts]
+    size = [len(w) for w in words]
+    at = np.flatnonzero(np.isin(windows(np.array([_hash(x) for w in words for x in w], np.int64), run), np.array(runs, np.int64)))
+    covered = np.zeros(sum(size), bool)
+    for i in at:
+        covered[i:i + run] = True
+    gone = [bool(c.all()) for c in np.split(covered, np.cumsum(size)[:-1])]
+    return texts if 2 * sum(n for n, g in zip(size, gone) if g) > sum(size) else [t for t, g in zip(texts, gone) if not g]
+
+
+def landmark_text(pages: DataFrame, runs: DataFrame, p: Params) -> DataFrame:
+    """(page_id, url, text) of the ``pages`` without open blocks: their landmark text less what the ``runs`` of their host cover."""
+    source = pages.join(runs, "host", "left").select("page_id", "url", "texts", "marks", "runs")
+    kinds = dict(source.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                found = [without(_landmark(r), r["runs"], p.run) if r["runs"] and TEXT in r["marks"] else _landmark(r) for r in part.select(["texts", "marks", "runs"]).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(["\n".join(x) for x in found], pa.string())], names=["page_id", "url", "text"])
+
+    return source.mapInArrow(run, f"page_id {kinds['page_id']}, url string, text string")
+
+
 def repeats(dealt: DataFrame, p: Params) -> DataFrame:
     """(row, covered, more) of the open pages of ``dealt`` (host, shard, row, page, open, texts, marks): the tokens of a row's stream that
     other pages in its shard repeat, and where windows start that other pages of the host have too. The result doesn't depend on the deal."""

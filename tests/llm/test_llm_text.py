@@ -326,6 +326,44 @@ def test_copies_of_pages_without_article(spark, shard):
     assert text[6] == text[7] == f"{texts[0]}\n{alone}" and (text[8], text[9]) == ("one", "two")
 
 
+def test_suffix_array_finds_what_most_pages_have():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        streams = [rng.integers(0, 2, rng.integers(0, 30)).tolist() for _ in range(5)]
+        stream = np.array([x for i, s in enumerate(streams) for x in [*s, -1 - i]], np.int64)
+        page = np.array([i for i, s in enumerate(streams) for _ in range(len(s) + 1)])
+        runs = [{tuple(s[i:i + 4]) for i in range(len(s) - 3)} for s in streams]
+        got = [tuple(stream[i:i + 4].tolist()) for i in P.common(stream, page, 4, 0.5)]
+        assert sorted(got) == sorted(x for x in set().union(*runs) if sum(x in r for r in runs) > 2.5)
+
+
+@pytest.mark.parametrize("shard", [1 << 19, 60])
+def test_suffix_arrays_decide_in_articles_too(spark, shard):
+    """A notice without a mark in most of a host's articles goes; what fewer articles share, copies and other hosts' articles stay whole."""
+    rng = np.random.default_rng(10)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    notice, passage = (" ".join(word() for _ in range(12)) for _ in range(2))
+    texts = [" ".join(word() for _ in range(40)) for _ in range(9)]
+    article = lambda *parts: "<nav>menu</nav><article>" + "".join(f"<p>{x}</p>" for x in parts) + "</article>"
+    pages = [(i, f"http://h.example/{i}", article(t, notice, *([passage] if i < 4 else []), f"{i} {notice}")) for i, t in enumerate(texts)]
+    want = {i: [t, *([passage] if i < 4 else []), f"{i} {notice}"] for i, t in enumerate(texts)}
+    pages += [(9, "http://h.example/9", article(notice)), (0, *pages[0][1:])]  # the notice alone is no part of another text
+    want[9] = [notice]
+    for i in range(10, 13):  # three texts are too few
+        pages.append((i, f"http://few.example/{i}", article(texts[i - 10], notice)))
+        want[i] = [texts[i - 10], notice]
+    for i in range(13, 20):  # one text and its changed copies, and two pages that quote it
+        parts = [*(" ".join(texts[k].split(" ")[:20]) for k in range(6)), f"copy {i // 2}"] if i < 18 else [f"{i} {texts[i - 11]}", f"{i} {texts[i - 12]}"]
+        pages.append((i, f"http://copies.example/{i}", article(*parts)))
+        want[i] = parts
+    pages += [(20, "http://h.example/", None), (21, None, "<article></article>")]
+    want |= {20: [], 21: []}
+    got = P.main_text(clash(spark.createDataFrame(pages, "page_id long, url string, html string")), P.Params(run=8, shard_tokens=shard)).collect()
+    assert sorted(r.page_id for r in got) == sorted(p[0] for p in pages)
+    for r in got:
+        assert r.text == "\n".join(want[r.page_id]) and r.n_chars == len(r.text)
+
+
 # Link graph
 
 def test_rules_and_urls(spark):
